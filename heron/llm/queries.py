@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from heron.llm import topk, warc
 from heron.llm.quality import op1_quality_rules
+from heron.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op7_toxicity": op7_toxicity,
+    "op9_warc": warc.op9_warc,
+    "op10_topk": topk.op10_topk,
+}
+ORACLES: dict[str, str] = {
+    "op9_warc": warc.ORACLE,
+    "op10_topk": topk.ORACLE,
 }
-ORACLES: dict[str, str] = {}
