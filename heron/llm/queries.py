@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from heron.llm import topk, warc
+from heron.llm import html, topk, warc
+from heron.llm.packing import op2_packing
 from heron.llm.quality import op1_quality_rules
 from heron.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_packing": op2_packing,
     "op7_toxicity": op7_toxicity,
+    "op8_html": html.op8_html,
     "op9_warc": warc.op9_warc,
     "op10_topk": topk.op10_topk,
 }
 ORACLES: dict[str, str] = {
+    "op8_html": html.ORACLE,
     "op9_warc": warc.ORACLE,
     "op10_topk": topk.ORACLE,
 }
