@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -51,3 +52,9 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables, read through Spark's own file system layer."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def free(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished phases, whose frames are no longer referred to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
