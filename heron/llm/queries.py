@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from heron.llm import html, topk, warc
+from heron.llm.neardup import op6_minhash
 from heron.llm.packing import op2_packing
 from heron.llm.quality import op1_quality_rules
+from heron.llm.suffix import op5_suffix_array
 from heron.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
+    "op5_suffix_array": op5_suffix_array,
+    "op6_minhash": op6_minhash,
     "op7_toxicity": op7_toxicity,
     "op8_html": html.op8_html,
     "op9_warc": warc.op9_warc,
