@@ -54,7 +54,7 @@ def confusable(a: Column, b: Column) -> Column:
 
 def dmarc_policy(record: Column) -> Column:
     """The first p= directive of a DMARC record, or null."""
-    parts = F.transform(F.split(record, ";"), F.trim)
+    parts = F.transform(F.split(record, ";"), lambda p: F.trim(p))
     first = F.filter(parts, lambda p: F.startswith(p, F.lit("p=")))
     return F.when(F.size(first) > 0, F.substring(F.element_at(first, 1), 3, 1_000_000))
 
