@@ -35,7 +35,7 @@ from heron.plans.session import cut, free, table
 LENGTH = 100
 K = 24
 #: Texts of one minimiser that one suffix array takes.
-GROUP = 64
+GROUP = 4096
 #: Bytes hashed at a time.
 BLOCK = 1 << 20
 _POSITION = np.uint64((1 << 30) - 1)
@@ -109,6 +109,20 @@ def suffix_array(text: bytes) -> list[int]:
     return out[1:]
 
 
+def related(contexts: list[tuple[int, int, bytes, int]], length: int, k: int) -> list[tuple[int, int, bytes]]:
+    """The contexts that can share a window, as (doc, start, bytes).
+
+    A window reaches beyond its minimiser by length - k bytes, so by half of them to one side at
+    least; contexts that agree with no other one on either half have no window in common.
+    """
+    half, seen = (length - k + 1) // 2, {}
+    sides = [(c[:0] if at < half else c[at - half : at + k], c[at : at + k + half]) for _, _, c, at in contexts]
+    for left, right in sides:
+        seen[0, left] = seen.get((0, left), 0) + 1
+        seen[1, right] = seen.get((1, right), 0) + 1
+    return [c[:3] for c, (left, right) in zip(contexts, sides, strict=True) if (left and seen[0, left] > 1) or (len(right) == k + half and seen[1, right] > 1)]
+
+
 def repeated_windows(contexts: list[tuple[int, int, bytes]], length: int = LENGTH) -> list[tuple[int, int, int]]:
     """(doc, start, end) covered by windows of the contexts (doc, start, bytes) that an earlier window equals."""
     contexts = sorted(contexts)
@@ -156,10 +170,10 @@ def repeated_windows(contexts: list[tuple[int, int, bytes]], length: int = LENGT
 
 
 def _minimisers(data: np.ndarray, ends: np.ndarray, length: int, k: int):
-    """Units of the texts that lie end to end in data: (start of the first window, windows, minimiser, hash of the unit)."""
+    """Units of the texts that lie end to end in data: (start of the first window, windows, minimiser, hash of the unit, place of the minimiser)."""
     n = len(data) - k + 1
     if n < 1 or len(data) < length:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     sums = prefix(data)
     at = np.arange(n, dtype=np.int64)
     grams = ranges(sums, at, at + k)
@@ -174,14 +188,14 @@ def _minimisers(data: np.ndarray, ends: np.ndarray, length: int, k: int):
     begins = np.concatenate([[0], ends[:-1]])
     windows = np.maximum(ends - begins - length + 1, 0)
     if not windows.sum():
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     p = np.repeat(begins - np.concatenate([[0], np.cumsum(windows)[:-1]]), windows) + np.arange(windows.sum())
     q = (low[p] & _POSITION).astype(np.int64)
     new = np.flatnonzero(np.r_[True, (q[1:] != q[:-1]) | (p[1:] != p[:-1] + 1)])
     first, count = p[new], np.diff(np.r_[new, len(p)])
     q = q[new]
     content = ranges(sums, first, first + count + length - 1)
-    return first, count, grams[q], mix(content + (q - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return first, count, grams[q], mix(content + (q - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), q - first
 
 
 def _blocks(batch):
@@ -214,11 +228,11 @@ def _units(length: int, k: int):
     def run(batches):
         for b in batches:
             for ids, data, ends in _blocks(b):
-                first, count, h, d = _minimisers(data, ends, length, k)
+                first, count, h, d, anchor = _minimisers(data, ends, length, k)
                 at = np.searchsorted(ends, first, "right")
                 begins = np.concatenate([[0], ends[:-1]])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(d.view(np.int64)), pa.array(np.array(ids, np.int64)[at]), pa.array(((first - begins[at]) << 8) | count)],
+                    [pa.array(h.view(np.int64)), pa.array(d.view(np.int64)), pa.array(np.array(ids, np.int64)[at]), pa.array(((first - begins[at]) << 16) | (anchor << 8) | count)],
                     ["h", "d", "doc", "at"],
                 )
 
@@ -232,15 +246,19 @@ def _contexts(length: int):
             for doc, text, units in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 data = (text or "").encode()
                 for u in units:
-                    start = u["at"] >> 8
-                    out.append((u["h"], u["nd"], doc, start, data[start : start + (u["at"] & 255) + length - 1]))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["h", "nd", "doc", "start", "bytes"])
+                    start = u["at"] >> 16
+                    out.append((u["h"], u["nd"], doc, start, data[start : start + (u["at"] & 255) + length - 1], u["at"] >> 8 & 255))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["h", "nd", "doc", "start", "bytes", "anchor"])
 
     return run
 
 
-def _resolve(length: int):
+def _resolve(length: int, k: int):
+    def settle(contexts):
+        some = related(contexts, length, k) if len(contexts) > 1 else []
+        return repeated_windows(some, length) if len(some) > 1 else []
+
     def rows(found):
         return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], ["doc", "start", "end"])
 
@@ -248,13 +266,13 @@ def _resolve(length: int):
         now, contexts = None, []
         for b in batches:
             out = []
-            for h, doc, start, data in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for h, *context in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 if h != now:
-                    out += repeated_windows(contexts, length) if len(contexts) > 1 else []
+                    out += settle(contexts)
                     now, contexts = h, []
-                contexts.append((doc, start, data))
+                contexts.append(tuple(context))
             yield rows(out)
-        yield rows(repeated_windows(contexts, length) if len(contexts) > 1 else [])
+        yield rows(settle(contexts))
 
     return run
 
@@ -285,7 +303,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFr
     firsts = units.groupBy("h", "d").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n"))
     firsts = cut(firsts, "firsts")
     again = firsts.filter("n > 1").select("h", "d", "first")
-    start = F.shiftright("at", 8)
+    start = F.shiftright("at", 16)
     whole = units.join(again, ["h", "d"]).filter((F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at")))
     whole = whole.select("doc", start.alias("start"), (start + F.col("at").bitwiseAND(255) + (length - 1)).alias("end"))
     whole = cut(whole, "whole")
@@ -294,11 +312,11 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFr
     edges = firsts.join(several, "h").select(F.col("first.doc").alias("doc"), F.struct("h", "nd", "first.at").alias("u"))
     listed = edges.groupBy("doc").agg(F.collect_list("u").alias("units"))
     held = texts.join(listed, F.col("doc_id") == F.col("doc")).select("doc", "text", "units")
-    contexts = cut(held.mapInArrow(_contexts(length), "h long, nd long, doc long, start long, bytes binary"), "contexts")
+    contexts = cut(held.mapInArrow(_contexts(length), "h long, nd long, doc long, start long, bytes binary, anchor int"), "contexts")
     free(spark)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    few = contexts.filter(F.col("nd") <= GROUP).select("h", "doc", "start", "bytes").repartition(parts, "h").sortWithinPartitions("h")
-    by_array = few.mapInArrow(_resolve(length), "doc long, start long, end long")
+    few = contexts.filter(F.col("nd") <= GROUP).select("h", "doc", "start", "bytes", "anchor").repartition(parts, "h").sortWithinPartitions("h")
+    by_array = few.mapInArrow(_resolve(length, k), "doc long, start long, end long")
     rows = contexts.filter(F.col("nd") > GROUP).select("doc", "start", "bytes").mapInArrow(_windows(length), "w binary, doc long, start long")
     origin = rows.groupBy("w").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     by_digest = rows.join(origin, "w").filter((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
