@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from heron.llm import html, topk, warc
+from heron.llm.chunks import op4_chunk_dedup
 from heron.llm.neardup import op6_minhash
 from heron.llm.packing import op2_packing
+from heron.llm.pieces import op3_sentencepiece
 from heron.llm.quality import op1_quality_rules
 from heron.llm.suffix import op5_suffix_array
 from heron.llm.toxicity import op7_toxicity
@@ -12,6 +14,8 @@ from heron.llm.toxicity import op7_toxicity
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
+    "op3_sentencepiece": op3_sentencepiece,
+    "op4_chunk_dedup": op4_chunk_dedup,
     "op5_suffix_array": op5_suffix_array,
     "op6_minhash": op6_minhash,
     "op7_toxicity": op7_toxicity,
