@@ -1 +1,142 @@
-"""Queries to come."""
+"""Queries on deduplication, manifests and quality of a corpus."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from heron.operators import cleaning as C, curate
+from heron.plans import oracle_base as B
+from heron.plans.book import query
+from heron.plans.session import table
+from heron.plans.views import vectors
+
+D = "d AS (SELECT doc_id AS id, text, lang, source, n_chars, sha256(text) AS h FROM documents)"
+
+
+def _docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source", "n_chars", F.sha2("text", 256).alias("h"))
+
+
+@query("union_all", "SELECT doc_id AS id, text, lang FROM documents UNION ALL SELECT item_id, text, NULL FROM benchmark")
+def union_all(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+    return d.unionByName(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"), allowMissingColumns=True)
+
+
+@query("except_rows", "SELECT vec_id AS id FROM embeddings WHERE label <> 3")
+def except_rows(spark, sf_dir):
+    v = vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), "label")
+    return v.join(v.filter("label = 3").select("id"), "id", "left_anti").select("id")
+
+
+@query("distinct_values", "SELECT DISTINCT lang, source FROM documents")
+def distinct_values(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("lang", "source").distinct()
+
+
+@query("exact_dedup", f"WITH {D} SELECT min(id) AS id, h FROM d GROUP BY h")
+def exact_dedup(spark, sf_dir):
+    return curate.exact_dedup(_docs(spark, sf_dir).select("id", "h"), "h", "id")
+
+
+def _unique(spark, sf_dir):
+    """Documents without exact copies, as the near-duplicate stage takes them."""
+    return curate.exact_dedup(_docs(spark, sf_dir), "h", "id")
+
+
+_STOP = ", ".join(f"'{w}'" for w in curate.STOP_WORDS)
+_NEAR = f"""{D}, u AS (SELECT id, text FROM d QUALIFY row_number() OVER (PARTITION BY h ORDER BY id) = 1),
+t AS (SELECT id, [w for w in regexp_extract_all(lower(text), '\\w\\w+') if w NOT IN ({_STOP})] AS ws FROM u),
+g AS (SELECT id, unnest(ws) AS term FROM t UNION ALL SELECT id, unnest([array_to_string(ws[i:i + 1], ' ') for i in range(1, len(ws))]) FROM t UNION ALL SELECT id, unnest([array_to_string(ws[i:i + 2], ' ') for i in range(1, len(ws) - 1)]) FROM t),
+tf AS (SELECT id, term, count(*) AS tf FROM g GROUP BY id, term), top AS (SELECT term, count(*) AS df, sum(tf) AS al FROM tf GROUP BY term ORDER BY al DESC, term LIMIT 5000),
+w0 AS (SELECT id, tf.term, tf * (ln((1.0 + (SELECT count(*) FROM u)) / (1.0 + df)) + 1.0) AS w FROM tf JOIN top ON tf.term = top.term), nn AS (SELECT id, sqrt(sum(w * w)) AS norm FROM w0 GROUP BY id),
+w AS (SELECT w0.id, term, w / norm AS w FROM w0 JOIN nn ON w0.id = nn.id), pr AS (SELECT a.id AS i, b.id AS j, sum(a.w * b.w) AS s FROM w a JOIN w b ON a.term = b.term AND a.id < b.id GROUP BY a.id, b.id)"""
+
+
+@query("near_dedup_pairs", f"WITH {_NEAR} SELECT i, j, round(s, 6) AS similarity FROM pr WHERE s >= 0.85")
+def near_dedup_pairs(spark, sf_dir):
+    """All pairs of documents with a TF-IDF cosine of 0.85 or more."""
+    pairs = curate.similar_pairs(curate.tfidf(_unique(spark, sf_dir)))
+    return pairs.select("i", "j", F.round("similarity", 6).alias("similarity"))
+
+
+@query("near_dedup")
+def near_dedup(spark, sf_dir):
+    u = _unique(spark, sf_dir)
+    return curate.keep_first(u, curate.similar_pairs(curate.tfidf(u)))
+
+
+def _stages(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    kept = exact_dedup(spark, sf_dir).select("id", F.lit(True).alias("e"))
+    near = near_dedup(spark, sf_dir).select("id", "kept")
+    return d.join(kept, "id", "left").join(near, "id", "left").withColumns({"exact_kept": F.coalesce("e", F.lit(False)), "near_kept": F.coalesce("kept", F.lit(True))})
+
+
+@query("dedup_report")
+def dedup_report(spark, sf_dir):
+    return curate.dedup_report(_stages(spark, sf_dir), "lang")
+
+
+@query("exact_dedup_report", f"WITH {D}, f AS (SELECT lang, id = min(id) OVER (PARTITION BY h) AS kept FROM d) SELECT lang, count(*) AS initial, CAST(sum(CAST(NOT kept AS INT)) AS BIGINT) AS exact_duplicates, CAST(sum(CAST(kept AS INT)) AS BIGINT) AS final, round(avg(CAST(kept AS INT)), 6) AS retention FROM f GROUP BY lang")
+def exact_dedup_report(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("id", "lang", "h")
+    first = d.groupBy("h").agg(F.min("id").alias("id")).select("id", F.lit(True).alias("e"))
+    rows = d.join(first, "id", "left").withColumns({"exact_kept": F.coalesce("e", F.lit(False)), "near_kept": F.lit(True)})
+    return curate.dedup_report(rows, "lang").drop("near_duplicates")
+
+
+_REASONS = """list_filter([CASE WHEN NOT regexp_matches(body, '(?i)https?://') THEN 'missing_url' END, CASE WHEN length(body) < 300 THEN 'body_too_short_' || length(body) END, CASE WHEN length(body) > 3000 THEN 'body_too_long_' || length(body) END,
+ CASE WHEN length(subject) < 10 THEN 'subject_too_short_' || length(subject) END, CASE WHEN length(subject) > 110 THEN 'subject_too_long_' || length(subject) END, CASE WHEN NOT (contains(lower(body), 'account') OR contains(lower(body), 'password') OR contains(lower(body), 'login')) THEN 'missing_category_keywords' END], lambda x: x IS NOT NULL)"""
+
+
+@query("quality_filter", f"WITH {B.MESSAGES}, q AS (SELECT id, {_REASONS} AS r FROM m) SELECT id, len(r) = 0 AS accepted, array_to_string(r, '|') AS reasons FROM q")
+def quality_filter(spark, sf_dir):
+    from heron.sources.messages import messages
+
+    r = C.rejection_reasons(F.col("subject"), F.col("body"), 300, 3000, 10, 110, keywords=["account", "password", "login"])
+    return messages(spark, sf_dir).select("id", r.alias("r")).select("id", (F.size("r") == 0).alias("accepted"), F.array_join("r", "|").alias("reasons"))
+
+
+@query("manifest_stats", """SELECT count(*) AS n, CAST(min(n_chars) AS BIGINT) AS min, CAST(max(n_chars) AS BIGINT) AS max, round(avg(n_chars), 6) AS mean, round(median(n_chars), 6) AS median, round(stddev_samp(n_chars), 6) AS std,
+ round(100.0 * count(lang) / count(*), 6) AS lang_pct, round(100.0 * count(source) / count(*), 6) AS source_pct, round(100.0 * avg(CAST(regexp_matches(text, '(?i)https?://') AS INT)), 6) AS url_pct FROM documents""")
+def manifest_stats(spark, sf_dir):
+    n = F.col("n_chars")
+    return table(spark, sf_dir, "documents").agg(
+        F.count("*").alias("n"), F.min(n).alias("min"), F.max(n).alias("max"), F.round(F.avg(n), 6).alias("mean"), F.round(F.median(n), 6).alias("median"), F.round(F.stddev_samp(n), 6).alias("std"),
+        F.round(100.0 * F.count("lang") / F.count("*"), 6).alias("lang_pct"), F.round(100.0 * F.count("source") / F.count("*"), 6).alias("source_pct"),
+        F.round(100.0 * F.avg(F.col("text").rlike("(?i)https?://").cast("int")), 6).alias("url_pct"),
+    )
+
+
+_LANGS = ["de", "en", "es", "fr"]
+
+
+@query("category_model_crosstab", "SELECT source, " + ", ".join(f"CAST(sum(CAST(lang = '{x}' AS INT)) AS BIGINT) AS {x}" for x in _LANGS) + " FROM documents GROUP BY source")
+def category_model_crosstab(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("source").pivot("lang", _LANGS).count().fillna(0)
+
+
+@query("diversity_metrics", f"WITH {D}, s AS (SELECT left(split_part(text, chr(10), 1), 120) AS subject, h, n_chars AS n FROM d) SELECT count(DISTINCT subject) AS subjects, round(100.0 * count(DISTINCT subject) / count(*), 6) AS subject_pct, count(DISTINCT h) AS hashes, round(100.0 * count(DISTINCT h) / count(*), 6) AS hash_pct, " + ", ".join(f"CAST(sum(CAST(n > {a} AND n <= {b} AS INT)) AS BIGINT) AS bin_{b}" for a, b in ((-1, 250), (250, 450), (450, 700), (700, 10000))) + " FROM s")
+def diversity_metrics(spark, sf_dir):
+    """Distinct subjects and texts, and right-closed length bins; lengths beyond the last bin are in none."""
+    subject, n = F.left(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(120)), F.col("n_chars")
+    bins = ((-1, 250), (250, 450), (450, 700), (700, 10000))
+    return _docs(spark, sf_dir).withColumn("subject", subject).agg(
+        F.countDistinct("subject").alias("subjects"), F.round(100.0 * F.countDistinct("subject") / F.count("*"), 6).alias("subject_pct"),
+        F.countDistinct("h").alias("hashes"), F.round(100.0 * F.countDistinct("h") / F.count("*"), 6).alias("hash_pct"), *(F.count_if((n > a) & (n <= b)).alias(f"bin_{b}") for a, b in bins),
+    )
+
+
+@query("manifest_validation", f"WITH {D}, s AS (SELECT 100.0 * avg(CAST(regexp_matches(text, '(?i)https?://') AS INT)) AS url, 100.0 * count(lang) / count(*) AS prov, 100.0 * count(DISTINCT left(split_part(text, chr(10), 1), 120)) / count(*) AS subj FROM d) SELECT url >= 90 AS url_ok, prov >= 95 AS provenance_ok, subj >= 80 AS subjects_ok FROM s")
+def manifest_validation(spark, sf_dir):
+    m = manifest_stats(spark, sf_dir).select("url_pct", "lang_pct")
+    v = diversity_metrics(spark, sf_dir).select("subject_pct")
+    return m.crossJoin(v).select((F.col("url_pct") >= 90).alias("url_ok"), (F.col("lang_pct") >= 95).alias("provenance_ok"), (F.col("subject_pct") >= 80).alias("subjects_ok"))
+
+
+@query("manifest_card", "SELECT '# Corpus card' || chr(10) || 'Rows: ' || count(*) || chr(10) || 'Sources: ' || count(DISTINCT source) AS card FROM documents")
+def manifest_card(spark, sf_dir):
+    """The filled template of a dataset card."""
+    d = table(spark, sf_dir, "documents")
+    return d.agg(F.concat(F.lit("# Corpus card\nRows: "), F.count("*").cast("string"), F.lit("\nSources: "), F.countDistinct("source").cast("string")).alias("card"))

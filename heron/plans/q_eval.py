@@ -1 +1,360 @@
-"""Queries to come."""
+"""Queries on evaluation, sweeps, statistics and costs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from heron.operators import cost, evaluate as E, stats
+from heron.operators.evaluate import confusion, rounded
+from heron.operators.rules import RULES
+from heron.plans import oracle_base as B
+from heron.plans.book import query
+from heron.plans.q_vectors import V, fused, fused_sql, knn_sql
+from heron.plans.views import scored, vectors, with_attacks
+from heron.operators.vectors import nearest
+
+P1, P1D = B.phase1(False), B.phase1(True)
+
+
+def metric_sql(source: str, by: str = "", label: str = "label", pred: str = "pred") -> str:
+    """A query of the metrics of source (label, pred) by the given columns."""
+    head = f"{by}, " if by else ""
+    return f"""SELECT {head}tp, tn, fp, fn, round(coalesce((tp + tn) / nullif(tp + tn + fp + fn, 0), 0), 6) AS accuracy, round(p, 6) AS precision, round(r, 6) AS recall,
+ round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1, round(coalesce(CAST(fp AS DOUBLE) / nullif(fp + tn, 0), 0), 6) AS fpr FROM (
+ SELECT *, coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0) AS p, coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0) AS r FROM (
+ SELECT {head}CAST(sum(CAST({label} = 1 AND {pred} = 1 AS INT)) AS BIGINT) AS tp, CAST(sum(CAST({label} = 0 AND {pred} = 0 AS INT)) AS BIGINT) AS tn, CAST(sum(CAST({label} = 0 AND {pred} = 1 AS INT)) AS BIGINT) AS fp, CAST(sum(CAST({label} = 1 AND {pred} = 0 AS INT)) AS BIGINT) AS fn
+ FROM {source} WHERE {label} IN (0, 1) {"GROUP BY " + by if by else ""}))"""
+
+
+@query("confusion_metrics", f"WITH {P1D}, s AS (SELECT label, CAST(score >= 2 AS INT) AS pred FROM p1) {metric_sql('s')}")
+def confusion_metrics(spark, sf_dir):
+    return rounded(confusion(scored(spark, sf_dir, dns=True).withColumn("pred", (F.col("score") >= 2).cast("int"))))
+
+
+@query("evaluate_pipeline", f"WITH {P1}, s AS (SELECT label, CAST(verdict <> 'benign' AS INT) AS pred, n_pii, len(reasons) AS k FROM p1) SELECT m.*, x.redactions, x.reasons FROM ({metric_sql('s')}) m, (SELECT CAST(sum(n_pii) AS BIGINT) AS redactions, CAST(sum(k) AS BIGINT) AS reasons FROM s WHERE label IN (0, 1)) x")
+def evaluate_pipeline(spark, sf_dir):
+    """Redaction, scoring without lookups, prediction, and the totals of both."""
+    s = scored(spark, sf_dir).filter("label in (0, 1)").withColumn("pred", (F.col("verdict") != "benign").cast("int"))
+    totals = s.agg(F.sum("n_pii").cast("long").alias("redactions"), F.sum(F.size("reasons")).cast("long").alias("reasons"))
+    return rounded(confusion(s)).crossJoin(totals)
+
+
+@query("metrics_by_creator", f"WITH {P1D}, s AS (SELECT created_by, label, CAST(score >= 2 AS INT) AS pred FROM p1) {metric_sql('s', 'created_by')}")
+def metrics_by_creator(spark, sf_dir):
+    return rounded(confusion(scored(spark, sf_dir, dns=True).withColumn("pred", (F.col("score") >= 2).cast("int")), "created_by"))
+
+
+@query("metrics_by_emotion", f"WITH {P1D}, s AS (SELECT unnest(list_distinct([lang, cue])) AS emotion, label, CAST(score >= 2 AS INT) AS pred FROM p1) {metric_sql('s', 'emotion')}")
+def metrics_by_emotion(spark, sf_dir):
+    s = scored(spark, sf_dir, dns=True).withColumn("pred", (F.col("score") >= 2).cast("int"))
+    return rounded(confusion(s.select("label", "pred", F.explode(F.array_distinct("emotions")).alias("emotion")), "emotion"))
+
+
+def _union(weights):
+    return "s AS (" + " UNION ALL ".join(f"SELECT '{n}' AS variant, label, CAST({B.score(w)} >= 2 AS INT) AS pred FROM p1" for n, w in weights.items()) + ")"
+
+
+def _variants(spark, sf_dir, weights):
+    rows = E.variants(scored(spark, sf_dir, dns=True), weights, ["label"])
+    return confusion(rows.withColumn("pred", (F.col("score") >= 2).cast("int")), "variant")
+
+
+@query("weight_ablations", f"WITH {P1D}, {_union(E.group_ablations())} {metric_sql('s', 'variant')}")
+def weight_ablations(spark, sf_dir):
+    return rounded(_variants(spark, sf_dir, E.group_ablations()))
+
+
+@query("loo_importance", f"""WITH {P1D}, {_union(E.leave_one_out())}, c AS (SELECT variant, sum(CAST(label = 1 AND pred = 1 AS INT)) AS tp, sum(CAST(label = 0 AND pred = 0 AS INT)) AS tn, sum(CAST(label = 0 AND pred = 1 AS INT)) AS fp, sum(CAST(label = 1 AND pred = 0 AS INT)) AS fn FROM s WHERE label IN (0, 1) GROUP BY variant),
+q AS (SELECT variant, coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0) AS p, coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0) AS r, coalesce(CAST(fp AS DOUBLE) / nullif(fp + tn, 0), 0) AS f FROM c),
+d AS (SELECT q.variant AS rule, q.r - b.r AS d_recall, q.f - b.f AS d_fpr, q.p - b.p AS d_precision FROM q, (SELECT * FROM q WHERE variant = 'baseline') b WHERE q.variant <> 'baseline'),
+i AS (SELECT *, 2 * abs(d_recall) + 1.5 * abs(d_fpr) + abs(d_precision) AS importance FROM d)
+SELECT rule, round(d_recall, 6) AS d_recall, round(d_fpr, 6) AS d_fpr, round(d_precision, 6) AS d_precision, round(importance, 6) AS importance, CASE WHEN round(importance, 9) >= 0.10 THEN 'HIGH' WHEN round(importance, 9) >= 0.03 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM i""")
+def loo_importance(spark, sf_dir):
+    out = rounded(E.importance(_variants(spark, sf_dir, E.leave_one_out())))
+    return out.orderBy(F.desc("importance"), F.desc(F.abs("d_recall")), "rule")
+
+
+@query("rule_coverage", f"""WITH {P1D}, s AS (SELECT label, score, unnest([{', '.join(f"CASE WHEN {r} > 0 THEN '{r}' END" for r in RULES)}]) AS rule FROM p1)
+SELECT rule, CAST(sum(CAST(label = 1 AS INT)) AS BIGINT) AS phish, CAST(sum(CAST(label = 0 AS INT)) AS BIGINT) AS benign, CAST(sum(CAST(label = 1 AND score >= 2 AS INT)) AS BIGINT) AS tp, CAST(sum(CAST(label = 0 AND score >= 2 AS INT)) AS BIGINT) AS fp, round(sum(CAST(label = 1 AS INT)) / count(*), 6) AS precision
+FROM s WHERE rule IS NOT NULL AND label IN (0, 1) GROUP BY rule""")
+def rule_coverage(spark, sf_dir):
+    hit = F.array_compact(F.array(*(F.when(F.col(r) > 0, F.lit(r)) for r in RULES)))
+    s = scored(spark, sf_dir, dns=True).filter("label in (0, 1)").select("label", "score", F.explode(hit).alias("rule"))
+    on = F.col("score") >= 2
+    return s.groupBy("rule").agg(
+        F.count_if(F.col("label") == 1).alias("phish"), F.count_if(F.col("label") == 0).alias("benign"), F.count_if((F.col("label") == 1) & on).alias("tp"), F.count_if((F.col("label") == 0) & on).alias("fp"),
+        F.round(F.avg((F.col("label") == 1).cast("double")), 6).alias("precision"),
+    )
+
+
+@query("threshold_sweep", f"WITH {P1D}, s AS (SELECT t, label, CAST(score >= t AS INT) AS pred FROM p1, (SELECT CAST(unnest(range(1, 11)) AS INT) AS t)) {metric_sql('s', 't')}")
+def threshold_sweep(spark, sf_dir):
+    return rounded(E.sweep(scored(spark, sf_dir, dns=True), 1, 10))
+
+
+@query("threshold_best", f"WITH {P1D}, s AS (SELECT t, label, CAST(score >= t AS INT) AS pred FROM p1, (SELECT CAST(unnest(range(1, 11)) AS INT) AS t)), q AS ({metric_sql('s', 't')}) SELECT t, f1, precision FROM q ORDER BY precision >= 0.3 DESC, f1 DESC, t LIMIT 1")
+def threshold_best(spark, sf_dir):
+    """The best F1 among thresholds of enough precision, else the best of all; the first wins."""
+    m = rounded(E.sweep(scored(spark, sf_dir, dns=True), 1, 10))
+    return m.orderBy(F.desc(F.col("precision") >= 0.3), F.desc("f1"), "t").limit(1).select("t", "f1", "precision")
+
+
+@query("threshold_tune_val_test", f"""WITH {P1D}, s AS (SELECT id % 2 AS part, t, label, CAST(score >= t AS INT) AS pred FROM p1, (SELECT CAST(unnest(range(0, 13)) AS INT) AS t)), q AS ({metric_sql('s', 'part, t')}), b AS (SELECT t FROM q WHERE part = 0 ORDER BY f1 DESC, t LIMIT 1)
+SELECT q.part, q.t, q.f1, q.precision, q.recall FROM q JOIN b ON q.t = b.t""")
+def threshold_tune_val_test(spark, sf_dir):
+    """The threshold that is best on the validation half, on both halves."""
+    m = rounded(E.sweep(scored(spark, sf_dir, dns=True).withColumn("part", F.col("id") % 2), 0, 12, ["part"]))
+    best = m.filter("part = 0").orderBy(F.desc("f1"), "t").limit(1).select("t")
+    return m.join(F.broadcast(best), "t").select("part", "t", "f1", "precision", "recall")
+
+
+_TOPS, _AVGS = list(range(40, 80, 5)), list(range(35, 75, 5))
+_GRID = f"g AS (SELECT * FROM (SELECT unnest({_TOPS}) AS top_t), (SELECT unnest({_AVGS}) AS avg_t)), s AS (SELECT top_t, avg_t, label, CAST(verdict = 'phishing' OR round(top_sim, 9) * 100 >= top_t OR (verdict = 'needs_review' AND round(avg_top3, 9) * 100 >= avg_t) AS INT) AS pred FROM f, g)"
+
+
+@query("similarity_grid", f"WITH {fused_sql()}, {_GRID} {metric_sql('s', 'top_t, avg_t')}")
+def similarity_grid(spark, sf_dir):
+    return rounded(E.similarity_grid(fused(spark, sf_dir), _TOPS, _AVGS))
+
+
+@query("similarity_grid_best", f"WITH {fused_sql()}, {_GRID}, q AS ({metric_sql('s', 'top_t, avg_t')}) SELECT top_t, avg_t, f1 FROM q ORDER BY precision >= 0.3 DESC, f1 DESC, top_t, avg_t LIMIT 1")
+def similarity_grid_best(spark, sf_dir):
+    m = rounded(E.similarity_grid(fused(spark, sf_dir), _TOPS, _AVGS))
+    return m.orderBy(F.desc(F.col("precision") >= 0.3), F.desc("f1"), "top_t", "avg_t").limit(1).select("top_t", "avg_t", "f1")
+
+
+_POINTS = "pt AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {lo}, {hi}, {s}, {a})" for n, lo, hi, s, a in E.POINTS) + ") AS v(mode, lo, hi, sim, av)), s AS (SELECT mode, f.created_by, label, CAST(score >= hi OR round(top_sim, 9) >= sim OR (score >= lo AND round(avg_top3, 9) >= av) AS INT) AS pred FROM f, pt)"
+
+
+@query("operating_points", f"WITH {fused_sql()}, {_POINTS} {metric_sql('s', 'mode')}")
+def operating_points(spark, sf_dir):
+    return rounded(E.operating_points(fused(spark, sf_dir)))
+
+
+@query("operating_points_by_category", f"""WITH {fused_sql()}, {_POINTS}, cats AS (SELECT DISTINCT created_by AS category FROM m), s2 AS (SELECT s.mode, s.created_by AS category, label, pred FROM s WHERE label = 1 UNION ALL SELECT s.mode, category, label, pred FROM s, cats WHERE label = 0) {metric_sql('s2', 'mode, category')}""")
+def operating_points_by_category(spark, sf_dir):
+    """Each category's positives against the same negatives: negatives are counted once and joined to the categories' counts."""
+    rows = fused(spark, sf_dir)
+    m = E.operating_points(rows.withColumn("category", F.col("created_by")), ["category"])
+    neg = m.groupBy("mode").agg(F.sum("tn").alias("tn"), F.sum("fp").alias("fp"))
+    categories = rows.select(F.col("created_by").alias("category")).distinct()
+    grid = neg.join(F.broadcast(categories), F.lit(True))
+    both = grid.join(m.select("mode", "category", "tp", "fn"), ["mode", "category"], "left").fillna(0, ["tp", "fn"])
+    tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))
+    out = both.withColumns({"accuracy": E.ratio(tp + tn, tp + tn + fp + fn), "precision": E.ratio(tp, tp + fp), "recall": E.ratio(tp, tp + fn), "fpr": E.ratio(fp, fp + tn)})
+    out = out.withColumn("f1", E.ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    return rounded(out.select("mode", "category", *E.METRICS))
+
+
+_KS = [4, 8, 16, 32]
+
+
+@query("k_ablation", f"""WITH {B.phase1(True)}, {V}, {knn_sql('true', 'true', 32)}, ks AS (SELECT unnest({_KS}) AS k),
+st AS (SELECT query_id, k, max(CASE WHEN label = 1 THEN similarity END) AS top_sim FROM nn JOIN ks ON rank <= k GROUP BY query_id, k),
+s AS (SELECT ks.k, label, CAST(verdict = 'phishing' OR round(coalesce(top_sim, 0), 9) >= 0.30 AS INT) AS pred FROM p1 CROSS JOIN ks LEFT JOIN st ON st.query_id = p1.id % (SELECT count(*) FROM v) AND st.k = ks.k)
+{metric_sql('s', 'k')}""")
+def k_ablation(spark, sf_dir):
+    """Prefixes of one list of the 32 nearest serve every k."""
+    v = vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), "v", "label")
+    n = v.count()
+    near = nearest(v, v, max(_KS)).join(v.select("id", F.col("label").alias("n_label")), "id")
+    tops = near.groupBy("query_id").agg(*(F.max(F.when((F.col("rank") <= k) & (F.col("n_label") == 1), F.col("similarity"))).alias(f"top_{k}") for k in _KS))
+    p1 = scored(spark, sf_dir, dns=True).select("label", "verdict", (F.col("id") % n).alias("vid"))
+    rows = p1.join(tops, F.col("vid") == F.col("query_id"), "left")
+    each = F.array(*(F.struct(F.lit(k).alias("k"), F.coalesce(f"top_{k}", F.lit(0.0)).alias("top")) for k in _KS))
+    pred = ((F.col("verdict") == "phishing") | (F.round("x.top", 9) >= 0.30)).cast("int")
+    return rounded(confusion(rows.select("label", "verdict", F.explode(each).alias("x")).select("label", F.col("x.k").alias("k"), pred.alias("pred")), "k"))
+
+
+@query("failure_taxonomy", f"""WITH {P1D}, k AS (SELECT CASE WHEN label = 1 AND score < 5 THEN 'fn' WHEN label = 0 AND score >= 5 THEN 'fp' END AS side,
+ CASE WHEN label = 1 THEN CASE WHEN score = 0 THEN 'zero_score' WHEN urls <> 1 THEN 'no_urls' WHEN length(body) < 200 THEN 'low_signal_content' WHEN score < 2 THEN 'below_threshold' ELSE 'multiple_factors' END
+ ELSE CASE WHEN len(reasons) >= 2 THEN 'multiple_weak_signals' ELSE 'unknown' END END AS kind FROM p1 WHERE label IN (0, 1)), c AS (SELECT side, kind, count(*) AS n FROM k WHERE side IS NOT NULL GROUP BY side, kind)
+SELECT side, kind, n, round(100.0 * n / sum(n) OVER (PARTITION BY side), 6) AS pct FROM c""")
+def failure_taxonomy(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    s = scored(spark, sf_dir, dns=True).filter("label in (0, 1)")
+    side = F.when((F.col("label") == 1) & (F.col("score") < 5), "fn").when((F.col("label") == 0) & (F.col("score") >= 5), "fp")
+    kind = F.when(F.col("label") == 1, E.false_negative_kind(F.col("score"), F.col("reasons"), F.col("body"), F.col("urls") == 1)).otherwise(E.false_positive_kind(F.col("reasons")))
+    c = s.select(side.alias("side"), kind.alias("kind")).filter("side is not null").groupBy("side", "kind").agg(F.count("*").alias("n"))
+    return c.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(W.partitionBy("side")), 6))
+
+
+def _ground(tag, reason, low, reasons):
+    """Tag-specific checks of whether an explanation cites what was found."""
+    def some(words):
+        hit = F.lit(False)
+        for w in words:
+            # The reasons in one string: a phrase cannot reach over the line break between two of them.
+            hit = hit | F.contains(F.lower(F.array_join(reasons, "\n")), F.lit(w))
+        return hit
+
+    def cites(words):
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | F.contains(low, F.lit(w))
+        return hit
+
+    def judge(known, supported):
+        return F.when(~known, "UNKNOWN").when(supported, "SUPPORTED").otherwise("UNSUPPORTED")
+
+    # What counts as a specific citation for each tag.
+    auth = ["no mx", "missing mx", "mx missing", "mx record", "no spf", "spf not present", "spf missing", "spf record", "no dmarc", "dmarc not present", "dmarc missing", "lack of dmarc", "without dmarc", "dmarc policy", "dmarc record", ".com", ".xyz", ".net"]
+    url = ["ip literal", "ip address", "http://", "https://", "domain mismatch", "shortener", "shortened url", "short link", "bit.ly", "tinyurl"]
+    urgency = ["urgent", "immediately", "verify", "suspended", "24 hours", "expires", "account", "action required", "confirm", "freeze", "frozen", "security check", "15min", "available", "expire in", "complete this", "detected", "keyword", "violation"]
+    content = ["credential", "password", "verify identity", "phi"]
+    return (
+        F.when(tag == "AUTH", judge(some(["mx", "spf", "dmarc", "dns", "domain"]), cites(auth)))
+        .when(tag == "URL", judge(some(["url", "link", "ip literal", "shortener", "domain mismatch"]), cites(url) | reason.rlike(r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}")))
+        .when(tag == "URGENCY", judge(some(["urgency", "keyword"]), cites(urgency)))
+        .when(tag == "CONTENT", judge(some(["credential", "phi", "password", "verify", "identity"]), cites(content)))
+        .when(tag == "SIMILARITY", F.when(reason.rlike(r"\d\.\d+") | cites(["similarity", "similar"]), "SUPPORTED").otherwise("UNSUPPORTED"))
+        .otherwise("UNKNOWN")
+    )
+
+
+_EXPLAIN = "CASE id % 6 WHEN 0 THEN '[AUTH] No SPF record' WHEN 1 THEN '[AUTH] weak auth' WHEN 2 THEN '[URL] bit.ly link' WHEN 3 THEN '[URGENCY] pushy tone' WHEN 4 THEN '[SIMILARITY] score 0.71' ELSE '[CONTENT] asks for password' END"
+
+
+@query("groundedness_summary", f"""WITH {P1D}, e AS (SELECT regexp_extract({_EXPLAIN}, '^\\[([A-Z]+)\\]', 1) AS tag, lower({_EXPLAIN}) AS low, lower(array_to_string(reasons, '|')) AS rs FROM p1), g AS (SELECT tag, CASE
+ WHEN tag = 'AUTH' THEN CASE WHEN NOT ({B.any_of('rs', ['mx', 'spf', 'dmarc', 'dns', 'domain'])}) THEN 'UNKNOWN' WHEN contains(low, 'no spf') THEN 'SUPPORTED' ELSE 'UNSUPPORTED' END
+ WHEN tag = 'URL' THEN CASE WHEN NOT ({B.any_of('rs', ['url', 'link', 'ip literal', 'shortener', 'domain mismatch'])}) THEN 'UNKNOWN' ELSE 'SUPPORTED' END
+ WHEN tag = 'URGENCY' THEN CASE WHEN NOT ({B.any_of('rs', ['urgency', 'keyword'])}) THEN 'UNKNOWN' ELSE 'UNSUPPORTED' END
+ WHEN tag = 'CONTENT' THEN CASE WHEN NOT ({B.any_of('rs', ['credential', 'phi', 'password', 'verify', 'identity'])}) THEN 'UNKNOWN' ELSE 'SUPPORTED' END ELSE 'SUPPORTED' END AS s FROM e)
+SELECT tag, count(*) AS total, CAST(sum(CAST(s = 'SUPPORTED' AS INT)) AS BIGINT) AS supported, CAST(sum(CAST(s = 'UNSUPPORTED' AS INT)) AS BIGINT) AS unsupported, CAST(sum(CAST(s = 'UNKNOWN' AS INT)) AS BIGINT) AS unknown, round(sum(CAST(s = 'SUPPORTED' AS INT)) / greatest(1, count(*)), 6) AS rate FROM g GROUP BY tag""")
+def groundedness_summary(spark, sf_dir):
+    from heron.functions.text import bracket_tag
+
+    reason = F.expr(_EXPLAIN)
+    s = scored(spark, sf_dir, dns=True).withColumn("r", reason).withColumn("tag", bracket_tag(F.col("r")))
+    g = s.select("tag", _ground(F.col("tag"), F.col("r"), F.lower("r"), F.col("reasons")).alias("s"))
+    ok = F.count_if(F.col("s") == "SUPPORTED")
+    return g.groupBy("tag").agg(F.count("*").alias("total"), ok.alias("supported"), F.count_if(F.col("s") == "UNSUPPORTED").alias("unsupported"), F.count_if(F.col("s") == "UNKNOWN").alias("unknown"), F.round(ok / F.greatest(F.lit(1), F.count("*")), 6).alias("rate"))
+
+
+@query("explanation_quality", f"WITH {P1D} SELECT verdict, count(*) AS n, round(avg(len(reasons)), 6) AS avg_tags, round(avg(CAST(len(reasons) > 0 AS INT)), 6) AS coverage, round(avg(length(array_to_string(reasons, ' | '))), 6) AS avg_length, CAST(max(len(reasons)) AS INT) AS most FROM p1 GROUP BY verdict")
+def explanation_quality(spark, sf_dir):
+    k = F.size("reasons")
+    return scored(spark, sf_dir, dns=True).groupBy("verdict").agg(
+        F.count("*").alias("n"), F.round(F.avg(k), 6).alias("avg_tags"), F.round(F.avg((k > 0).cast("int")), 6).alias("coverage"), F.round(F.avg(F.length(F.array_join("reasons", " | "))), 6).alias("avg_length"), F.max(k).alias("most"),
+    )
+
+
+@query("majority_baseline", f"WITH {B.MESSAGES}, t AS (SELECT label FROM m WHERE label IS NOT NULL GROUP BY label ORDER BY count(*) DESC, label LIMIT 1), s AS (SELECT m.label, t.label AS pred FROM m, t) {metric_sql('s')}")
+def majority_baseline(spark, sf_dir):
+    from heron.sources.messages import messages
+
+    m = messages(spark, sf_dir).filter("label is not null").select("label")
+    top = m.groupBy("label").count().orderBy(F.desc("count"), "label").limit(1).select(F.col("label").alias("pred"))
+    return rounded(confusion(m.join(F.broadcast(top), F.lit(True))))
+
+
+def _cells(spark, sf_dir):
+    s = scored(spark, sf_dir, dns=True).withColumns({"a": (F.col("score") >= 2).cast("int"), "b": (F.col("score") >= 5).cast("int"), "pred": (F.col("score") >= 2).cast("int")})
+    return s.select("label", "a", "b", "pred")
+
+
+@query("bootstrap_ci")
+def bootstrap_ci(spark, sf_dir):
+    return rounded(stats.bootstrap(spark, stats.cells(_cells(spark, sf_dir), "label", "pred")))
+
+
+@query("paired_bootstrap")
+def paired_bootstrap(spark, sf_dir):
+    return rounded(stats.paired_bootstrap(spark, stats.cells(_cells(spark, sf_dir), "label", "a", "b")))
+
+
+@query("permutation_test")
+def permutation_test(spark, sf_dir):
+    return rounded(stats.permutation(spark, stats.cells(_cells(spark, sf_dir), "label", "a", "b")))
+
+
+_DISC = f"WITH {P1D}, s AS (SELECT label = CAST(score >= 2 AS INT) AS ra, label = CAST(score >= 5 AS INT) AS rb FROM p1 WHERE label IN (0, 1)), d AS (SELECT sum(CAST(ra AND NOT rb AS INT)) AS n01, sum(CAST(rb AND NOT ra AS INT)) AS n10 FROM s)"
+
+
+def _discordant(spark, sf_dir):
+    c = stats.cells(_cells(spark, sf_dir), "label", "a", "b")
+    return sum(n for (y, a, b), n in c.items() if a == y != b), sum(n for (y, a, b), n in c.items() if b == y != a)
+
+
+@query("mcnemar", f"{_DISC} SELECT CAST(n01 AS BIGINT) AS n01, CAST(n10 AS BIGINT) AS n10, round(coalesce((abs(n01 - n10) - 1) ** 2 / nullif(n01 + n10, 0), 0), 6) AS statistic FROM d")
+def mcnemar(spark, sf_dir):
+    n01, n10 = _discordant(spark, sf_dir)
+    x, _ = stats.mcnemar(n01, n10)
+    return spark.createDataFrame([(n01, n10, round(x, 6))], "n01 long, n10 long, statistic double")
+
+
+@query("wilcoxon", f"{_DISC} SELECT CAST(n01 AS BIGINT) AS worse, CAST(n10 AS BIGINT) AS better, round(least(n01, n10) * (n01 + n10 + 1) / 2.0, 6) AS statistic FROM d")
+def wilcoxon(spark, sf_dir):
+    worse, better = _discordant(spark, sf_dir)
+    w, _ = stats.wilcoxon(better, worse)
+    return spark.createDataFrame([(worse, better, round(w, 6))], "worse long, better long, statistic double")
+
+
+_COST = "attacks * 0.1 AS breaches_prevented, fp AS false_positives, 10000 * 0.00002 * 2 + 10000 * 0.131 * 0.001 + 10000 * 0.131 * 2 / 60 * 30 + fp * 15 / 60 * 50 AS total_cost_daily, attacks * 0.1 * 50000 AS risk_mitigated"
+
+
+def _cost_sql(source, cols):
+    return f"""SELECT {cols}, round(attacks, 6) AS attacks_detected, round(breaches_prevented, 6) AS breaches_prevented, round(false_positives, 6) AS false_positives, round(total_cost_daily, 4) AS total_cost_daily, round(risk_mitigated, 4) AS risk_mitigated,
+ round(risk_mitigated - total_cost_daily, 4) AS net_benefit, round((risk_mitigated - total_cost_daily) / total_cost_daily, 4) AS roi FROM (SELECT *, {_COST} FROM (SELECT *, 440.0 * recall AS attacks, 9560.0 * fpr AS fp FROM {source}))"""
+
+
+def _cost_rounded(df, *keep):
+    names = ["attacks_detected", "breaches_prevented", "false_positives"]
+    money = ["total_cost_daily", "risk_mitigated", "net_benefit", "roi"]
+    return df.select(*keep, *(F.round(c, 6).alias(c) for c in names), *(F.round(c, 4).alias(c) for c in money))
+
+
+@query("cost_benefit", _cost_sql("(SELECT CAST(0.178 AS DOUBLE) AS recall, CAST(0.0016 AS DOUBLE) AS fpr)", "'default' AS mode"))
+def cost_benefit(spark, sf_dir):
+    one = spark.createDataFrame([("default", 0.178, 0.0016)], "mode string, recall double, fpr double")
+    return _cost_rounded(cost.with_costs(one), "mode")
+
+
+@query("cost_benefit_modes", f"WITH {fused_sql()}, {_POINTS}, q AS (SELECT mode, sum(CAST(label = 1 AND pred = 1 AS INT)) / CAST(sum(CAST(label = 1 AS INT)) AS DOUBLE) AS recall, sum(CAST(label = 0 AND pred = 1 AS INT)) / CAST(sum(CAST(label = 0 AS INT)) AS DOUBLE) AS fpr FROM s WHERE label IN (0, 1) GROUP BY mode) " + _cost_sql("q", "mode"))
+def cost_benefit_modes(spark, sf_dir):
+    return _cost_rounded(cost.with_costs(E.operating_points(fused(spark, sf_dir)).select("mode", "recall", "fpr")), "mode")
+
+
+@query("scenario_comparison", "SELECT 'no_system' AS scenario, CAST(0.0 AS DOUBLE) AS cost, CAST(2200000.0 AS DOUBLE) AS residual_risk UNION ALL SELECT 'deployed', round(10000 * 0.00002 * 2 + 10000 * 0.131 * 0.001 + 10000 * 0.131 * 2 / 60 * 30 + 9560 * 0.0016 * 15 / 60 * 50, 4), round(2200000.0 - 440 * 0.178 * 0.1 * 50000, 4)")
+def scenario_comparison(spark, sf_dir):
+    out = cost.scenarios(F.lit(0.178), F.lit(0.0016), spark.range(1))
+    return out.select("scenario", F.round("cost", 4).alias("cost"), F.round("residual_risk", 4).alias("residual_risk"))
+
+
+@query("tfidf_logreg")
+def tfidf_logreg(spark, sf_dir):
+    """A text classifier as baseline: one- and two-word TF-IDF and logistic regression, by even and odd ids."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer
+
+    from heron.sources.messages import messages
+
+    m = messages(spark, sf_dir).filter("label is not null").select("id", "label", F.concat("subject", F.lit("\n\n"), "body").alias("text"))
+    steps = Pipeline(stages=[
+        RegexTokenizer(inputCol="text", outputCol="w1", pattern=r"\W+"), NGram(n=2, inputCol="w1", outputCol="w2"),
+        SQLTransformer(statement="SELECT *, concat(w1, w2) AS terms FROM __THIS__"), CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=20000), IDF(inputCol="tf", outputCol="features"),
+        LogisticRegression(maxIter=20, regParam=0.01),
+    ])
+    model = steps.fit(m.filter("id % 2 = 0"))
+    scored_rows = model.transform(m.filter("id % 2 = 1")).select("label", F.col("prediction").cast("int").alias("pred"))
+    return rounded(confusion(scored_rows))
+
+
+@query("threshold_config", "SELECT CAST(0.40 AS DOUBLE) AS phish_top, CAST(0.35 AS DOUBLE) AS phish_avg, CAST(0.25 AS DOUBLE) AS review_top, CAST(0.17 AS DOUBLE) AS review_avg")
+def threshold_config(spark, sf_dir):
+    from heron.operators.fusion import Thresholds
+
+    t = Thresholds.read('{"top_similarity_threshold": 0.40, "avg_top3_threshold": 0.35}')
+    return spark.createDataFrame([tuple(round(x, 9) for x in (t.phish_top, t.phish_avg, t.review_top, t.review_avg))], "phish_top double, phish_avg double, review_top double, review_avg double")
+
+
+@query("k_ablation_ontology", f"WITH {P1D}, {B.ontology_ctes()}, a AS (SELECT DISTINCT id FROM attacks), s AS (SELECT label, CAST(score >= 5 OR (score >= 2 AND a.id IS NOT NULL) AS INT) AS pred FROM p1 LEFT JOIN a ON a.id = p1.id) {metric_sql('s')}")
+def k_ablation_ontology(spark, sf_dir):
+    """Review cases count as phishing where the ontology infers an attack."""
+    s = with_attacks(spark, sf_dir)
+    pred = ((F.col("score") >= 5) | ((F.col("score") >= 2) & (F.size("attacks") > 0))).cast("int")
+    return rounded(confusion(s.withColumn("pred", pred)))
+
+
