@@ -195,3 +195,19 @@ def failed_checks(spark, sf_dir):
         F.when(~F.col("verdict").isin(*rules.VERDICTS), "verdict"), F.when(F.col("sender_email").isNull(), "sender_email"),
     ))
     return scored(spark, sf_dir).select("id", F.explode(bad).alias("check_name"))
+
+
+@query("reasons_capped", f"WITH {P1D} SELECT id, CASE WHEN len(reasons) > 2 THEN list_concat(reasons[1:1], [reasons[-1]]) ELSE reasons END AS shown FROM p1")
+def reasons_capped(spark, sf_dir, most: int = 2):
+    """What a card with room for so many reasons shows: the first ones and always the last."""
+    r = F.col("reasons")
+    shown = F.when(F.size(r) > most, F.concat(F.slice(r, 1, most - 1), F.slice(r, -1, 1))).otherwise(r)
+    return scored(spark, sf_dir, dns=True).select("id", shown.alias("shown"))
+
+
+@query("indicator_struct", f"WITH {P1D} SELECT id, sender_domain, CASE WHEN urgency > 0 THEN true END AS urgency, CASE WHEN creds_request > 0 THEN true END AS creds_request, CASE WHEN domain_mismatch THEN true END AS domain_mismatch, len(link_hosts) AS n_hosts FROM p1")
+def indicator_struct(spark, sf_dir):
+    """The indicators; a null is an absent key."""
+    i = scored(spark, sf_dir, dns=True).select("id", rules.indicators().alias("i"))
+    n = F.when(F.col("i.link_hosts").isNotNull(), F.size("i.link_hosts").cast("long"))
+    return i.select("id", "i.sender_domain", "i.urgency", "i.creds_request", "i.domain_mismatch", n.alias("n_hosts"))
