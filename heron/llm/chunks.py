@@ -23,7 +23,7 @@ from heron.llm.rolling import mix
 from heron.llm.suffix import _digests, _typed, remove_ranges
 from heron.plans.session import cut, free, table
 
-SMALLEST, LARGEST, BITS = 32, 1024, 6
+SMALLEST, LARGEST, BITS = 32, 1024, 4
 RUN = 100
 #: One pseudo-random 32-bit number for each byte value.
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)

@@ -79,25 +79,26 @@ class WordTokens:
         return [data[i:j] for i, j in zip(at, at[1:], strict=False)]
 
     def _learn(self, words: set[str]) -> None:
-        """Words of letters before a run of marks are the letters' ids and the marks'; ASCII letters are lower-cased first."""
-        cache, forms, letters, other = self.cache, [], set(), set()
-        for w in words:
+        """Words of letters are encoded together; letters before a run of marks are the letters' ids and the marks'."""
+        cache = self.cache
+        plain = [w for w in words if w.isalpha()]
+        forms, letters, other = [], set(), set()
+        for w in words.difference(plain):
             stem = w.rstrip(_MARKS)
             if stem.isalpha():
-                low, mark = stem.lower() if stem.isascii() else stem, w[len(stem) :]
-                letters.add(low)
-                other.add(mark)
-                forms.append((w, low, mark))
+                letters.add(stem)
+                other.add(w[len(stem) :])
+                forms.append((w, stem, w[len(stem) :]))
             else:
                 other.add(w)
-        letters = list(letters.difference(cache))
+        plain += letters.difference(cache, plain)
         other = list(other.difference(cache))
-        if letters:
-            cache.update(zip(letters, self._letters(letters), strict=True))
+        if plain:
+            cache.update(zip(plain, self._letters(plain), strict=True))
         if other:
             cache.update(zip(other, self._encode(other), strict=True))
-        for w, low, mark in forms:
-            cache[w] = cache[low] + cache[mark] if mark else cache[low]
+        for w, stem, mark in forms:
+            cache[w] = cache[stem] + cache[mark]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each whole text."""

@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from heron.plans.session import table
 
 MARK = "▁"
-CACHE = 400_000
+CACHE = 600_000
+#: Bits of the table of remembered pairs.
+PAIRS = 21
 OTHER = 1 << 20
 #: Stands for the null character within the index; a lone surrogate, which no text holds.
 NULL = "\ud800"
@@ -76,8 +78,16 @@ class Pieces:
         self.table = np.array(self.pieces, f"U{self.width}")
         self.beyond = np.array([p + "\U0010ffff" for p in self.pieces], f"U{self.width}")
         self.lengths = np.array([len(p) for p in self.pieces], np.int64)
-        self.pair: dict[int, bool] = {}
-        self.cache: dict[str, tuple[int, ...]] = {}
+        texts = [bytes([self.of_byte[i]]) if i in self.of_byte else self.names.get(i, "").encode() for i in range(len(names))]
+        self.piece_sizes = np.array([len(t) for t in texts], np.int64)
+        self.piece_starts = np.concatenate([[0], np.cumsum(self.piece_sizes)])[:-1]
+        self.piece_bytes = np.frombuffer(b"".join(texts), np.uint8)
+        self.id_of = np.array([self.ids[p] for p in self.pieces], "<u4")
+        self.id_of_ascii = np.array([self.bytes[b] for b in range(128)], "<u4")
+        self.pair: dict[tuple[int, int], bool] = {}
+        self.pair_keys = np.full(1 << PAIRS, -1, np.int64)
+        self.pair_stays = np.zeros(1 << PAIRS, bool)
+        self.cache: dict[str, bytes] = {}
 
     def _text(self, piece: int) -> str:
         return self.pieces[piece] if piece < OTHER else chr(piece - OTHER)
@@ -117,46 +127,99 @@ class Pieces:
         by_end = np.argsort((begin + length) * (width + 1) + width - length, kind="stable")
         return begin[by_end], (begin + length)[by_end], piece[by_end]
 
-    def _relax(self, chunks: list[str], edges: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[tuple[int, ...]]:
-        """The ids of each chunk, the chunks standing one apart in the text."""
-        ends = np.cumsum([len(c) + 1 for c in chunks]) - 1
-        starts = [0, *(ends[:-1] + 1).tolist()]
-        last, pair = [-2] * (int(ends[-1]) + 1), self.pair
-        if len(pair) > 4 * CACHE:
+    def _stay(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """_stays() for many pairs, remembered in a table of fixed size; a pair that another one displaced is worked out again."""
+        key = left << 22 | right
+        slot = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIRS)).astype(np.int64)
+        out = self.pair_stays[slot]
+        new = np.flatnonzero(self.pair_keys[slot] != key)
+        if len(new):
+            keys, at = np.unique(key[new], return_inverse=True)
+            stays = np.array([self._stays(k >> 22, k & (1 << 22) - 1) for k in keys.tolist()], bool)[at]
+            out[new] = stays
+            self.pair_keys[slot[new]], self.pair_stays[slot[new]] = key[new], stays
+        return out
+
+    def _one(self, chunk: str, start: int, begin: list[int], end: list[int], piece: list[int]) -> bytes:
+        """The ids of a chunk by its own edges, one after the other."""
+        last, pair = [-2] * (len(chunk) + 1), self.pair
+        last[0] = -1
+        if len(pair) > CACHE:
             pair.clear()
-        for s in starts:
-            last[s] = -1
-        for begin, end, piece in zip(*(x.tolist() for x in edges), strict=True):
-            if last[end] != -2:
-                continue
-            before = last[begin]
-            if before >= 0:
-                key = before << 22 | piece
-                stays = pair.get(key)
-                if stays is None:
-                    stays = pair[key] = self._stays(before, piece)
-                if stays:
-                    last[end] = piece
-            elif before == -1:
-                last[end] = piece
-        out = []
-        for start, end in zip(starts, ends.tolist(), strict=True):
-            path = []
-            while end > start:
-                piece = last[end]
-                if piece < OTHER:
-                    path.append(self.ids[self.pieces[piece]])
-                    end -= len(self.pieces[piece])
-                else:
-                    c = chr(piece - OTHER)
-                    path += [self.bytes[b] for b in reversed((c if c != NULL else "\0").encode())]
-                    end -= 1
-            path.reverse()
-            out.append(tuple(path))
+        for b, e, p in zip(begin, end, piece, strict=True):
+            b, e = b - start, e - start
+            if last[e] == -2:
+                key = (last[b], p)
+                if key[0] >= 0 and key not in pair:
+                    pair[key] = self._stays(*key)
+                if key[0] == -1 or pair[key]:
+                    last[e] = p
+        path, at = [], len(chunk)
+        while at:
+            p = last[at]
+            if p < OTHER:
+                path.append(self.ids[self.pieces[p]])
+                at -= len(self.pieces[p])
+            else:
+                c = chr(p - OTHER)
+                path += [self.bytes[x] for x in reversed((c if c != NULL else "\0").encode())]
+                at -= 1
+        return np.array(path[::-1], "<u4").tobytes()
+
+    def _relax(self, chunks: list[str], edges: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[bytes]:
+        """The ids of each chunk, the chunks standing one apart in the text; all short ones go on place by place together."""
+        begin, end, piece = edges
+        size = np.array([len(c) for c in chunks])
+        start = np.concatenate([[0], np.cumsum(size[:-1] + 1)])
+        first = np.searchsorted(end, np.arange(int(start[-1] + size[-1]) + 2))
+        odd = np.zeros(len(chunks), bool)
+        # Characters of several bytes outside the vocabulary and very long chunks go on their own.
+        odd[np.searchsorted(start, begin[piece >= OTHER + 128], "right") - 1] = True
+        odd |= size > 128
+        last = np.full(len(first), -2, np.int64)
+        last[start] = -1
+        some = np.flatnonzero(~odd)
+        some = some[np.argsort(-size[some], kind="stable")]
+        for t in range(1, int(size[some[0]]) + 1 if len(some) else 1):
+            place = start[some[: np.searchsorted(-size[some], -t, "right")]] + t
+            edge = first[place]
+            while len(place):
+                before = last[begin[edge]]
+                fits = before == -1
+                rest = np.flatnonzero(~fits)
+                fits[rest] = self._stay(before[rest], piece[edge[rest]])
+                last[place[fits]] = piece[edge[fits]]
+                place, edge = place[~fits], edge[~fits] + 1
+        at, who, paths, owners = start[some] + size[some], some, [], []
+        while len(who):
+            p = last[at]
+            known = p < OTHER
+            p = np.where(known, p, p - OTHER)
+            paths.append(np.where(known, self.id_of[p], self.id_of_ascii[p & 127]))
+            owners.append(who)
+            at = at - np.where(known, self.lengths[p], 1)
+            more = at > start[who]
+            at, who = at[more], who[more]
+        out = [b""] * len(chunks)
+        if paths:
+            owner = np.concatenate(owners[::-1])
+            order = np.argsort(owner, kind="stable")
+            data, owner = np.concatenate(paths[::-1])[order].tobytes(), owner[order]
+            to = (4 * np.searchsorted(owner, some, "right")).tolist()
+            of = (4 * np.searchsorted(owner, some, "left")).tolist()
+            for i, x, y in zip(some.tolist(), of, to, strict=True):
+                out[i] = data[x:y]
+        for i in np.flatnonzero(odd).tolist():
+            x, y = first[start[i] + 1], first[start[i] + size[i] + 1]
+            out[i] = self._one(chunks[i], int(start[i]), begin[x:y].tolist(), end[x:y].tolist(), piece[x:y].tolist())
         return out
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """The ids of each text, as the vocabulary's own merging gives them."""
+        return [np.frombuffer(x, "<u4").tolist() for x in self.encode_bytes(texts)]
+
+    def encode_bytes(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit bytes."""
         split = [_CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self.cache) > CACHE:
             self.cache.clear()
@@ -165,12 +228,19 @@ class Pieces:
             # The character that parts the chunks is also one of texts; there it is looked up as another one outside the vocabulary.
             points = np.frombuffer("\0".join(c.replace("\0", NULL) for c in new).encode("utf-32-le", "surrogatepass"), np.uint32)
             self.cache.update(zip(new, self._relax(new, self._edges(points)), strict=True))
-        return [[i for c in s for i in self.cache[c]] for s in split]
+        got = self.cache.__getitem__
+        return [b"".join(map(got, s)) for s in split]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""
-        data = b"".join(bytes([self.of_byte[i]]) if i in self.of_byte else self.names.get(i, "").encode() for i in ids)
-        return data.decode("utf-8", "replace").replace(MARK, " ")[1 if ids else 0 :]
+        return self.decode_bytes(np.array(ids, "<u4").tobytes())
+
+    def decode_bytes(self, data: bytes) -> str:
+        """The text of ids that stand as little-endian 32-bit bytes: every id's bytes, one after the other."""
+        ids = np.frombuffer(data, "<u4").astype(np.int64)
+        many = self.piece_sizes[ids]
+        at = np.repeat(self.piece_starts[ids] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(ids) else np.zeros(0, np.int64)
+        return self.piece_bytes[at].tobytes().decode("utf-8", "replace").replace(MARK, " ")[1 if len(ids) else 0 :]
 
 
 def _encode(path: str | None, group: int = 1024):
@@ -179,7 +249,7 @@ def _encode(path: str | None, group: int = 1024):
         for b in batches:
             docs, texts = b.column(0), b.column(1)
             for at in range(0, len(docs), group):
-                ids = pieces.encode([t or "" for t in texts.slice(at, group).to_pylist()])
+                ids = [np.frombuffer(x, "<i4") for x in pieces.encode_bytes([t or "" for t in texts.slice(at, group).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([docs.slice(at, group), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return run
@@ -211,10 +281,10 @@ def _digest(path: str | None, group: int = 1024):
             docs, texts = b.column(0), b.column(1)
             for at in range(0, len(docs), group):
                 some = [t or "" for t in texts.slice(at, group).to_pylist()]
-                ids = pieces.encode(some)
-                back = [pieces.decode(i) == t for i, t in zip(ids, some, strict=True)]
+                ids = pieces.encode_bytes(some)
+                back = [pieces.decode_bytes(i) == t for i, t in zip(ids, some, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [docs.slice(at, group), pa.array([len(i) for i in ids], pa.int64()), pa.array([zlib.crc32(np.array(i, "<u4").tobytes()) for i in ids], pa.int64()), pa.array(back)],
+                    [docs.slice(at, group), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([zlib.crc32(i) for i in ids], pa.int64()), pa.array(back)],
                     ["doc_id", "n_ids", "ids_crc32", "round_trip"],
                 )
 

@@ -109,18 +109,31 @@ def suffix_array(text: bytes) -> list[int]:
     return out[1:]
 
 
+def reach(parts: list[bytes]) -> list[int]:
+    """For each string, the longest prefix that it shares with another one; neighbours in order share most."""
+    order, out = sorted(range(len(parts)), key=parts.__getitem__), [0] * len(parts)
+    for i, j in zip(order, order[1:], strict=False):
+        a, b = parts[i], parts[j]
+        low, high = 0, min(len(a), len(b))
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if a[:middle] == b[:middle] else (low, middle - 1)
+        out[i], out[j] = max(out[i], low), max(out[j], low)
+    return out
+
+
 def related(contexts: list[tuple[int, int, bytes, int]], length: int, k: int) -> list[tuple[int, int, bytes]]:
-    """The contexts that can share a window, as (doc, start, bytes).
+    """The parts of the contexts that can hold a common window, as (doc, start, bytes).
 
-    A window reaches beyond its minimiser by length - k bytes, so by half of them to one side at
-    least; contexts that agree with no other one on either half have no window in common.
+    A common window reaches to either side of the minimiser no further than the context agrees with
+    some other one there; contexts that are left with less than a window have none in common.
     """
-    half, seen = (length - k + 1) // 2, {}
-    sides = [(c[:0] if at < half else c[at - half : at + k], c[at : at + k + half]) for _, _, c, at in contexts]
-    for left, right in sides:
-        seen[0, left] = seen.get((0, left), 0) + 1
-        seen[1, right] = seen.get((1, right), 0) + 1
-    return [c[:3] for c, (left, right) in zip(contexts, sides, strict=True) if (left and seen[0, left] > 1) or (len(right) == k + half and seen[1, right] > 1)]
+    before = reach([c[:at][::-1] for _, _, c, at in contexts])
+    after = reach([c[at + k :] for _, _, c, at in contexts])
+    return [
+        (doc, start + at - left, c[at - left : at + k + right])
+        for (doc, start, c, at), left, right in zip(contexts, before, after, strict=True) if left + k + right >= length
+    ]
 
 
 def repeated_windows(contexts: list[tuple[int, int, bytes]], length: int = LENGTH) -> list[tuple[int, int, int]]:

@@ -41,11 +41,12 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     Lineage ends at the written files, which any executor can read again, so a lost executor
-    costs a re-read and not the work before it.
+    costs a re-read and not the work before it. The shuffle files behind it are let go.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    free(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
