@@ -21,6 +21,7 @@ import os
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ from heron.plans.session import cut, table
 
 CAPACITY = 4096
 END_ID = 1
-#: Bound of a worker's word cache, and of the nodes that branch and bound opens on the driver.
-CACHE = 700_000
+#: Bound of a worker's word cache, which lasts over its tasks, and of the nodes that branch and bound opens on the driver.
+CACHE = 1_200_000
 NODES = 400
 #: Fillings that a node tries, and pieces that are enumerated exactly for the last room.
 WIDTH = 6
@@ -112,9 +113,15 @@ class WordTokens:
         return [self._encode([t])[0] if o else b"".join(map(got, s)) for t, s, o in zip(texts, split, odd, strict=True)]
 
 
+@lru_cache(maxsize=1)
+def _tokens(path: str | None) -> WordTokens:
+    """One for all tasks of a worker."""
+    return WordTokens(path)
+
+
 def _pieces(path: str | None, capacity: int, group: int = 512):
     def run(batches):
-        tokens, part, ranks = WordTokens(path), TaskContext.get().partitionId(), Counter()
+        tokens, part, ranks = _tokens(path), TaskContext.get().partitionId(), Counter()
         end = np.array([END_ID], "<u4").tobytes()
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1)
