@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -243,9 +244,15 @@ class Pieces:
         return self.piece_bytes[at].tobytes().decode("utf-8", "replace").replace(MARK, " ")[1 if len(ids) else 0 :]
 
 
+@lru_cache(maxsize=1)
+def _pieces(path: str | None) -> Pieces:
+    """One for all tasks of a worker."""
+    return Pieces(path)
+
+
 def _encode(path: str | None, group: int = 1024):
     def run(batches):
-        pieces = Pieces(path)
+        pieces = _pieces(path)
         for b in batches:
             docs, texts = b.column(0), b.column(1)
             for at in range(0, len(docs), group):
@@ -257,7 +264,7 @@ def _encode(path: str | None, group: int = 1024):
 
 def _decode(path: str | None):
     def run(batches):
-        pieces = Pieces(path)
+        pieces = _pieces(path)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pieces.decode(i) if i is not None else None for i in b.column(1).to_pylist()], pa.string())], ["doc_id", "ids", "text"])
 
@@ -276,7 +283,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 def _digest(path: str | None, group: int = 1024):
     def run(batches):
-        pieces = Pieces(path)
+        pieces = _pieces(path)
         for b in batches:
             docs, texts = b.column(0), b.column(1)
             for at in range(0, len(docs), group):
