@@ -9,8 +9,9 @@ within the band that the threshold leaves. Classes are the connected components
 
 Exact copies are one text before anything else. A bucket gives a star, each text with the bucket's
 smallest id, never all pairs. A text of a star that is not linked to its centre is aligned with those
-of the star that hold enough of its shingles and are not connected with it yet; stars of more than
-GROUP texts are split, and what is left unlinked in them forms new stars.
+of the star that hold enough of its shingles and are not connected with it yet. Stars of more than
+GROUP texts are split into parts; a text that its part does not connect with the centre then meets the
+texts of all parts, so a split loses no pair.
 
 Cases: null and empty texts are copies of the empty text; a text of one to four words is one
 shingle; the class id is the smallest doc_id of the class; rows that repeat a doc_id are one
@@ -133,7 +134,7 @@ def overlaps(texts: list[np.ndarray], some: np.ndarray, width: int = 1 << 14) ->
 
 
 def links_of(texts: list[tuple[int, np.ndarray]], similarity: float) -> tuple[list[tuple[int, int]], list[int]]:
-    """Links that connect whatever a star's texts connect, the centre first, and the ids without a link to the centre."""
+    """Links that connect whatever a star's texts connect, the centre first, and the ids that they do not connect with the centre."""
     (centre, c), found = texts[0], []
     root = list(range(len(texts)))
 
@@ -153,16 +154,40 @@ def links_of(texts: list[tuple[int, np.ndarray]], similarity: float) -> tuple[li
         return found, []
     # What two texts share, in any order, bounds their alignment.
     sizes = np.array([len(s) for _, s in texts])
-    shared = overlaps([s for _, s in texts], np.array(apart))
-    near = shared / np.maximum(1, sizes[None, :] + sizes[apart][:, None] - shared)
-    for i, row in zip(apart, near, strict=True):
-        hits = np.flatnonzero(row >= similarity)
-        for j in hits[np.argsort(-row[hits], kind="stable")].tolist():
+    for i, row in zip(apart, overlaps([s for _, s in texts], np.array(apart)), strict=True):
+        near = row / np.maximum(1, sizes + sizes[i] - row)
+        hits = np.flatnonzero(near >= similarity)
+        for j in hits[np.argsort(-near[hits], kind="stable")].tolist():
             x, y = find(i), find(j)
             if x != y and aligned(texts[i][1], texts[j][1], similarity) >= similarity:
                 root[max(x, y)] = min(x, y)
                 found.append((min(texts[i][0], texts[j][0]), max(texts[i][0], texts[j][0])))
-    return found, [texts[i][0] for i in apart]
+    return found, [texts[i][0] for i in apart if find(i)]
+
+
+def links_between(heads: list[tuple[int, np.ndarray]], members: list[tuple[int, np.ndarray]], connected: int, similarity: float) -> list[tuple[int, int]]:
+    """Links of heads with members, of which the first connected ones are of one class; a pair of two heads is left to the smaller."""
+    if not heads or not members:
+        return []
+    texts, n = members + heads, len(members)
+    root = [0] * connected + list(range(connected, len(texts)))
+    found: list[tuple[int, int]] = []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    sizes = np.array([len(s) for _, s in texts])
+    for i, row in enumerate(overlaps([s for _, s in texts], np.arange(n, len(texts))), n):
+        near = row[:n] / np.maximum(1, sizes[:n] + sizes[i] - row[:n])
+        hits = np.flatnonzero(near >= similarity)
+        for j in hits[np.argsort(-near[hits], kind="stable")].tolist():
+            x, y = find(i), find(j)
+            if x != y and (j < connected or texts[i][0] < texts[j][0]) and aligned(texts[i][1], texts[j][1], similarity) >= similarity:
+                root[max(x, y)] = min(x, y)
+                found.append((min(texts[i][0], texts[j][0]), max(texts[i][0], texts[j][0])))
+    return found
 
 
 def _verify(similarity: float):
@@ -187,26 +212,75 @@ def _verify(similarity: float):
             yield _rows(out)
         yield _rows(list(close(star, texts)) if star else [])
 
-    def _rows(out):
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["star", "a", "b", "linked"])
+    return run
+
+
+def _meet(similarity: float):
+    def close(star, sides):
+        connected = len(sides[1])
+        return [(star[0], a, b, True) for a, b in links_between(sides[0], sides[1] + sides[2], connected, similarity)]
+
+    def run(batches):
+        star, sides = None, ([], [], [])
+        for b in batches:
+            out = []
+            for centre, head, part, side, doc, text in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                if (centre, head, part) != star:
+                    out += close(star, sides) if star else []
+                    star, sides = (centre, head, part), ([], [], [])
+                if not sides[side] or sides[side][-1][0] != doc:
+                    sides[side].append((doc, shingles(text)))
+            yield _rows(out)
+        yield _rows(close(star, sides) if star else [])
 
     return run
 
 
+def _rows(out):
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["star", "a", "b", "linked"])
+
+
+def _parts(share: float):
+    """How many parts a group of rows (b, n) takes, each with that share of GROUP and VOLUME."""
+    return F.ceil(F.greatest(F.count("*") / (share * GROUP), F.sum("n") / (share * VOLUME))).cast("int")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    # The candidates grow with the corpus, so the plan is the one for large sides at any size.
+    return docs.select(F.col("doc_id").alias("doc"), "text").hint("merge")
+
+
 def verify(docs: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
     """(star, a, b, linked) of the candidate pairs edges (a, b), a being the centre of b's star."""
-    sizes = edges.groupBy("a").agg(F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n") / VOLUME)).cast("int").alias("parts"))
+    sizes = edges.groupBy("a").agg(_parts(1).alias("parts"))
     members = edges.join(sizes, "a").select(F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "parts", F.col("b").alias("doc"))
     centres = sizes.select(F.col("a").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts", F.col("a").alias("doc"))
-    texts = docs.select(F.col("doc_id").alias("doc"), "text")
-    # The candidates grow with the corpus, so the plan is the one for large sides at any size.
-    rows = members.unionByName(centres).join(texts.hint("merge"), "doc").select("centre", "part", "parts", "doc", "text")
+    rows = members.unionByName(centres).join(_texts(docs), "doc").select("centre", "part", "parts", "doc", "text")
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.repartition(n, "centre", "part").sortWithinPartitions("centre", "part", F.col("doc") != F.col("centre"), "doc")
     return dealt.mapInArrow(_verify(similarity), "star long, a long, b long, linked boolean")
 
 
+def meet(docs: DataFrame, edges: DataFrame, alone: DataFrame, similarity: float) -> DataFrame:
+    """(star, a, b, linked) of the texts alone (a, b) of split stars, each with every text of its star."""
+    heads = edges.join(alone, ["a", "b"], "left_semi")
+    # Two sides meet in one task, so the second gets smaller parts.
+    sizes = edges.groupBy("a").agg(_parts(1).alias("parts")).join(heads.groupBy("a").agg(_parts(0.5).alias("heads")), "a")
+    head, part = F.pmod(F.xxhash64("b", F.lit(1)), F.col("heads")).cast("int"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")
+
+    def each(count: str):
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    first = heads.join(sizes, "a").select("a", head.alias("head"), each("parts").alias("part"), F.lit(0).alias("side"), F.col("b").alias("doc"))
+    marked = edges.join(sizes, "a").join(alone.withColumn("side", F.lit(2)), ["a", "b"], "left")
+    second = marked.select("a", each("heads").alias("head"), part.alias("part"), F.coalesce("side", F.lit(1)).alias("side"), F.col("b").alias("doc"))
+    rows = first.unionByName(second).join(_texts(docs), "doc").select("a", "head", "part", "side", "doc", "text")
+    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartition(n, "a", "head", "part").sortWithinPartitions("a", "head", "part", "side", "doc")
+    return dealt.mapInArrow(_meet(similarity), "star long, a long, b long, linked boolean")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): the smallest node that it is connected with."""
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -231,19 +305,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     keys = texts.filter("doc_id is not null").select("doc_id", "n", F.explode("keys").alias("key"))
     centres = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("many")).filter("many > 1").select("key", "a")
     edges = cut(keys.join(centres, "key").filter("doc_id <> a").select("a", F.col("doc_id").alias("b"), "n").distinct(), "stars")
-    links, pending = None, edges
-    while True:
-        checked = cut(verify(rows, pending, similarity), "links")
-        good = checked.filter("linked").select("a", "b")
-        links = good if links is None else links.unionByName(good)
-        left = checked.filter("not linked").select("star", "b").distinct()
-        if checked.filter("not linked").isEmpty():
-            break
-        firsts = left.groupBy("star").agg(F.min("b").alias("a"), F.count("*").alias("n")).filter("n > 1")
-        sized = left.join(texts.select(F.col("doc_id").alias("b"), F.col("n").alias("size")), "b")
-        pending = cut(sized.join(firsts, "star").filter("b <> a").select("a", "b", F.col("size").alias("n")).distinct(), "stars")
-        if not pending.limit(1).count():
-            break
+    checked = cut(verify(rows, edges, similarity), "links")
+    links, alone = checked.filter("linked").select("a", "b"), checked.filter("not linked").select(F.col("star").alias("a"), "b")
+    if not alone.isEmpty():
+        links = links.unionByName(cut(meet(rows, edges, alone, similarity), "links").select("a", "b"))
     roots = components(links)
     classes = texts.select("digest", "doc_id").join(roots, F.col("doc_id") == F.col("node"), "left").select("digest", F.coalesce("root", "doc_id").alias("class_id"))
     return sketches.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class_id")

@@ -238,6 +238,25 @@ def test_large_stars_are_split(spark, monkeypatch):
     assert {r["class_id"] for r in neardup.near_duplicates(docs(spark, texts)).collect()} == {0}
 
 
+def test_split_stars_lose_no_chain(spark, monkeypatch):
+    """x is only like its y, and y like the centre; both have the samples of the centre, so there is one star of them."""
+    monkeypatch.setattr(neardup, "GROUP", 4)
+    base = words(1, 300)
+    want = neardup.sketch(neardup.shingles(" ".join(base)))
+
+    def same_samples(ws, seed, n):
+        return next(e for e in (edited(ws, seed + k, n) for k in range(0, 10**6, 1000)) if neardup.sketch(neardup.shingles(" ".join(e))) == want)
+
+    ys = [same_samples(base, i, 5) for i in range(12)]
+    xs = [same_samples(y, 100 + i, 5) for i, y in enumerate(ys)]
+    lone = [edited(base, 200 + i, 60) for i in range(3)]
+    texts = [" ".join(w) for w in [base, *ys, *xs, *lone]]
+    s = [neardup.shingles(t) for t in texts]
+    assert all(neardup.aligned(s[0], s[13 + i]) < 0.8 <= neardup.aligned(s[1 + i], s[13 + i]) for i in range(12))
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs(spark, texts)).collect()}
+    assert got == dict.fromkeys(range(25), 0) | {25: 25, 26: 26, 27: 27}
+
+
 def test_near_duplicates_odd_rows(spark):
     got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs(spark, ODD, extra=True)).collect()}
     assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7, 8: 7, 9: 9}
