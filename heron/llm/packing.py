@@ -60,7 +60,8 @@ class WordTokens:
 
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Texts that hold an added token, which can stand inside a word, are encoded whole; the vocabulary matches them in the text as it is.
+        self.added = {x.content for x in self.tokenizer.get_added_tokens_decoder().values()}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -103,8 +104,9 @@ class WordTokens:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each whole text."""
-        # Separators that str.split() takes for white space and the vocabulary does not.
-        odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
+        # Added tokens, and separators that str.split() takes for white space and the vocabulary does not.
+        whole = (*"\x1c\x1d\x1e\x1f", *self.added)
+        odd = [any(c in t for c in whole) for t in texts]
         split = [[] if o else t.split() for t, o in zip(texts, odd, strict=True)]
         if len(self.cache) > CACHE:
             self.cache = {"": b""}

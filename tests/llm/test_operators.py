@@ -113,6 +113,19 @@ def test_word_tokens_equal_the_tokenizer():
     assert t.encode(texts) == t._encode(texts) == t.encode(texts)
 
 
+def test_added_tokens_have_the_ids_of_the_untouched_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["one <|endoftext|> two", "a<|startoftext|>b", "<|ENDOFTEXT|> <|endoftext", "x<|endoftext|><|endoftext|>y!", "<| endoftext |>"]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [637, 49407, 1237]
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.WordTokens(None).encode(texts)] == want
+    crc = [zlib.crc32(np.array([*w, 1], "<u4").tobytes()) for w in want]
+    assert {r["doc_id"]: r["ids_crc32"] for r in packing.pack(docs(spark, texts)).collect()} == dict(enumerate(crc))
+
+
 # 3 SentencePiece
 
 
