@@ -76,8 +76,9 @@ def _runs(least: int):
         for b in batches:
             out = []
             for d, s, e in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if d == doc and s == end:
-                    end = e
+                # A repeated document sends its chunks once for each of its rows.
+                if d == doc and s <= end:
+                    end = max(end, e)
                     continue
                 if doc is not None and end - start >= least:
                     out.append((doc, start, end))

@@ -169,6 +169,15 @@ def test_chunks_resist_insertions(spark):
     assert chunks.chunk_dedup(docs(spark, [])).count() == 0
 
 
+def test_repeated_rows_lose_the_same_chunks(spark):
+    a = " ".join(words(1, 400))
+    rows = [(0, a), (1, "front " + a), (2, "front " + a), (2, "front " + a)]
+    got = [(r["doc_id"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in chunks.chunk_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    once = chunks.chunk_dedup(spark.createDataFrame(rows[:3], "doc_id long, text string")).filter("doc_id = 2").first()
+    assert once["n_removed"] > 0.9 * len(a)
+    assert [x[1:] for x in got if x[0] == 2] == [(once["n_removed"], once["n_spans"], once["kept_sha256"])] * 2
+
+
 def test_chunk_borders_cover_the_text():
     for n in (0, 1, 31, 32, 5000):
         data = np.zeros(n, np.uint8)
