@@ -16,7 +16,8 @@ texts of all parts, so a split loses no pair.
 Cases: null and empty texts are copies of the empty text; a text of one to four words is one
 shingle; the class id is the smallest doc_id of the class; rows that repeat a doc_id are one
 document if their texts are equal, else each row has its own text's class; null ids belong to the
-class of their text; an empty table gives no rows; extra columns are ignored.
+class of their text, and such rows go where a row with an id holds the text; a text that has only null
+ids is not compared and has no class; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -296,12 +297,12 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id and class_id of every row of docs."""
+def _classes(docs: DataFrame, similarity: float) -> DataFrame:
+    """doc_id, digest of the text and class_id of every row of docs."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sketches = cut(rows.select("doc_id", F.md5("text").alias("digest"), "text").mapInArrow(_sketch, _SKETCH), "sketches")
-    # One text for all its copies: the smallest id stands for it.
-    texts = cut(sketches.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "keys")).alias("x")).select("digest", "x.doc_id", "x.n", "x.keys"), "texts")
+    # One text for all its copies: the smallest id stands for it, null only where there is none.
+    texts = cut(sketches.groupBy("digest").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "n", "keys")).alias("x")).select("digest", "x.doc_id", "x.n", "x.keys"), "texts")
     keys = texts.filter("doc_id is not null").select("doc_id", "n", F.explode("keys").alias("key"))
     centres = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("many")).filter("many > 1").select("key", "a")
     edges = cut(keys.join(centres, "key").filter("doc_id <> a").select("a", F.col("doc_id").alias("b"), "n").distinct(), "stars")
@@ -311,13 +312,23 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         links = links.unionByName(cut(meet(rows, edges, alone, similarity), "links").select("a", "b"))
     roots = components(links)
     classes = texts.select("digest", "doc_id").join(roots, F.col("doc_id") == F.col("node"), "left").select("digest", F.coalesce("root", "doc_id").alias("class_id"))
-    return sketches.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class_id")
+    return sketches.select("doc_id", "digest").join(classes, "digest").select("doc_id", "digest", "class_id")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id and class_id of every row of docs."""
+    return _classes(docs, similarity).select("doc_id", "class_id")
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs whose doc_id is its class's smallest, with their own columns."""
-    gone = near_duplicates(docs, similarity).filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The rows of docs whose doc_id is its class's smallest, and those without a class, with their own columns."""
+
+    def name(digest):
+        # An id's digits, or the text's digest where there is no id; a digest is longer than any id.
+        return F.coalesce(F.col("doc_id").cast("long").cast("string"), digest)
+
+    gone = _classes(docs, similarity).filter("class_id is not null and not doc_id <=> class_id").select(name(F.col("digest")).alias("_gone")).distinct()
+    return docs.join(gone.hint("merge"), name(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))) == F.col("_gone"), "left_anti")
 
 
 def op6_minhash(spark, sf_dir: str) -> DataFrame:

@@ -286,6 +286,15 @@ def test_near_duplicates_odd_rows(spark):
     assert {r["doc_id"] for r in neardup.drop_near_duplicates(docs(spark, ["a b", "a b", "c"])).collect()} == {0, 2}
 
 
+def test_null_ids_do_not_stand_for_their_text(spark):
+    base = words(1, 300)
+    a, near = " ".join(base), " ".join(edited(base, 1, 3))
+    df = spark.createDataFrame([(None, a), (3, a), (5, a), (None, a), (1, near), (8, "some other text")], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["class_id"]) for r in neardup.near_duplicates(df).collect())
+    assert got == [(0, 1), (0, 1), (1, 1), (3, 1), (5, 1), (8, 8)]
+    assert sorted(r["doc_id"] or 0 for r in neardup.drop_near_duplicates(df).collect()) == [1, 8]
+
+
 def test_alignment_minds_order():
     a = neardup.shingles(" ".join(words(1, 200)))
     assert neardup.aligned(a, a) == 1 and neardup.aligned(a, np.concatenate([a[100:], a[:100]])) < 0.5
