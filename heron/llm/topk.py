@@ -5,13 +5,19 @@ bucket of the longest vectors, whose k-th best product is a lower bound of its f
 every other bucket that bound gives a local cosine threshold, bound / (|q| * longest vector of the
 bucket): over 1, the bucket is skipped for that query (length pruning); near 1, only vectors whose
 coordinate along the query's largest one lies in the feasible interval are verified (coordinate
-pruning); else all its products are computed.
-
-Cases: vectors that are null, empty, or hold null or non-finite components take no part; unequal
-lengths count as padded with zeros; ties go to the smaller vec_id; repeated vec_ids are rows of
-their own, and a query never meets rows of its own id; fewer than k candidates give fewer rows; an
-empty table gives none; extra columns are ignored. Products are exact: 64-bit floats where they
-stay under 2 ** 53, Python integers beyond.
+pruning); else all its products are computed. Buckets that no query can use are left out before
+anything is sent to them.
+
+Components are held as floor(1024 * x) / 1024 in 64-bit floats, which is exact for every finite x.
+Products are floats where all of them stay under 2 ** 53; beyond, scaled floats with an error bound
+choose the candidates, and Python integers of any size decide.
+
+Cases: vectors that are null or hold null or non-finite components take no part, nor do rows without
+vec_id, as a result could not name them; empty vectors have the product 0 with all others, and
+unequal lengths count as padded with zeros; ties go to the smaller vec_id; repeated vec_ids are rows
+of their own, and a query never meets rows of its own id; fewer than k candidates give fewer rows; an
+empty table gives none; extra columns are ignored. Every finite size takes part: scores outside the
+range of long are ranked by their exact values and shown as the end of that range.
 """
 
 from __future__ import annotations
@@ -29,122 +35,195 @@ BLOCK = 2048
 QUERIES = 256
 #: From this local cosine threshold on, coordinate pruning pays.
 COORDINATE_FROM = 0.8
+#: From this size on a 64-bit float times 1024 is a whole number; norms are kept 2 ** 64 times smaller, so that none overflows.
+WHOLE, LESS = float(1 << 43), 64
+#: What rounding below the normal range can add to a scaled product.
+TINY = 2.0**-900
+LOW, HIGH = -(1 << 63), (1 << 63) - 1
 _BLOCK = "block long, longest double, dim int, ids binary, vectors binary"
+_FOUND = "query_id long, vec_id long, score long, beyond binary"
 
 
-def integer_vectors(df: DataFrame) -> DataFrame:
-    """vec_id, v (floor(1024 * x) of each component) and norm of the vectors that take part."""
+def whole_vectors(df: DataFrame) -> DataFrame:
+    """vec_id, v (floor(1024 * x) / 1024 of each component) and norm (over 2 ** LESS) of the vectors that take part."""
     x = F.col("embedding").cast("array<double>")
-    whole = F.col("vec_id").isNotNull() & (F.size(x) > 0) & F.forall(x, lambda a: F.coalesce(~F.isnan(a) & (F.abs(a) < 1e15), F.lit(False)))
-    v = F.transform(x, lambda a: F.floor(a * 1024).cast("long"))
-    rows = df.filter(whole).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
-    return rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, a: s + a.cast("double") * a.cast("double"))))
+    takes_part = F.col("vec_id").isNotNull() & F.forall(x, lambda a: F.coalesce(~F.isnan(a) & (F.abs(a) < float("inf")), F.lit(False)))
+    v = F.transform(x, lambda a: F.when(F.abs(a) < WHOLE, F.floor(a * 1024) / 1024.0).otherwise(a))
+    rows = df.filter(takes_part).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
+    rows = rows.withColumn("most", F.coalesce(F.array_max(F.transform("v", F.abs)), F.lit(0.0)))
+    squares = F.aggregate("v", F.lit(0.0), lambda s, a: s + (a / F.col("most")) * (a / F.col("most")))
+    return rows.select("vec_id", "v", F.when(F.col("most") > 0, F.col("most") * 2.0**-LESS * F.sqrt(squares)).otherwise(0.0).alias("norm"))
+
+
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    """The lists as rows, padded with zeros."""
+    ends = np.diff(column.offsets.to_numpy())
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    dim = int(ends.max(initial=0))
+    out = np.zeros((len(ends), dim))
+    out[np.arange(dim) < ends[:, None]] = flat
+    return out
 
 
 def _pack(limit: int):
     """Rows (vec_id, v, norm) to blocks, in the order they come."""
 
-    def block(part, k, ids, vecs, norms):
-        dim = max(map(len, vecs))
-        m = np.zeros((len(vecs), dim), np.int64)
-        for r, v in zip(m, vecs, strict=True):
-            r[: len(v)] = v
+    def block(part, k, held):
+        dim = max(m.shape[1] for _, m, _ in held)
+        whole = np.zeros((sum(len(i) for i, _, _ in held), dim))
+        at = 0
+        for _, m, _ in held:
+            whole[at : at + len(m), : m.shape[1]] = m
+            at += len(m)
+        ids, norms = (np.concatenate([h[i] for h in held]) for i in (0, 2))
         return pa.RecordBatch.from_arrays(
-            [pa.array([(part << 32) + k], pa.int64()), pa.array([max(norms)], pa.float64()), pa.array([dim], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())],
+            [pa.array([(part << 32) + k], pa.int64()), pa.array([norms.max()], pa.float64()), pa.array([dim], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([whole.tobytes()], pa.binary())],
             [x.split()[0] for x in _BLOCK.split(", ")],
         )
 
     def run(batches):
-        part, k, ids, vecs, norms = TaskContext.get().partitionId(), 0, [], [], []
+        part, k, n, held = TaskContext.get().partitionId(), 0, 0, []
         for b in batches:
-            for i, v, n in zip(*(b.column(j).to_pylist() for j in range(3)), strict=True):
-                ids.append(i), vecs.append(v), norms.append(n)
-                if len(ids) == limit:
-                    yield block(part, k, ids, vecs, norms)
-                    k, ids, vecs, norms = k + 1, [], [], []
-        if ids:
-            yield block(part, k, ids, vecs, norms)
+            ids, m, norms = b.column(0).to_numpy(), _matrix(b.column(1)), b.column(2).to_numpy()
+            at = 0
+            while at < len(ids):
+                to = min(len(ids), at + limit - n)
+                held.append((ids[at:to], m[at:to], norms[at:to]))
+                n, at = n + to - at, to
+                if n == limit:
+                    yield block(part, k, held)
+                    k, n, held = k + 1, 0, []
+        if held:
+            yield block(part, k, held)
 
     return run
 
 
 def _open(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.int64).reshape(-1, dim)
+    ids = np.frombuffer(ids, np.int64)
+    return ids, np.frombuffer(vectors, np.float64).reshape(len(ids), dim)
 
 
-def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer products of the rows of q and c."""
-    dim = min(q.shape[1], c.shape[1])
-    q, c = q[:, :dim], c[:, :dim]
-    if not q.size or not c.size:
-        return np.zeros((len(q), len(c)), np.int64)
-    if float(np.abs(q).max()) * float(np.abs(c).max()) * dim < 2**53:
-        return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    return q.astype(object) @ c.astype(object).T
+def exponents(m: np.ndarray) -> np.ndarray:
+    """For each row, the least e with all its components under 2 ** e."""
+    return np.frexp(np.abs(m).max(1, initial=0.0))[1].astype(np.int64)
 
 
-def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k highest scores, ties to smaller ids."""
-    return np.lexsort((ids, -score.astype(np.float64) if score.dtype != object else [-int(x) for x in score]))[:k]
+def products(q: np.ndarray, c: np.ndarray, of_q: np.ndarray, of_c: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Products of the rows of q and c over 2 ** (of_q + of_c), their error bounds, and the exact integers where floats hold them all."""
+    dim = min(q.shape[1], c.shape[1])
+    q, c = q[:, :dim], c[:, :dim]
+    most = float(np.abs(q).max(initial=0.0)) * float(np.abs(c).max(initial=0.0))
+    if most * max(dim, 1) * 2**20 < 2**53:
+        exact = (q * 1024) @ (c * 1024).T
+        return np.ldexp(exact, -(of_q[:, None] + of_c + 20)), np.full(exact.shape, TINY), exact.astype(np.int64)
+    q, c = np.ldexp(q, -of_q[:, None]), np.ldexp(c, -of_c)
+    error = (dim + 4) * 2.0**-52 * np.outer(np.sqrt((q * q).sum(1)), np.sqrt((c * c).sum(1))) + TINY
+    return q @ c.T, error, None
+
+
+def integers(v: np.ndarray) -> list[int]:
+    """1024 times the components, exactly."""
+    return [int(x * 1024) if abs(x) < WHOLE else int(x) * 1024 for x in v.tolist()]
+
+
+def shown(score: int) -> tuple[int, bytes]:
+    """The score as a long, and bytes that order scores which that long does not tell apart."""
+    if LOW <= score <= HIGH:
+        return score, b"\x80"
+    size = (score.bit_length() + 7) // 8
+    data = size.to_bytes(4, "big") + abs(score).to_bytes(size, "big")
+    return (HIGH, b"\xff" + data) if score > 0 else (LOW, b"\x00" + bytes(255 - x for x in data))
+
+
+def best(q: np.ndarray, c: np.ndarray, ids: np.ndarray, on: np.ndarray, row: tuple, k: int) -> list[tuple[int, int, bytes]]:
+    """(vec_id, score, beyond) of the query's k best among the candidates on, ties to smaller ids; row has its products, their error bounds and integers."""
+    near, error, exact = row
+    if len(on) > k:
+        least = np.partition((near - error)[on], -k)[-k]
+        on = on[(near + error)[on] >= least]
+    if exact is not None:
+        on = on[np.lexsort((ids[on], -exact[on]))[:k]]
+        return [(i, s, b"\x80") for i, s in zip(ids[on].tolist(), exact[on].tolist(), strict=True)]
+    mine = integers(q)
+    found = sorted((-sum(a * b for a, b in zip(mine, integers(c[x]), strict=False)), int(ids[x])) for x in on)
+    return [(i, *shown(-s)) for s, i in found[:k]]
 
 
 def _seed(k: int):
+    """The bound of each query by the block of the longest vectors, and the least norm that any of them can still use."""
+
     def run(batches):
         for b in batches:
             rows = b.to_pylist()
             for r in rows:
                 qi, q = _open(r["ids"], r["vectors"], r["dim"])
-                bound = np.full(len(qi), -np.inf)
-                if r["s_ids"] is not None:
-                    si, s = _open(r["s_ids"], r["s_vectors"], r["s_dim"])
-                    p = products(q, s)
-                    for j in range(len(qi)):
-                        others = p[j][si != qi[j]]
-                        if len(others) >= k:
-                            bound[j] = float(sorted(others)[-k])
+                of_q, bound = exponents(q), np.full(len(qi), -np.inf)
+                si, s = _open(r["s_ids"], r["s_vectors"], r["s_dim"])
+                r["scale"] = int(np.frexp(r["s_longest"])[1]) + LESS
+                near, error, _ = products(q, s, of_q, r["scale"])
+                for j in range(len(qi)):
+                    others = (near[j] - error[j])[si != qi[j]]
+                    if len(others) >= k:
+                        bound[j] = np.partition(others, -k)[-k]
+                long = np.sqrt((np.ldexp(q, -of_q[:, None]) ** 2).sum(1))
+                # A query needs |candidate| >= bound / |q|; bounds of zero or less need nothing.
+                needs = np.where(bound > TINY * 4, bound / np.maximum(long, 1e-300), 0.0)
+                r["reach"] = float(needs.min(initial=np.inf)) * (1 - 1e-9)
                 r["bounds"] = bound.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r["block"] for r in rows], pa.int64()), pa.array([r["dim"] for r in rows], pa.int32()), *(pa.array([r[n] for r in rows], pa.binary()) for n in ("ids", "vectors", "bounds"))],
-                ["q_block", "q_dim", "q_ids", "q_vectors", "bounds"],
+                [*(pa.array([r[n] for r in rows], kind) for n, kind in (("block", pa.int64()), ("dim", pa.int32()), ("scale", pa.int32()), ("reach", pa.float64()))),
+                 *(pa.array([r[n] for r in rows], pa.binary()) for n in ("ids", "vectors", "bounds"))],
+                ["q_block", "q_dim", "scale", "reach", "q_ids", "q_vectors", "bounds"],
             )
 
     return run
 
 
+_SEEDED = "q_block long, q_dim int, scale int, reach double, q_ids binary, q_vectors binary, bounds binary"
+
+
 def _verify(k: int):
+    def block(r):
+        out: list[tuple] = []
+        qi, q = _open(r["q_ids"], r["q_vectors"], r["q_dim"])
+        ci, c = _open(r["ids"], r["vectors"], r["dim"])
+        bounds, of_q, scale = np.frombuffer(r["bounds"], np.float64), exponents(q), r["scale"]
+        unit = np.ldexp(q, -of_q[:, None])
+        qn = np.sqrt((unit**2).sum(1))
+        reach = qn * np.ldexp(r["longest"], LESS - scale)
+        local = np.where(reach > 0, bounds / np.maximum(reach, 1e-300), np.where(bounds > TINY * 4, 2.0, -1.0))
+
+        def keep(j, at, found, of, ids):
+            row = tuple(None if x is None else x[at] for x in found)
+            on = np.flatnonzero((ids != qi[j]) & (row[0] + row[1] >= bounds[j]))
+            out.extend((int(qi[j]), *x) for x in best(q[j], of, ids, on, row, k))
+
+        full = np.flatnonzero(local < COORDINATE_FROM)
+        if len(full):
+            found = products(q[full], c, of_q[full], scale)
+            for at, j in enumerate(full):
+                keep(j, at, found, c, ci)
+        near = np.flatnonzero((local >= COORDINATE_FROM) & (local <= 1 + 1e-9))
+        if len(near):
+            scaled = np.ldexp(c, -scale)
+            cn = np.maximum(np.sqrt((scaled**2).sum(1)), 1e-300)
+            for j in near:
+                f = int(np.abs(unit[j]).argmax())
+                x, t = unit[j, f] / qn[j], min(1.0, local[j])
+                on = np.arange(len(ci))
+                if f < c.shape[1]:
+                    y, wide = scaled[:, f] / cn, np.sqrt(max(0.0, (1 - t * t) * (1 - x * x))) + 1e-9
+                    on = np.flatnonzero((y >= x * t - wide) & (y <= max(x * t + wide, 1.0 if x > 0 and x >= t else -2.0)) if x > 0 else (y <= x * t + wide) & (y >= min(x * t - wide, -1.0 if -x >= t else 2.0)))
+                keep(j, 0, products(q[j : j + 1], c[on], of_q[j : j + 1], scale), c[on], ci[on])
+        return out
+
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
-                qi, q = _open(r["q_ids"], r["q_vectors"], r["q_dim"])
-                ci, c = _open(r["ids"], r["vectors"], r["dim"])
-                bounds = np.frombuffer(r["bounds"], np.float64)
-                qn = np.sqrt((q.astype(np.float64) ** 2).sum(1))
-                reach = qn * r["longest"]
-                local = np.where(reach > 0, bounds / np.maximum(reach, 1e-300), np.where(bounds > 0, 2.0, -1.0))
-                out: list[tuple[int, int, int]] = []
-
-                def keep(j, score, ids, bound=bounds, qi=qi, out=out):
-                    on = (ids != qi[j]) & (score >= bound[j])
-                    score, ids = score[on], ids[on]
-                    out.extend((int(qi[j]), int(ids[x]), int(score[x])) for x in best(score, ids, k))
-
-                full = np.flatnonzero(local < COORDINATE_FROM)
-                p = products(q[full], c)
-                for at, j in enumerate(full):
-                    keep(j, p[at], ci)
-                near = np.flatnonzero((local >= COORDINATE_FROM) & (local <= 1 + 1e-9))
-                if len(near):
-                    cn = np.maximum(np.sqrt((c.astype(np.float64) ** 2).sum(1)), 1e-300)
-                    for j in near:
-                        f = int(np.abs(q[j]).argmax())
-                        x, t = q[j, f] / qn[j], min(1.0, local[j])
-                        if f < c.shape[1]:
-                            y, wide = c[:, f] / cn, np.sqrt(max(0.0, (1 - t * t) * (1 - x * x))) + 1e-9
-                            on = np.flatnonzero((y >= x * t - wide) & (y <= max(x * t + wide, 1.0 if x > 0 and x >= t else -2.0)) if x > 0 else (y <= x * t + wide) & (y >= min(x * t - wide, -1.0 if -x >= t else 2.0)))
-                        else:
-                            on = np.arange(len(ci))
-                        keep(j, products(q[j : j + 1], c[on])[0], ci[on])
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], ["query_id", "vec_id", "score"])
+                out = block(r)
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], [x.split()[0] for x in _FOUND.split(", ")])
 
     return run
 
@@ -152,19 +231,25 @@ def _verify(k: int):
 def top_k(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id and score: for each vector whose id is divisible by every, the k best others."""
     spark = vectors.sparkSession
-    rows = integer_vectors(vectors)
+    rows = whole_vectors(vectors)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # Length alone may be one value for all rows; the id splits such a bucket over partitions.
     sorted_rows = rows.repartitionByRange(parts, F.desc("norm"), F.col("vec_id")).sortWithinPartitions(F.desc("norm"), "vec_id")
     blocks = cut(sorted_rows.mapInArrow(_pack(BLOCK), _BLOCK), "topk-blocks")
     asked = rows.filter(F.col("vec_id") % every == 0).mapInArrow(_pack(QUERIES), _BLOCK)
-    longest = blocks.orderBy(F.desc("longest"), "block").limit(1).select(F.col("ids").alias("s_ids"), F.col("vectors").alias("s_vectors"), F.col("dim").alias("s_dim"))
+    longest = blocks.orderBy(F.desc("longest"), "block").limit(1).select(*(F.col(n).alias(f"s_{n}") for n in ("longest", "ids", "vectors", "dim")))
     # One block of at most BLOCK vectors is broadcast.
-    bounded = cut(asked.join(F.broadcast(longest), F.lit(True), "left").mapInArrow(_seed(k), "q_block long, q_dim int, q_ids binary, q_vectors binary, bounds binary"), "topk-queries")
-    share = F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int")
-    pairs = bounded.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(blocks.withColumn("share", share), "share")
-    found = pairs.mapInArrow(_verify(k), "query_id long, vec_id long, score long")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    bounded = cut(asked.join(F.broadcast(longest), F.lit(True)).mapInArrow(_seed(k), _SEEDED), "topk-queries")
+    scale, least = bounded.agg(F.max("scale"), F.min("reach")).first()
+    if scale is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    # Blocks too short for every query go before queries are dealt out to the shares of the others.
+    used = blocks.filter(F.col("longest") >= F.lit(float(np.ldexp(least, scale - LESS))))
+    shares = min(parts, used.count())
+    pairs = bounded.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).join(used.withColumn("share", F.pmod(F.xxhash64("block"), F.lit(shares)).cast("int")), "share")
+    pairs = pairs.filter(F.col("longest") >= F.col("reach") * F.pow(F.lit(2.0), F.col("scale") - LESS)).drop("share", "q_block", "block", "reach")
+    found = pairs.mapInArrow(_verify(k), _FOUND)
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -175,7 +260,7 @@ def op10_topk(spark, sf_dir: str) -> DataFrame:
 ORACLE = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), p AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id

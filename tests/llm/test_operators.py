@@ -1,11 +1,14 @@
 """The operators of heron.llm against brute force, round trips and hand-made cases."""
 
+import fractions
 import hashlib
+import math
 import random
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from heron.llm import chunks, html, neardup, packing, pieces, quality, suffix, topk, toxicity, warc
 
@@ -17,8 +20,6 @@ def docs(spark, texts, extra=False):
     rows = [(i, t, "en", "s", None if t is None else len(t)) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, SCHEMA)
     if extra:
-        from pyspark.sql import functions as F
-
         for c in ("score", "kept", "h", "n", "key", "class_id", "start", "end", "doc", "length", "rank"):
             df = df.withColumn(c, F.lit("x"))
     return df
@@ -397,17 +398,43 @@ def test_warc_detects_damage():
 # 10 top-k
 
 
-@pytest.mark.parametrize("scale", [1.0, 3000.0])
+def floor1024(x):
+    """floor(1024 * x) of a finite float, exactly."""
+    return math.floor(fractions.Fraction(x) * 1024)
+
+
+@pytest.mark.parametrize("scale", [1.0, 3000.0, 1e12, 1e20, 1e300])
 def test_top_k_by_brute_force(spark, scale):
     r = np.random.default_rng(1)
     rows = [(i, (r.normal(size=8) * r.choice([0.1, 1, scale])).tolist()) for i in range(700)] + [(700, None), (701, [1.0, None]), (702, [float("nan")] * 8), (703, []), (704, [1.0, 2.0])]
-    rows += [(i, rows[5][1]) for i in range(705, 760)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    v = {i: [int(np.floor(1024 * x)) for x in e] for i, e in rows if e and all(x is not None and np.isfinite(x) for x in e)}
+    rows += [(i, rows[5][1]) for i in range(705, 760)] + [(800, [scale * 3] * 8), (900, []), (901, [float("inf")] * 8), (None, [1.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x")).withColumn("norm", F.lit(1)).withColumn("v", F.lit(None)).withColumn("rank", F.lit(0))
+    v = {i: [floor1024(x) for x in e] for i, e in rows if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)}
     want = []
     for q in v:
         if q % 100 == 0:
             s = sorted((-sum(a * b for a, b in zip(v[q], v[c], strict=False)), c) for c in v if c != q)[:10]
-            want += [(q, k, c, -x) for k, (x, c) in enumerate(s, 1)]
+            want += [(q, k, c, min(max(-x, topk.LOW), topk.HIGH)) for k, (x, c) in enumerate(s, 1)]
     assert sorted(tuple(x) for x in topk.top_k(df).collect()) == sorted(want)
     assert topk.top_k(df.limit(0)).count() == 0
+
+
+def test_top_k_keeps_large_and_small_components(spark):
+    """Products beyond 2 ** 53 that differ by one, sizes far apart, and less than k candidates."""
+    rows = [(0, [1e12, 1.0]), (1, [1e12, 1 / 1024]), (2, [1e12, 2 / 1024]), (3, [1e20, 1.0]), (4, [1.7e308, -1.7e308]), (5, [1e-3, 5e-324]), (6, [-1e20, 0.0])]
+    got = [(r["vec_id"], r["score"]) for r in sorted(topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect(), key=lambda r: r["rank"])]
+    assert got == [(4, topk.HIGH), (3, topk.HIGH), (2, topk.HIGH), (1, topk.HIGH), (5, 1024 * 10**12), (6, topk.LOW)]
+
+
+def test_scores_beyond_long_stay_in_order():
+    some = [0, 1, -1, topk.HIGH, topk.LOW, topk.HIGH + 1, topk.LOW - 1, 2**80, 2**80 + 1, -(2**80), -(2**80) - 1, 2**200, -(2**200), 255 * 2**64, 256 * 2**64]
+    assert sorted(some, key=topk.shown) == sorted(some)
+
+
+def test_top_k_skips_short_buckets(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    r = np.random.default_rng(4)
+    rows = [(i, (r.normal(size=6) * 2.0 ** -(i % 40)).tolist()) for i in range(600)]
+    v = {i: [floor1024(x) for x in e] for i, e in rows}
+    want = sorted((q, k, c, -x) for q in range(0, 600, 100) for k, (x, c) in enumerate(sorted((-sum(a * b for a, b in zip(v[q], v[c], strict=True)), c) for c in v if c != q)[:10], 1))
+    assert sorted(tuple(x) for x in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()) == want
