@@ -7,7 +7,8 @@ chunks of at least RUN bytes are removed; shorter ones are common phrases and st
 
 Cases: null and empty texts have no chunks; text without borders is cut every LARGEST bytes; rows
 that repeat a doc_id are one document and get the same ranges removed, clipped to their length; rows
-without doc_id are left whole; an empty table gives no rows; extra columns are ignored.
+without doc_id are left whole; an empty table gives no rows; extra columns of any name are ignored by
+chunk_dedup() and kept by drop_repeated_chunks().
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heron.llm.rolling import mix
-from heron.llm.suffix import _digests, _typed, remove_ranges
+from heron.llm.suffix import _digests, _typed, with_kept
 from heron.plans.session import cut, free, table
 
 SMALLEST, LARGEST, BITS = 32, 1024, 4
@@ -109,9 +110,8 @@ def chunk_dedup(docs: DataFrame, least: int = RUN) -> DataFrame:
 
 
 def drop_repeated_chunks(docs: DataFrame, least: int = RUN) -> DataFrame:
-    """docs with runs of repeated chunks taken out of text."""
-    found = cut(repeated_chunks(_typed(docs), least), "ranges")
-    return remove_ranges(docs, found).withColumn("text", F.col("__kept")).select(*docs.columns)
+    """docs with runs of repeated chunks taken out of text, and n_chars (if there) as of the text left."""
+    return with_kept(docs, cut(repeated_chunks(_typed(docs), least), "ranges"))
 
 
 def op4_chunk_dedup(spark, sf_dir: str) -> DataFrame:

@@ -8,16 +8,17 @@ need 0.8 or more. As labelled shingles are unique, the alignment is a longest in
 within the band that the threshold leaves. Classes are the connected components of the links.
 
 Exact copies are one text before anything else. A bucket gives a star, each text with the bucket's
-smallest id, never all pairs. A text of a star that is not linked to its centre is aligned with those
+smallest node, never all pairs. A text of a star that is not linked to its centre is aligned with those
 of the star that hold enough of its shingles and are not connected with it yet. Stars of more than
 GROUP texts are split into parts; a text that its part does not connect with the centre then meets the
 texts of all parts, so a split loses no pair.
 
 Cases: null and empty texts are copies of the empty text; a text of one to four words is one
 shingle; the class id is the smallest doc_id of the class; rows that repeat a doc_id are one
-document if their texts are equal, else each row has its own text's class; null ids belong to the
-class of their text, and such rows go where a row with an id holds the text; a text that has only null
-ids is not compared and has no class; an empty table gives no rows; extra columns are ignored.
+document if their texts are equal, else each row has its own text's class, and rows go by id and text;
+null ids belong to the class of their text, and such rows go where a row with an id holds the text; a
+text that has only null ids is not compared and has no class; an empty table gives no rows; extra
+columns of any name are ignored by near_duplicates() and kept by drop_near_duplicates().
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heron.llm.columns import quoted, unlike
 from heron.llm.rolling import mix, prefix, ranges
 from heron.plans.session import cut, table
 
@@ -37,9 +39,9 @@ WORDS = 5
 SIMILARITY = 0.8
 TABLES = 12
 ORDER = 2
-GROUP = 4000
-#: Shingles of a star that one task takes, whatever its texts' number.
-VOLUME = 4_000_000
+#: Texts and shingles of a star that one task takes; larger stars are split, without losing a pair.
+GROUP = 600
+VOLUME = 1_000_000
 _TEXT = re.compile(rb"[^\x00-\x20]+")
 #: One odd multiplier for each table; labelled shingles are mixed before.
 _SEEDS = mix(np.arange(1, TABLES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -247,23 +249,30 @@ def _parts(share: float):
     return F.ceil(F.greatest(F.count("*") / (share * GROUP), F.sum("n") / (share * VOLUME))).cast("int")
 
 
-def _texts(docs: DataFrame) -> DataFrame:
+def _digest(text="text"):
+    return F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
+def _with_text(rows: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """rows (doc, ...) with the text of the node doc, from a row of docs that has the node's id and digest."""
     # The candidates grow with the corpus, so the plan is the one for large sides at any size.
-    return docs.select(F.col("doc_id").alias("doc"), "text").hint("merge")
+    named = rows.join(nodes.select(F.col("node").alias("doc"), "doc_id", "digest"), "doc")
+    return named.join(docs.select("doc_id", _digest().alias("digest"), "text").hint("merge"), ["doc_id", "digest"])
 
 
-def verify(docs: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
-    """(star, a, b, linked) of the candidate pairs edges (a, b), a being the centre of b's star."""
-    sizes = edges.groupBy("a").agg(_parts(1).alias("parts"))
+def verify(docs: DataFrame, nodes: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
+    """(star, a, b, linked) of the candidate pairs edges (a, b) of nodes, a being the centre of b's star."""
+    # Written, as both sides of the join are then plain exchanges, whose hot stars Spark can split.
+    sizes = cut(edges.groupBy("a").agg(_parts(1).alias("parts")), "sizes")
     members = edges.join(sizes, "a").select(F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "parts", F.col("b").alias("doc"))
     centres = sizes.select(F.col("a").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts", F.col("a").alias("doc"))
-    rows = members.unionByName(centres).join(_texts(docs), "doc").select("centre", "part", "parts", "doc", "text")
+    rows = _with_text(members.unionByName(centres), docs, nodes).select("centre", "part", "parts", "doc", "text")
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.repartition(n, "centre", "part").sortWithinPartitions("centre", "part", F.col("doc") != F.col("centre"), "doc")
     return dealt.mapInArrow(_verify(similarity), "star long, a long, b long, linked boolean")
 
 
-def meet(docs: DataFrame, edges: DataFrame, alone: DataFrame, similarity: float) -> DataFrame:
+def meet(docs: DataFrame, nodes: DataFrame, edges: DataFrame, alone: DataFrame, similarity: float) -> DataFrame:
     """(star, a, b, linked) of the texts alone (a, b) of split stars, each with every text of its star."""
     heads = edges.join(alone, ["a", "b"], "left_semi")
     # Two sides meet in one task, so the second gets smaller parts.
@@ -276,7 +285,7 @@ def meet(docs: DataFrame, edges: DataFrame, alone: DataFrame, similarity: float)
     first = heads.join(sizes, "a").select("a", head.alias("head"), each("parts").alias("part"), F.lit(0).alias("side"), F.col("b").alias("doc"))
     marked = edges.join(sizes, "a").join(alone.withColumn("side", F.lit(2)), ["a", "b"], "left")
     second = marked.select("a", each("heads").alias("head"), part.alias("part"), F.coalesce("side", F.lit(1)).alias("side"), F.col("b").alias("doc"))
-    rows = first.unionByName(second).join(_texts(docs), "doc").select("a", "head", "part", "side", "doc", "text")
+    rows = _with_text(first.unionByName(second), docs, nodes).select("a", "head", "part", "side", "doc", "text")
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.repartition(n, "a", "head", "part").sortWithinPartitions("a", "head", "part", "side", "doc")
     return dealt.mapInArrow(_meet(similarity), "star long, a long, b long, linked boolean")
@@ -300,19 +309,23 @@ def components(edges: DataFrame) -> DataFrame:
 def _classes(docs: DataFrame, similarity: float) -> DataFrame:
     """doc_id, digest of the text and class_id of every row of docs."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sketches = cut(rows.select("doc_id", F.md5("text").alias("digest"), "text").mapInArrow(_sketch, _SKETCH), "sketches")
-    # One text for all its copies: the smallest id stands for it, null only where there is none.
-    texts = cut(sketches.groupBy("digest").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "n", "keys")).alias("x")).select("digest", "x.doc_id", "x.n", "x.keys"), "texts")
-    keys = texts.filter("doc_id is not null").select("doc_id", "n", F.explode("keys").alias("key"))
-    centres = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("many")).filter("many > 1").select("key", "a")
-    edges = cut(keys.join(centres, "key").filter("doc_id <> a").select("a", F.col("doc_id").alias("b"), "n").distinct(), "stars")
-    checked = cut(verify(rows, edges, similarity), "links")
+    sketches = cut(rows.select("doc_id", _digest().alias("digest"), "text").mapInArrow(_sketch, _SKETCH), "sketches")
+    # One text for all its copies: the smallest id stands for it, null only where there is none. A node is a text, as an id may have several.
+    texts = sketches.groupBy("digest").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "n", "keys")).alias("x")).select("digest", "x.doc_id", "x.n", "x.keys")
+    texts = cut(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
+    nodes = texts.filter("doc_id is not null")
+    keys = nodes.select("node", "n", F.explode("keys").alias("key"))
+    centres = cut(keys.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("many")).filter("many > 1").select("key", "a"), "centres")
+    edges = cut(keys.join(centres, "key").filter("node <> a").select("a", F.col("node").alias("b"), "n").distinct(), "stars")
+    checked = cut(verify(rows, nodes, edges, similarity), "links")
     links, alone = checked.filter("linked").select("a", "b"), checked.filter("not linked").select(F.col("star").alias("a"), "b")
     if not alone.isEmpty():
-        links = links.unionByName(cut(meet(rows, edges, alone, similarity), "links").select("a", "b"))
+        links = links.unionByName(cut(meet(rows, nodes, edges, alone, similarity), "links").select("a", "b"))
     roots = components(links)
-    classes = texts.select("digest", "doc_id").join(roots, F.col("doc_id") == F.col("node"), "left").select("digest", F.coalesce("root", "doc_id").alias("class_id"))
-    return sketches.select("doc_id", "digest").join(classes, "digest").select("doc_id", "digest", "class_id")
+    least = cut(roots.join(nodes.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("class_id")), "classes")
+    linked = roots.join(least, "root").select("node", "class_id")
+    classes = texts.join(linked, "node", "left").select("digest", F.coalesce("class_id", "doc_id").alias("class_id"))
+    return sketches.select("doc_id", "digest").join(cut(classes, "classes"), "digest").select("doc_id", "digest", "class_id")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -322,13 +335,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs whose doc_id is its class's smallest, and those without a class, with their own columns."""
-
-    def name(digest):
-        # An id's digits, or the text's digest where there is no id; a digest is longer than any id.
-        return F.coalesce(F.col("doc_id").cast("long").cast("string"), digest)
-
-    gone = _classes(docs, similarity).filter("class_id is not null and not doc_id <=> class_id").select(name(F.col("digest")).alias("_gone")).distinct()
-    return docs.join(gone.hint("merge"), name(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))) == F.col("_gone"), "left_anti")
+    gone = _classes(docs, similarity).filter("class_id is not null and not doc_id <=> class_id").select("doc_id", "digest").distinct()
+    a, b, digest = unlike(docs, "gone_id", "gone_digest", "digest")
+    rows = docs.withColumn(digest, _digest())
+    left = rows.join(gone.toDF(a, b).hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col(a)) & (F.col(digest) == F.col(b)), "left_anti")
+    return left.select(*map(quoted, docs.columns))
 
 
 def op6_minhash(spark, sf_dir: str) -> DataFrame:

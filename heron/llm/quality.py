@@ -7,8 +7,8 @@ large the corpus is. The posterior probability of "good" then decides, instead o
 to pass.
 
 Cases: a null or empty text has no words, so it fails the base rules; an empty table gives an empty
-result; documents with equal votes get equal posteriors; extra columns are ignored, and null ids
-are kept as they are.
+result; documents with equal votes get equal posteriors, repeated rows among them; null ids are kept
+as they are; extra columns of any name are ignored by quality() and kept by filter_quality().
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from heron.llm.columns import whole
 from heron.plans.session import cut, table
 
 #: White space that parts words, and the characters counted as symbols.
@@ -35,8 +36,9 @@ FUNCTION_WORDS = frozenset(
     "el los del se las por con no su para al lo como más".split()
 )
 WINDOW = 5
-#: The counts of features(), in its order.
+#: The counts of features(), in its order; the first BASE are those of the base rules.
 NAMES = "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_upper n_pipe n_shout n_function n_sentences".split()
+BASE = 5
 _WORD = re.compile(f"[^{re.escape(SPACE)}]+")
 
 
@@ -77,22 +79,21 @@ def features(text: str | None) -> tuple[int, ...]:
 def _batches(batches):
     kind = None
     for b in batches:
-        rows = [features(t) for t in b.column("__text").to_pylist()]
+        rows = [features(t) for t in b.column("text").to_pylist()]
         kind = kind or pa.struct([pa.field(n, pa.int64()) for n in NAMES])
         stats = pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(len(NAMES))], fields=list(kind))
-        keep = [n for n in b.schema.names if n != "__text"]
-        yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), stats], [*keep, "__stats"])
+        yield pa.RecordBatch.from_arrays([b.column("row"), stats], ["row", "stats"])
 
 
-def text_features(docs: DataFrame, carry_text: bool = True) -> DataFrame:
-    """All columns of docs (text only if asked for) and a struct __stats with the counts of each whole text; a narrow step, without a shuffle."""
-    kept = [f for f in docs.schema.fields if carry_text or f.name != "text"]
-    out = T.StructType([*kept, T.StructField("__stats", T.StructType([T.StructField(n, T.LongType()) for n in NAMES]))])
-    return docs.select(*(f.name for f in kept), F.col("text").cast("string").alias("__text")).mapInArrow(_batches, out)
+def text_features(docs: DataFrame, *without: str) -> DataFrame:
+    """row, all columns of docs but some, and stats, the counts of each whole text; a narrow step, without a shuffle."""
+    rows = docs.select(whole(docs, *without), F.col("text").cast("string").alias("text"))
+    out = T.StructType([rows.schema["row"], T.StructField("stats", T.StructType([T.StructField(n, T.LongType()) for n in NAMES]))])
+    return rows.mapInArrow(_batches, out)
 
 
 def _n(name: str):
-    return F.col("__stats")[name]
+    return F.col("stats")[name]
 
 
 def _share(a: str, b: str = "n_words"):
@@ -154,37 +155,36 @@ def posterior(pattern: tuple[int, ...], prior: float, rows: list[dict[int, tuple
     return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
 
 
-def judge(docs: DataFrame, threshold: float = 0.5, carry_text: bool = True) -> DataFrame:
-    """docs with __stats, __votes, __p_good, __base_failed and __kept; every row is judged by its own text."""
+def judge(docs: DataFrame, *without: str, threshold: float = 0.5) -> DataFrame:
+    """row (the columns of docs but some), stats, votes, p_good, base_failed and kept; every row is judged by its own text."""
     votes = F.array(*(r().cast("int") for r in RULES.values()))
-    scored = cut(text_features(docs, carry_text).withColumn("__votes", votes), "quality")
+    scored = cut(text_features(docs, *without).withColumn("votes", votes), "quality")
     base = (_n("n_words") < 10) | (100 * _n("n_repeat_words") > 20 * _n("n_words"))
     # At most 3 ** len(RULES) rows, whatever the input.
-    patterns = {tuple(r["__votes"]): r["count"] for r in scored.filter(~base).groupBy("__votes").count().collect()}
+    patterns = {tuple(r["votes"]): r["count"] for r in scored.filter(~base).groupBy("votes").count().collect()}
     prior, rows = fit(patterns)
     odds = F.lit(math.log(prior) - math.log(1 - prior))
     for j, row in enumerate(rows if patterns else []):
-        v = F.col("__votes")[j]
+        v = F.col("votes")[j]
         side = {k: math.log(a) - math.log(b) for k, (a, b) in row.items()}
         odds = odds + F.when(v == 1, side[1]).when(v == -1, side[-1]).otherwise(side[0])
     return (
-        scored.withColumn("__p_good", 1 / (1 + F.exp(-odds)))
-        .withColumn("__base_failed", base)
-        .withColumn("__kept", ~F.col("__base_failed") & (F.col("__p_good") >= threshold))
+        scored.withColumn("p_good", 1 / (1 + F.exp(-odds)))
+        .withColumn("base_failed", base)
+        .withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
     )
 
 
 def quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, the counts, base_failed, kept, p_good and votes of each document."""
-    return judge(docs.select("doc_id", "text"), threshold, carry_text=False).select(
-        "doc_id", "__stats.*", F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"),
-        F.col("__p_good").alias("p_good"), F.col("__votes").alias("votes"),
-    )
+    """doc_id, the base counts, base_failed and kept of each document, then the other counts, p_good and votes."""
+    judged = judge(docs.select("doc_id", "text"), "text", threshold=threshold)
+    counts = [_n(n).alias(n) for n in NAMES]
+    return judged.select("row.doc_id", *counts[:BASE], "base_failed", "kept", *counts[BASE:], "p_good", "votes")
 
 
 def filter_quality(docs: DataFrame) -> DataFrame:
     """The rows of docs that judge() keeps, with their own columns; no join, as the verdict travels with the row."""
-    return judge(docs).filter("__kept").select(*docs.columns)
+    return judge(docs).filter("kept").select("row.*")
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:

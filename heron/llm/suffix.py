@@ -8,7 +8,8 @@ smallest suffix on emits each group's order, following the same pointers, withou
 A corpus does not fit one suffix array, so Spark deals out only what can repeat. Each window of 100
 bytes is named by its smallest hashed K-gram (its minimiser); windows in a row with one minimiser
 are a unit. Equal windows have equal minimisers, so only units whose minimiser occurs twice matter:
-- units with equal content are decided as a whole: all but the first are repeated;
+- units with equal content, told by 128 bits of two unlike hashes (one of the bytes, one of their
+  mixed K-grams) beside the minimiser's, are decided as a whole: all but the first are repeated;
 - units with the same minimiser and other content (the edges of repeated passages) come together,
   one unit for each content, and the suffix array of their texts puts equal windows side by side.
   A minimiser with more than GROUP contents is dealt out by the windows' digests instead.
@@ -16,7 +17,8 @@ are a unit. Equal windows have equal minimisers, so only units whose minimiser o
 Cases: a null or empty text has no bytes and the digest of no bytes; texts under 100 bytes are left
 whole; ties do not arise, as (doc_id, start) orders all strings; rows that repeat a doc_id are one
 document (its first text counts as the source) and get the same ranges removed, clipped to their
-length; rows without doc_id are left whole; an empty table gives no rows; extra columns are ignored.
+length; rows without doc_id are left whole; an empty table gives no rows; extra columns of any name
+are ignored by suffix_dedup() and kept by drop_repeated_strings().
 """
 
 from __future__ import annotations
@@ -29,13 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from heron.llm.columns import whole
 from heron.llm.rolling import mix, prefix, ranges
 from heron.plans.session import cut, free, table
 
 LENGTH = 100
 K = 24
 #: Texts of one minimiser that one suffix array takes.
-GROUP = 4096
+GROUP = 1024
 #: Bytes hashed at a time.
 BLOCK = 1 << 20
 _POSITION = np.uint64((1 << 30) - 1)
@@ -182,11 +185,15 @@ def repeated_windows(contexts: list[tuple[int, int, bytes]], length: int = LENGT
     return out
 
 
-def _minimisers(data: np.ndarray, ends: np.ndarray, length: int, k: int):
-    """Units of the texts that lie end to end in data: (start of the first window, windows, minimiser, hash of the unit, place of the minimiser)."""
+#: No units: what _minimisers() gives of texts that are all too short.
+_NONE = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, np.uint64, np.int64))
+
+
+def _minimisers(data: np.ndarray, ends: np.ndarray, length: int, k: int, named: bool = True):
+    """Units of the texts that lie end to end in data: (start of the first window, windows, minimiser, two hashes of the unit if named, place of the minimiser)."""
     n = len(data) - k + 1
     if n < 1 or len(data) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return _NONE
     sums = prefix(data)
     at = np.arange(n, dtype=np.int64)
     grams = ranges(sums, at, at + k)
@@ -201,14 +208,18 @@ def _minimisers(data: np.ndarray, ends: np.ndarray, length: int, k: int):
     begins = np.concatenate([[0], ends[:-1]])
     windows = np.maximum(ends - begins - length + 1, 0)
     if not windows.sum():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return _NONE
     p = np.repeat(begins - np.concatenate([[0], np.cumsum(windows)[:-1]]), windows) + np.arange(windows.sum())
     q = (low[p] & _POSITION).astype(np.int64)
     new = np.flatnonzero(np.r_[True, (q[1:] != q[:-1]) | (p[1:] != p[:-1] + 1)])
     first, count = p[new], np.diff(np.r_[new, len(p)])
     q = q[new]
+    if not named:
+        return first, count, grams[q], _NONE[3], _NONE[4], q - first
     content = ranges(sums, first, first + count + length - 1)
-    return first, count, grams[q], mix(content + (q - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), q - first
+    # Sums over bytes are linear; sums over mixed grams are not, so the two hashes fail on unlike texts.
+    other = ranges(prefix(mix(grams ^ np.uint64(0xD6E8FEB86659FD93))), first, first + count + length - k)
+    return first, count, grams[q], mix(content + (q - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), other, q - first
 
 
 def _blocks(batch):
@@ -230,7 +241,7 @@ def _blocks(batch):
 def _hashes(length: int, k: int):
     def run(batches):
         for b in batches:
-            found = [_minimisers(data, ends, length, k)[2] for _, data, ends in _blocks(b)]
+            found = [_minimisers(data, ends, length, k, named=False)[2] for _, data, ends in _blocks(b)]
             h, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int64))], ["h", "n"])
 
@@ -241,12 +252,12 @@ def _units(length: int, k: int):
     def run(batches):
         for b in batches:
             for ids, data, ends in _blocks(b):
-                first, count, h, d, anchor = _minimisers(data, ends, length, k)
+                first, count, h, d, e, anchor = _minimisers(data, ends, length, k)
                 at = np.searchsorted(ends, first, "right")
                 begins = np.concatenate([[0], ends[:-1]])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(d.view(np.int64)), pa.array(np.array(ids, np.int64)[at]), pa.array(((first - begins[at]) << 16) | (anchor << 8) | count)],
-                    ["h", "d", "doc", "at"],
+                    [*(pa.array(x.view(np.int64)) for x in (h, d, e)), pa.array(np.array(ids, np.int64)[at]), pa.array(((first - begins[at]) << 16) | (anchor << 8) | count)],
+                    ["h", "d", "e", "doc", "at"],
                 )
 
     return run
@@ -310,18 +321,19 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFr
         texts.mapInArrow(_hashes(length, k), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), "minimisers"
     )
     free(spark)
-    units = texts.mapInArrow(_units(length, k), "h long, d long, doc long, at long")
+    units = texts.mapInArrow(_units(length, k), "h long, d long, e long, doc long, at long")
     units = cut(units.join(twice.hint("shuffle_hash"), "h"), "units")
     free(spark)
-    firsts = units.groupBy("h", "d").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n"))
+    firsts = units.groupBy("h", "d", "e").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n"))
     firsts = cut(firsts, "firsts")
-    again = firsts.filter("n > 1").select("h", "d", "first")
+    again = firsts.filter("n > 1").select("h", "d", "e", "first")
     start = F.shiftright("at", 16)
-    whole = units.join(again, ["h", "d"]).filter((F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at")))
+    whole = units.join(again, ["h", "d", "e"]).filter((F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at")))
     whole = whole.select("doc", start.alias("start"), (start + F.col("at").bitwiseAND(255) + (length - 1)).alias("end"))
     whole = cut(whole, "whole")
     free(spark)
-    several = firsts.groupBy("h").agg(F.count("*").alias("nd")).filter("nd > 1")
+    # Written, so that both sides of the join are plain exchanges, whose hot minimisers Spark can split.
+    several = cut(firsts.groupBy("h").agg(F.count("*").alias("nd")).filter("nd > 1"), "several")
     edges = firsts.join(several, "h").select(F.col("first.doc").alias("doc"), F.struct("h", "nd", "first.at").alias("u"))
     listed = edges.groupBy("doc").agg(F.collect_list("u").alias("units"))
     held = texts.join(listed, F.col("doc_id") == F.col("doc")).select("doc", "text", "units")
@@ -353,40 +365,43 @@ def _removed(data: bytes, found: list[dict]) -> tuple[bytes, int, int]:
     return b"".join(out), gone, runs
 
 
+_APPLIED = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+
+
 def _apply(with_text: bool):
     def run(batches):
         for b in batches:
             rows = []
-            for text, found in zip(b.column("__text").to_pylist(), b.column("__ranges").to_pylist(), strict=True):
+            for text, found in zip(b.column("text").to_pylist(), b.column("ranges").to_pylist(), strict=True):
                 data = (text or "").encode()
                 left, gone, runs = _removed(data, found or [])
                 # A cut may fall inside a character; what is left of it is no text.
                 kept = (text if not gone else left.decode("utf-8", "ignore")) if with_text else None
                 rows.append((len(data), gone, runs, hashlib.sha256(left).hexdigest(), kept))
-            keep = [n for n in b.schema.names if n not in ("__text", "__ranges")]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(n) for n in keep), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))],
-                [*keep, "__bytes", "__removed", "__spans", "__sha", "__kept"],
-            )
+            yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], ["row", *_APPLIED])
 
     return run
 
 
 def remove_ranges(docs: DataFrame, found: DataFrame, with_text: bool = True) -> DataFrame:
-    """docs without the text, and __bytes, __removed, __spans, __sha, __kept (the text left, if asked for)."""
-    kept = [f for f in docs.schema.fields if f.name != "text"]
-    by_doc = found.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("start", "end")).alias("__ranges"))
-    rows = docs.withColumn("__text", F.col("text").cast("string")).drop("text").join(by_doc, F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
-    extra = [T.StructField(n, T.LongType()) for n in ("__bytes", "__removed", "__spans")] + [T.StructField(n, T.StringType()) for n in ("__sha", "__kept")]
-    return rows.select(*(f.name for f in kept), "__text", "__ranges").mapInArrow(_apply(with_text), T.StructType([*kept, *extra]))
+    """row (the columns of docs but text), n_bytes, n_removed, n_spans, kept_sha256 and kept (the text left, if asked for)."""
+    by_doc = found.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    rows = docs.select(whole(docs, "text"), F.col("text").cast("string").alias("text")).join(by_doc, F.col("row.doc_id") == F.col("doc"), "left").drop("doc")
+    extra = [T.StructField(n, T.LongType() if n.startswith("n_") else T.StringType()) for n in _APPLIED]
+    return rows.mapInArrow(_apply(with_text), T.StructType([rows.schema["row"], *extra]))
 
 
 def _digests(docs: DataFrame, found: DataFrame) -> DataFrame:
-    out = remove_ranges(docs, found, with_text=False)
-    return out.select(
-        "doc_id", F.col("__bytes").alias("n_bytes"), F.col("__removed").alias("n_removed"), F.col("__spans").alias("n_spans"), F.col("__sha").alias("kept_sha256")
-    )
+    return remove_ranges(docs, found, with_text=False).select("row.doc_id", *_APPLIED[:-1])
+
+
+def with_kept(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs with the ranges taken out of text, and n_chars (if there) as of the text left."""
+    now = {"text": F.col("kept")}
+    if "n_chars" in docs.columns:
+        now["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return remove_ranges(docs, found).select(*(now.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def _typed(docs: DataFrame) -> DataFrame:
@@ -401,11 +416,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def drop_repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with repeated strings taken out of text, and n_chars (if there) as of the text left."""
-    found = cut(repeated_ranges(_typed(docs), length), "ranges")
-    out = remove_ranges(docs, found).withColumn("text", F.col("__kept"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return with_kept(docs, cut(repeated_ranges(_typed(docs), length), "ranges"))
 
 
 def op5_suffix_array(spark, sf_dir: str) -> DataFrame:

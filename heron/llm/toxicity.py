@@ -11,8 +11,8 @@ share of toxic rows among the labelled rows that hold it, and a text's score joi
 Cases: a null or empty text has no hit and gets the score of texts without hits; an empty label
 table gives an empty lexicon and score 0 everywhere; several labels of one doc_id count as the
 highest; every row is scored by its own text, so repeated rows and ties get equal scores; labels,
-lang, source and doc_id are never inputs of a score; extra columns are carried by filter_toxic()
-and ignored elsewhere.
+lang, source and doc_id are never inputs of a score; extra columns of any name are carried by
+filter_toxic() and ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -25,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from heron.llm.columns import whole
 from heron.plans.session import table
 
 #: Bound of the labelled rows that the lexicon is learned from.
 SAMPLE = 8000
-#: Bound of the lexicon.
+#: Bounds of the terms that the cover chooses from, and of the lexicon.
+CANDIDATES = 20_000
 MAX_TERMS = 200
 STEMS = (4, 5, 6, 7)
 #: Shorter terms must match exactly; one error is let pass from here on.
@@ -219,17 +221,20 @@ def learn(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> dict:
         n_pos, n = seen.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
         if not n_pos:
             return {"terms": [], "weights": {}, "base": 0.0}
+        least = max(2.0, 0.004 * n_pos)
+        # What a term gains falls with each choice, so those that start under the least are never chosen.
         counted = (
             seen.select("text", "toxic").mapInArrow(_count_terms, "term string, stem boolean, pos long, neg long")
             .groupBy("term", "stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-            .filter((F.col("pos") >= 3) & (F.col("neg") * 10 <= F.col("pos")))
+            .filter((F.col("pos") >= 3) & (F.col("neg") * 10 <= F.col("pos")) & (F.col("pos") - 3 * F.col("neg") >= least))
+            .orderBy(F.desc(F.col("pos") - 3 * F.col("neg")), "term", "stem").limit(CANDIDATES)
         )
         neg = {(r["term"], r["stem"]): r["neg"] for r in counted.collect()}
         pairs = [
             (r["h"], (r["term"], r["stem"]))
             for r in seen.filter("toxic = 1").select("h", "text").mapInArrow(_incidence(set(neg)), "h long, term string, stem boolean").collect()
         ]
-        terms = cover(pairs, neg, least=max(2.0, 0.004 * n_pos))
+        terms = cover(pairs, neg, least)
         held = Counter()
         toxic = Counter()
         for r in seen.select("text", "toxic").mapInArrow(_hit_rows(terms), "toxic int, kinds array<int>").collect():
@@ -266,36 +271,34 @@ def _score_batches(model: dict):
     def run(batches):
         scorer = Scorer(model["terms"], model["weights"], model["base"])
         for b in batches:
-            found = [scorer.hits(t) for t in b.column("__text").to_pylist()]
-            keep = [n for n in b.schema.names if n != "__text"]
+            found = [scorer.hits(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(n) for n in keep), pa.array([scorer.score(h) for h in found], pa.float64()), pa.array([sum(h.values()) for h in found], pa.int64()),
+                [b.column("row"), pa.array([scorer.score(h) for h in found], pa.float64()), pa.array([sum(h.values()) for h in found], pa.int64()),
                  pa.array([sum(c for k, c in h.items() if k[2]) for h in found], pa.int64())],
-                [*keep, "__score", "__hits", "__quoted"],
+                ["row", "score", "n_hits", "n_quoted"],
             )
 
     return run
 
 
-def score(docs: DataFrame, model: dict, carry_text: bool = True) -> DataFrame:
-    """docs (with text only if asked for) and __score, __hits, __quoted; a narrow step."""
-    kept = [f for f in docs.schema.fields if carry_text or f.name != "text"]
-    out = T.StructType([*kept, T.StructField("__score", T.DoubleType()), T.StructField("__hits", T.LongType()), T.StructField("__quoted", T.LongType())])
-    return docs.select(*(f.name for f in kept), F.col("text").cast("string").alias("__text")).mapInArrow(_score_batches(model), out)
+def score(docs: DataFrame, model: dict, *without: str) -> DataFrame:
+    """row (the columns of docs but some), score, n_hits and n_quoted; a narrow step."""
+    rows = docs.select(whole(docs, *without), F.col("text").cast("string").alias("text"))
+    out = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType()), T.StructField("n_hits", T.LongType()), T.StructField("n_quoted", T.LongType())])
+    return rows.mapInArrow(_score_batches(model), out)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted, n_hits and n_quoted of each document."""
-    scored = score(docs.select("doc_id", "text"), learn(docs, labels, size), carry_text=False)
+    scored = score(docs.select("doc_id", "text"), learn(docs, labels, size), "text")
     return scored.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"),
-        F.col("__hits").alias("n_hits"), F.col("__quoted").alias("n_quoted"),
+        "row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_hits", "n_quoted"
     )
 
 
 def filter_toxic(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
     """The rows of docs with a score under 0.5, with their own columns; no join."""
-    return score(docs, learn(docs, labels, size)).filter("__score < 0.5").select(*docs.columns)
+    return score(docs, learn(docs, labels, size)).filter("score < 0.5").select("row.*")
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -139,7 +139,8 @@ def write_archives(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     keys = rows.select("page_id", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")).alias("sha"))
     # Only digests and ids are shuffled to find the winners; partial maxima keep a common payload from one task.
-    winners = keys.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # Written, so that Spark knows their size: few are broadcast, and of many, a hot payload's rows are split over tasks.
+    winners = cut(keys.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n"), "winners")
     rows = rows.withColumn("sha", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")))
     tagged = rows.join(winners, "sha", "left")
     return tagged.select(

@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 
 from heron.llm import chunks, html, neardup, packing, pieces, quality, suffix, topk, toxicity, warc
 
+#: Names that operators use, or have used, for columns of their own.
+CLASHING = (
+    "score kept h n key class_id start end doc length rank _gone __stats __text __score __doc __ranges __kept row stats votes p_good gone_id gone_digest digest node "
+    "ranges n_hits n_bytes d e at a b part ids sha held_out"
+).split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -20,7 +25,7 @@ def docs(spark, texts, extra=False):
     rows = [(i, t, "en", "s", None if t is None else len(t)) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, SCHEMA)
     if extra:
-        for c in ("score", "kept", "h", "n", "key", "class_id", "start", "end", "doc", "length", "rank"):
+        for c in CLASHING:
             df = df.withColumn(c, F.lit("x"))
     return df
 
@@ -51,13 +56,61 @@ def test_quality_counts():
     assert quality.features(None)[0] == quality.features(" \n")[0] == 0
 
 
+def test_base_counts_and_verdicts_by_brute_force(spark):
+    r = random.Random(4)
+    texts = [" ".join(r.choice(["a", "b", "Ü#", "x|y", "5%", "\n", "\n a b", "\x0b"]) for _ in range(r.randint(0, 40))) for _ in range(150)] + ODD
+    space, want = set(" \t\n\x0b\x0c\r"), {}
+    for i, t in enumerate(texts):
+        t = t or ""
+        ws = "".join("\0" if c in space else c for c in t.replace("\0", "z")).split("\0")
+        ws = [w for w in ws if w]
+        gone, lines = set(), t.split("\n")
+        for x in range(len(ws) - 4):
+            if any(ws[x : x + 5] == ws[y : y + 5] for y in range(len(ws) - 4) if y != x):
+                gone |= set(range(x, x + 5))
+        dup = sum(1 for k, line in enumerate(lines) if set(line) - space and line in lines[:k])
+        failed = len(ws) < 10 or 100 * len(gone) > 20 * len(ws)
+        want[i] = (len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in t), dup, len(gone), failed)
+    df = quality.quality(docs(spark, texts))
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    assert df.columns[:8] == names
+    rows = df.collect()
+    assert {x["doc_id"]: tuple(x)[1:7] for x in rows} == want
+    assert not any(x["kept"] for x in rows if x["base_failed"])
+    # The posterior of every document, from expectation-maximisation over the documents one by one.
+    votes = [tuple(x["votes"]) for x in rows if not x["base_failed"]]
+    prior, table = 0.8, [{1: (0.8, 0.4), 0: (0.15, 0.2), -1: (0.05, 0.4)} for _ in votes[0]]
+    for _ in range(100):
+        good = []
+        for v in votes:
+            g, b = prior, 1 - prior
+            for x, row in zip(v, table, strict=True):
+                g, b = g * row[x][0], b * row[x][1]
+            good.append(g / (g + b))
+        share, old = min(0.99, max(0.01, sum(good) / len(good))), (prior, table)
+        prior, table = share, []
+        for j in range(len(votes[0])):
+            n = {x: [1 + sum(g for g, v in zip(good, votes, strict=True) if v[j] == x), 1 + sum(1 - g for g, v in zip(good, votes, strict=True) if v[j] == x)] for x in (1, 0, -1)}
+            row = {x: (n[x][0] / sum(c[0] for c in n.values()), n[x][1] / sum(c[1] for c in n.values())) for x in n}
+            row[1], row[-1] = (row[1][0], min(row[1])), (row[-1][0], max(row[-1]))
+            table.append(row)
+        if abs(prior - old[0]) < 1e-6 and all(abs(table[j][x][k] - old[1][j][x][k]) < 1e-6 for j in range(len(table)) for x in (1, 0, -1) for k in (0, 1)):
+            break
+    for x in rows:
+        g, b = prior, 1 - prior
+        for y, row in zip(x["votes"], table, strict=True):
+            g, b = g * row[y][0], b * row[y][1]
+        assert abs(x["p_good"] - g / (g + b)) < 1e-6 and x["kept"] == (not x["base_failed"] and x["p_good"] >= 0.5)
+
+
 def test_quality_separates_junk(spark):
     good = ["The cat of the house and the dog. " + " ".join(words(i, 60)) + " is in the garden. It was on the wall." for i in range(60)]
     junk = [" ".join(w + "%%%" for w in words(i, 60)) for i in range(60, 70)]
     got = {r["doc_id"]: r["kept"] for r in quality.quality(docs(spark, good + junk + ODD, extra=True)).collect()}
     assert all(got[i] for i in range(60)) and not any(got[i] for i in range(60, 73)) and len(got) == 80
     kept = quality.filter_quality(docs(spark, good + junk, extra=True))
-    assert "score" in kept.columns and {r["doc_id"] for r in kept.collect()} == set(range(60))
+    assert kept.columns == docs(spark, [], extra=True).columns and {r["doc_id"] for r in kept.collect()} == set(range(60))
+    assert {r["__stats"] for r in kept.collect()} == {"x"}
     assert quality.quality(docs(spark, [])).count() == 0
 
 
@@ -284,7 +337,21 @@ def test_near_duplicates_odd_rows(spark):
     got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs(spark, ODD, extra=True)).collect()}
     assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7, 8: 7, 9: 9}
     assert neardup.near_duplicates(docs(spark, [])).count() == 0
-    assert {r["doc_id"] for r in neardup.drop_near_duplicates(docs(spark, ["a b", "a b", "c"])).collect()} == {0, 2}
+    kept = neardup.drop_near_duplicates(docs(spark, ["a b", "a b", "c"], extra=True))
+    assert {r["doc_id"] for r in kept.collect()} == {0, 2} and kept.columns[-len(CLASHING) :] == CLASHING
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    base, other = words(1, 300), words(2, 300)
+    a, b, near_b = " ".join(base), " ".join(other), " ".join(edited(other, 1, 2))
+    df = spark.createDataFrame([(2, a), (5, a), (5, b), (5, b), (3, near_b), (2, "x y z")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["class_id"]) for r in neardup.near_duplicates(df).collect())
+    assert got == [(2, 2), (2, 2), (3, 3), (5, 2), (5, 3), (5, 3)]
+    assert sorted((r["doc_id"], r["text"]) for r in neardup.drop_near_duplicates(df).collect()) == sorted([(2, a), (2, "x y z"), (3, near_b)])
+    # One id with two texts does not join the classes of the texts.
+    df = spark.createDataFrame([(1, a), (1, b), (0, near_b), (7, a)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["class_id"]) for r in neardup.near_duplicates(df).collect()) == [(0, 0), (1, 0), (1, 1), (7, 1)]
+    assert sorted((r["doc_id"], r["text"]) for r in neardup.drop_near_duplicates(df).collect()) == sorted([(1, a), (0, near_b)])
 
 
 def test_null_ids_do_not_stand_for_their_text(spark):
@@ -336,7 +403,42 @@ def test_toxicity_learns_and_quotes(spark):
     assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(400))
     none = toxicity.toxicity(df, labels.limit(0)).collect()
     assert {x["score"] for x in none} == {0.0}
-    assert toxicity.filter_toxic(docs(spark, ["fine", None], extra=True), labels).count() == 2
+    kept = toxicity.filter_toxic(docs(spark, ["fine", None, "fine"], extra=True), labels)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2] and kept.columns[-len(CLASHING) :] == CLASHING
+    assert toxicity.toxicity(df.limit(0), labels).count() == 0 and toxicity.filter_toxic(df.limit(0), labels).count() == 0
+    twice = [r["score"] for r in toxicity.toxicity(df.unionByName(df.filter("doc_id = 4")), labels).filter("doc_id = 4").collect()]
+    assert len(twice) == 2 and len(set(twice)) == 1
+
+
+def test_scores_by_brute_force():
+    """Every hit by comparing every word with every term, its context by the definition, and the score as one minus the product."""
+
+    def near(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
+        a, b = sorted((a, b), key=len)
+        return len(b) - len(a) == 1 and any(a == b[:i] + b[i + 1 :] for i in range(len(b)))
+
+    terms = [("idiot", False), ("moron", False), ("scum", True), ("dolt", False)]
+    r = random.Random(8)
+    weights = {(k, e, q): r.random() for k in range(4) for e in (0, 1) for q in (0, 1)}
+    scorer = toxicity.Scorer(terms, weights, 0.1)
+    pool = ["idiot", "idiots", "idoit", "moron", "mron", "scummy", "scum", "dolt", "dolts", "fine", "word", "day", "xidiotx"]
+    for _ in range(300):
+        ws = [r.choice(pool) for _ in range(r.randint(0, 12))]
+        want = {}
+        for i, w in enumerate(ws):
+            exact = [k for k, (t, stem) in enumerate(terms) if w == t or (stem and w.startswith(t))]
+            fuzzy = [k for k, (t, stem) in enumerate(terms) if not stem and len(t) >= 5 and near(w, t)]
+            for k, e in [(k, 0) for k in exact] or [(k, 1) for k in fuzzy]:
+                key = (k, e, int("word" in ws[max(0, i - toxicity.CONTEXT) : i]))
+                want[key] = want.get(key, 0) + 1
+        got = scorer.hits(" ".join(ws))
+        assert got == want
+        left = 0.9
+        for k in got:
+            left *= 1 - weights[k]
+        assert abs(scorer.score(got) - (1 - left)) < 1e-12
 
 
 # 8 HTML
