@@ -3,10 +3,11 @@
 Only lengths matter for packing, and there are at most CAPACITY of them, so the instance is a
 histogram of at most CAPACITY counters however many documents there are. Its solution is a list of
 patterns (a filling of one sequence, and how often it is used), found by branch and bound: take the
-largest length left, enumerate undominated fillings of the room beside it in the order of their
-waste, use a filling as often as the counts allow, and go on; a branch ends where the sequences so
-far and the bound of the rest, total length over capacity, reach the best solution known. The first
-such solution is best fit decreasing. Documents then take their places by their rank within their
+largest length left, enumerate all undominated fillings of the room beside it in the order of their
+waste, use a filling as often as the counts allow, or less often, and go on; a branch ends where the
+sequences so far and the bound of the rest reach the best solution known, or where its waste does.
+Each state is completed by best fit decreasing, whose solutions are the incumbents. The search looks
+at NODES fillings at most; then the best solution stands. Documents then take their places by their rank within their
 length, which is counted per partition and summed over partitions, so no length is gathered in one
 task.
 
@@ -21,6 +22,7 @@ import os
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -34,11 +36,9 @@ from heron.plans.session import cut, table
 
 CAPACITY = 4096
 END_ID = 1
-#: Bound of a worker's word cache, which lasts over its tasks, and of the nodes that branch and bound opens on the driver.
+#: Bound of a worker's word cache, which lasts over its tasks, and of the fillings that branch and bound looks at on the driver.
 CACHE = 1_200_000
-NODES = 400
-#: Fillings that a node tries, and pieces that are enumerated exactly for the last room.
-WIDTH = 6
+NODES = 5000
 #: ASCII marks that the vocabulary keeps together as one run.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, k long"
@@ -148,7 +148,8 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pieces(path, capacity), _PIECES)
 
 
-Pattern = tuple[int, tuple[tuple[int, int], ...]]
+Filling = tuple[tuple[int, int], ...]
+Pattern = tuple[int, Filling]
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
@@ -182,75 +183,118 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [(times, tuple(sorted(filling.items(), reverse=True))) for same in groups.values() for times, filling in same]
 
 
-def fillings(present: np.ndarray, room: int, width: int, waste: int) -> list[tuple[int, ...]]:
-    """Up to width sets of at most three lengths for the room, least waste first.
-
-    A set is left out where one length that is present fills as much, as that dominates it.
-    """
-    sizes = np.flatnonzero(present[: room + 1])
-    if not len(sizes):
-        return [()]
-    found: dict[int, tuple[int, ...]] = {room - int(sizes[-1]): (int(sizes[-1]),)}
-
-    def pairs(goal: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each larger length, the largest other that still fits, and the waste."""
-        a = sizes[(sizes < goal) & (sizes <= most)]
-        at = np.searchsorted(sizes, np.minimum(goal - a, a), "right") - 1
-        a, at = a[at >= 0], at[at >= 0]
-        return a, sizes[at], goal - a - sizes[at]
-
-    a, b, lost = pairs(room, room)
-    for i in np.lexsort((-a, lost))[:width]:
-        found.setdefault(int(lost[i]), (int(a[i]), int(b[i])))
-    if min(found) > 0:
-        for c in sizes[sizes * 3 >= room][::-1][:48]:
-            a, b, lost = pairs(room - int(c), int(c))
-            if len(a):
-                i = int(lost.argmin())
-                found.setdefault(int(lost[i]), (int(c), int(a[i]), int(b[i])))
-                if lost[i] == 0:
-                    break
-    return [found[w] for w in sorted(found) if w <= waste][:width]
+def lower_bound(counts: np.ndarray, capacity: int) -> int:
+    """Sequences that any packing of the counted lengths needs: pieces over half stand alone, and what the rest does not find beside them needs more."""
+    n, size = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(counts * np.arange(capacity + 1))])
+    half = capacity // 2
+    small = np.arange(half + 1)
+    # For each bound of what counts as small: pieces too large for any of it, those over half, and the rest from the bound on.
+    alone, halves = n[-1] - n[capacity - small + 1], n[capacity - small + 1] - n[half + 1]
+    beside = halves * capacity - (size[capacity - small + 1] - size[half + 1])
+    rest = size[half + 1] - size[small]
+    return int((alone + halves + np.maximum(0, -(-(rest - beside) // capacity))).max())
+
+
+def _sums(sizes: list[int], most: list[int], room: int) -> list[int]:
+    """For each place in sizes, the sums up to room that the sizes from there on can make, as bits."""
+    full, out = (1 << room + 1) - 1, [1]
+    for s, n in zip(reversed(sizes), reversed(most), strict=True):
+        bits, step, n = out[-1], 1, min(n, room // s)
+        while n:
+            take = min(step, n)
+            bits |= bits << take * s & full
+            n, step = n - take, step * 2
+        out.append(bits)
+    return out[::-1]
+
+
+def dominated(filling: Filling, sizes: list[int], most: list[int], waste: int) -> bool:
+    """Whether one piece outside the filling can join it, or take the place of a smaller one or of several inside."""
+    # Sums of one piece, of several, and of any number, as bits.
+    single, multiple, sums = 0, 0, 1
+    for s, n in filling:
+        single |= 1 << s
+        for _ in range(n):
+            multiple |= multiple << s | (sums & ~1) << s
+            sums |= sums << s
+    used, outside = dict(filling), 0
+    for s, n in zip(sizes, most, strict=True):
+        outside |= (n > used.get(s, 0)) << s
+    return any((multiple << by | ((single | 1) << by if by else 0)) & outside for by in range(waste + 1))
+
+
+def fillings(sizes: list[int], most: list[int], room: int, waste: int) -> Iterator[tuple[Filling | None, int]]:
+    """The undominated fillings of the room with their waste, least waste first, larger pieces first; None for each dominated one."""
+    reach = _sums(sizes, most, room)
+    for lost in range(min(waste, room) + 1):
+        goal = room - lost
+        if not reach[0] >> goal & 1:
+            continue
+        if not lost and goal in sizes:
+            # One piece that fills the room is better than all other fillings.
+            yield ((goal, 1),), lost
+            return
+        # Depth first through the sizes, only where what is left of the goal can still be made.
+        stack: list[tuple[int, int, Filling]] = [(0, goal, ())]
+        while stack:
+            at, left, chosen = stack.pop()
+            if not left:
+                yield (None if dominated(chosen, sizes, most, lost) else chosen), lost
+                continue
+            if at == len(sizes):
+                continue
+            s, to = sizes[at], []
+            for n in range(min(most[at], left // s) + 1):
+                if reach[at + 1] >> left - n * s & 1:
+                    to.append((at + 1, left - n * s, (*chosen, (s, n)) if n else chosen))
+            stack += to
 
 
 def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[Pattern]:
-    """Patterns that hold every counted piece once, in as few sequences as branch and bound finds."""
+    """Patterns that hold every counted piece once, in as few sequences as branch and bound finds.
+
+    A branch takes the largest length left with an undominated filling of its sequence, as often as
+    the counts allow or less often; best fit decreasing completes each state to a solution. A state
+    that was reached with as few sequences before, or that the bound shows to be no better than the
+    best solution, is left. After nodes fillings the best solution stands.
+    """
     full = counts.get(capacity, 0)
     counts = {s: n for s, n in counts.items() if s < capacity and n}
     whole = [(full, ((capacity, 1),))] if full else []
     if not counts:
         return whole
-    best = best_fit(counts, capacity)
-    fewest = sum(t for t, _ in best)
-    total = sum(s * n for s, n in counts.items())
-    bound = -(-total // capacity)
     start = np.zeros(capacity + 1, np.int64)
     for s, n in counts.items():
         start[s] = n
+    total, floor = sum(s * n for s, n in counts.items()), lower_bound(start, capacity)
+    best = best_fit(counts, capacity)
+    fewest, opened, path = sum(t for t, _ in best), 0, []
+    seen: dict[bytes, int] = {}
 
     def branches(left: np.ndarray, used: int, rest: int):
-        largest = int(np.flatnonzero(left)[-1])
-        base, room, now = Counter({largest: 1}), capacity - largest, left.copy()
+        nonlocal opened
+        present = np.flatnonzero(left)[::-1].tolist()
+        largest = present[0]
+        now = left.copy()
         now[largest] -= 1
-        # Much room is first filled with the largest pieces that go in.
-        while room:
-            fits = np.flatnonzero(now[: room + 1])
-            if not len(fits) or room <= 2 * fits[-1]:
-                break
-            base[int(fits[-1])] += 1
-            room -= int(fits[-1])
-            now[fits[-1]] -= 1
+        sizes = [s for s in present if now[s] and s <= capacity - largest]
+        # What all sequences may lose together, if the solution is to be better than the best one.
         allowed = (fewest - 1 - used) * capacity - rest
-        for extra in fillings(now > 0, room, WIDTH, max(0, allowed)):
-            pattern = base + Counter(extra)
-            times = min(int(left[s]) // c for s, c in pattern.items())
-            if times:
+        for filling, lost in fillings(sizes, [int(now[s]) for s in sizes], capacity - largest, max(0, allowed)):
+            opened += 1
+            if opened > nodes:
+                return
+            if filling is None or lost > (fewest - 1 - used) * capacity - rest:
+                continue
+            pattern = Counter({largest: 1})
+            pattern.update(dict(filling))
+            for times in range(min(int(left[s]) // c for s, c in pattern.items()), 0, -1):
                 yield times, pattern
+                if opened > nodes:
+                    return
 
-    opened, path = 0, []
-    iterators = [branches(start, 0, total)]
-    states = [(start, 0, total)]
-    while iterators and fewest > bound and opened < nodes + len(counts):
+    iterators, states = [branches(start, 0, total)], [(start, 0, total)]
+    while iterators and fewest > floor and opened <= nodes:
         step = next(iterators[-1], None)
         if step is None:
             iterators.pop(), states.pop()
@@ -264,13 +308,14 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
         for s, c in pattern.items():
             left[s] -= c * times
         rest -= times * sum(s * c for s, c in pattern.items())
-        if used + -(-rest // capacity) >= fewest:
+        if used + lower_bound(left, capacity) >= fewest or seen.get(key := left.tobytes(), fewest) <= used:
             continue
+        if len(seen) < nodes:
+            seen[key] = used
         path.append((times, tuple(sorted(pattern.items(), reverse=True))))
-        if not rest:
-            best, fewest = list(path), used
-            path.pop()
-            continue
+        completed = best_fit({int(s): int(left[s]) for s in np.flatnonzero(left)}, capacity)
+        if used + sum(t for t, _ in completed) < fewest:
+            best, fewest = path + completed, used + sum(t for t, _ in completed)
         states.append((left, used, rest))
         iterators.append(branches(left, used, rest))
     return whole + best

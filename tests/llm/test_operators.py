@@ -140,25 +140,72 @@ def test_packing_places_every_piece(spark):
     assert packing.pack(docs(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(8))
-def test_bin_completion_is_valid_and_optimal_on_small_cases(seed):
-    r = random.Random(seed)
-    items = [r.randint(1, 10) for _ in range(8)]
-    found = packing.bin_completion({s: items.count(s) for s in items}, 10)
+def fewest(items, capacity):
+    """Sequences of an exact search."""
+    items, out = sorted(items, reverse=True), len(items)
+
+    def go(i, bins):
+        nonlocal out
+        if len(bins) >= out:
+            return
+        if i == len(items):
+            out = len(bins)
+            return
+        for b in set(bins):
+            if b + items[i] <= capacity:
+                k = bins.index(b)
+                go(i + 1, [*bins[:k], b + items[i], *bins[k + 1 :]])
+        go(i + 1, [*bins, items[i]])
+
+    go(0, [])
+    return out
+
+
+def packed(items, capacity):
+    found = packing.bin_completion({s: items.count(s) for s in items}, capacity)
     used = sorted(s for t, f in found for _ in range(t) for s, c in f for _ in range(c))
-    assert used == sorted(items) and all(sum(s * c for s, c in f) <= 10 for _, f in found)
-
-    def fewest(rest, bins):
-        if not rest:
-            return len(bins)
-        out, tried = 99, set()
-        for i, b in enumerate(bins):
-            if b + rest[0] <= 10 and b not in tried:
-                tried.add(b)
-                out = min(out, fewest(rest[1:], bins[:i] + [b + rest[0]] + bins[i + 1 :]))
-        return min(out, fewest(rest[1:], [*bins, rest[0]]))
-
-    assert sum(t for t, _ in found) == fewest(sorted(items, reverse=True), [])
+    assert used == sorted(items) and all(sum(s * c for s, c in f) <= capacity for _, f in found)
+    return sum(t for t, _ in found)
+
+
+def test_bin_completion_equals_exact_search():
+    assert packed([10, 8, 8, 8, 7, 4, 4, 4, 3, 3], 20) == 3
+    r = random.Random(3)
+    for _ in range(600):
+        capacity = r.choice([10, 20, 50, 1000])
+        items = [r.randint(1, int(capacity * r.choice([0.5, 0.6, 0.7, 1]))) for _ in range(r.randint(8, 12))]
+        found = packed(items, capacity)
+        counts = np.bincount(items, minlength=capacity + 1)
+        assert found == fewest(items, capacity) >= packing.lower_bound(counts, capacity) >= -(-sum(items) // capacity)
+
+
+def test_fillings_are_all_that_nothing_dominates():
+    r = random.Random(6)
+    for _ in range(150):
+        room = r.randint(1, 24)
+        items = [r.randint(1, room) for _ in range(r.randint(1, 7))]
+        sizes = sorted(set(items), reverse=True)
+        every = {tuple(sorted((x for i, x in enumerate(items) if m >> i & 1), reverse=True)) for m in range(1 << len(items))}
+        every = {x for x in every if sum(x) <= room}
+
+        def beaten(x, every=every, items=items):
+            rest = list(items)
+            for s in x:
+                rest.remove(s)
+            parts = [tuple(s for i, s in enumerate(x) if m >> i & 1) for m in range(1 << len(x))]
+            return any(sum(y) <= s and y != (s,) and sum(x) - sum(y) + s <= room for y in parts for s in rest)
+
+        def flat(f):
+            return tuple(s for s, n in f for _ in range(n))
+
+        found = [(flat(f), lost) for f, lost in packing.fillings(sizes, [items.count(s) for s in sizes], room, room) if f is not None]
+        assert [lost for _, lost in found] == sorted(room - sum(x) for x, _ in found) and len(set(found)) == len(found)
+        assert {x for x, _ in found} == ({(room,)} if room in items else {x for x in every if not beaten(x)})
+
+
+def test_repeated_ids_with_other_texts_are_packed_each(spark):
+    rows = packing.pack(spark.createDataFrame([(1, "a b"), (1, "c d e"), (1, "a b"), (None, "x")], "doc_id long, text string")).collect()
+    assert sorted(r["length"] for r in rows) == [2, 3, 3, 4] and len({(r["sequence_id"], r["offset"]) for r in rows}) == 4
 
 
 def test_word_tokens_equal_the_tokenizer():
