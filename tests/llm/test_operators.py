@@ -491,19 +491,84 @@ def test_scores_by_brute_force():
 # 8 HTML
 
 
-def test_html_main_text():
-    page = html.lines('<html><body><nav>Menu</nav><article><h1>T &amp; x</h1><p>a<b>b</b>\n c<br>d<div class="comments"><p>no</p></div><aside>no</aside><p>e</article><footer>f</footer><script>x="</p>"</script>')
-    assert html.main_text(page, None) == "T & x\nab c d\ne"
-    assert html.lines(None) == [] and html.main_text([], None) == ""
+def text_of(page, gone=()):
+    return html.main_text(html.lines(page), list(gone))[0]
 
 
-def test_html_differencing(spark):
-    def page(i, middle):
-        return f"<body><div>Top line</div><div>{middle}</div><div>Bottom</div></body>"
+@pytest.mark.parametrize(("page", "want"), [
+    ('<html><body><nav>Menu</nav><article><h1>T &amp; x</h1><p>a<b>b</b>\n c<br>d<div class="comments"><p>no</p></div><aside>no</aside><p>e</article><footer>f</footer><script>x="</p>"</script>', "T & x\nab c d\ne"),
+    (None, ""),
+    ('<article><p>a</article><section class="comments"><article class="comment"><p>Nice post!</article></section>', "a"),
+    ('<div id="comments"><article><p>reader says</article></div>', ""),
+    ('<article><p>a</p><div class="post-comments"><article class="comment-123">no</article></div><p>b</article>', "a\nb"),
+    ('<article><p>a<div class="share-price">12.50</div><div class="share-buttons">no</div><p class="navigationist">b</article>', "a\n12.50\nb"),
+    ('<nav>Menu<article><p>a</p></article>', "a"),
+    ('<form><main class="search">a<p>b<form>no</form></main></form>', "a\nb"),
+    ('<article><p title="the hidden truth">a<p hidden>no<p style="x: y; display : none">no<p>b</article>', "a\nb"),
+    ('<article>a <span class="ad">no <span>no</span> no</span> b</article>', "a\nb"),
+    ('<p>a<!-- no --><ul><li>b<li>c</ul><textarea>no</textarea><hr>d &#x27;&nbsp;&lt;e', "a\nb\nc\nd ' <e"),
+])
+def test_html_main_text(page, want):
+    assert text_of(page) == want
+
+
+def pages_of(spark, rows, parts=None):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for c in CLASHING + ["host", "path", "gone", "keys", "outline", "n_lines"]:
+        df = df.withColumn(c, F.lit("x"))
+    return df.repartitionByRange(parts, "page_id") if parts else df
+
 
-    rows = [(1, "http://h/a/1", page(1, "one")), (2, "http://h/a/2", page(2, "two")), (3, "http://other/", page(3, "three")), (4, None, None), (5, "http://h/a/3", page(3, "two"))]
-    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
-    assert got[1] == ("one", 3) and got[2] == ("two", 3) and got[4] == ("", 0) and got[3][0] == "Top line\nthree\nBottom"
+def page(middle, top="Top line"):
+    return f"<body><div>{top}</div><div>{middle}</div><div>Bottom</div></body>"
+
+
+def test_html_differencing(spark):
+    rows = [(1, "http://h/a/1", page("one")), (2, "http://h/a/2", page("two")), (3, "http://other/", page("three")), (4, None, None), (5, "http://h/a/3", page("two")), (5, "http://h/a/3", page("two")), (None, "x", "<p>p")]
+    got = sorted((r["page_id"] or 0, r["text"], r["n_chars"], r["n_lines"], r["n_shared"], r["n_marked"]) for r in html.extract(pages_of(spark, rows)).collect())
+    assert got == [(0, "p", 1, 1, 0, 0), (1, "one", 3, 3, 2, 0), (2, "two", 3, 3, 2, 0), (3, "Top line\nthree\nBottom", 21, 3, 0, 0), (4, "", 0, 0, 0, 0), (5, "two", 3, 3, 2, 0), (5, "two", 3, 3, 2, 0)]
+    assert html.extract(pages_of(spark, rows).limit(0)).count() == 0
+
+
+def test_html_copies_do_not_delete_an_article(spark):
+    """Near copies share the article, other pages the template only; equal pages get equal texts wherever they stand."""
+    article = "".join(f"<p>{' '.join(words(i, 30))}</p>" for i in range(8))
+    other = "".join(f"<p>{' '.join(words(i, 30))}</p>" for i in range(8, 16))
+    rows = [(i, f"http://h/a/{i:03d}", page(article + (f"<p>print {i}</p>" if i % 3 else ""))) for i in range(80)] + [(i, f"http://h/b/{i}", page(other + f"<p>{i}")) for i in range(100, 102)]
+    got = {r["page_id"]: r["text"] for r in html.extract(pages_of(spark, rows)).collect()}
+    for i in range(80):
+        assert got[i].count("\n") + 1 >= 8 and " ".join(words(3, 30)) in got[i]
+    assert len({got[i] for i in range(0, 80, 3)}) == 1
+    assert got[100].endswith("100") and " ".join(words(8, 30)) in got[100]
+    # A page and one near copy of it say nothing of what is template.
+    two = {r["text"] for r in html.extract(pages_of(spark, [(1, "http://h/1", page(article)), (2, "http://h/2", page(article + "<p>x"))])).collect()}
+    assert all("Top line" in t for t in two)
+
+
+@pytest.mark.parametrize("marked", [False, True])
+def test_html_texts_do_not_depend_on_partitions(spark, marked):
+    r = random.Random(1)
+    rows = []
+    for i in range(90):
+        body = f"<div>Top {i % 2}</div><div>text {i}</div><div>text {r.randrange(40)} is {r.randrange(9)}</div><div>Bottom</div>"
+        rows.append((i, f"https://h{i % 3}.example/{r.randrange(30)}", f"<nav>m</nav><article>{body}</article>" if marked else body))
+    one, many = (sorted(map(tuple, html.extract(pages_of(spark, rows, n)).collect())) for n in (1, 40))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        few = sorted(map(tuple, html.extract(pages_of(spark, rows, 2)).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert one == many == few and (marked or any(x[5] for x in one))
+
+
+def test_html_long_pages():
+    deep = "<div>" * 30000 + "x" + "</p></div>" * 30000
+    assert text_of(deep) == "x"
+    many = "".join(f"<p>{i % 50}" for i in range(30000))
+    assert text_of(many).count("\n") == 29999
+    a, b = ([f"{i % k}" for i in range(6000)] for k in (7, 11))
+    assert len(html.shared(a, b)) > 2000 and html.shared(a, a) == set(range(6000))
 
 
 def test_longest_common_subsequence():
