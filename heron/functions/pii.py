@@ -44,19 +44,23 @@ MASKS: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def replace_all(text: Column, pattern: str, mask: Callable[[Column], Column]) -> Column:
-    """Every match replaced by its mask: the gaps and the masked matches, zipped together again."""
-    gaps, found = F.split(text, pattern, -1), F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), mask)
-    n = F.size(gaps)
-    joined = F.array_join(F.zip_with(F.slice(gaps, 1, n - 1), found, lambda g, m: F.concat(g, m)), "")
-    # Most texts hold no match and are only scanned once.
-    return F.when(text.rlike(pattern), F.concat(joined, F.element_at(gaps, -1))).otherwise(text)
+#: What a text with a match must hold; most texts are only searched for that.
+NEEDS = {"email": "@", "phone": "[0-9]{4}", "ssn": "-[0-9]{4}", "cc": "[0-9]", "dob": "[0-9][/-][0-9]"}
+
+
+def masked(text: Column, found: Column, pattern: str, mask: Callable[[Column], Column]) -> Column:
+    """The text with the found matches of the pattern replaced by their masks: the gaps and the masks, zipped together again."""
+    gaps = F.split(text, pattern, -1)
+    joined = F.array_join(F.zip_with(F.slice(gaps, 1, F.size(gaps) - 1), F.transform(found, mask), lambda g, m: F.concat(g, m)), "")
+    return F.when(F.size(found) > 0, F.concat(joined, F.element_at(gaps, -1))).otherwise(text)
 
 
 def redact_one(df: DataFrame, kind: str, column: str, into: str) -> DataFrame:
     """df with the column's matches of one kind masked, and their number in n_<kind>."""
-    counted = F.size(F.regexp_extract_all(F.col(column), F.lit(PATTERNS[kind]), F.lit(0)))
-    return df.withColumns({f"n_{kind}": counted, into: replace_all(F.col(column), PATTERNS[kind], MASKS[kind])})
+    text, none = F.col(column), F.array().cast("array<string>")
+    found = F.when(text.rlike(NEEDS[kind]), F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))).when(text.isNotNull(), none)
+    with_found = df.withColumn("_found", found)
+    return with_found.withColumns({f"n_{kind}": F.size("_found"), into: masked(text, F.col("_found"), PATTERNS[kind], MASKS[kind])}).drop("_found")
 
 
 def redact(df: DataFrame, column: str = "body", into: str = "redacted_body") -> DataFrame:

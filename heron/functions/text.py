@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ IP_LITERAL = r"^\d{1,3}(?:\.\d{1,3}){3}$"
 URL_TEXT = r"(?i)(https?://|www\.)\S+"
 URL_UI = r"(?i)https?://|www\."
 ADDRESS = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
-URL = r"(?i)\b(?:https?://|www\.)?(?:(?:[a-zA-Z0-9\-]+\.)+[a-zA-Z0-9\-]+|localhost)(?::\d+)?(?:/[^\s]*)?"
+URL = r"(?i)\b(?:https?://|www\.)?(?:(?:[a-zA-Z0-9\-]+\.)+[a-zA-Z0-9\-]+|(?:\d{1,3}\.){3}\d{1,3}|localhost)(?::\d+)?(?:/[^\s]*)?(?=\b|[^a-zA-Z0-9/@\-.])"
 SENTENCE = r"[^.!?\n]+[.!?\n]?"
 TOKEN = r"[A-Za-z0-9]+(?:'[A-Za-z0-9]+)?"
 
@@ -64,7 +66,27 @@ def extract_urls(text: Column, require_netloc: bool = True) -> Column:
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(URL), F.lit(0))
     proper = F.filter(found, lambda u: u.rlike(r"^(?:https?://|www\.)") | (u.rlike(r"[a-zA-Z\-]") & (F.length(u) > 3) & F.contains(u, F.lit(".")) & ~F.endswith(u, F.lit("."))))
     distinct = F.array_distinct(proper)
-    return F.array_join(F.filter(distinct, lambda u: u.rlike("^https?://")) if require_netloc else distinct, ",")
+    return F.array_join(F.filter(distinct, lambda u: u.rlike("(?i)^https?://")) if require_netloc else distinct, ",")
+
+
+def hmac_sha256(key: str, message: Column) -> Column:
+    """The keyed digest of a text as hex digits, by its definition over two digests."""
+    data = key.encode()
+    block = (data if len(data) <= 64 else hashlib.sha256(data).digest()).ljust(64, b"\0")
+    inner, outer = (F.unhex(F.lit(bytes(b ^ pad for b in block).hex())) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
+
+
+def csv_fields(line: Column) -> Column:
+    """The fields of a single CSV line: quotes switch between quoted and plain text wherever they stand, doubled ones inside are one."""
+    parts = F.split(line, '"', -1)
+    inside = "\u0001"
+
+    def part(x: Column, i: Column) -> Column:
+        between = (x == "") & (i > 0) & (i < F.size(parts) - 1)
+        return F.when(i % 2 == 1, F.translate(x, ",", inside)).when(between, F.lit('"')).otherwise(x)
+
+    return F.transform(F.split(F.array_join(F.transform(parts, part), ""), ",", -1), lambda f: F.translate(f, inside, ","))
 
 
 def content_hash(subject: Column, body: Column) -> Column:

@@ -60,11 +60,33 @@ def clean(df: DataFrame) -> DataFrame:
     }).select(*CLEAN_COLUMNS)
 
 
-def sender_fallback(sender: Column) -> Column:
-    """An address wherever one can be found in a sender, else a fixed one."""
-    inner = F.regexp_replace(F.regexp_extract(sender, "<([^>]*)>", 1), " ", "")
-    found = F.regexp_extract(sender, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 0)
-    return F.when(F.contains(inner, F.lit("@")), inner).when(found != "", found).when(F.contains(sender, F.lit("@")), sender).otherwise(F.lit("unknown@example.com"))
+def truncated(value: Column, default: int = 0) -> Column:
+    """A number's whole part; blanks and what is no finite number give the default."""
+    x = F.trim(value.cast("string")).try_cast("double")
+    whole = F.when(~F.isnan(x) & (F.abs(x) < 2**53), F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)))
+    return F.coalesce(whole, F.lit(default).cast("long"))
+
+
+#: The address pattern of the fallback, and what stands for no address.
+FALLBACK_ADDRESS = r"[\w\.-]+@[\w\.-]+\.[a-zA-Z]{2,}"
+UNKNOWN = "unknown@example.com"
+
+
+def sender_fallback(sender: Column, search: bool = True) -> Column:
+    """An address wherever one can be found in a sender, else a fixed one: in <>, then by search (if wanted), then the sender itself if it holds an @."""
+    s = strip(F.coalesce(sender, F.lit("")))
+
+    def close(c: Column) -> Column:
+        return F.translate(c, " ", "")
+
+    # The variant that does not search takes what follows the first <, the other one the first <> that holds something.
+    inner = F.regexp_extract(s, "<([^>]+)>", 1) if search else F.when(F.contains(s, F.lit(">")), F.regexp_extract(s, "^[^<]*<([^>]*)", 1))
+    inner = strip(inner)
+    out = F.when(F.contains(inner, F.lit("@")), close(inner))
+    if search:
+        found = F.regexp_extract(s, "(?U)" + FALLBACK_ADDRESS, 0)
+        out = out.when(found != "", found)
+    return out.when(F.contains(s, F.lit("@")), close(s)).otherwise(F.lit(UNKNOWN))
 
 
 def combine(subject: Column, body: Column, joiner: str = "\n\n", limit: int | None = 8000) -> Column:

@@ -26,7 +26,10 @@ class Thresholds:
     @classmethod
     def read(cls, text: str | None) -> Thresholds:
         """From a JSON report; the defaults where there is none."""
-        found = json.loads(text) if text else {}
+        return cls.of_report(json.loads(text) if text else {})
+
+    @classmethod
+    def of_report(cls, found: dict) -> Thresholds:
         if "top_similarity_threshold" not in found:
             return cls()
         return cls.of(found["top_similarity_threshold"], found.get("avg_top3_threshold", cls.phish_avg))

@@ -69,7 +69,7 @@ def _paired(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return of(a), of(b)
 
 
-def paired_bootstrap(spark: SparkSession, counts: dict[tuple[int, ...], int], n: int = 1000, seed: int = 42) -> DataFrame:
+def paired_bootstrap(spark: SparkSession, counts: dict[tuple[int, ...], int], n: int = 10_000, seed: int = 42) -> DataFrame:
     """b minus a for each metric: observed, interval and p = 2 min(P(<= 0), P(>= 0)), which can exceed 1."""
     c = np.array([counts.get(((i >> 2) & 1, (i >> 1) & 1, i & 1), 0) for i in range(8)], float)
     total = int(c.sum())
@@ -88,7 +88,7 @@ def paired_bootstrap(spark: SparkSession, counts: dict[tuple[int, ...], int], n:
     return seen.join(F.broadcast(rows), "metric")
 
 
-def permutation(spark: SparkSession, counts: dict[tuple[int, ...], int], n: int = 1000, seed: int = 42) -> DataFrame:
+def permutation(spark: SparkSession, counts: dict[tuple[int, ...], int], n: int = 10_000, seed: int = 42) -> DataFrame:
     """P(|difference| >= |observed|) when each row's two predictions are swapped at random."""
     c = np.array([counts.get(((i >> 2) & 1, (i >> 1) & 1, i & 1), 0) for i in range(8)], np.int64)
     x, y = _paired(c.astype(float))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from heron.functions import pii
+from heron.functions.text import REASON_TAGS
 from heron.operators import ontology, rules
 
 ROUND = 6
@@ -40,6 +41,12 @@ _MASK = {
 _MASK["cc"] = _MASK["phone"]
 
 
+def reason_tag(column: str = "reason") -> str:
+    """The tag of a reason, the first that one of its phrases names."""
+    cases = " ".join("WHEN " + " OR ".join(f"contains(lower({column}), '{p}')" for p in phrases) + f" THEN '{tag}'" for tag, phrases in REASON_TAGS)
+    return f"CASE {cases} ELSE 'other' END"
+
+
 def redact_step(kind: str, source: str, name: str, column: str = "t") -> str:
     p = pii.PATTERNS[kind]
     return f"""

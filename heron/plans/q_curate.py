@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from heron.operators import cleaning as C, curate
 from heron.plans import oracle_base as B
+from heron.operators.vectors import contamination
 from heron.plans.book import query
+from heron.plans.q_vectors import V, knn_sql
 from heron.plans.session import table
 from heron.plans.views import vectors
 
@@ -60,7 +62,13 @@ def near_dedup_pairs(spark, sf_dir):
     return pairs.select("i", "j", F.round("similarity", 6).alias("similarity"))
 
 
-@query("near_dedup")
+#: The greedy rule in the order of the ids, one row with partners at a time.
+_KEEP = f"""{_NEAR.replace("d AS (", "RECURSIVE d AS (", 1)}, n AS (SELECT i, list(j) AS js, row_number() OVER (ORDER BY i) AS k FROM pr WHERE s >= 0.85 GROUP BY i),
+st AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS gone UNION ALL SELECT n.k, CASE WHEN list_contains(st.gone, n.i) THEN st.gone ELSE list_distinct(list_concat(st.gone, n.js)) END FROM st JOIN n ON n.k = st.k + 1),
+kept AS (SELECT u.id, NOT list_contains((SELECT gone FROM st ORDER BY k DESC LIMIT 1), u.id) AS kept FROM u)"""
+
+
+@query("near_dedup", f"WITH {_KEEP} SELECT id, kept FROM kept")
 def near_dedup(spark, sf_dir):
     u = _unique(spark, sf_dir)
     return curate.keep_first(u, curate.similar_pairs(curate.tfidf(u)))
@@ -73,11 +81,22 @@ def _stages(spark, sf_dir):
     return d.join(kept, "id", "left").join(near, "id", "left").withColumns({"exact_kept": F.coalesce("e", F.lit(False)), "near_kept": F.coalesce("kept", F.lit(True))})
 
 
-@query("dedup_report")
+def _report_sql(by):
+    return f"""WITH {_KEEP}, f AS (SELECT d.{by}, d.id = min(d.id) OVER (PARTITION BY h) AS e, coalesce(kept.kept, true) AS k FROM d LEFT JOIN kept ON kept.id = d.id)
+SELECT {by}, count(*) AS initial, CAST(sum(CAST(NOT e AS INT)) AS BIGINT) AS exact_duplicates, CAST(sum(CAST(e AND NOT k AS INT)) AS BIGINT) AS near_duplicates, CAST(sum(CAST(e AND k AS INT)) AS BIGINT) AS final, round(avg(CAST(e AND k AS INT)), 6) AS retention FROM f GROUP BY {by}"""
+
+
+@query("dedup_report", _report_sql("lang"))
 def dedup_report(spark, sf_dir):
     return curate.dedup_report(_stages(spark, sf_dir), "lang")
 
 
+@query("dedup_report_by_model", _report_sql("source"))
+def dedup_report_by_model(spark, sf_dir):
+    """The same by what made the rows."""
+    return curate.dedup_report(_stages(spark, sf_dir), "source")
+
+
 @query("exact_dedup_report", f"WITH {D}, f AS (SELECT lang, id = min(id) OVER (PARTITION BY h) AS kept FROM d) SELECT lang, count(*) AS initial, CAST(sum(CAST(NOT kept AS INT)) AS BIGINT) AS exact_duplicates, CAST(sum(CAST(kept AS INT)) AS BIGINT) AS final, round(avg(CAST(kept AS INT)), 6) AS retention FROM f GROUP BY lang")
 def exact_dedup_report(spark, sf_dir):
     d = _docs(spark, sf_dir).select("id", "lang", "h")
@@ -128,15 +147,34 @@ def diversity_metrics(spark, sf_dir):
     )
 
 
-@query("manifest_validation", f"WITH {D}, s AS (SELECT 100.0 * avg(CAST(regexp_matches(text, '(?i)https?://') AS INT)) AS url, 100.0 * count(lang) / count(*) AS prov, 100.0 * count(DISTINCT left(split_part(text, chr(10), 1), 120)) / count(*) AS subj FROM d) SELECT url >= 90 AS url_ok, prov >= 95 AS provenance_ok, subj >= 80 AS subjects_ok FROM s")
+_CLEAN = knn_sql("q.label = 1", "c.label = 0", 1, "cosine")
+
+
+@query("manifest_validation", f"WITH {D}, {V}, {_CLEAN}, s AS (SELECT 100.0 * avg(CAST(regexp_matches(text, '(?i)https?://') AS INT)) AS url, 100.0 * count(lang) / count(*) AS prov, 100.0 * count(DISTINCT left(split_part(text, chr(10), 1), 120)) / count(*) AS subj FROM d), c AS (SELECT coalesce(avg(CAST(similarity >= 0.9 AS INT)), 0) AS rate FROM nn) SELECT url >= 90 AS url_ok, prov >= 95 AS provenance_ok, subj >= 80 AS subjects_ok, rate < 0.05 AS contamination_ok FROM s, c")
 def manifest_validation(spark, sf_dir):
-    m = manifest_stats(spark, sf_dir).select("url_pct", "lang_pct")
+    m = manifest_stats(spark, sf_dir).select("url_pct", "lang_pct", "source_pct")
     v = diversity_metrics(spark, sf_dir).select("subject_pct")
-    return m.crossJoin(v).select((F.col("url_pct") >= 90).alias("url_ok"), (F.col("lang_pct") >= 95).alias("provenance_ok"), (F.col("subject_pct") >= 80).alias("subjects_ok"))
+    e = vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), "v", "label")
+    rate = contamination(e.filter("label = 1"), e.filter("label = 0")).agg(F.coalesce(F.avg(F.col("flagged").cast("int")), F.lit(0.0)).alias("rate"))
+    # One row of each.
+    return m.crossJoin(v).crossJoin(rate).select(
+        (F.col("url_pct") >= 90).alias("url_ok"), (F.least("lang_pct", "source_pct") >= 95).alias("provenance_ok"), (F.col("subject_pct") >= 80).alias("subjects_ok"), (F.col("rate") < 0.05).alias("contamination_ok")
+    )
 
 
-@query("manifest_card", "SELECT '# Corpus card' || chr(10) || 'Rows: ' || count(*) || chr(10) || 'Sources: ' || count(DISTINCT source) AS card FROM documents")
+_SHARES = "(SELECT string_agg('- ' || source || ': ' || n || ' samples (' || printf('%.1f', 100.0 * n / t) || '%)', chr(10) ORDER BY n DESC, source) FROM (SELECT source, count(*) AS n, sum(count(*)) OVER () AS t FROM documents GROUP BY source))"
+
+
+@query("manifest_card", f"""WITH {D}, s AS (SELECT count(*) AS n, count(DISTINCT source) AS sources, count(DISTINCT lang) AS langs, string_agg(DISTINCT lang, ', ' ORDER BY lang) AS names, 100.0 * avg(CAST(regexp_matches(text, '(?i)https?://') AS INT)) AS url, 100.0 * count(DISTINCT left(split_part(text, chr(10), 1), 120)) / count(*) AS subj, count(*) - count(DISTINCT h) AS copies FROM d)
+SELECT '# Corpus card' || chr(10) || 'Version: v1.0' || chr(10) || 'License: MIT' || chr(10) || chr(10) || '## Statistics' || chr(10) || 'Rows: ' || n || chr(10) || 'Sources: ' || sources || chr(10) || 'Categories: ' || langs || ' (' || names || ')' || chr(10) || 'With URL: ' || printf('%.1f', url) || '%' || chr(10)
+ || 'Unique subjects: ' || printf('%.1f', subj) || '%' || chr(10) || chr(10) || '## By source' || chr(10) || {_SHARES} || chr(10) || chr(10) || '## Deduplication' || chr(10) || 'Exact copies removed: ' || copies || chr(10) || 'Near-duplicate threshold: 0.85' AS card FROM s""")
 def manifest_card(spark, sf_dir):
-    """The filled template of a dataset card."""
-    d = table(spark, sf_dir, "documents")
-    return d.agg(F.concat(F.lit("# Corpus card\nRows: "), F.count("*").cast("string"), F.lit("\nSources: "), F.countDistinct("source").cast("string")).alias("card"))
+    """The filled template of a dataset card, from a manifest of a few values."""
+    d = _docs(spark, sf_dir)
+    subject = F.left(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(120))
+    one = d.agg(
+        F.count("*").alias("rows"), F.countDistinct("source").alias("sources"), F.array_sort(F.collect_set("lang")).alias("categories"), (100.0 * F.avg(F.col("text").rlike("(?i)https?://").cast("int"))).alias("url"),
+        (100.0 * F.countDistinct(subject) / F.count("*")).alias("subjects"), (F.count("*") - F.countDistinct("h")).alias("copies"),
+    ).first()
+    by_source = d.groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").collect()
+    return spark.createDataFrame([(curate.card(one.asDict(), [(r["source"], r["n"]) for r in by_source]),)], "card string")

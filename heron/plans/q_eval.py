@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from heron.functions.text import reason_tag
 from heron.operators import cost, evaluate as E, stats
 from heron.operators.evaluate import confusion, rounded
+from heron.operators.fusion import Thresholds
 from heron.operators.rules import RULES
 from heron.plans import oracle_base as B
 from heron.plans.book import query
+from heron.plans.session import shared_dir
 from heron.plans.q_vectors import V, fused, fused_sql, knn_sql
-from heron.plans.views import scored, vectors, with_attacks
+from heron.plans.views import scored, unnest, vectors, with_attacks
 from heron.operators.vectors import nearest
+from heron.sources.messages import read_json_object
 
 P1, P1D = B.phase1(False), B.phase1(True)
 
@@ -79,7 +86,7 @@ SELECT rule, CAST(sum(CAST(label = 1 AS INT)) AS BIGINT) AS phish, CAST(sum(CAST
 FROM s WHERE rule IS NOT NULL AND label IN (0, 1) GROUP BY rule""")
 def rule_coverage(spark, sf_dir):
     hit = F.array_compact(F.array(*(F.when(F.col(r) > 0, F.lit(r)) for r in RULES)))
-    s = scored(spark, sf_dir, dns=True).filter("label in (0, 1)").select("label", "score", F.explode(hit).alias("rule"))
+    s = unnest(scored(spark, sf_dir, dns=True).filter("label in (0, 1)").withColumn("hit", hit), "hit", "rule", "label", "score")
     on = F.col("score") >= 2
     return s.groupBy("rule").agg(
         F.count_if(F.col("label") == 1).alias("phish"), F.count_if(F.col("label") == 0).alias("benign"), F.count_if((F.col("label") == 1) & on).alias("tp"), F.count_if((F.col("label") == 0) & on).alias("fp"),
@@ -180,6 +187,19 @@ def failure_taxonomy(spark, sf_dir):
     return c.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(W.partitionBy("side")), 6))
 
 
+#: What counts as a specific citation for each tag, and what the reasons must speak of.
+CITATIONS = {
+    "AUTH": ["no mx", "missing mx", "mx missing", "mx record", "no spf", "spf not present", "spf missing", "spf record", "no dmarc", "dmarc not present", "dmarc missing", "lack of dmarc", "without dmarc", "dmarc policy", "dmarc record", ".com", ".xyz", ".net"],
+    "URL": ["ip literal", "ip address", "http://", "https://", "domain mismatch", "shortener", "shortened url", "short link", "bit.ly", "tinyurl"],
+    "URGENCY": ["urgent", "immediately", "verify", "suspended", "24 hours", "expires", "account", "action required", "confirm", "freeze", "frozen", "security check", "15min", "available", "expire in", "complete this", "detected", "keyword", "violation"],
+    "CONTENT": ["credential", "password", "verify identity", "phi"],
+}
+TOPICS = {
+    "AUTH": ["mx", "spf", "dmarc", "dns", "domain"], "URL": ["url", "link", "ip literal", "shortener", "domain mismatch"],
+    "URGENCY": ["urgency", "keyword"], "CONTENT": ["credential", "phi", "password", "verify", "identity"],
+}
+
+
 def _ground(tag, reason, low, reasons):
     """Tag-specific checks of whether an explanation cites what was found."""
     def some(words):
@@ -198,29 +218,30 @@ def _ground(tag, reason, low, reasons):
     def judge(known, supported):
         return F.when(~known, "UNKNOWN").when(supported, "SUPPORTED").otherwise("UNSUPPORTED")
 
-    # What counts as a specific citation for each tag.
-    auth = ["no mx", "missing mx", "mx missing", "mx record", "no spf", "spf not present", "spf missing", "spf record", "no dmarc", "dmarc not present", "dmarc missing", "lack of dmarc", "without dmarc", "dmarc policy", "dmarc record", ".com", ".xyz", ".net"]
-    url = ["ip literal", "ip address", "http://", "https://", "domain mismatch", "shortener", "shortened url", "short link", "bit.ly", "tinyurl"]
-    urgency = ["urgent", "immediately", "verify", "suspended", "24 hours", "expires", "account", "action required", "confirm", "freeze", "frozen", "security check", "15min", "available", "expire in", "complete this", "detected", "keyword", "violation"]
-    content = ["credential", "password", "verify identity", "phi"]
+    auth, url, urgency, content = (CITATIONS[t] for t in ("AUTH", "URL", "URGENCY", "CONTENT"))
     return (
-        F.when(tag == "AUTH", judge(some(["mx", "spf", "dmarc", "dns", "domain"]), cites(auth)))
-        .when(tag == "URL", judge(some(["url", "link", "ip literal", "shortener", "domain mismatch"]), cites(url) | reason.rlike(r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}")))
-        .when(tag == "URGENCY", judge(some(["urgency", "keyword"]), cites(urgency)))
-        .when(tag == "CONTENT", judge(some(["credential", "phi", "password", "verify", "identity"]), cites(content)))
+        F.when(tag == "AUTH", judge(some(TOPICS["AUTH"]), cites(auth)))
+        .when(tag == "URL", judge(some(TOPICS["URL"]), cites(url) | reason.rlike(r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}")))
+        .when(tag == "URGENCY", judge(some(TOPICS["URGENCY"]), cites(urgency)))
+        .when(tag == "CONTENT", judge(some(TOPICS["CONTENT"]), cites(content)))
         .when(tag == "SIMILARITY", F.when(reason.rlike(r"\d\.\d+") | cites(["similarity", "similar"]), "SUPPORTED").otherwise("UNSUPPORTED"))
         .otherwise("UNKNOWN")
     )
 
 
-_EXPLAIN = "CASE id % 6 WHEN 0 THEN '[AUTH] No SPF record' WHEN 1 THEN '[AUTH] weak auth' WHEN 2 THEN '[URL] bit.ly link' WHEN 3 THEN '[URGENCY] pushy tone' WHEN 4 THEN '[SIMILARITY] score 0.71' ELSE '[CONTENT] asks for password' END"
+#: Explanations made from a tag, a fixed phrase and some words of the message.
+_EXPLAIN = """concat(CASE id % 7 WHEN 0 THEN '[AUTH] ' WHEN 1 THEN '[URL] ' WHEN 2 THEN '[URGENCY] ' WHEN 3 THEN '[CONTENT] ' WHEN 4 THEN '[SIMILARITY] ' WHEN 5 THEN '[NEW] ' ELSE '' END,
+ CASE id % 11 WHEN 0 THEN 'No SPF record' WHEN 1 THEN 'weak auth of user@x.com' WHEN 2 THEN 'bit.ly link' WHEN 3 THEN 'pushy tone' WHEN 4 THEN 'score 0.71' WHEN 5 THEN 'asks for a Password' WHEN 6 THEN 'host 192.0.2.7'
+ WHEN 7 THEN 'Account expires' WHEN 8 THEN 'similar text' WHEN 9 THEN 'lack of DMARC' ELSE 'tone' END, ' ', right(body, 30))"""
+
+
+def _cited(tag, extra="false"):
+    return f"CASE WHEN NOT {B.any_of('rs', TOPICS[tag])} THEN 'UNKNOWN' WHEN {B.any_of('low', CITATIONS[tag])} OR {extra} THEN 'SUPPORTED' ELSE 'UNSUPPORTED' END"
 
 
-@query("groundedness_summary", f"""WITH {P1D}, e AS (SELECT regexp_extract({_EXPLAIN}, '^\\[([A-Z]+)\\]', 1) AS tag, lower({_EXPLAIN}) AS low, lower(array_to_string(reasons, '|')) AS rs FROM p1), g AS (SELECT tag, CASE
- WHEN tag = 'AUTH' THEN CASE WHEN NOT ({B.any_of('rs', ['mx', 'spf', 'dmarc', 'dns', 'domain'])}) THEN 'UNKNOWN' WHEN contains(low, 'no spf') THEN 'SUPPORTED' ELSE 'UNSUPPORTED' END
- WHEN tag = 'URL' THEN CASE WHEN NOT ({B.any_of('rs', ['url', 'link', 'ip literal', 'shortener', 'domain mismatch'])}) THEN 'UNKNOWN' ELSE 'SUPPORTED' END
- WHEN tag = 'URGENCY' THEN CASE WHEN NOT ({B.any_of('rs', ['urgency', 'keyword'])}) THEN 'UNKNOWN' ELSE 'UNSUPPORTED' END
- WHEN tag = 'CONTENT' THEN CASE WHEN NOT ({B.any_of('rs', ['credential', 'phi', 'password', 'verify', 'identity'])}) THEN 'UNKNOWN' ELSE 'SUPPORTED' END ELSE 'SUPPORTED' END AS s FROM e)
+@query("groundedness_summary", f"""WITH {P1D}, e0 AS (SELECT {_EXPLAIN} AS r, lower(array_to_string(reasons, chr(10))) AS rs FROM p1), e AS (SELECT CASE WHEN regexp_matches(r, '^\\[[A-Z]+\\]') THEN regexp_extract(r, '^\\[([A-Z]+)\\]', 1) ELSE 'OTHER' END AS tag, r, lower(r) AS low, rs FROM e0),
+g AS (SELECT tag, CASE tag WHEN 'AUTH' THEN {_cited("AUTH")} WHEN 'URL' THEN {_cited("URL", "regexp_matches(r, '[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}')")} WHEN 'URGENCY' THEN {_cited("URGENCY")} WHEN 'CONTENT' THEN {_cited("CONTENT")}
+ WHEN 'SIMILARITY' THEN CASE WHEN regexp_matches(r, '[0-9][.][0-9]+') OR contains(low, 'similar') THEN 'SUPPORTED' ELSE 'UNSUPPORTED' END ELSE 'UNKNOWN' END AS s FROM e)
 SELECT tag, count(*) AS total, CAST(sum(CAST(s = 'SUPPORTED' AS INT)) AS BIGINT) AS supported, CAST(sum(CAST(s = 'UNSUPPORTED' AS INT)) AS BIGINT) AS unsupported, CAST(sum(CAST(s = 'UNKNOWN' AS INT)) AS BIGINT) AS unknown, round(sum(CAST(s = 'SUPPORTED' AS INT)) / greatest(1, count(*)), 6) AS rate FROM g GROUP BY tag""")
 def groundedness_summary(spark, sf_dir):
     from heron.functions.text import bracket_tag
@@ -240,6 +261,18 @@ def explanation_quality(spark, sf_dir):
     )
 
 
+_TAGS = f"WITH {P1D}, t AS (SELECT {B.reason_tag()} AS tag FROM (SELECT unnest(reasons) AS reason FROM p1))"
+
+
+@query("explanation_tags", f"{_TAGS} SELECT tag, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM t), 6) AS pct, (SELECT count(DISTINCT tag) FROM t) AS unique_tags FROM t GROUP BY tag")
+def explanation_tags(spark, sf_dir):
+    """How often each tag explains a verdict, its share of all tags, and how many tags there are."""
+    n = unnest(scored(spark, sf_dir, dns=True), "reasons", "reason").groupBy(reason_tag(F.col("reason")).alias("tag")).agg(F.count("*").alias("n"))
+    # One row for each of ten tags at most.
+    every = W.partitionBy()
+    return n.select("tag", "n", F.round(100.0 * F.col("n") / F.sum("n").over(every), 6).alias("pct"), F.count("*").over(every).alias("unique_tags"))
+
+
 @query("majority_baseline", f"WITH {B.MESSAGES}, t AS (SELECT label FROM m WHERE label IS NOT NULL GROUP BY label ORDER BY count(*) DESC, label LIMIT 1), s AS (SELECT m.label, t.label AS pred FROM m, t) {metric_sql('s')}")
 def majority_baseline(spark, sf_dir):
     from heron.sources.messages import messages
@@ -342,12 +375,15 @@ def tfidf_logreg(spark, sf_dir):
     return rounded(confusion(scored_rows))
 
 
-@query("threshold_config", "SELECT CAST(0.40 AS DOUBLE) AS phish_top, CAST(0.35 AS DOUBLE) AS phish_avg, CAST(0.25 AS DOUBLE) AS review_top, CAST(0.17 AS DOUBLE) AS review_avg")
+@query("threshold_config", """WITH r AS (SELECT 'report' AS source, '{"top_similarity_threshold": 0.5, "avg_top3_threshold": 0.1}' AS j UNION ALL SELECT 'missing', '{}'), t AS (SELECT source, TRY_CAST(json_extract_string(j, '$.top_similarity_threshold') AS DOUBLE) AS p, TRY_CAST(json_extract_string(j, '$.avg_top3_threshold') AS DOUBLE) AS a FROM r)
+SELECT source, coalesce(p, 0.40) AS phish_top, coalesce(a, 0.35) AS phish_avg, CASE WHEN p IS NULL THEN 0.25 ELSE round(greatest(0.0, p - 0.15), 9) END AS review_top, CASE WHEN p IS NULL THEN 0.17 ELSE round(greatest(0.0, a - 0.18), 9) END AS review_avg FROM t""")
 def threshold_config(spark, sf_dir):
-    from heron.operators.fusion import Thresholds
-
-    t = Thresholds.read('{"top_similarity_threshold": 0.40, "avg_top3_threshold": 0.35}')
-    return spark.createDataFrame([tuple(round(x, 9) for x in (t.phish_top, t.phish_avg, t.review_top, t.review_avg))], "phish_top double, phish_avg double, review_top double, review_avg double")
+    """Thresholds from a report in the store, and the defaults where there is none."""
+    path = f"{shared_dir(spark)}/thresholds-{uuid.uuid4().hex}"
+    spark.createDataFrame([('{"top_similarity_threshold": 0.5,\n "avg_top3_threshold": 0.1}',)], "value string").write.text(path)
+    found = [("report", Thresholds.of_report(read_json_object(spark, path))), ("missing", Thresholds.of_report(read_json_object(spark, path + "-none")))]
+    rows = [(name, *(round(x, 9) for x in (t.phish_top, t.phish_avg, t.review_top, t.review_avg))) for name, t in found]
+    return spark.createDataFrame(rows, "source string, phish_top double, phish_avg double, review_top double, review_avg double")
 
 
 @query("k_ablation_ontology", f"WITH {P1D}, {B.ontology_ctes()}, a AS (SELECT DISTINCT id FROM attacks), s AS (SELECT label, CAST(score >= 5 OR (score >= 2 AND a.id IS NOT NULL) AS INT) AS pred FROM p1 LEFT JOIN a ON a.id = p1.id) {metric_sql('s')}")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from heron.functions import text as X
 from heron.operators.cleaning import integer
+from heron.operators.ranks import quantiles
 from heron.plans import oracle_base as B
 from heron.plans.book import query
 from heron.plans.session import table
@@ -147,9 +148,10 @@ def by_hash(seed: int, c="id"):
 
 @query("random_examples", f"{M}, top AS ({_DOMAINS} 10) SELECT id, sender_email, left(body, 1200) AS body, coalesce(msg_date, created_at) AS ts FROM m WHERE lower(split_part(sender_email, '@', 2)) IN (SELECT sender_domain FROM top) ORDER BY md5('7:' || id), id LIMIT 20")
 def random_examples(spark, sf_dir, limit: int = 20, seed: int = 7):
-    """A sample from the ten most frequent domains, by semi-join; the limit is held between 1 and 100."""
+    """A sample from the ten most frequent domains, by semi-join, or from all rows where there is no domain; the limit is held between 1 and 100."""
     m = messages(spark, sf_dir).withColumn("sender_domain", X.domain_first(F.col("sender_email")))
-    some = m.join(top_domains(m, 10).select("sender_domain"), "sender_domain", "left_semi")
+    top = top_domains(m, 10).select("sender_domain")
+    some = m if top.isEmpty() else m.join(top, "sender_domain", "left_semi")
     return some.orderBy(by_hash(seed), "id").limit(min(100, max(1, limit))).select("id", "sender_email", F.left("body", F.lit(1200)).alias("body"), F.coalesce("msg_date", "created_at").alias("ts"))
 
 
@@ -176,6 +178,22 @@ def history_stats(spark, sf_dir):
     return scored(spark, sf_dir, dns=True).agg(F.count("*").alias("total"), F.count_if(bad).alias("phish"), F.count_if(~bad).alias("benign"))
 
 
+@query("history_pages", f"{M}, h AS (SELECT id, row_number() OVER (ORDER BY coalesce(msg_date, created_at) DESC, id DESC) - 1 AS k FROM m QUALIFY k < 500) SELECT CAST(k // 4 AS INT) AS page, list(id ORDER BY k) AS ids FROM h GROUP BY 1")
+def history_pages(spark, sf_dir, size: int = 4):
+    """The history's newest rows in pages of four."""
+    newest = history_newest(spark, sf_dir)
+    # At most 500 rows.
+    k = newest.withColumn("k", F.row_number().over(W.orderBy(F.desc("saved_at"), F.desc("id"))) - 1)
+    pages = k.groupBy(F.floor(F.col("k") / size).cast("int").alias("page")).agg(F.array_sort(F.collect_list(F.struct("k", "id"))).alias("x"))
+    return pages.select("page", F.transform("x", lambda x: x["id"]).alias("ids"))
+
+
+@query("head_rows", "SELECT doc_id AS id, lang FROM documents ORDER BY doc_id LIMIT 100")
+def head_rows(spark, sf_dir, limit: int = 100):
+    """The first rows in the order of the ids; the limit is the feature."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang").orderBy("id").limit(limit)
+
+
 @query("history_newest", f"{M} SELECT id, coalesce(msg_date, created_at) AS saved_at FROM m ORDER BY 2 DESC, id DESC LIMIT 500")
 def history_newest(spark, sf_dir):
     """The history's newest rows; its length is the feature."""
@@ -188,7 +206,15 @@ def event_series_daily(spark, sf_dir):
     return e.groupBy(F.to_date("ts").alias("d"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.sum(F.get_json_object("props", "$.k").cast("int")).alias("k_sum"))
 
 
-@query("numeric_describe", f"{M} SELECT count(label) AS n, round(avg(label), 6) AS mean, round(stddev_samp(label), 6) AS std, min(label) AS min, quantile_cont(label, 0.25) AS p25, quantile_cont(label, 0.5) AS p50, quantile_cont(label, 0.75) AS p75, max(label) AS max FROM m")
+_NUMERIC = ["id", "urls", "label"]
+_DESCRIBE = " UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, CAST(min({c}) AS DOUBLE) AS min, CAST(quantile_cont({c}, 0.25) AS DOUBLE) AS p25, CAST(quantile_cont({c}, 0.5) AS DOUBLE) AS p50, CAST(quantile_cont({c}, 0.75) AS DOUBLE) AS p75, CAST(max({c}) AS DOUBLE) AS max FROM m" for c in _NUMERIC)
+
+
+@query("numeric_describe", f"{M} {_DESCRIBE}")
 def numeric_describe(spark, sf_dir):
-    c = F.col("label")
-    return messages(spark, sf_dir).agg(F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_samp(c), 6).alias("std"), F.min(c).alias("min"), *(F.percentile(c, F.lit(p)).alias(a) for p, a in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))), F.max(c).alias("max"))
+    """Every numeric column described: moments in one pass, quantiles by rank."""
+    rows = messages(spark, sf_dir).select(*_NUMERIC)
+    one = rows.agg(*(F.struct(F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_samp(c), 6).alias("std"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max")).alias(c) for c in _NUMERIC))
+    at = {c: quantiles(rows, c, [0.25, 0.5, 0.75]) for c in _NUMERIC}
+    each = [F.struct(F.lit(c).alias("column_name"), F.col(c).alias("x"), *(F.lit(q).cast("double").alias(n) for n, q in zip(("p25", "p50", "p75"), at[c], strict=True))) for c in _NUMERIC]
+    return one.select(F.explode(F.array(*each)).alias("d")).select("d.column_name", "d.x.*", "d.p25", "d.p50", "d.p75")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from heron.functions import pii
@@ -9,7 +11,9 @@ from heron.functions.pii import redact
 from heron.operators import ontology, rules
 from heron.plans import oracle_base as B
 from heron.plans.book import query
-from heron.plans.views import BRANDS, scored, with_attacks
+from heron.plans.session import shared_dir
+from heron.plans.views import BRANDS, scored, unnest, with_attacks
+from heron.sources import sinks
 from heron.sources.messages import dns_facts, messages
 
 P1, P1D = B.phase1(False), B.phase1(True)
@@ -51,7 +55,7 @@ def redact_neighbors(spark, sf_dir):
 c AS (SELECT t, {" + ".join(f"len(regexp_extract_all(t, '(?i){p}'))" for p in pii.EXPOSURE.values())} AS n FROM t)
 SELECT count(*) AS emails, CAST(sum(n) AS BIGINT) AS phi_patterns, CAST(sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) AS BIGINT) AS emails_with_phi,
  round(avg(CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END), 6) AS exposure_rate, CAST(sum(length(t)) AS BIGINT) AS total_chars, round(avg(length(t)), 6) AS avg_chars,
- round(sum(length(t)) / 4.0 * 0.15 / 1000000, 6) AS input_cost FROM c""")
+ round(sum(length(t)) / 4.0 * 0.15 / 1000000, 6) AS input_cost, round(count(*) * 200 * 0.60 / 1000000, 6) AS output_cost FROM c""")
 def phi_exposure(spark, sf_dir):
     text = F.concat("subject", F.lit("\n\n"), "body")
     rows = messages(spark, sf_dir).select(text.alias("t")).withColumn("n", pii.exposure_count(F.col("t")))
@@ -59,9 +63,20 @@ def phi_exposure(spark, sf_dir):
         F.count("*").alias("emails"), F.sum("n").cast("long").alias("phi_patterns"), F.count_if(F.col("n") > 0).alias("emails_with_phi"),
         F.round(F.avg((F.col("n") > 0).cast("double")), 6).alias("exposure_rate"), F.sum(F.length("t")).cast("long").alias("total_chars"),
         F.round(F.avg(F.length("t")), 6).alias("avg_chars"), F.round(F.sum(F.length("t")) / 4.0 * 0.15 / 1000000, 6).alias("input_cost"),
+        F.round(F.count("*") * 200 * 0.60 / 1000000, 6).alias("output_cost"),
     )
 
 
+_TOTALS = [f"n_{k}" for k in pii.PATTERNS] + ["n_pii"]
+
+
+@query("pii_running_window", f"WITH {B.MESSAGES}, {B.redaction()} SELECT id, {', '.join(f'CAST(sum({c}) OVER (PARTITION BY created_by ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS total_{c}' for c in _TOTALS)} FROM red")
+def pii_running_window(spark, sf_dir):
+    """The totals so far as a batch of rows is worked off, one batch for each creator."""
+    rows = redact(messages(spark, sf_dir)).select("id", "created_by", *_TOTALS)
+    return sinks.running_totals(rows, "created_by", "id", _TOTALS).select("id", *(f"total_{c}" for c in _TOTALS))
+
+
 @query("pii_running_totals", f"WITH {B.MESSAGES}, {B.redaction()} SELECT created_by, CAST(sum(n_email) AS BIGINT) AS email, CAST(sum(n_phone) AS BIGINT) AS phone, CAST(sum(n_ssn) AS BIGINT) AS ssn, CAST(sum(n_cc) AS BIGINT) AS cc, CAST(sum(n_dob) AS BIGINT) AS dob FROM red GROUP BY created_by")
 def pii_running_totals(spark, sf_dir):
     """Redaction totals of each batch of rows."""
@@ -113,13 +128,13 @@ def weight_variants(spark, sf_dir):
 
 @query("reason_counts", f"WITH {P1D} SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM p1) GROUP BY reason")
 def reason_counts(spark, sf_dir):
-    return scored(spark, sf_dir, dns=True).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")
+    return unnest(scored(spark, sf_dir, dns=True), "reasons", "reason").groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")
 
 
 @query("evidence_rows", f"WITH {P1D} SELECT id AS message_id, 'rule_hit' AS kind, reason AS ref_id, CAST(score AS DECIMAL(6,4)) AS score FROM (SELECT id, score, unnest(reasons) AS reason FROM p1)")
 def evidence_rows(spark, sf_dir):
     """Child rows of the evidence table, one for each reason."""
-    rows = scored(spark, sf_dir, dns=True).select("id", "score", F.explode("reasons").alias("reason"))
+    rows = unnest(scored(spark, sf_dir, dns=True), "reasons", "reason", "id", "score")
     return rows.select(F.col("id").alias("message_id"), F.lit("rule_hit").alias("kind"), F.col("reason").alias("ref_id"), F.col("score").cast("decimal(6,4)").alias("score"))
 
 
@@ -144,7 +159,7 @@ def ontology_indicators(spark, sf_dir):
 
 @query("infer_attacks", f"WITH {P1D}, {B.ontology_ctes()} SELECT id, attack_type, round(confidence, 6) AS confidence FROM attacks")
 def infer_attacks(spark, sf_dir):
-    return with_attacks(spark, sf_dir).select("id", F.explode("attacks").alias("a")).select("id", "a.attack_type", F.round("a.confidence", 6).alias("confidence"))
+    return unnest(with_attacks(spark, sf_dir), "attacks", "a", "id").select("id", "a.attack_type", F.round("a.confidence", 6).alias("confidence"))
 
 
 _RULE_TEXT = "CASE b.attack_type " + " ".join(f"WHEN '{a}' THEN '{ontology._rule_text(x, y)}'" for a, (x, y) in ontology.ATTACKS.items()) + " END"
@@ -175,7 +190,7 @@ def ontology_coverage(spark, sf_dir):
 
 @query("ontology_type_counts", f"WITH {P1D}, {B.ontology_ctes()} SELECT attack_type, count(*) AS n, round(avg(confidence), 6) AS avg_confidence FROM attacks GROUP BY attack_type")
 def ontology_type_counts(spark, sf_dir):
-    return with_attacks(spark, sf_dir).select(F.explode("attacks").alias("a")).groupBy("a.attack_type").agg(F.count("*").alias("n"), F.round(F.avg("a.confidence"), 6).alias("avg_confidence"))
+    return unnest(with_attacks(spark, sf_dir), "attacks", "a").groupBy("a.attack_type").agg(F.count("*").alias("n"), F.round(F.avg("a.confidence"), 6).alias("avg_confidence"))
 
 
 @query("ontology_stats", f"SELECT {len(ontology.ATTACKS)} AS n_classes, {len(set(ontology.PROPERTIES.values()))} AS n_properties, {sum(len(a) + len(b) for a, b in ontology.ATTACKS.values())} AS n_conditions")
@@ -187,22 +202,55 @@ def ontology_stats(spark, sf_dir):
     )
 
 
-@query("failed_checks", "SELECT CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS check_name WHERE false")
+#: The kinds of evidence that the store knows.
+KINDS = ["rule_hit", "retrieval_neighbor", "pii_match", "model_reason"]
+#: Messages of which some break each constraint, by their ids.
+_DAMAGED = {
+    "urls": "CASE WHEN id % 11 = 3 THEN 2 ELSE urls END", "label": "CASE WHEN id % 13 = 5 THEN -1 ELSE label END", "sender_email": "CASE WHEN id % 19 <> 2 THEN sender_email END",
+    "verdict": "CASE WHEN id % 17 = 4 THEN 'unsure' WHEN id % 5 <> 0 THEN 'benign' END", "kind": "CASE WHEN id % 23 = 6 THEN 'guess' ELSE 'pii_match' END",
+}
+
+
+def _damaged(spark, sf_dir):
+    return messages(spark, sf_dir).select("id", *(F.expr(e).alias(c) for c, e in _DAMAGED.items()))
+
+
+def store_checks():
+    """The store's constraints by name."""
+    return {
+        "urls": F.col("urls").isin(0, 1), "label": F.col("label").isin(0, 1), "verdict": F.col("verdict").isin(*rules.VERDICTS),
+        "kind": F.col("kind").isin(*KINDS), "sender_email": F.col("sender_email").isNotNull(),
+    }
+
+
+_DAMAGED_SQL = f"WITH {B.MESSAGES}, x AS (SELECT id, {', '.join(f'{e} AS {c}' for c, e in _DAMAGED.items())} FROM m)"
+_FAILED = {"urls": "urls NOT IN (0, 1)", "label": "label NOT IN (0, 1)", "verdict": "verdict NOT IN ('benign', 'needs_review', 'phishing')", "kind": "kind NOT IN ('rule_hit', 'retrieval_neighbor', 'pii_match', 'model_reason')", "sender_email": "sender_email IS NULL"}
+
+
+@query("failed_checks", f"{_DAMAGED_SQL} " + " UNION ALL ".join(f"SELECT id, '{c}' AS check_name FROM x WHERE {e}" for c, e in _FAILED.items()))
 def failed_checks(spark, sf_dir):
     """Rows that break the store's constraints, with the constraint's name."""
-    bad = F.array_compact(F.array(
-        F.when(~F.col("urls").isin(0, 1), "urls"), F.when(F.col("label").isNotNull() & ~F.col("label").isin(0, 1), "label"),
-        F.when(~F.col("verdict").isin(*rules.VERDICTS), "verdict"), F.when(F.col("sender_email").isNull(), "sender_email"),
-    ))
-    return scored(spark, sf_dir).select("id", F.explode(bad).alias("check_name"))
+    rows = _damaged(spark, sf_dir).withColumn("failed", sinks.failed_checks(store_checks()))
+    return unnest(rows, "failed", "check_name", "id")
+
+
+@query("append_checked", f"{_DAMAGED_SQL}, f AS (SELECT id, " + " OR ".join(f"coalesce({e}, false)" for e in _FAILED.values()) + " AS bad FROM x) SELECT bad AS rejected, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM f GROUP BY bad")
+def append_checked(spark, sf_dir):
+    """Rows appended to a table in two batches; those that fail a check land beside it and keep none back."""
+    path = f"{shared_dir(spark)}/append-{uuid.uuid4().hex}"
+    rows = _damaged(spark, sf_dir)
+    for half in (0, 1):
+        sinks.append_table(rows.filter(F.col("id") % 2 == half), path, store_checks())
+    both = spark.read.parquet(path).select("id", F.lit(False).alias("rejected")).unionByName(spark.read.parquet(f"{path}_rejected").select("id", F.lit(True).alias("rejected")))
+    return both.groupBy("rejected").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
-@query("reasons_capped", f"WITH {P1D} SELECT id, CASE WHEN len(reasons) > 2 THEN list_concat(reasons[1:1], [reasons[-1]]) ELSE reasons END AS shown FROM p1")
-def reasons_capped(spark, sf_dir, most: int = 2):
-    """What a card with room for so many reasons shows: the first ones and always the last."""
-    r = F.col("reasons")
+@query("reasons_capped", f"WITH {P1D}, {B.ontology_ctes()}, r AS (SELECT id, list_concat(reasons, properties) AS r FROM o0) SELECT id, CASE WHEN len(r) > 5 THEN list_append(r[1:4], r[-1]) ELSE r END AS shown FROM r")
+def reasons_capped(spark, sf_dir, most: int = 5):
+    """What a card with room for so many lines shows of reasons and properties: the first ones and always the last."""
+    r = F.col("r")
     shown = F.when(F.size(r) > most, F.concat(F.slice(r, 1, most - 1), F.slice(r, -1, 1))).otherwise(r)
-    return scored(spark, sf_dir, dns=True).select("id", shown.alias("shown"))
+    return scored(spark, sf_dir, dns=True).select("id", F.concat("reasons", ontology.properties()).alias("r")).select("id", shown.alias("shown"))
 
 
 @query("indicator_struct", f"WITH {P1D} SELECT id, sender_domain, CASE WHEN urgency > 0 THEN true END AS urgency, CASE WHEN creds_request > 0 THEN true END AS creds_request, CASE WHEN domain_mismatch THEN true END AS domain_mismatch, len(link_hosts) AS n_hosts FROM p1")

@@ -11,9 +11,9 @@ from heron.operators import align, cleaning as C
 from heron.plans import oracle_base as B
 from heron.plans.book import query
 from heron.plans.session import shared_dir, table
-from heron.plans.views import vectors
+from heron.plans.views import BRANDS, scored, unnest, vectors
 from heron.sources import sinks
-from heron.sources.messages import messages, read_browser_csv, read_csv, read_jsonl
+from heron.sources.messages import MESSAGE_TYPES, browser_rows, messages, read_csv, read_jsonl, without_bad_bytes
 
 M = f"WITH {B.MESSAGES}"
 
@@ -44,10 +44,30 @@ def scan_jsonl(spark, sf_dir):
     return read_jsonl(spark, path).select("subject", "body", "label", "created_by", F.size("emotions").alias("n_emotions"))
 
 
-@query("scan_browser_csv", f"{M} SELECT id, CASE WHEN urls = 1 OR regexp_matches(subject || ' ' || body, '(?i)https?://|www[.]') THEN 1 ELSE 0 END AS url FROM m WHERE id % 6 <> 0 AND trim(subject) <> '' AND trim(body) <> ''")
+#: Lines of a browser's table: quoted fields with commas and doubled quotes, short rows, blanks, a carriage return at the end.
+_LINE = """concat(CASE WHEN id % 6 = 0 THEN '' ELSE concat('u', id) END, ',,"', replace(subject, '"', '""'), '","say ""hi"", ', replace(replace(body, chr(10), ' '), '"', '""'), '"',
+ CASE WHEN id % 4 = 0 THEN '' WHEN id % 4 = 1 THEN ', 1 ' ELSE ',0' END, CASE WHEN id % 3 = 0 THEN chr(13) ELSE '' END)"""
+
+
+@query("scan_browser_csv", f"""{M} SELECT 'u' || id AS sender, regexp_replace(subject, '^\\s+|\\s+$', '', 'g') AS subject, regexp_replace('say "hi", ' || replace(body, chr(10), ' '), '^\\s+|\\s+$', '', 'g') AS body,
+ CASE WHEN id % 4 = 1 OR regexp_matches(body, '(?i)https?://|www[.]') THEN 1 ELSE 0 END AS url FROM m WHERE id % 6 <> 0 AND regexp_replace(subject, '^\\s+|\\s+$', '', 'g') <> ''""")
 def scan_browser_csv(spark, sf_dir):
-    rows = messages(spark, sf_dir).select("id", F.when(F.col("id") % 6 != 0, F.col("sender_email")).alias("sender"), F.lit("").alias("receiver"), "subject", "body", F.col("urls").cast("string").alias("url"))
-    return read_browser_csv(rows).select("id", "url")
+    """Messages written as lines of a browser's table and read again, quote by quote."""
+    path = _temp(spark, "browser")
+    messages(spark, sf_dir).select(F.expr(_LINE).alias("value")).write.option("lineSep", "\n").text(path)
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return browser_rows(lines, "Sender, receiver,subject ,BODY,url").select("sender", "subject", "body", "url")
+
+
+@query("scan_tolerant", "SELECT 'row ' || doc_id AS subject, CAST(doc_id % 5 AS VARCHAR) AS label FROM documents")
+def scan_tolerant(spark, sf_dir):
+    """CSV with bytes that are no UTF-8, which are left out."""
+    path = _temp(spark, "bytes")
+    row = F.concat(F.lit("row ").cast("binary"), F.when(F.col("doc_id") % 2 == 0, F.unhex(F.lit("FF"))).otherwise(F.lit("").cast("binary")), F.concat(F.col("doc_id").cast("string"), F.lit(","), (F.col("doc_id") % 5).cast("string")).cast("binary"))
+    # Latin-1 writes each byte as it is.
+    table(spark, sf_dir, "documents").select(F.decode(row, "ISO-8859-1").alias("value")).write.option("encoding", "ISO-8859-1").csv(path, quote="", escape="", sep="\t")
+    rows = spark.read.schema("subject string, label string").csv(path)
+    return without_bad_bytes(rows)
 
 
 @query("backfill_targets", f"{M}, e AS (SELECT m.id, m.subject, m.body FROM m LEFT JOIN embeddings v ON v.vec_id = m.id WHERE v.vec_id IS NULL) SELECT id, 'doc' AS target, CAST(length(left(regexp_replace(subject || chr(10) || chr(10) || body, '^\\s+|\\s+$', '', 'g'), 8000)) AS INT) AS n FROM e UNION ALL SELECT id, 'subject', CAST(length(left(regexp_replace(subject, '^\\s+|\\s+$', '', 'g'), 8000)) AS INT) AS n FROM e WHERE n > 0")
@@ -116,6 +136,11 @@ def coerce_int(spark, sf_dir):
     return messages(spark, sf_dir).select("id", C.integer(F.expr(_RAW)).alias("n"))
 
 
+@query("coerce_float", f"{M} SELECT id, coalesce(CAST(trunc(TRY_CAST(trim({_RAW}) AS DOUBLE)) AS BIGINT), 0) AS n FROM m")
+def coerce_float(spark, sf_dir):
+    return messages(spark, sf_dir).select("id", C.truncated(F.expr(_RAW)).alias("n"))
+
+
 @query("clean_corpus", f"{M}, s AS (SELECT id, {_SENDER} AS sender, {_RAW} AS raw FROM m) SELECT count(*) AS n, count(CASE WHEN trim(sender) <> '' THEN 1 END) AS senders, CAST(sum(CASE WHEN TRY_CAST(trim(raw) AS DOUBLE) >= 1 THEN 1 ELSE 0 END) AS BIGINT) AS urls, count(CASE WHEN trunc(TRY_CAST(trim(raw) AS DOUBLE)) IN (0, 1) THEN 1 END) AS labels, 9 AS n_columns FROM s")
 def clean_corpus(spark, sf_dir):
     raw = messages(spark, sf_dir).select(F.expr(_SENDER).alias("sender"), "subject", "body", F.expr(_RAW).alias("urls"), F.expr(_RAW).alias("label"))
@@ -133,9 +158,17 @@ def sender_domain_rsplit(spark, sf_dir):
     return messages(spark, sf_dir).select("id", X.domain_last(F.expr(_SENDER)).alias("domain"))
 
 
-@query("clean_sender_fallback", f"{M}, s AS (SELECT id, {_SENDER} AS s FROM m) SELECT id, CASE WHEN contains(replace(regexp_extract(s, '<([^>]*)>', 1), ' ', ''), '@') THEN replace(regexp_extract(s, '<([^>]*)>', 1), ' ', '') WHEN regexp_extract(s, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}') <> '' THEN regexp_extract(s, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}') WHEN contains(s, '@') THEN s ELSE 'unknown@example.com' END AS sender FROM s")
+_ODD_SENDER = "CASE id % 6 WHEN 0 THEN 'User < ' || replace(sender_email, '@', ' @') || ' >' WHEN 1 THEN 'mail ' || sender_email || ' now' WHEN 2 THEN '  ' WHEN 3 THEN 'no address' WHEN 4 THEN 'a <none> b@c' ELSE sender_email || ' <x@y' END"
+_FALLBACK = "[\\w\\.-]+@[\\w\\.-]+\\.[a-zA-Z]{2,}"
+
+
+@query("clean_sender_fallback", f"""{M}, s AS (SELECT id, trim({_ODD_SENDER}) AS s FROM m), i AS (SELECT *, regexp_extract(s, '<([^>]+)>', 1) AS inside, CASE WHEN contains(s, '>') THEN regexp_extract(s, '^[^<]*<([^>]*)', 1) ELSE '' END AS after, regexp_extract(s, '{_FALLBACK}') AS found FROM s)
+SELECT id, CASE WHEN contains(inside, '@') THEN replace(inside, ' ', '') WHEN found <> '' THEN found WHEN contains(s, '@') THEN replace(s, ' ', '') ELSE 'unknown@example.com' END AS searched,
+ CASE WHEN contains(after, '@') THEN replace(after, ' ', '') WHEN contains(s, '@') THEN replace(s, ' ', '') ELSE 'unknown@example.com' END AS split FROM i""")
 def clean_sender_fallback(spark, sf_dir):
-    return messages(spark, sf_dir).select("id", C.sender_fallback(F.expr(_SENDER)).alias("sender"))
+    """Both variants: with a search for an address, and without."""
+    s = F.expr(_ODD_SENDER)
+    return messages(spark, sf_dir).select("id", C.sender_fallback(s).alias("searched"), C.sender_fallback(s, search=False).alias("split"))
 
 
 @query("url_flag_variants", f"{M} SELECT id, urls AS csv_flag, CAST(regexp_matches(subject || chr(10) || body, '(?i)(https?://|www\\.)\\S+') AS INT) AS text_flag, CAST(contains(lower(subject || ' ' || body), 'http') AS INT) AS http_flag, CAST(regexp_matches(body, '(?i)https?://|www\\.') AS INT) AS ui_flag FROM m")
@@ -209,19 +242,28 @@ def parse_dmarc_policy(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), X.dmarc_policy(F.expr(_RECORD)).alias("policy"))
 
 
-@query("extract_urls", "SELECT page_id AS id, url AS urls FROM pages")
-def extract_urls(spark, sf_dir):
-    """URLs found again in text around them; the text repeats each and holds a bare domain and a number."""
+#: A URL at the end of a text loses marks and slashes that end it; before other text it keeps all up to the white space.
+_AT_END = "regexp_replace(url, '[^A-Za-z0-9_]+$', '')"
+
+
+def _around(spark, sf_dir):
+    """Pages' URLs in text: each twice, the second time with a full stop at the end of the text; a bare domain, a number and an address between."""
     p = table(spark, sf_dir, "pages")
-    text = F.concat(F.lit("See "), "url", F.lit(" or 4.5 and again "), "url", F.lit(" at example.org now"))
-    return p.select(F.col("page_id").alias("id"), X.extract_urls(text).alias("urls"))
+    return p.select(F.col("page_id").alias("id"), F.concat(F.lit("See "), "url", F.lit(" or 4.5 at example.org, 10.0.0.1:80 or http://192.0.2.7/a and "), "url", F.lit(".")).alias("text"))
+
+
+def _urls_sql(plain):
+    return f"SELECT page_id AS id, url || '{plain},http://192.0.2.7/a' || CASE WHEN {_AT_END} <> url THEN ',' || {_AT_END} ELSE '' END AS urls FROM pages"
+
+
+@query("extract_urls", _urls_sql(""))
+def extract_urls(spark, sf_dir):
+    return _around(spark, sf_dir).select("id", X.extract_urls(F.col("text")).alias("urls"))
 
 
-@query("extract_urls_any", "SELECT page_id AS id, url || ',example.org' AS urls FROM pages")
+@query("extract_urls_any", _urls_sql(",example.org"))
 def extract_urls_any(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    text = F.concat(F.lit("See "), "url", F.lit(" or 4.5 and again "), "url", F.lit(" at example.org now"))
-    return p.select(F.col("page_id").alias("id"), X.extract_urls(text, require_netloc=False).alias("urls"))
+    return _around(spark, sf_dir).select("id", X.extract_urls(F.col("text"), require_netloc=False).alias("urls"))
 
 
 @query("content_hash", f"{M} SELECT id, sha256(subject || '||' || body) AS hash, left(md5(body), 8) AS short_hash FROM m")
@@ -235,14 +277,9 @@ def extract_tag(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), X.bracket_tag(reason).alias("tag"))
 
 
-_TAG = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(reason), '{p}')" for p in ps) + f" THEN '{t}'" for t, ps in X.REASON_TAGS) + " ELSE 'other' END"
-
-
-@query("reason_tag", f"WITH {B.phase1(True)} SELECT tag, count(*) AS n FROM (SELECT {_TAG} AS tag FROM (SELECT unnest(reasons) AS reason FROM p1)) GROUP BY tag")
+@query("reason_tag", f"WITH {B.phase1(True)} SELECT tag, count(*) AS n FROM (SELECT {B.reason_tag()} AS tag FROM (SELECT unnest(reasons) AS reason FROM p1)) GROUP BY tag")
 def reason_tag(spark, sf_dir):
-    from heron.plans.views import scored
-
-    r = scored(spark, sf_dir, dns=True).select(F.explode("reasons").alias("reason"))
+    r = unnest(scored(spark, sf_dir, dns=True), "reasons", "reason")
     return r.groupBy(X.reason_tag(F.col("reason")).alias("tag")).agg(F.count("*").alias("n"))
 
 
@@ -307,7 +344,41 @@ def merge_ranges(spark, sf_dir):
     return align.merge_ranges(e.select(F.col("user_id").alias("id"), s.alias("start"), (s + F.col("event_id") % 7).alias("end"), (F.col("event_id") % 5 == 0).alias("strong")))
 
 
-@query("ctf_flags", "SELECT doc_id AS id, left(sha256('flag:' || doc_id), 12) AS token FROM documents")
+#: Any key will do here; a service reads its own from its surroundings.
+_KEY = "devsecret"
+_PADS = ["".join(f"{b ^ pad:02x}" for b in _KEY.encode().ljust(64, b"\0")) for pad in (0x36, 0x5C)]
+
+
+@query("ctf_flags", f"SELECT doc_id AS id, left(sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode(lang || ':' || doc_id || ':' || left(text, 20))))), 12) AS token FROM documents")
 def ctf_flags(spark, sf_dir):
-    """Twelve hex digits that stand for a solved item."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.left(F.sha2(F.concat(F.lit("flag:"), F.col("doc_id").cast("string")), 256), F.lit(12)).alias("token"))
+    """The first twelve hex digits of a keyed digest of user, item and answer."""
+    message = F.concat("lang", F.lit(":"), F.col("doc_id").cast("string"), F.lit(":"), F.left("text", F.lit(20)))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.left(X.hmac_sha256(_KEY, message), F.lit(12)).alias("token"))
+
+
+_S = f"WITH {B.phase1(False)}"
+
+
+@query("stream_verdicts", f"{_S} SELECT id, score, verdict FROM p1")
+def stream_verdicts(spark, sf_dir):
+    """Verdicts of a stream that takes all there is and ends."""
+    from heron.streaming.messages import score_stream
+
+    return _stream(spark, messages(spark, sf_dir).select(*MESSAGE_TYPES.names), lambda s: score_stream(s, BRANDS).select("id", "score", "verdict"))
+
+
+@query("stream_daily", "WITH e AS (SELECT CAST(ts AS DATE) AS d, event_type, ts FROM events), top AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM e) SELECT d, event_type, count(*) AS n FROM e, top WHERE CAST(d AS TIMESTAMP) + INTERVAL 1 DAY <= mark GROUP BY d, event_type")
+def stream_daily(spark, sf_dir):
+    """The days that the watermark has passed when a stream of all events ends."""
+    from heron.streaming.messages import daily_series
+
+    return _stream(spark, table(spark, sf_dir, "events").select("ts", "event_type"), lambda s: daily_series(s, "ts", "event_type"))
+
+
+def _stream(spark, rows, change):
+    """What a stream over the rows' files writes until it has taken them all, read back from its sink."""
+    source, sink = _temp(spark, "stream-in"), _temp(spark, "stream-out")
+    rows.write.parquet(source)
+    out = change(spark.readStream.schema(rows.schema).parquet(source))
+    out.writeStream.format("parquet").option("checkpointLocation", f"{sink}-state").trigger(availableNow=True).start(sink).awaitTermination()
+    return spark.read.schema(out.schema).parquet(sink)

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from heron.functions import text as X
 from heron.operators import fusion
+from heron.operators.ranks import quantiles
 from heron.operators.vectors import contamination, nearest, similarity_stats
 from heron.plans import oracle_base as B
 from heron.plans.book import query
+from heron.plans.session import cut
 from heron.plans.views import scored, vectors, with_attacks
 
 V = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)"
@@ -75,10 +77,11 @@ def contamination_query(spark, sf_dir):
 def contamination_stats(spark, sf_dir):
     v = _ids(vectors(spark, sf_dir))
     s = F.col("max_similarity")
-    return contamination(v.filter("label = 1"), v.filter("label = 0"), 0.25).agg(
+    found = cut(contamination(v.filter("label = 1"), v.filter("label = 0"), 0.25), "contamination")
+    at = zip(("median", "p95", "p99"), quantiles(found, "max_similarity", [0.5, 0.95, 0.99]), strict=True)
+    return found.agg(
         F.round(F.min(s), 6).alias("min"), F.round(F.max(s), 6).alias("max"), F.round(F.avg(s), 6).alias("mean"),
-        *(F.round(F.percentile(s, F.lit(p)), 6).alias(n) for p, n in ((0.5, "median"), (0.95, "p95"), (0.99, "p99"))),
-        F.count_if("flagged").alias("flagged"), F.count("*").alias("n"),
+        *(F.round(F.lit(x).cast("double"), 6).alias(n) for n, x in at), F.count_if("flagged").alias("flagged"), F.count("*").alias("n"),
     )
 
 
@@ -110,7 +113,7 @@ def fused(spark, sf_dir, k=8, thresholds=fusion.Thresholds()):
     count = v.count()
     p1 = scored(spark, sf_dir, dns=True).withColumn("n_vectors", F.lit(count)).withColumn("vec_id", F.when(n > 0, F.col("id") % n))
     near = similarity_stats(nearest(v, v.filter("label = 1"), k))
-    overall = nearest(v, v, k).groupBy("query_id").agg(F.max("similarity").alias("top_all"))
+    overall = nearest(v, v, 1).select("query_id", F.col("similarity").alias("top_all"))
     joined = p1.join(near, p1.vec_id == near.query_id, "left").drop("query_id").join(overall, p1.vec_id == overall.query_id, "left")
     top, avg3, any_n = F.coalesce("top_sim", F.lit(0.0)), F.coalesce("avg_top3", F.lit(0.0)), F.coalesce("top_all", F.lit(0.0))
     out = joined.withColumns({
@@ -192,6 +195,14 @@ def evidence_block(spark, sf_dir):
     return pairs.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "; ").alias("evidence"))
 
 
+@query("neighbors_shown", f"""WITH {V}, {knn_sql('q.label <> 1', 'c.label = 1', 12)}
+SELECT query_id, list(id ORDER BY rank) FILTER (rank <= 8) AS shown, CAST(count(*) AS INT) AS found FROM nn GROUP BY query_id""")
+def neighbors_shown(spark, sf_dir, found: int = 12, shown: int = 8):
+    """What a list with room for so many neighbours shows of those found."""
+    n = phish_neighbors(spark, sf_dir, found).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("x"))
+    return n.select("query_id", F.transform(F.slice("x", 1, shown), lambda x: x["id"]).alias("shown"), F.size("x").alias("found"))
+
+
 @query("first_neighbor_gap", f"""WITH {V}, {knn_sql('q.label <> 1', 'c.label = 1', 2)}
 SELECT query_id, round(max(CASE WHEN rank = 1 THEN similarity END) - max(CASE WHEN rank = 2 THEN similarity END), 6) AS gap FROM nn GROUP BY query_id""")
 def first_neighbor_gap(spark, sf_dir):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -12,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parents[1]
-#: Used only where the cluster names no spark.checkpoint.dir, as in tests.
+#: Used only with a local master that names no spark.checkpoint.dir, as in tests.
 FALLBACK_DIR = "file:///tmp/checkpoints/heron"
 _shipped: set[str] = set()
 
@@ -34,6 +35,8 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as named by spark.checkpoint.dir."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (named or FALLBACK_DIR).rstrip("/")
 
 

@@ -13,6 +13,15 @@ from heron.sources.messages import dns_facts, messages
 BRANDS = ["acme.com"]
 
 
+def unnest(df: DataFrame, array: str, name: str, *keep: str) -> DataFrame:
+    """A row (keep, name) for each element of the array.
+
+    explode() alone would let the optimiser demand a non-empty array below all projections, and so
+    work out the array's whole expression a second time; the null of an empty one is dropped above.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
 def scored(spark, sf_dir, dns: bool = False, weights=None) -> DataFrame:
     """Redacted messages with hits, score, verdict and reasons."""
     hits = rules.rule_hits(redact(messages(spark, sf_dir)), BRANDS, dns_facts(spark) if dns else None)

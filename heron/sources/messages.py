@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from heron.functions import text as X
 from heron.plans.session import table
 
 #: The phrases that the mapping of the driver's tables puts into bodies.
@@ -73,11 +77,50 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_browser_csv(lines: DataFrame) -> DataFrame:
-    """Rows of a single-line CSV table (sender, receiver, subject, body, url) that have sender, subject and body; the url flag is "1" or a link in the text."""
-    full = F.expr("trim(coalesce(sender, '')) <> '' AND trim(coalesce(subject, '')) <> '' AND trim(coalesce(body, '')) <> ''")
-    flag = F.expr("CASE WHEN trim(url) = '1' OR concat(subject, ' ', body) rlike '(?i)https?://|www[.]' THEN 1 ELSE 0 END")
-    return lines.filter(full).withColumn("url", flag)
+def read_tolerant(spark: SparkSession, path: str, schema: str = CSV_SCHEMA, limit: int | None = None) -> DataFrame:
+    """A headed CSV corpus whose bytes may be no UTF-8: such characters go. The limit, where given, is the number of rows that are asked for."""
+    rows = without_bad_bytes(read_csv(spark, path, schema))
+    return rows if limit is None else rows.limit(limit)
+
+
+def without_bad_bytes(rows: DataFrame) -> DataFrame:
+    """The text columns without the characters that stand for bytes which are no UTF-8."""
+    return rows.select(*(F.translate(c, "\ufffd", "").alias(c) if t == "string" else F.col(c) for c, t in rows.dtypes))
+
+
+def browser_rows(lines: DataFrame, header: str) -> DataFrame:
+    """(sender, receiver, subject, body, url) of CSV lines (value), each a row of its own, that have sender, subject and body.
+
+    Short rows count as filled up with empty fields; sender_email goes before sender where the
+    header has it; the url flag is "1" or a link in the body.
+    """
+    names = [h.strip().lower() for h in header.rstrip("\r").split(",")]
+    fields = lines.filter(F.trim("value") != "").select(X.csv_fields(F.rtrim("value", F.lit("\r"))).alias("f"))
+
+    def field(name: str) -> Column:
+        return X.strip(F.coalesce(F.get("f", F.lit(names.index(name))), F.lit(""))) if name in names else F.lit("")
+
+    rows = fields.select(field("sender_email" if "sender_email" in names else "sender").alias("sender"), *(field(n).alias(n) for n in ("receiver", "subject", "body", "url")))
+    flag = (F.col("url") == "1") | F.col("body").rlike(X.URL_UI)
+    return rows.filter("sender <> '' and subject <> '' and body <> ''").withColumn("url", flag.cast("int")).withColumn("receiver", F.nullif("receiver", F.lit("")))
+
+
+def read_browser_csv(spark: SparkSession, path: str) -> DataFrame:
+    """browser_rows() of one file; its first line that is not blank is the header."""
+    lines = spark.read.option("lineSep", "\n").text(path).withColumn("at", F.monotonically_increasing_id()).filter(F.trim("value") != "")
+    first = lines.orderBy("at").limit(1).first()
+    return browser_rows(lines.filter(F.col("at") != (first["at"] if first else -1)), first["value"] if first else "")
+
+
+def read_json_object(spark: SparkSession, path: str) -> dict:
+    """A JSON object, such as a manifest, from any store; {} where there is none."""
+    try:
+        rows = spark.read.text(path, wholetext=True).limit(1).collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+    return json.loads(rows[0]["value"]) if rows else {}
 
 
 MESSAGE_TYPES = T.StructType([

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from heron.operators.ranks import ranked
+
 
 def write_outputs(df: DataFrame, summary: DataFrame, path: str) -> None:
     """Rows as CSV and JSON lines and the one-row summary as JSON, under one folder."""
@@ -15,21 +17,32 @@ def write_outputs(df: DataFrame, summary: DataFrame, path: str) -> None:
     summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary_json")
 
 
-def append_table(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
-
-
-def split_by_position(df: DataFrame, order: str, ratio: float) -> DataFrame:
-    """df with part 0 for the first int(n * ratio) rows by the order column and 1 for the rest.
-
-    The bound is found by an exact percentile of the order column, without ranking all rows in one task; the order must be unique.
-    """
-    n = df.count()
-    first = int(n * ratio)
-    if first == 0:
-        return df.withColumn("part", F.lit(1))
-    bound = df.agg(F.percentile(order, F.lit((first - 1) / max(1, n - 1))).alias("b")).first()["b"]
-    return df.withColumn("part", F.when(F.col(order) <= F.lit(bound) + 1e-6, 0).otherwise(1))
+def append_table(df: DataFrame, path: str, checks: dict[str, Column] | None = None) -> None:
+    """Rows that pass all checks are appended to path, the others to path_rejected with the names of the checks that they fail; neither keeps the other back."""
+    failed = failed_checks(checks or {})
+    df.filter(F.size(failed) == 0).write.mode("append").parquet(path)
+    bad = df.withColumn("failed_checks", failed).filter(F.size("failed_checks") > 0)
+    if checks and not bad.isEmpty():
+        bad.write.mode("append").parquet(f"{path}_rejected")
+
+
+def failed_checks(checks: dict[str, Column]) -> Column:
+    """The names of the checks that a row fails; a check that is null counts as passed, as in a store's constraints."""
+    return F.array_compact(F.array(*(F.when(~ok, F.lit(name)) for name, ok in checks.items()))) if checks else F.array().cast("array<string>")
+
+
+def split_by_position(df: DataFrame, order: str, ratio: float | list[float]) -> DataFrame:
+    """df with a part for each row by its position in the order column: 0 for the first int(n * ratio), and so on for several ratios, the rest in the last."""
+    ratios = ratio if isinstance(ratio, list) else [ratio]
+    placed, n = ranked(df, order)
+    part, end = F.lit(len(ratios)), 0
+    ends = []
+    for r in ratios:
+        end += int(n * r)
+        ends.append(end)
+    for k, e in reversed(list(enumerate(ends))):
+        part = F.when(F.col("place") < e, k).otherwise(part)
+    return placed.withColumn("part", part).drop("place")
 
 
 def update_vectors(table: DataFrame, fresh: DataFrame, column: str = "v") -> DataFrame:

@@ -131,3 +131,135 @@ def test_spans_and_ranges(spark):
 def test_running_totals(spark):
     df = spark.createDataFrame([("a", 1, 2), ("a", 2, 3), ("b", 1, 5)], "g string, o long, n long")
     assert sorted((r["g"], r["o"], r["total_n"]) for r in running_totals(df, "g", "o", ["n"]).collect()) == [("a", 1, 2), ("a", 2, 5), ("b", 1, 5)]
+
+
+def column(spark, values, make, kind="string"):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {kind}").select("i", make(F.col("v")).alias("x"))
+    return [r["x"] for r in sorted(rows.collect(), key=lambda r: r["i"])]
+
+
+def test_urls_equal_the_pattern(spark):
+    """The pattern by Python's own engine, and the rules around it, on texts that end in marks."""
+    import random
+    import re
+    from urllib.parse import urlparse
+
+    from heron.functions import text as X
+
+    r = random.Random(5)
+    parts = ["http://", "https://", "HTTP://", "www.", "a.example", "x", "10.0.0.1", "4.5", "localhost", ":80", "/", "/p", ".", ")", ",", " ", "-", "@", "?q=1", "#t"]
+    texts = ["see http://a.example/", "go to https://x.example/p.", "(http://a.example/p.)", "", "http://a.example/p/.)"] + ["".join(r.choice(parts) for _ in range(r.randint(1, 14))) for _ in range(400)]
+    want = []
+    for t in texts:
+        found = []
+        for m in re.finditer(X.URL, t):
+            u = m[0]
+            proper = u.startswith(("http://", "https://", "www.")) or ("." in u and not u.endswith(".") and len(u) > 3 and re.search(r"[a-zA-Z\-]", u))
+            if proper and u not in found:
+                found.append(u)
+        want.append((",".join(u for u in found if urlparse(u).netloc), ",".join(found)))
+    assert column(spark, texts, X.extract_urls) == [w for w, _ in want]
+    assert column(spark, texts, lambda c: X.extract_urls(c, require_netloc=False)) == [w for _, w in want]
+    assert column(spark, texts[:3], X.extract_urls) == ["http://a.example", "https://x.example/p", "http://a.example/p."]
+
+
+def test_csv_fields_quote_by_quote(spark):
+    import random
+
+    from heron.functions import text as X
+
+    def fields(line):
+        out, now, inside, i = [], "", False, 0
+        while i < len(line):
+            c = line[i]
+            if c == '"' and inside and line[i + 1 : i + 2] == '"':
+                now, i = now + '"', i + 1
+            elif c == '"':
+                inside = not inside
+            elif c == "," and not inside:
+                out.append(now)
+                now = ""
+            else:
+                now += c
+            i += 1
+        return [*out, now]
+
+    r = random.Random(2)
+    lines = ["", ",", '"a,b",c', '"a""b"', '""', '""""', 'x"y,z"w,', 'a,"unclosed, b'] + ["".join(r.choice('ab,""') for _ in range(r.randint(0, 12))) for _ in range(400)]
+    assert column(spark, lines, X.csv_fields) == [fields(x) for x in lines]
+
+
+def test_browser_file(spark, tmp_path):
+    from heron.sources.messages import read_browser_csv
+
+    p = tmp_path / "table.csv"
+    p.write_bytes(b"\n Sender ,sender_email,Subject,Body,url\r\nx,a@b.c,s,see www.x.y\r\n\nno,,s,b,1\nx, d@e.f ,\"s, t\",b,1\n")
+    got = sorted((r["sender"], r["receiver"], r["subject"], r["body"], r["url"]) for r in read_browser_csv(spark, f"file://{p}").collect())
+    assert got == [("a@b.c", None, "s", "see www.x.y", 1), ("d@e.f", None, "s, t", "b", 1)]
+    (tmp_path / "empty.csv").write_text("")
+    assert read_browser_csv(spark, f"file://{tmp_path}/empty.csv").count() == 0
+
+
+def test_bad_bytes_and_missing_objects(spark, tmp_path):
+    from heron.sources.messages import read_json_object, read_tolerant
+
+    (tmp_path / "t.csv").write_bytes(b"a,b\nx\xffy,1\nz,2\nw,3\n")
+    rows = read_tolerant(spark, f"file://{tmp_path}/t.csv", "a string, b int")
+    assert sorted(map(tuple, rows.collect())) == [("w", 3), ("xy", 1), ("z", 2)]
+    assert read_tolerant(spark, f"file://{tmp_path}/t.csv", "a string, b int", limit=2).count() == 2
+    (tmp_path / "m.json").write_text('{"a":\n [1, 2]}')
+    assert read_json_object(spark, f"file://{tmp_path}/m.json") == {"a": [1, 2]} and read_json_object(spark, f"file://{tmp_path}/none.json") == {}
+
+
+def test_keyed_digest(spark):
+    import hashlib
+    import hmac
+
+    from heron.functions import text as X
+
+    for key in ("k", "a key of more than sixty-four bytes " * 3):
+        assert column(spark, ["", "é:1:x"], lambda c, key=key: X.hmac_sha256(key, c)) == [hmac.new(key.encode(), m.encode(), hashlib.sha256).hexdigest() for m in ("", "é:1:x")]
+
+
+def test_places_and_quantiles(spark):
+    import numpy as np
+
+    from heron.operators.ranks import quantiles, ranked
+    from heron.sources.sinks import split_by_position
+
+    x = np.random.default_rng(1).permutation(500).astype(float)
+    df = spark.createDataFrame([(float(v),) for v in x], "x double").repartition(7)
+    placed, n = ranked(df, "x")
+    assert n == 500 and all(r["place"] == r["x"] for r in placed.collect())
+    assert np.allclose(quantiles(df.unionByName(df.filter("x < 3")), "x", [0, 0.33, 0.5, 1]), np.quantile(np.r_[x, 0, 1, 2], [0, 0.33, 0.5, 1]))
+    assert quantiles(df.limit(0), "x", [0.5]) == [None]
+    for ratio, want in ((0.7, [350, 150]), ([0.7, 0.15], [350, 75, 75]), (0.0, [0, 500])):
+        part = {r["part"]: r["count"] for r in split_by_position(df, "x", ratio).groupBy("part").count().collect()}
+        assert [part.get(k, 0) for k in range(len(want))] == want
+    assert split_by_position(df.limit(0), "x", 0.5).count() == 0
+
+
+def test_spans_by_plain_recursion():
+    import random
+    from functools import lru_cache
+
+    from heron.operators.align import _spans
+
+    r = random.Random(3)
+    for _ in range(200):
+        a, b = (" ".join(r.choice("abcd") for _ in range(r.randint(0, 7))) for _ in range(2))
+        u, v = a.split(), b.split()
+
+        @lru_cache(None)
+        def most(i, j, u=tuple(u), v=tuple(v)):
+            if not i or not j:
+                return 0
+            return most(i - 1, j - 1) + 1 if u[i - 1] == v[j - 1] else max(most(i - 1, j), most(i, j - 1))
+
+        found = _spans(a, b, 0.9, 4)
+        assert sum(len(a[s:e].split()) for s, e, *_ in found) == most(len(u), len(v))
+        assert all(a[s:e] == b[x:y] for s, e, x, y, _ in found) and [s[0] for s in found] == sorted(s[0] for s in found)
+        share = most(len(u), len(v)) / max(len(u), len(v), 1)
+        assert all(strong == (share >= 0.9 or len(a[s:e].split()) >= 4) for s, e, _, _, strong in found)
