@@ -40,8 +40,8 @@ SIMILARITY = 0.8
 TABLES = 12
 ORDER = 2
 #: Texts and shingles of a star that one task takes; larger stars are split, without losing a pair.
-GROUP = 600
-VOLUME = 1_000_000
+GROUP = 4000
+VOLUME = 4_000_000
 _TEXT = re.compile(rb"[^\x00-\x20]+")
 #: One odd multiplier for each table; labelled shingles are mixed before.
 _SEEDS = mix(np.arange(1, TABLES + 1, dtype=np.uint64)) | np.uint64(1)
