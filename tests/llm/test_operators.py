@@ -270,6 +270,47 @@ def test_chunks_resist_insertions(spark):
     assert chunks.chunk_dedup(docs(spark, [])).count() == 0
 
 
+def cut_by_hand(data):
+    """Chunk ends byte by byte: the hash of the last 32 bytes has its top bits zero, no chunk is under SMALLEST but the last, none over LARGEST."""
+    ends, last, h = [], 0, 0
+    for i, b in enumerate(data, 1):
+        h = (2 * h + int(chunks.GEAR[b])) % 2**32
+        zero = h >> (32 - chunks.BITS) == 0
+        # Whatever is longer than LARGEST at a border, or at the end, is cut from the front.
+        if zero or i == len(data):
+            while i - last > chunks.LARGEST:
+                last += chunks.LARGEST
+                ends.append(last)
+            if i - last >= chunks.SMALLEST or i == len(data):
+                if i > last:
+                    ends.append(i)
+                last = i
+    return ends
+
+
+def test_chunk_dedup_by_brute_force(spark):
+    r = random.Random(12)
+    base = [" ".join(words(i, 80, 300)) for i in range(5)]
+    texts = base + [base[r.randrange(5)][r.randrange(200) :][: r.randrange(60, 400)] + f" mid {i} " + base[r.randrange(5)][: r.randrange(300)] for i in range(40)] + ODD + ["a" * 3000, "a" * 3000]
+    seen, want = set(), []
+    for t in texts:
+        data, at, runs = (t or "").encode(), 0, []
+        for end in cut_by_hand(data):
+            piece = data[at:end]
+            if piece in seen:
+                if runs and runs[-1][1] == at:
+                    runs[-1][1] = end
+                else:
+                    runs.append([at, end])
+            seen.add(piece)
+            at = end
+        runs = [x for x in runs if x[1] - x[0] >= chunks.RUN]
+        left = b"".join(data[a:b] for a, b in zip([0, *(x[1] for x in runs)], [*(x[0] for x in runs), len(data)], strict=True))
+        want.append((len(data), sum(b - a for a, b in runs), len(runs), hashlib.sha256(left).hexdigest()))
+    rows = sorted(chunks.chunk_dedup(docs(spark, texts, extra=True)).collect(), key=lambda x: x["doc_id"])
+    assert [(x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in rows] == want
+
+
 def test_repeated_rows_lose_the_same_chunks(spark):
     a = " ".join(words(1, 400))
     rows = [(0, a), (1, "front " + a), (2, "front " + a), (2, "front " + a)]
@@ -599,6 +640,17 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
 
 
+def test_warc_repeated_ids_clashing_names_and_hot_payloads(spark):
+    rows = [(7, "a", "p"), (7, "b", "p"), (3, "c", "p"), (9, "d", None), (9, "e", "q"), (None, "f", "q"), *((i, None, "hot") for i in range(100, 400))]
+    pages = pages_of(spark, rows)
+    for c in ("sha", "refers_to", "payload", "archive", "content", "record_type"):
+        pages = pages.withColumn(c, F.lit("x"))
+    got = [(r["page_id"], r["url"], r["record_type"], r["refers_to"]) for r in warc.read_archives(warc.write_archives(pages)).collect()]
+    want = [(7, "a", "response", None), (7, "b", "response", None), (3, "c", "revisit", 7), (9, "d", "response", None), (9, "e", "response", None), (None, "f", "revisit", 9)]
+    want += [(i, None, "response" if i == 399 else "revisit", None if i == 399 else 399) for i in range(100, 400)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_warc_detects_damage():
     member = warc.record(7, "u", "text", None)
     raw = next(warc.members(member))
