@@ -38,7 +38,7 @@ from heron.plans.session import cut, free, table
 LENGTH = 100
 K = 24
 #: Texts of one minimiser that one suffix array takes.
-GROUP = 1024
+GROUP = 4096
 #: Bytes hashed at a time.
 BLOCK = 1 << 20
 _POSITION = np.uint64((1 << 30) - 1)
