@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from heron.llm.columns import quoted, unlike
 from heron.llm.rolling import mix, prefix, ranges
-from heron.plans.session import cut, table
+from heron.plans.session import cut, discard, table
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -294,15 +294,17 @@ def meet(docs: DataFrame, nodes: DataFrame, edges: DataFrame, alone: DataFrame,
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): the smallest node that it is connected with."""
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")), "roots")
+    done = labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")), "roots")
     while True:
         # The smallest root among the neighbours, then the root's root.
         offered = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("near"))
         nearer = labels.join(offered, F.col("node") == F.col("a")).select("node", F.least("root", "near").alias("next"), F.col("root").alias("was"))
         up = labels.select(F.col("node").alias("n2"), F.col("root").alias("above"))
         moved = cut(nearer.join(up, F.col("next") == F.col("n2"), "left").select("node", F.least("next", F.coalesce("above", "next")).alias("root"), "was"), "roots")
-        labels = moved.select("node", "root")
+        discard(done)
+        done, labels = moved, moved.select("node", "root")
         if not moved.filter("root <> was").limit(1).count():
+            discard(both)
             return labels
 
 
@@ -322,6 +324,7 @@ def _classes(docs: DataFrame, similarity: float) -> DataFrame:
     if not alone.isEmpty():
         links = links.unionByName(cut(meet(rows, nodes, edges, alone, similarity), "links").select("a", "b"))
     roots = components(links)
+    discard(centres, edges, checked)
     least = cut(roots.join(nodes.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("class_id")), "classes")
     linked = roots.join(least, "root").select("node", "class_id")
     classes = texts.join(linked, "node", "left").select("digest", F.coalesce("class_id", "doc_id").alias("class_id"))

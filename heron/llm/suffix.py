@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from heron.llm.columns import whole
 from heron.llm.rolling import mix, prefix, ranges
-from heron.plans.session import cut, free, table
+from heron.plans.session import cut, discard, free, table
 
 LENGTH = 100
 K = 24
@@ -323,7 +323,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFr
     free(spark)
     units = texts.mapInArrow(_units(length, k), "h long, d long, e long, doc long, at long")
     units = cut(units.join(twice.hint("shuffle_hash"), "h"), "units")
-    free(spark)
+    discard(twice)
     firsts = units.groupBy("h", "d", "e").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n"))
     firsts = cut(firsts, "firsts")
     again = firsts.filter("n > 1").select("h", "d", "e", "first")
@@ -331,14 +331,14 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFr
     whole = units.join(again, ["h", "d", "e"]).filter((F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at")))
     whole = whole.select("doc", start.alias("start"), (start + F.col("at").bitwiseAND(255) + (length - 1)).alias("end"))
     whole = cut(whole, "whole")
-    free(spark)
+    discard(units)
     # Written, so that both sides of the join are plain exchanges, whose hot minimisers Spark can split.
     several = cut(firsts.groupBy("h").agg(F.count("*").alias("nd")).filter("nd > 1"), "several")
     edges = firsts.join(several, "h").select(F.col("first.doc").alias("doc"), F.struct("h", "nd", "first.at").alias("u"))
     listed = edges.groupBy("doc").agg(F.collect_list("u").alias("units"))
     held = texts.join(listed, F.col("doc_id") == F.col("doc")).select("doc", "text", "units")
     contexts = cut(held.mapInArrow(_contexts(length), "h long, nd long, doc long, start long, bytes binary, anchor int"), "contexts")
-    free(spark)
+    discard(firsts, several)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     few = contexts.filter(F.col("nd") <= GROUP).select("h", "doc", "start", "bytes", "anchor").repartition(parts, "h").sortWithinPartitions("h")
     by_array = few.mapInArrow(_resolve(length, k), "doc long, start long, end long")
