@@ -12,6 +12,8 @@ FREEMAIL = ["gmail.com", "yahoo.com", "outlook.com", "hotmail.com", "aol.com", "
 SHORTENERS = ["bit.ly", "tinyurl.com", "t.co", "goo.gl", "ow.ly", "buff.ly"]
 URGENCY = ["urgent", "immediate action", "verify your account", "password expires", "suspend", "pay now", "update your information"]
 CREDENTIALS = r"(?i)\bpasswords?\b|\blog\s*in\b|\blogin\b|\bssn\b|\bsocial\s+security\b|\bcredit\s+cards?\b|\bbank\s+accounts?\b"
+#: What a text must hold, lower-cased, for CREDENTIALS to match; most texts are only searched for that.
+CREDENTIAL_PARTS = ["password", "log", "ssn", "social", "credit", "bank"]
 REQUEST_VERBS = r"(?i)\b(enter|provide|send|share|confirm|verify|update|reset|submit)\b"
 WEIGHTS = {
     "missing_mx": 2, "no_spf": 2, "no_dmarc": 1, "freemail_brand_claim": 2, "lookalike_domain": 2,
@@ -62,7 +64,9 @@ def rule_hits(df: DataFrame, brands: list[str] = (), dns: DataFrame | None = Non
     else:
         lookups = {r: F.lit(0) for r in ("missing_mx", "no_spf", "no_dmarc")}
     domain, hosts = F.col("sender_domain"), F.coalesce("link_hosts", F.array().cast("array<string>"))
-    low_body, low_subject = F.lower(F.coalesce(F.col(body), F.lit(""))), F.lower(F.coalesce("subject", F.lit("")))
+    # A column of its own, so that it is worked out once.
+    out = out.withColumn("_low_body", F.lower(F.coalesce(F.col(body), F.lit(""))))
+    low_body, low_subject = F.col("_low_body"), F.lower(F.coalesce("subject", F.lit("")))
     lookalike = F.lit(False)
     for b in brands:
         lookalike = lookalike | X.confusable(domain, F.lit(b))
@@ -77,8 +81,8 @@ def rule_hits(df: DataFrame, brands: list[str] = (), dns: DataFrame | None = Non
         "shortened_url": F.size(F.filter(hosts, lambda h: F.exists(F.array(*map(F.lit, SHORTENERS)), lambda s: F.endswith(h, s)))),
         "domain_mismatch": (domain != "") & F.exists(hosts, lambda h: ~h.rlike(X.IP_LITERAL) & ~X.host_of_sender(h, domain)),
         "urgency": any_of(low_body, URGENCY).cast("int"),
-        "creds_request": (text.rlike(CREDENTIALS) & text.rlike(REQUEST_VERBS)).cast("int"),
-    })
+        "creds_request": (any_of(low_body, CREDENTIAL_PARTS) & text.rlike(CREDENTIALS) & text.rlike(REQUEST_VERBS)).cast("int"),
+    }).drop("_low_body")
 
 
 def score_of(weights: dict[str, int] | None = None) -> Column:
