@@ -24,6 +24,7 @@ from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ END_ID = 1
 #: Bound of a worker's word cache, which lasts over its tasks, and of the fillings that branch and bound looks at on the driver.
 CACHE = 1_200_000
 NODES = 5000
+#: Bound of the branches that are open at a time, each with the sums that its lengths can make: at most 2 MB.
+DEPTH = 48
 #: ASCII marks that the vocabulary keeps together as one run.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, k long"
@@ -250,13 +253,14 @@ def fillings(sizes: list[int], most: list[int], room: int, waste: int) -> Iterat
             stack += to
 
 
-def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[Pattern]:
+def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, depth: int = DEPTH) -> list[Pattern]:
     """Patterns that hold every counted piece once, in as few sequences as branch and bound finds.
 
     A branch takes the largest length left with an undominated filling of its sequence, as often as
     the counts allow or less often; best fit decreasing completes each state to a solution. A state
     that was reached with as few sequences before, or that the bound shows to be no better than the
-    best solution, is left. After nodes fillings the best solution stands.
+    best solution, is left. Below depth open branches only best fit goes on; after nodes fillings the
+    best solution stands.
     """
     full = counts.get(capacity, 0)
     counts = {s: n for s, n in counts.items() if s < capacity and n}
@@ -308,14 +312,17 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
         for s, c in pattern.items():
             left[s] -= c * times
         rest -= times * sum(s * c for s, c in pattern.items())
-        if used + lower_bound(left, capacity) >= fewest or seen.get(key := left.tobytes(), fewest) <= used:
+        if used + lower_bound(left, capacity) >= fewest or seen.get(key := blake2b(left.tobytes(), digest_size=16).digest(), fewest) <= used:
             continue
         if len(seen) < nodes:
             seen[key] = used
-        path.append((times, tuple(sorted(pattern.items(), reverse=True))))
+        chosen = (times, tuple(sorted(pattern.items(), reverse=True)))
         completed = best_fit({int(s): int(left[s]) for s in np.flatnonzero(left)}, capacity)
         if used + sum(t for t, _ in completed) < fewest:
-            best, fewest = path + completed, used + sum(t for t, _ in completed)
+            best, fewest = [*path, chosen, *completed], used + sum(t for t, _ in completed)
+        if len(states) == depth:
+            continue
+        path.append(chosen)
         states.append((left, used, rest))
         iterators.append(branches(left, used, rest))
     return whole + best
