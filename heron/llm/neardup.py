@@ -338,7 +338,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs whose doc_id is its class's smallest, and those without a class, with their own columns."""
-    gone = _classes(docs, similarity).filter("class_id is not null and not doc_id <=> class_id").select("doc_id", "digest").distinct()
+    gone = _classes(docs, similarity).filter("class_id is not null and not doc_id <=> class_id").select("doc_id", "digest")
     a, b, digest = unlike(docs, "gone_id", "gone_digest", "digest")
     rows = docs.withColumn(digest, _digest())
     left = rows.join(gone.toDF(a, b).hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col(a)) & (F.col(digest) == F.col(b)), "left_anti")
