@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heron.llm import html, topk, warc
+from heron.llm import html, resample, topk, warc
 from heron.llm.chunks import op4_chunk_dedup
 from heron.llm.neardup import op6_minhash
 from heron.llm.packing import op2_packing
@@ -22,9 +22,11 @@ QUERIES = {
     "op8_html": html.op8_html,
     "op9_warc": warc.op9_warc,
     "op10_topk": topk.op10_topk,
+    "op11_importance_resampling": resample.op11_importance_resampling,
 }
 ORACLES: dict[str, str] = {
     "op8_html": html.ORACLE,
     "op9_warc": warc.ORACLE,
     "op10_topk": topk.ORACLE,
+    "op11_importance_resampling": resample.ORACLE,
 }
