@@ -47,12 +47,12 @@ def _unique(spark, sf_dir):
 
 
 _STOP = ", ".join(f"'{w}'" for w in curate.STOP_WORDS)
-_NEAR = f"""{D}, u AS (SELECT id, text FROM d QUALIFY row_number() OVER (PARTITION BY h ORDER BY id) = 1),
+_NEAR = f"""{D}, u AS MATERIALIZED (SELECT id, text FROM d QUALIFY row_number() OVER (PARTITION BY h ORDER BY id) = 1),
 t AS (SELECT id, [w for w in regexp_extract_all(lower(text), '\\w\\w+') if w NOT IN ({_STOP})] AS ws FROM u),
 g AS (SELECT id, unnest(ws) AS term FROM t UNION ALL SELECT id, unnest([array_to_string(ws[i:i + 1], ' ') for i in range(1, len(ws))]) FROM t UNION ALL SELECT id, unnest([array_to_string(ws[i:i + 2], ' ') for i in range(1, len(ws) - 1)]) FROM t),
-tf AS (SELECT id, term, count(*) AS tf FROM g GROUP BY id, term), top AS (SELECT term, count(*) AS df, sum(tf) AS al FROM tf GROUP BY term ORDER BY al DESC, term LIMIT 5000),
+tf AS MATERIALIZED (SELECT id, term, count(*) AS tf FROM g GROUP BY id, term), top AS (SELECT term, count(*) AS df, sum(tf) AS al FROM tf GROUP BY term ORDER BY al DESC, term LIMIT 5000),
 w0 AS (SELECT id, tf.term, tf * (ln((1.0 + (SELECT count(*) FROM u)) / (1.0 + df)) + 1.0) AS w FROM tf JOIN top ON tf.term = top.term), nn AS (SELECT id, sqrt(sum(w * w)) AS norm FROM w0 GROUP BY id),
-w AS (SELECT w0.id, term, w / norm AS w FROM w0 JOIN nn ON w0.id = nn.id), every AS (SELECT a.id AS i, b.id AS j, sum(a.w * b.w) AS s FROM w a JOIN w b ON a.term = b.term AND a.id < b.id GROUP BY a.id, b.id),
+w AS MATERIALIZED (SELECT w0.id, term, w / norm AS w FROM w0 JOIN nn ON w0.id = nn.id), every AS MATERIALIZED (SELECT a.id AS i, b.id AS j, sum(a.w * b.w) AS s FROM w a JOIN w b ON a.term = b.term AND a.id < b.id GROUP BY a.id, b.id),
 sg AS (SELECT tf.id, string_agg(tf.term || '=' || tf, ';' ORDER BY tf.term) AS sg FROM tf JOIN top ON tf.term = top.term GROUP BY tf.id), fi AS (SELECT id, min(id) OVER (PARTITION BY sg) AS first FROM sg),
 pr AS (SELECT i, j, s FROM every WHERE i IN (SELECT first FROM fi) AND j IN (SELECT first FROM fi) UNION ALL SELECT first, id, 1.0 FROM fi WHERE id <> first)"""
 
@@ -65,15 +65,14 @@ def near_dedup_pairs(spark, sf_dir):
 
 
 #: The greedy rule in the order of the ids over all pairs, one row with partners at a time.
-_KEEP = f"""{_NEAR.replace("d AS (", "RECURSIVE d AS (", 1)}, n AS (SELECT i, list(j) AS js, row_number() OVER (ORDER BY i) AS k FROM every WHERE s >= 0.85 GROUP BY i),
+_KEEP = f"""{_NEAR.replace("d AS (", "RECURSIVE d AS (", 1)}, n AS MATERIALIZED (SELECT i, list(j) AS js, row_number() OVER (ORDER BY i) AS k FROM every WHERE s >= 0.85 GROUP BY i),
 st AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS gone UNION ALL SELECT n.k, CASE WHEN list_contains(st.gone, n.i) THEN st.gone ELSE list_distinct(list_concat(st.gone, n.js)) END FROM st JOIN n ON n.k = st.k + 1),
 kept AS (SELECT u.id, NOT list_contains((SELECT gone FROM st ORDER BY k DESC LIMIT 1), u.id) AS kept FROM u)"""
 
 
 @query("near_dedup", f"WITH {_KEEP} SELECT id, kept FROM kept")
 def near_dedup(spark, sf_dir):
-    u = _unique(spark, sf_dir)
-    return curate.keep_first(u, curate.grouped_pairs(curate.tfidf(u)))
+    return curate.near_dedup(_unique(spark, sf_dir))
 
 
 def _stages(spark, sf_dir):
