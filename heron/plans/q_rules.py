@@ -11,10 +11,11 @@ from heron.functions.pii import redact
 from heron.operators import ontology, rules
 from heron.plans import oracle_base as B
 from heron.plans.book import query
-from heron.plans.session import shared_dir
+from heron.plans.session import cut, shared_dir, table
 from heron.plans.views import BRANDS, scored, unnest, with_attacks
 from heron.sources import sinks
-from heron.sources.messages import dns_facts, messages
+from heron.sources.messages import dns_answers, dns_facts, messages
+from heron.sources.turtle import RDF, read_turtle, triples, write_turtle
 
 P1, P1D = B.phase1(False), B.phase1(True)
 
@@ -122,7 +123,7 @@ _ONES = {r: 1 for r in rules.RULES}
 @query("weight_variants", f"WITH {P1D} SELECT id, {B.score(rules.TUNED)} AS tuned_score, {B.score()} AS default_score, {B.score(_ONES)} AS unit_score FROM p1")
 def weight_variants(spark, sf_dir):
     """One scan of the hits scores every weighting."""
-    hits = rules.rule_hits(redact(messages(spark, sf_dir)), BRANDS, dns_facts(spark))
+    hits = rules.rule_hits(redact(messages(spark, sf_dir)), BRANDS, dns_facts(dns_answers(spark)))
     return hits.select("id", rules.score_of(rules.TUNED).alias("tuned_score"), rules.score_of().alias("default_score"), rules.score_of(_ONES).alias("unit_score"))
 
 
@@ -144,12 +145,25 @@ def pii_counts(spark, sf_dir):
     return one.unpivot([], list(pii.PATTERNS), "kind", "n").orderBy(F.desc("n"), "kind")
 
 
-_EDGES = ", ".join(f"('{a}', '{b}')" for a, b in ontology.SUBCLASSES)
+_TRIPLES = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in t[:3]) + ")" for t in triples(ontology.TEXT))
+_GRAPH = f"""{P1D}, {B.ontology_ctes()}, seen AS (SELECT DISTINCT attack_type, created_by FROM attacks JOIN p1 USING (id) WHERE created_by IS NOT NULL),
+t AS (SELECT * FROM (VALUES {_TRIPLES}) AS v(s, p, o) UNION SELECT '{ontology.NS}' || attack_type || '.' || created_by, '{RDF}type', '{ontology.OWL}Class' FROM seen
+ UNION SELECT '{ontology.NS}' || attack_type || '.' || created_by, '{ontology.RDFS}subClassOf', '{ontology.NS}' || attack_type FROM seen),
+c AS (SELECT s FROM t WHERE p = '{ontology.RDFS}subClassOf' AND o = '{ontology.ROOT}' UNION SELECT t.s FROM t JOIN c ON t.o = c.s WHERE p = '{ontology.RDFS}subClassOf')"""
 
 
-@query("attack_types_closure", f"WITH RECURSIVE e AS (SELECT * FROM (VALUES {_EDGES}) AS v(child, parent)), c AS (SELECT child AS attack_type FROM e WHERE parent = 'PhishingAttack' UNION SELECT e.child FROM e JOIN c ON e.parent = c.attack_type) SELECT attack_type FROM c")
+def _graph(spark, sf_dir):
+    """The triples of a written rule file: the package's rules, and a class for each pair of an attack type and a creator whose messages show it."""
+    path = f"{shared_dir(spark)}/rules-{uuid.uuid4().hex}"
+    seen = unnest(with_attacks(spark, sf_dir), "attacks", "a", "created_by").select("a.attack_type", F.col("created_by").alias("variant"))
+    write_turtle(ontology.observed(seen), f"{path}/observed")
+    spark.createDataFrame([(ontology.TEXT,)], "value string").coalesce(1).write.text(f"{path}/rules")
+    return cut(read_turtle(spark, f"{path}/*"), "triples")
+
+
+@query("attack_types_closure", f"WITH RECURSIVE {_GRAPH} SELECT split_part(s, '#', 2) AS attack_type FROM c")
 def attack_types_closure(spark, sf_dir):
-    return ontology.subclass_closure(spark.createDataFrame(ontology.SUBCLASSES, "child string, parent string"), "PhishingAttack")
+    return ontology.attack_types(_graph(spark, sf_dir))
 
 
 @query("ontology_indicators", f"WITH {P1D}, {B.ontology_ctes()} SELECT id, properties FROM o0")
@@ -193,13 +207,30 @@ def ontology_type_counts(spark, sf_dir):
     return unnest(with_attacks(spark, sf_dir), "attacks", "a").groupBy("a.attack_type").agg(F.count("*").alias("n"), F.round(F.avg("a.confidence"), 6).alias("avg_confidence"))
 
 
-@query("ontology_stats", f"SELECT {len(ontology.ATTACKS)} AS n_classes, {len(set(ontology.PROPERTIES.values()))} AS n_properties, {sum(len(a) + len(b) for a, b in ontology.ATTACKS.values())} AS n_conditions")
+@query("ontology_stats", f"""WITH RECURSIVE {_GRAPH} SELECT count(*) AS total_triples, (SELECT count(*) FROM c) AS attack_types,
+ count(DISTINCT s) FILTER (p = '{RDF}type' AND o = '{ontology.OWL}Class') AS classes, count(DISTINCT s) FILTER (p = '{RDF}type' AND o = '{ontology.OWL}DatatypeProperty') AS properties FROM t""")
 def ontology_stats(spark, sf_dir):
-    r = ontology.attack_rules(spark)
-    props = r.select(F.explode(F.concat("all_of", "any_of")).alias("p"))
-    return r.agg(F.count("*").cast("int").alias("n_classes"), F.sum(F.size("all_of") + F.size("any_of")).cast("int").alias("n_conditions")).crossJoin(
-        props.agg(F.countDistinct("p").cast("int").alias("n_properties"))
-    )
+    return ontology.ontology_stats(_graph(spark, sf_dir))
+
+
+#: The answers of one observed lookup for each document: which domain, which name and what came back are told by its id.
+_LOOKUPS = {
+    "domain": "'d' || (doc_id % 37) || '.example'",
+    "type": "CASE WHEN doc_id % 4 = 0 THEN 'MX' ELSE 'TXT' END",
+    "prefix": "CASE WHEN doc_id % 4 = 3 THEN '_dmarc.' ELSE '' END",
+    "text": """CASE WHEN doc_id % 4 = 0 THEN 'mx.example' WHEN doc_id % 4 = 3 THEN CASE doc_id % 5 WHEN 0 THEN 'v=DMARC1; p=reject' WHEN 1 THEN ' v=DMARC1; p=none' WHEN 2 THEN 'V=dmarc1;sp=none; p=quarantine' WHEN 3 THEN 'v=DMARC1; rua=x' ELSE 'v=DMARC2; p=none' END
+ ELSE CASE doc_id % 3 WHEN 0 THEN 'V=SPF1 -all' WHEN 1 THEN 'site=v=spf1' ELSE lang END END""",
+    "error": "CASE WHEN doc_id % 7 < 3 THEN 'NXDOMAIN' END",
+}
+
+
+@query("dns_facts", f"""WITH a AS (SELECT doc_id AS n, {', '.join(f'{e} AS {c}' for c, e in _LOOKUPS.items())} FROM documents), k AS (SELECT *, error IS NULL AS ok, prefix = '' AS own FROM a)
+SELECT domain, bool_or(ok AND own AND type = 'MX') AS has_mx, bool_or(ok AND own AND type = 'TXT' AND starts_with(lower(text), 'v=spf1')) AS spf_present, bool_or(ok AND NOT own AND starts_with(lower(text), 'v=dmarc1')) AS dmarc_present,
+ coalesce(nullif(regexp_extract(arg_min(text, n) FILTER (ok AND NOT own AND starts_with(lower(text), 'v=dmarc1')), '(?:^|;)\\s*p=([^;]*)', 1), ''), 'none') AS dmarc_policy FROM k GROUP BY domain""")
+def dns_facts_query(spark, sf_dir):
+    """What raw answers say of each domain."""
+    a = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("at"), *(F.expr(e).alias(c) for c, e in _LOOKUPS.items()))
+    return dns_facts(a.select("at", F.concat("prefix", "domain").alias("name"), "type", "text", "error"))
 
 
 #: The kinds of evidence that the store knows.

@@ -12,7 +12,7 @@ from heron.operators.vectors import contamination, nearest, similarity_stats
 from heron.plans import oracle_base as B
 from heron.plans.book import query
 from heron.plans.session import cut
-from heron.plans.views import scored, vectors, with_attacks
+from heron.plans.views import vectors, with_attacks
 
 V = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)"
 
@@ -107,11 +107,11 @@ def retrieval_pairs(spark, sf_dir):
 
 
 def fused(spark, sf_dir, k=8, thresholds=fusion.Thresholds()):
-    """Every message with its vector's neighbours, verdict and score; messages without a vector keep phase 1."""
+    """Every message, scored once, with its attacks, its vector's neighbours, verdict and score; messages without a vector keep phase 1."""
     n = F.col("n_vectors")
     v = _ids(vectors(spark, sf_dir))
     count = v.count()
-    p1 = scored(spark, sf_dir, dns=True).withColumn("n_vectors", F.lit(count)).withColumn("vec_id", F.when(n > 0, F.col("id") % n))
+    p1 = with_attacks(spark, sf_dir).withColumn("n_vectors", F.lit(count)).withColumn("vec_id", F.when(n > 0, F.col("id") % n))
     near = similarity_stats(nearest(v, v.filter("label = 1"), k))
     overall = nearest(v, v, 1).select("query_id", F.col("similarity").alias("top_all"))
     joined = p1.join(near, p1.vec_id == near.query_id, "left").drop("query_id").join(overall, p1.vec_id == overall.query_id, "left")
@@ -152,21 +152,19 @@ _CONCLUSION = "CASE WHEN ai_label = 1 THEN 'Conclusion: **PHISH** — matches kn
 @query("analyze_email", f"WITH {fused_sql()}, {B.ontology_ctes()}, a AS (SELECT id, count(*) AS k FROM attacks GROUP BY id) SELECT f.id, score, verdict, ai_verdict, ai_label, ai_score, n_neighbors, list_append(reasons, {_CONCLUSION}) AS ai_reasons, CAST(coalesce(a.k, 0) AS INT) AS n_attacks FROM f LEFT JOIN a ON a.id = f.id")
 def analyze_email(spark, sf_dir):
     """The whole two-phase analysis of every message."""
-    attacks = with_attacks(spark, sf_dir).select("id", F.size("attacks").alias("n_attacks"))
     cols = ("id", "score", "verdict", "ai_verdict", "ai_label", "ai_score", "n_neighbors", "ai_reasons")
-    return fused(spark, sf_dir).select(*cols).join(attacks, "id")
+    return fused(spark, sf_dir).select(*cols, F.size("attacks").alias("n_attacks"))
 
 
 @query("two_phase_record", f"""WITH {fused_sql()}, {B.ontology_ctes()}, a AS (SELECT id, count(*) AS k FROM attacks GROUP BY id)
 SELECT f.id, CAST(regexp_matches(subject || chr(10) || body, '(?i)(https?://|www\\.)\\S+') AS INT) AS url_flag, score AS phase1_score, verdict AS phase1_verdict, CAST(score >= 2 AS INT) AS phase1_pred, ai_verdict AS rag_verdict, ai_score AS rag_score,
  CAST(ai_verdict <> 'benign' AS INT) AS rag_pred, round(top_sim, 6) AS top_sim, round(avg_top3, 6) AS avg_top3, n_neighbors, coalesce(a.k, 0) > 0 AS ontology_fired FROM f LEFT JOIN a ON a.id = f.id""")
 def two_phase_record(spark, sf_dir):
-    attacks = with_attacks(spark, sf_dir).select("id", (F.size("attacks") > 0).alias("ontology_fired"))
     return fused(spark, sf_dir).select(
         "id", F.concat("subject", F.lit("\n"), "body").rlike(X.URL_TEXT).cast("int").alias("url_flag"), F.col("score").alias("phase1_score"), F.col("verdict").alias("phase1_verdict"),
         (F.col("score") >= 2).cast("int").alias("phase1_pred"), F.col("ai_verdict").alias("rag_verdict"), F.col("ai_score").alias("rag_score"), (F.col("ai_verdict") != "benign").cast("int").alias("rag_pred"),
-        F.round("top_sim", 6).alias("top_sim"), F.round("avg_top3", 6).alias("avg_top3"), "n_neighbors",
-    ).join(attacks, "id")
+        F.round("top_sim", 6).alias("top_sim"), F.round("avg_top3", 6).alias("avg_top3"), "n_neighbors", (F.size("attacks") > 0).alias("ontology_fired"),
+    )
 
 
 @query("similarity_stats_by_label", f"""WITH {fused_sql()}, {B.ontology_ctes()}, a AS (SELECT id, count(*) AS k FROM attacks GROUP BY id)
@@ -175,8 +173,7 @@ SELECT label, count(*) AS n, round(avg(top_sim), 6) AS mean_top, round(max(top_s
  {', '.join(f"CAST(sum(CAST(avg_top3 >= 0.{c} AS INT)) AS BIGINT) AS avg3_{c}" for c in (68, 50))}, round(avg(CAST(top_sim < 0.40 AS INT)), 6) AS low_share
 FROM f LEFT JOIN a ON a.id = f.id WHERE label IS NOT NULL GROUP BY label""")
 def similarity_stats_by_label(spark, sf_dir):
-    attacks = with_attacks(spark, sf_dir).select("id", F.size("attacks").alias("k"))
-    rows = fused(spark, sf_dir).filter("label is not null").select("id", "label", "top_sim", "avg_top3").join(attacks, "id")
+    rows = fused(spark, sf_dir).filter("label is not null").select("label", "top_sim", "avg_top3", F.size("attacks").alias("k"))
     t, a = F.col("top_sim"), F.col("avg_top3")
     return rows.groupBy("label").agg(
         F.count("*").alias("n"), F.round(F.avg(t), 6).alias("mean_top"), F.round(F.max(t), 6).alias("max_top"), F.round(F.median(t), 6).alias("median_top"),

@@ -26,7 +26,7 @@ def ship(spark: SparkSession) -> None:
     folder = tempfile.mkdtemp(prefix="heron-")
     target = os.path.join(folder, "heron_pkg.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(PACKAGE.rglob("*.py")):
+        for p in sorted([*PACKAGE.rglob("*.py"), *PACKAGE.rglob("*.ttl")]):
             z.write(p, str(p.relative_to(PACKAGE.parent)))
     spark.sparkContext.addPyFile(target)
     _shipped.add(app)

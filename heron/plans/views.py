@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from heron.functions.pii import redact
 from heron.operators import ontology, rules
 from heron.plans.session import table
-from heron.sources.messages import dns_facts, messages
+from heron.sources.messages import dns_answers, dns_facts, messages
 
 BRANDS = ["acme.com"]
 
@@ -24,7 +24,7 @@ def unnest(df: DataFrame, array: str, name: str, *keep: str) -> DataFrame:
 
 def scored(spark, sf_dir, dns: bool = False, weights=None) -> DataFrame:
     """Redacted messages with hits, score, verdict and reasons."""
-    hits = rules.rule_hits(redact(messages(spark, sf_dir)), BRANDS, dns_facts(spark) if dns else None)
+    hits = rules.rule_hits(redact(messages(spark, sf_dir)), BRANDS, dns_facts(dns_answers(spark)) if dns else None)
     return rules.phase1(hits, weights)
 
 

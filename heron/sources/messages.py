@@ -54,11 +54,40 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def dns_facts(spark: SparkSession) -> DataFrame:
-    """What a resolver would say of the sender domains; an absent domain means nothing was found."""
-    rows = [("gmail.com", True, True, True, "none"), ("yahoo.com", True, True, True, "reject"), ("acme.com", True, True, False, None)]
-    rows += [(f"corp{k}.example.com", k != 0, k % 2 == 0, k > 2, "quarantine" if k > 2 else None) for k in range(5)]
-    return spark.createDataFrame(rows, "domain string, has_mx boolean, spf_present boolean, dmarc_present boolean, dmarc_policy string")
+#: (at, name, type, text, error) of answers to lookups.
+ANSWER = "at long, name string, type string, text string, error string"
+
+
+def dns_answers(spark: SparkSession) -> DataFrame:
+    """What a resolver answered on the names of the sender domains; a table that stands for live lookups."""
+    spf, mx = "v=spf1 include:_spf.example.com -all", "10 mx.example.com"
+    rows = [("gmail.com", "MX", mx), ("gmail.com", "TXT", spf), ("_dmarc.gmail.com", "TXT", "v=DMARC1; p=none"), ("yahoo.com", "MX", mx), ("yahoo.com", "TXT", spf), ("_dmarc.yahoo.com", "TXT", "v=DMARC1; p=reject"), ("acme.com", "MX", mx), ("acme.com", "TXT", spf)]
+    for k in range(5):
+        name = f"corp{k}.example.com"
+        rows += [(name, "MX", mx)] * (k != 0) + [(name, "TXT", spf if k % 2 == 0 else "site-verification=1")] + [(f"_dmarc.{name}", "TXT", "v=DMARC1; p=quarantine")] * (k > 2)
+    none = [(name, kind, None, "NXDOMAIN") for name, kind in (("acm3.com", "MX"), ("acm3.com", "TXT"), ("_dmarc.acm3.com", "TXT"), ("corp0.example.com", "MX"))]
+    return spark.createDataFrame([(at, *(*r, None)[:4]) for at, r in enumerate([*rows, *none])], ANSWER)
+
+
+def dns_facts(answers: DataFrame) -> DataFrame:
+    """(domain, has_mx, spf_present, dmarc_present, dmarc_policy) of answers (at, name, type, text, error).
+
+    A lookup that failed found nothing; a domain with failures only has none of the three. SPF is an
+    own TXT record that begins with v=spf1, DMARC one of the name _dmarc. before the domain that begins with
+    v=dmarc1, in either case; the first such record by at names the policy, none where it has no p=.
+    """
+    name, text = F.lower("name"), F.coalesce("text", F.lit(""))
+    below = name.startswith("_dmarc.")
+    ok, txt = F.col("error").isNull(), F.col("type") == "TXT"
+    dmarc = ok & txt & below & F.lower(text).startswith("v=dmarc1")
+    parts = F.filter(F.transform(F.split(F.col("first"), ";"), X.strip), lambda p: p.startswith("p="))
+    policy = F.nullif(F.substring(F.get(parts, F.lit(0)), 3, 1 << 30), F.lit(""))
+    rows = answers.select(
+        F.when(below, F.substring(name, 8, 1 << 30)).otherwise(name).alias("domain"), (ok & (F.col("type") == "MX") & ~below).alias("mx"),
+        (ok & txt & ~below & F.lower(text).startswith("v=spf1")).alias("spf"), dmarc.alias("dmarc"), F.when(dmarc, F.col("at")).alias("at"), F.when(dmarc, text).alias("text"),
+    )
+    facts = rows.groupBy("domain").agg(F.bool_or("mx").alias("has_mx"), F.bool_or("spf").alias("spf_present"), F.bool_or("dmarc").alias("dmarc_present"), F.min_by("text", "at").alias("first"))
+    return facts.select("domain", "has_mx", "spf_present", "dmarc_present", F.coalesce(policy, F.lit("none")).alias("dmarc_policy"))
 
 
 def read_csv(spark: SparkSession, path: str, schema: str = CSV_SCHEMA, multi_line: bool = True) -> DataFrame:
