@@ -10,25 +10,38 @@ from pyspark.sql import functions as F
 
 #: Rows of one side that meet in one product.
 BLOCK = 1024
+#: Rows that a task holds back for blocks that are not full.
+ROOM = 32 * BLOCK
+PACKED = "group int, ids binary, m binary, dim int"
 
 
-def _pack(batches):
-    """Rows (id, v) to blocks (ids, vectors); a task's last block may be short."""
-    ids, vecs = [], []
+def pack(batches):
+    """Rows (group, id, v) to blocks of one group and one dimension each: (group, ids, m, dim); a task's last blocks may be short."""
+    held: dict[tuple, list] = {}
+    room = 0
 
-    def block():
-        m = np.array(vecs, np.float64)
-        return pa.RecordBatch.from_pydict({"ids": pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), "m": pa.array([m.tobytes()], pa.binary()), "dim": pa.array([m.shape[1]], pa.int32())})
+    def block(key):
+        rows = held.pop(key)
+        ids, m = np.array([i for i, _ in rows], np.int64), np.concatenate([v for _, v in rows])
+        return pa.RecordBatch.from_pydict({"group": pa.array([key[0]], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "m": pa.array([m.tobytes()], pa.binary()), "dim": pa.array([key[1]], pa.int32())})
 
     for b in batches:
-        for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            ids.append(i)
-            vecs.append(v)
-            if len(ids) == BLOCK:
-                yield block()
-                ids.clear(), vecs.clear()
-    if ids:
-        yield block()
+        lists = b.column(2)
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+        for k, (group, i) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+            key = group, int(ends[k + 1] - ends[k])
+            held.setdefault(key, []).append((i, flat[ends[k] : ends[k + 1]]))
+            room += 1
+            if len(held[key]) == BLOCK:
+                room -= BLOCK
+                yield block(key)
+            elif room >= ROOM:
+                # Many groups at once: the largest goes first.
+                key = max(held, key=lambda x: len(held[x]))
+                room -= len(held[key])
+                yield block(key)
+    for key in list(held):
+        yield block(key)
 
 
 def similarities(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
@@ -43,40 +56,58 @@ def similarities(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
     return qn @ cn.T
 
 
+def first(similarity: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k most similar, ties to the smaller ids; rounding keeps them ties."""
+    rounded = np.round(similarity, 9)
+    on = np.arange(len(ids))
+    if len(ids) > k:
+        on = np.flatnonzero(rounded >= np.partition(rounded, -k)[-k])
+    return on[np.lexsort((ids[on], -rounded[on]))[:k]]
+
+
 def _nearest(k: int, metric: str):
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
                 qi, ci = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["c_ids"], np.int64)
                 s = similarities(np.frombuffer(r["q_m"]).reshape(-1, r["dim"]), np.frombuffer(r["c_m"]).reshape(-1, r["dim"]), metric)
-                # Ties go to the smaller id; rounding keeps them ties.
-                out = []
-                for j in range(len(qi)):
-                    keep = np.lexsort((ci, -np.round(s[j], 9)))[: k + 1]
-                    out += [(int(qi[j]), int(ci[i]), float(s[j, i])) for i in keep]
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "id", "similarity"])
+                keep = [first(s[j], ci, k + 1) for j in range(len(qi))]
+                at = np.concatenate(keep)
+                of = np.repeat(np.arange(len(qi)), [len(x) for x in keep])
+                yield pa.RecordBatch.from_arrays([pa.array(qi[of]), pa.array(ci[at]), pa.array(s[of, at])], ["query_id", "id", "similarity"])
 
     return run
 
 
+def ranked_neighbors(met: DataFrame, k: int, metric: str) -> DataFrame:
+    """(query_id, id, similarity, rank): the k best of all pairs of blocks (q_ids, q_m, c_ids, c_m, dim); at most k rows a query leave each task."""
+    found = met.mapInArrow(_nearest(k, metric), "query_id long, id long, similarity double").filter("query_id <> id")
+    order = W.partitionBy("query_id").orderBy(F.round("similarity", 9).desc(), "id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def usable(rows: DataFrame) -> DataFrame:
+    """The rows (id, v) that have an id and a vector."""
+    return rows.filter(F.col("v").isNotNull() & (F.size("v") > 0) & F.col("id").isNotNull())
+
+
 def nearest(queries: DataFrame, corpus: DataFrame, k: int = 8, metric: str = "l2") -> DataFrame:
     """(query_id, id, similarity, rank): the k most similar rows of corpus (id, v) for each row of queries (id, v), itself left out.
 
     Each block of queries meets each block of the corpus once, and only k rows of a meeting are
-    kept, so the rows that are shuffled grow with queries * corpus blocks.
+    kept, so the rows that are shuffled grow with queries * corpus blocks. Vectors meet only those
+    of their own dimension.
     """
     spark = queries.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    kind = "ids binary, m binary, dim int"
-    usable = F.col("v").isNotNull() & (F.size("v") > 0) & F.col("id").isNotNull()
-    q = queries.filter(usable).select("id", "v").mapInArrow(_pack, kind).select(F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), "dim")
-    c = corpus.filter(usable).select("id", "v").mapInArrow(_pack, kind).select(F.col("ids").alias("c_ids"), F.col("m").alias("c_m"), F.col("dim").alias("c_dim"))
-    c = c.withColumn("share", F.pmod(F.xxhash64("c_ids"), F.lit(parts)).cast("int"))
-    q = q.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    met = q.join(c, "share").filter("dim = c_dim").select("q_ids", "q_m", "c_ids", "c_m", "dim")
-    found = met.mapInArrow(_nearest(k, metric), "query_id long, id long, similarity double").filter("query_id <> id")
-    order = W.partitionBy("query_id").orderBy(F.round("similarity", 9).desc(), "id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    def blocks(rows, s):
+        packed = usable(rows).select(F.lit(0).alias("group"), "id", "v").mapInArrow(pack, PACKED)
+        return packed.select(F.col("ids").alias(f"{s}_ids"), F.col("m").alias(f"{s}_m"), F.col("dim").alias(f"{s}_dim"))
+
+    c = blocks(corpus, "c").withColumn("share", F.pmod(F.xxhash64("c_ids"), F.lit(parts)).cast("int"))
+    q = blocks(queries, "q").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return ranked_neighbors(q.join(c, "share").filter("q_dim = c_dim").select("q_ids", "q_m", "c_ids", "c_m", F.col("c_dim").alias("dim")), k, metric)
 
 
 def similarity_stats(neighbors: DataFrame) -> DataFrame:

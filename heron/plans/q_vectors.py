@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from heron.functions import text as X
-from heron.operators import fusion
+from heron.operators import ann, fusion
 from heron.operators.ranks import quantiles
 from heron.operators.vectors import contamination, nearest, similarity_stats
 from heron.plans import oracle_base as B
 from heron.plans.book import query
-from heron.plans.session import cut
+from heron.plans.session import cut, shared_dir
 from heron.plans.views import vectors, with_attacks
 
 V = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)"
@@ -44,6 +46,28 @@ def knn_cosine(spark, sf_dir):
     return nearest(v.filter("label <> 1"), v.filter("label = 1"), 8, "cosine").select("query_id", "id", "rank", F.round("similarity", 6).alias("similarity"))
 
 
+def _approximate(spark, sf_dir):
+    """Queries (every row whose id is divisible by 20) and what an index over all rows, written first, finds for them."""
+    v = _ids(vectors(spark, sf_dir))
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    ann.build(v, path)
+    queries = v.filter("id % 20 = 0")
+    return queries, v, ann.search(spark, path, queries)
+
+
+@query("knn_approximate")
+def knn_approximate(spark, sf_dir):
+    """Neighbours from the lists of an inverted-file index; which ones depends on the fitted centroids, so no SQL has them."""
+    return _approximate(spark, sf_dir)[2].select("query_id", "id", "rank", F.round("similarity", 6).alias("similarity"))
+
+
+@query("knn_approximate_recall", f"WITH {V}, {knn_sql('q.id % 20 = 0', 'true', 8)} SELECT count(*) AS expected, true AS reached FROM nn")
+def knn_approximate_recall(spark, sf_dir):
+    """Whether the index finds nine tenths of the exact neighbours, and how many those are."""
+    queries, v, found = _approximate(spark, sf_dir)
+    return ann.recall(found, nearest(queries, v, 8)).select("expected", (F.col("recall") >= 0.9).alias("reached"))
+
+
 @query("knn_similar_endpoint", f"""WITH {V}, {B.MESSAGES}, {knn_sql('q.id = 1', 'true', 25)}
 SELECT nn.id, CAST(rank AS INT) AS rank, round(similarity, 6) AS similarity, m.subject, left(m.body, 240) AS body_preview, m.label FROM nn JOIN m ON m.id = nn.id""")
 def knn_similar_endpoint(spark, sf_dir, k: int = 25):
