@@ -15,13 +15,15 @@ choose the candidates, and Python integers of any size decide.
 Cases: vectors that are null or hold null or non-finite components take no part, nor do rows without
 vec_id, as a result could not name them; empty vectors have the product 0 with all others, and
 unequal lengths count as padded with zeros; ties go to the smaller vec_id; repeated vec_ids are rows
-of their own, and a query never meets rows of its own id; fewer than k candidates give fewer rows; an
-empty table gives none; extra columns are ignored. Every finite size takes part: scores outside the
+of their own, each with a list of its own in which the others may stand; fewer than k candidates give
+fewer rows; an empty table gives none; extra columns are ignored. Every finite size takes part: scores outside the
 range of long are ranked by their exact values and shown as the end of that range.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -40,8 +42,9 @@ WHOLE, LESS = float(1 << 43), 64
 #: What rounding below the normal range can add to a scaled product.
 TINY = 2.0**-900
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
-_BLOCK = "block long, longest double, dim int, ids binary, vectors binary"
-_FOUND = "query_id long, vec_id long, score long, beyond binary"
+#: nodes has a number for each row of ids, as ids may be repeated.
+_BLOCK = "block long, longest double, dim int, ids binary, nodes binary, vectors binary"
+_FOUND = "query long, query_id long, vec_id long, score long, beyond binary"
 
 
 def whole_vectors(df: DataFrame) -> DataFrame:
@@ -65,43 +68,64 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
     return out
 
 
-def _pack(limit: int):
-    """Rows (vec_id, v, norm) to blocks, in the order they come."""
+def _block(key, held):
+    """One block of the held rows (ids, nodes, vectors, norms)."""
+    whole = np.zeros((sum(len(h[0]) for h in held), max(h[2].shape[1] for h in held)))
+    at = 0
+    for _, _, m, _ in held:
+        whole[at : at + len(m), : m.shape[1]] = m
+        at += len(m)
+    ids, nodes, norms = (np.concatenate([h[i] for h in held]) for i in (0, 1, 3))
+    row = (key, norms.max(), whole.shape[1], ids.tobytes(), nodes.tobytes(), whole.tobytes())
+    kinds = (pa.int64(), pa.float64(), pa.int32(), *[pa.binary()] * 3)
+    return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], [x.split()[0] for x in _BLOCK.split(", ")])
+
 
-    def block(part, k, held):
-        dim = max(m.shape[1] for _, m, _ in held)
-        whole = np.zeros((sum(len(i) for i, _, _ in held), dim))
+def _cut_up(limit: int, found):
+    """Blocks of at most limit of the rows found, in the order they come."""
+    part, k, n, held = TaskContext.get().partitionId(), 0, 0, []
+    for ids, nodes, m, norms in found:
         at = 0
-        for _, m, _ in held:
-            whole[at : at + len(m), : m.shape[1]] = m
-            at += len(m)
-        ids, norms = (np.concatenate([h[i] for h in held]) for i in (0, 2))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([(part << 32) + k], pa.int64()), pa.array([norms.max()], pa.float64()), pa.array([dim], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([whole.tobytes()], pa.binary())],
-            [x.split()[0] for x in _BLOCK.split(", ")],
-        )
+        while at < len(ids):
+            to = min(len(ids), at + limit - n)
+            held.append((ids[at:to], nodes[at:to], m[at:to], norms[at:to]))
+            n, at = n + to - at, to
+            if n == limit:
+                yield _block((part << 32) + k, held)
+                k, n, held = k + 1, 0, []
+    if held:
+        yield _block((part << 32) + k, held)
+
+
+def _pack(batches):
+    """Rows (vec_id, v, norm) to blocks; a row's node is its partition and its place there."""
+
+    def found():
+        place = TaskContext.get().partitionId() << 32
+        for b in batches:
+            yield b.column(0).to_numpy(), np.arange(place, place + b.num_rows), _matrix(b.column(1)), b.column(2).to_numpy()
+            place += b.num_rows
 
-    def run(batches):
-        part, k, n, held = TaskContext.get().partitionId(), 0, 0, []
+    yield from _cut_up(BLOCK, found())
+
+
+def _asked(every: int, batches):
+    """The rows of blocks whose id is divisible by every, as blocks of queries."""
+
+    def found():
         for b in batches:
-            ids, m, norms = b.column(0).to_numpy(), _matrix(b.column(1)), b.column(2).to_numpy()
-            at = 0
-            while at < len(ids):
-                to = min(len(ids), at + limit - n)
-                held.append((ids[at:to], m[at:to], norms[at:to]))
-                n, at = n + to - at, to
-                if n == limit:
-                    yield block(part, k, held)
-                    k, n, held = k + 1, 0, []
-        if held:
-            yield block(part, k, held)
+            for r in b.to_pylist():
+                ids, nodes, m = _open(r["ids"], r["nodes"], r["vectors"], r["dim"])
+                on = np.flatnonzero(ids % every == 0)
+                if len(on):
+                    yield ids[on], nodes[on], m[on], np.zeros(len(on))
 
-    return run
+    yield from _cut_up(QUERIES, found())
 
 
-def _open(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
+def _open(ids: bytes, nodes: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids = np.frombuffer(ids, np.int64)
-    return ids, np.frombuffer(vectors, np.float64).reshape(len(ids), dim)
+    return ids, np.frombuffer(nodes, np.int64), np.frombuffer(vectors, np.float64).reshape(len(ids), dim)
 
 
 def exponents(m: np.ndarray) -> np.ndarray:
@@ -157,13 +181,13 @@ def _seed(k: int):
         for b in batches:
             rows = b.to_pylist()
             for r in rows:
-                qi, q = _open(r["ids"], r["vectors"], r["dim"])
-                of_q, bound = exponents(q), np.full(len(qi), -np.inf)
-                si, s = _open(r["s_ids"], r["s_vectors"], r["s_dim"])
+                _, qn, q = _open(r["ids"], r["nodes"], r["vectors"], r["dim"])
+                of_q, bound = exponents(q), np.full(len(qn), -np.inf)
+                _, sn, s = _open(r["s_ids"], r["s_nodes"], r["s_vectors"], r["s_dim"])
                 r["scale"] = int(np.frexp(r["s_longest"])[1]) + LESS
                 near, error, _ = products(q, s, of_q, r["scale"])
-                for j in range(len(qi)):
-                    others = (near[j] - error[j])[si != qi[j]]
+                for j in range(len(qn)):
+                    others = (near[j] - error[j])[sn != qn[j]]
                     if len(others) >= k:
                         bound[j] = np.partition(others, -k)[-k]
                 long = np.sqrt((np.ldexp(q, -of_q[:, None]) ** 2).sum(1))
@@ -173,37 +197,37 @@ def _seed(k: int):
                 r["bounds"] = bound.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [*(pa.array([r[n] for r in rows], kind) for n, kind in (("block", pa.int64()), ("dim", pa.int32()), ("scale", pa.int32()), ("reach", pa.float64()))),
-                 *(pa.array([r[n] for r in rows], pa.binary()) for n in ("ids", "vectors", "bounds"))],
-                ["q_block", "q_dim", "scale", "reach", "q_ids", "q_vectors", "bounds"],
+                 *(pa.array([r[n] for r in rows], pa.binary()) for n in ("ids", "nodes", "vectors", "bounds"))],
+                ["q_block", "q_dim", "scale", "reach", "q_ids", "q_nodes", "q_vectors", "bounds"],
             )
 
     return run
 
 
-_SEEDED = "q_block long, q_dim int, scale int, reach double, q_ids binary, q_vectors binary, bounds binary"
+_SEEDED = "q_block long, q_dim int, scale int, reach double, q_ids binary, q_nodes binary, q_vectors binary, bounds binary"
 
 
 def _verify(k: int):
     def block(r):
         out: list[tuple] = []
-        qi, q = _open(r["q_ids"], r["q_vectors"], r["q_dim"])
-        ci, c = _open(r["ids"], r["vectors"], r["dim"])
+        qi, q_nodes, q = _open(r["q_ids"], r["q_nodes"], r["q_vectors"], r["q_dim"])
+        ci, c_nodes, c = _open(r["ids"], r["nodes"], r["vectors"], r["dim"])
         bounds, of_q, scale = np.frombuffer(r["bounds"], np.float64), exponents(q), r["scale"]
         unit = np.ldexp(q, -of_q[:, None])
         qn = np.sqrt((unit**2).sum(1))
         reach = qn * np.ldexp(r["longest"], LESS - scale)
         local = np.where(reach > 0, bounds / np.maximum(reach, 1e-300), np.where(bounds > TINY * 4, 2.0, -1.0))
 
-        def keep(j, at, found, of, ids):
+        def keep(j, at, found, of, ids, nodes):
             row = tuple(None if x is None else x[at] for x in found)
-            on = np.flatnonzero((ids != qi[j]) & (row[0] + row[1] >= bounds[j]))
-            out.extend((int(qi[j]), *x) for x in best(q[j], of, ids, on, row, k))
+            on = np.flatnonzero((nodes != q_nodes[j]) & (row[0] + row[1] >= bounds[j]))
+            out.extend((int(q_nodes[j]), int(qi[j]), *x) for x in best(q[j], of, ids, on, row, k))
 
         full = np.flatnonzero(local < COORDINATE_FROM)
         if len(full):
             found = products(q[full], c, of_q[full], scale)
             for at, j in enumerate(full):
-                keep(j, at, found, c, ci)
+                keep(j, at, found, c, ci, c_nodes)
         near = np.flatnonzero((local >= COORDINATE_FROM) & (local <= 1 + 1e-9))
         if len(near):
             scaled = np.ldexp(c, -scale)
@@ -215,14 +239,14 @@ def _verify(k: int):
                 if f < c.shape[1]:
                     y, wide = scaled[:, f] / cn, np.sqrt(max(0.0, (1 - t * t) * (1 - x * x))) + 1e-9
                     on = np.flatnonzero((y >= x * t - wide) & (y <= max(x * t + wide, 1.0 if x > 0 and x >= t else -2.0)) if x > 0 else (y <= x * t + wide) & (y >= min(x * t - wide, -1.0 if -x >= t else 2.0)))
-                keep(j, 0, products(q[j : j + 1], c[on], of_q[j : j + 1], scale), c[on], ci[on])
+                keep(j, 0, products(q[j : j + 1], c[on], of_q[j : j + 1], scale), c[on], ci[on], c_nodes[on])
         return out
 
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
                 out = block(r)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                kinds = (*[pa.int64()] * 4, pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], [x.split()[0] for x in _FOUND.split(", ")])
 
     return run
@@ -235,9 +259,9 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # Length alone may be one value for all rows; the id splits such a bucket over partitions.
     sorted_rows = rows.repartitionByRange(parts, F.desc("norm"), F.col("vec_id")).sortWithinPartitions(F.desc("norm"), "vec_id")
-    blocks = cut(sorted_rows.mapInArrow(_pack(BLOCK), _BLOCK), "topk-blocks")
-    asked = rows.filter(F.col("vec_id") % every == 0).mapInArrow(_pack(QUERIES), _BLOCK)
-    longest = blocks.orderBy(F.desc("longest"), "block").limit(1).select(*(F.col(n).alias(f"s_{n}") for n in ("longest", "ids", "vectors", "dim")))
+    blocks = cut(sorted_rows.mapInArrow(_pack, _BLOCK), "topk-blocks")
+    asked = blocks.mapInArrow(partial(_asked, every), _BLOCK)
+    longest = blocks.orderBy(F.desc("longest"), "block").limit(1).select(*(F.col(n).alias(f"s_{n}") for n in ("longest", "ids", "nodes", "vectors", "dim")))
     # One block of at most BLOCK vectors is broadcast.
     bounded = cut(asked.join(F.broadcast(longest), F.lit(True)).mapInArrow(_seed(k), _SEEDED), "topk-queries")
     scale, least = bounded.agg(F.max("scale"), F.min("reach")).first()
@@ -249,7 +273,7 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     pairs = bounded.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).join(used.withColumn("share", F.pmod(F.xxhash64("block"), F.lit(shares)).cast("int")), "share")
     pairs = pairs.filter(F.col("longest") >= F.col("reach") * F.pow(F.lit(2.0), F.col("scale") - LESS)).drop("share", "q_block", "block", "reach")
     found = pairs.mapInArrow(_verify(k), _FOUND)
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
+    order = W.partitionBy("query").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -259,13 +283,13 @@ def op10_topk(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), p AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.r <> c.r
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM p
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
 """

@@ -7,12 +7,15 @@ import re
 import zlib
 from collections import Counter
 from fractions import Fraction
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from heron.llm import negatives, resample, sharding
+import __spark_entry__ as entry
+from heron.llm import negatives, resample, sharding, topk
 from tests.llm.test_operators import CLASHING, ODD, docs, words
 
 MORE = "bucket count n_words n_features weight tie low unnamed id place at key shard_ slot size crc text_crc32 law".split()
@@ -215,3 +218,33 @@ def test_sharded_files(spark, tmp_path):
     assert all(len(list(p.glob("*.parquet"))) == 3 for p in (tmp_path / "shards").glob("shard=*"))
     with pytest.raises(ValueError, match="shard"):
         sharding.sharded(df.withColumn("Shard", F.lit(1)), f"file://{tmp_path}/other")
+
+
+# 10 top-k of repeated ids, and the SQL of the operators that have one
+
+
+def test_top_k_of_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    r = np.random.default_rng(8)
+    rows = [(i, (r.normal(size=4) * r.choice([0.2, 1, 3])).tolist()) for i in range(120)]
+    rows += [(100, [1.0, 0.0, 0.0, 0.0]), (100, [0.0, 1.0, 0.0, 0.0]), (100, [0.0, 1.0, 0.0, 0.0]), (0, rows[5][1]), (7, rows[7][1]), (7, rows[9][1])]
+    v = [(i, [math.floor(Fraction(x) * 1024) for x in e]) for i, e in rows]
+    want = []
+    for a, (i, q) in enumerate(v):
+        if i % 100 == 0:
+            s = sorted((-sum(x * y for x, y in zip(q, c, strict=True)), j) for b, (j, c) in enumerate(v) if b != a)[:10]
+            want += [(i, k, j, -x) for k, (x, j) in enumerate(s, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    assert sorted(tuple(x) for x in topk.top_k(df).collect()) == sorted(want) and len(want) == 60
+
+
+@pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if n.startswith("op")))
+def test_operators_equal_their_sql(spark, name):
+    db = duckdb.connect()
+    for p in Path("/root/testdata/sf0.001").glob("*.parquet"):
+        db.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}{'/*.parquet' if p.is_dir() else ''}'")
+    df = entry.queries()[name](spark, "/root/testdata/sf0.001")
+    result = db.execute(entry.oracle_sql()[name])
+    names = [d[0] for d in result.description]
+    assert sorted(df.columns) == sorted(names)
+    assert sorted((tuple(x[n] for n in names) for x in df.collect()), key=str) == sorted(result.fetchall(), key=str)
