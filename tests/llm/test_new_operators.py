@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from heron.llm import negatives, resample, sharding, topk
+from heron.llm import html, negatives, resample, sharding, topk
 from tests.llm.test_operators import CLASHING, ODD, docs, words
 
 MORE = "bucket count n_words n_features weight tie low unnamed id place at key shard_ slot size crc text_crc32 law".split()
@@ -248,3 +248,20 @@ def test_operators_equal_their_sql(spark, name):
     names = [d[0] for d in result.description]
     assert sorted(df.columns) == sorted(names)
     assert sorted((tuple(x[n] for n in names) for x in df.collect()), key=str) == sorted(result.fetchall(), key=str)
+
+
+# 8 boilerplate inside articles
+
+
+@pytest.mark.parametrize("inner", [
+    '<div id="respond">Leave a reply</div>', '<ul class="commentlist"><li>first!</ul>', '<section id="discussion"><p>I disagree</section>', '<div class="ad-slot">Buy</div>', '<div class="advertising">Buy</div>',
+    '<div class="adUnit">Buy</div>', '<div class="comment-respond"><form>name</form>write</div>', '<p class="social">follow us</p>', "<footer>filed under x</footer>",
+])
+def test_boilerplate_inside_an_article_goes(inner):
+    found = html.lines(f"<body><article><h1>Title</h1><p>One &amp; two</p>{inner}<p>Three</p></article></body>")
+    assert html.main_text(found, [])[0] == "Title\nOne & two\nThree"
+
+
+@pytest.mark.parametrize("inner", ['<p class="share-price">up</p>', '<div class="unit">up</div>', '<div class="slot">up</div>', '<section id="discussion-of-results">up</section>', '<p class="respondents">up</p>'])
+def test_words_beside_stay(inner):
+    assert "up" in html.main_text(html.lines(f"<article><p>One</p>{inner}</article>"), [])[0]
