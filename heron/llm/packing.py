@@ -6,8 +6,12 @@ patterns (a filling of one sequence, and how often it is used), found by branch
 largest length left, enumerate all undominated fillings of the room beside it in the order of their
 waste, use a filling as often as the counts allow, or less often, and go on; a branch ends where the
 sequences so far and the bound of the rest reach the best solution known, or where its waste does.
-Each state is completed by best fit decreasing, whose solutions are the incumbents. The search looks
-at NODES fillings at most; then the best solution stands. Documents then take their places by their rank within their
+Best fit decreasing gives the first incumbent and completes each state. Before the search turns back
+anywhere, it dives to the end several times: lengths above a threshold take the filling that best fit
+would, lengths below it the undominated one of least waste, each as often as the counts allow; a dive
+ends where its waste allows no better solution. Dives take STEPS patterns at most, for up to 17
+thresholds, and the search then looks at WORK fillings over the number of lengths; then the best
+solution stands. Documents then take their places by their rank within their
 length, which is counted per partition and summed over partitions, so no length is gathered in one
 task.
 
@@ -37,9 +41,12 @@ from heron.plans.session import cut, table
 
 CAPACITY = 4096
 END_ID = 1
-#: Bound of a worker's word cache, which lasts over its tasks, and of the fillings that branch and bound looks at on the driver.
+#: Bound of a worker's word cache, which lasts over its tasks.
 CACHE = 1_200_000
-NODES = 5000
+#: Bounds of the driver's work: patterns of all dives, and fillings that branch and bound looks at, times the number of lengths, of which it looks at NODES at most.
+STEPS, WORK, NODES = 20_000, 400_000, 5000
+#: Shares of the pieces below the thresholds of dives, in the order in which they are tried.
+BELOW = (1, 0, *(k / n for n in (2, 4, 8, 16) for k in range(1, n, 2)))
 #: Bound of the branches that are open at a time, each with the sums that its lengths can make: at most 2 MB.
 DEPTH = 48
 #: ASCII marks that the vocabulary keeps together as one run.
@@ -253,10 +260,63 @@ def fillings(sizes: list[int], most: list[int], room: int, waste: int) -> Iterat
             stack += to
 
 
+def dive(counts: dict[int, int], capacity: int, above: int, waste: int, steps: int) -> tuple[list[Pattern] | None, int]:
+    """One walk to the end that never turns back, and its steps; None where it loses more than the waste or takes more than the steps.
+
+    The largest length left takes the filling of the largest pieces that fit if it is above the
+    threshold, else the undominated filling of least waste, and that as often as the counts allow.
+    """
+    left, out = dict(sorted(counts.items(), reverse=True)), []
+    while left:
+        if len(out) == steps:
+            return None, steps
+        largest = next(iter(left))
+        left[largest] -= 1
+        room, pattern = capacity - largest, Counter({largest: 1})
+        sizes = [s for s, n in left.items() if n and s <= room]
+        if largest > above:
+            for s in sizes:
+                if n := min(left[s], room // s):
+                    pattern[s] += n
+                    room -= n * s
+        else:
+            filling, room = next(x for x in fillings(sizes, [left[s] for s in sizes], room, room) if x[0] is not None)
+            pattern.update(dict(filling))
+        left[largest] += 1
+        times = min(left[s] // c for s, c in pattern.items())
+        waste -= room * times
+        if waste < 0:
+            return None, len(out)
+        for s, c in pattern.items():
+            left[s] -= c * times
+            if not left[s]:
+                del left[s]
+        out.append((times, tuple(sorted(pattern.items(), reverse=True))))
+    return out, len(out)
+
+
+def dives(counts: dict[int, int], capacity: int, best: list[Pattern], floor: int, steps: int) -> list[Pattern]:
+    """The best of a solution and those of dives from several thresholds."""
+    total, fewest = sum(s * n for s, n in counts.items()), sum(t for t, _ in best)
+    sizes = sorted(counts)
+    ends = np.cumsum([counts[s] for s in sizes])
+    tried = set()
+    for share in BELOW:
+        above = sizes[min(len(sizes) - 1, int(np.searchsorted(ends, share * ends[-1])))] if share else 0
+        if fewest == floor or steps <= 0 or above in tried:
+            continue
+        tried.add(above)
+        found, used = dive(counts, capacity, above, (fewest - 1) * capacity - total, steps)
+        steps -= used
+        if found is not None and sum(t for t, _ in found) < fewest:
+            best, fewest = found, sum(t for t, _ in found)
+    return best
+
+
 def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, depth: int = DEPTH) -> list[Pattern]:
     """Patterns that hold every counted piece once, in as few sequences as branch and bound finds.
 
-    A branch takes the largest length left with an undominated filling of its sequence, as often as
+    Dives come first. A branch then takes the largest length left with an undominated filling of its sequence, as often as
     the counts allow or less often; best fit decreasing completes each state to a solution. A state
     that was reached with as few sequences before, or that the bound shows to be no better than the
     best solution, is left. Below depth open branches only best fit goes on; after nodes fillings the
@@ -271,7 +331,8 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
     for s, n in counts.items():
         start[s] = n
     total, floor = sum(s * n for s, n in counts.items()), lower_bound(start, capacity)
-    best = best_fit(counts, capacity)
+    best = dives(counts, capacity, best_fit(counts, capacity), floor, STEPS)
+    nodes = min(nodes, WORK // len(counts))
     fewest, opened, path = sum(t for t, _ in best), 0, []
     seen: dict[bytes, int] = {}
 

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from heron.llm import html, negatives, resample, sharding, topk
+from heron.llm import html, negatives, packing, resample, sharding, topk
 from tests.llm.test_operators import CLASHING, ODD, docs, words
 
 MORE = "bucket count n_words n_features weight tie low unnamed id place at key shard_ slot size crc text_crc32 law".split()
@@ -265,3 +265,29 @@ def test_boilerplate_inside_an_article_goes(inner):
 @pytest.mark.parametrize("inner", ['<p class="share-price">up</p>', '<div class="unit">up</div>', '<div class="slot">up</div>', '<section id="discussion-of-results">up</section>', '<p class="respondents">up</p>'])
 def test_words_beside_stay(inner):
     assert "up" in html.main_text(html.lines(f"<article><p>One</p>{inner}</article>"), [])[0]
+
+
+# 2 packing of large histograms
+
+
+@pytest.mark.parametrize(("n", "low", "high", "most"), [(3000, 1000, 2000, 1200), (3000, 1200, 1800, 1260), (20_000, 700, 2100, 6970), (3000, 1400, 2700, 1537)])
+def test_bin_completion_beats_best_fit_on_large_histograms(n, low, high, most):
+    r = random.Random(1)
+    counts = Counter(r.randint(low, high) for _ in range(n))
+    found = packing.bin_completion(dict(counts))
+    used = Counter()
+    for times, filling in found:
+        assert times > 0 and sum(s * c for s, c in filling) <= packing.CAPACITY
+        for s, c in filling:
+            used[s] += times * c
+    assert used == counts
+    by_best_fit = sum(t for t, _ in packing.best_fit(counts, packing.CAPACITY))
+    assert sum(t for t, _ in found) <= min(most, by_best_fit) and (most == 1537 or sum(t for t, _ in found) < 0.98 * by_best_fit)
+
+
+def test_dives_keep_to_their_bounds():
+    counts = {7: 3, 5: 4, 3: 5, 2: 2}
+    found, steps = packing.dive(counts, 10, 0, 10, 99)
+    assert steps == len(found) and sum(t * sum(s * c for s, c in f) for t, f in found) == 60 and sum(t for t, _ in found) == 6
+    assert packing.dive(counts, 10, 5, 0, 99)[0] is None or sum(t for t, _ in packing.dive(counts, 10, 5, 0, 99)[0]) == 6
+    assert packing.dive(counts, 10, 0, 10, 1) == (None, 1) and packing.dive({7: 2}, 10, 0, 5, 99)[0] is None
