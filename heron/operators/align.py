@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from heron.functions.text import TOKEN, sentences, tokens
@@ -30,26 +30,50 @@ def match_sentences(pairs: DataFrame, least: float = 0.5) -> DataFrame:
     return best.select("id", "i", F.col("x.j").alias("j"), (-F.col("x.k")).alias("score")).filter(F.col("score") >= least)
 
 
-def _spans(a: str, b: str, strong_share: float, strong_tokens: int) -> list[tuple]:
-    """Runs of the longest common token sequence; on ties the walk back goes up."""
-    x, y = list(_TOKEN.finditer(a)), list(_TOKEN.finditer(b))
-    u, v = [t[0].lower() for t in x], [t[0].lower() for t in y]
-    n, m = len(u), len(v)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            best[i][j] = best[i - 1][j - 1] + 1 if u[i - 1] == v[j - 1] else max(best[i - 1][j], best[i][j - 1])
-    pairs, i, j = [], n, m
+def common(u: list[str], v: list[str]) -> tuple[list[tuple[int, int]], int]:
+    """Pairs of places of a longest common subsequence of two token lists, and its length; on ties the walk back goes up in u.
+
+    The table of lengths is filled row by row; one row in STEP is kept, and the walk back fills the
+    rows between two kept ones again, so memory grows with the root of its size and time stays that of
+    two fillings.
+    """
+    names: dict[str, int] = {}
+    a, b = (np.array([names.setdefault(t, len(names)) for t in x], np.int32) for x in (u, v))
+    n, m = len(a), len(b)
+    step = max(16, int(n**0.5))
+
+    def rows(row: np.ndarray, low: int, high: int):
+        for i in range(low, high):
+            row, above = np.zeros(m + 1, np.int32), row
+            np.maximum.accumulate(np.maximum(above[1:], above[:-1] + (b == a[i])), out=row[1:])
+            yield row
+
+    kept = [np.zeros(m + 1, np.int32)]
+    for low in range(0, n, step):
+        for row in rows(kept[-1], low, min(n, low + step)):
+            last = row
+        kept.append(last)
+    pairs, i, j, low, block = [], n, m, n, []
     while i and j:
-        if u[i - 1] == v[j - 1]:
+        if i <= low:
+            low = (i - 1) // step * step
+            block = [kept[low // step], *rows(kept[low // step], low, min(n, low + step))]
+        if a[i - 1] == b[j - 1]:
             i, j = i - 1, j - 1
             pairs.append((i, j))
-        elif best[i - 1][j] >= best[i][j - 1]:
+        elif block[i - 1 - low][j] >= block[i - low][j - 1]:
             i -= 1
         else:
             j -= 1
-    share, runs = (best[n][m] / max(n, m) if max(n, m) else 0.0), []
-    for i, j in reversed(pairs):
+    return pairs[::-1], int(kept[-1][m])
+
+
+def _spans(a: str, b: str, strong_share: float, strong_tokens: int) -> list[tuple]:
+    """Runs of the longest common token sequence."""
+    x, y = list(_TOKEN.finditer(a)), list(_TOKEN.finditer(b))
+    pairs, best = common([t[0].lower() for t in x], [t[0].lower() for t in y])
+    share, runs = (best / max(len(x), len(y)) if x or y else 0.0), []
+    for i, j in pairs:
         if runs and runs[-1][1] == i - 1 and runs[-1][3] == j - 1:
             runs[-1][1], runs[-1][3] = i, j
         else:
@@ -66,13 +90,3 @@ def lcs_spans(df: DataFrame, a: str, b: str, strong_share: float = 0.9, strong_t
         return pd.Series([[dict(zip(names, s, strict=True)) for s in _spans(p or "", q or "", strong_share, strong_tokens)] for p, q in zip(x, y, strict=True)])
 
     return df.withColumn("spans", run(F.col(a), F.col(b)))
-
-
-def merge_ranges(ranges: DataFrame) -> DataFrame:
-    """(id, start, end, strong): ranges (id, start, end, strong) merged where one starts within or at the end of those before; strong if any is."""
-    valid = ranges.filter((F.col("start") >= 0) & (F.col("end") > F.col("start")))
-    order = W.partitionBy("id").orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    marked = valid.withColumn("fresh", (reach.isNull() | (F.col("start") > reach)).cast("int"))
-    island = marked.withColumn("island", F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return island.groupBy("id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.bool_or("strong").alias("strong")).drop("island")

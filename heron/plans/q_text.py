@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from heron.functions import text as X
 from heron.operators import align, cleaning as C
+from heron.operators.running import merge_ranges as merge_spans
 from heron.plans import oracle_base as B
 from heron.plans.book import query
 from heron.plans.session import shared_dir, table
@@ -341,7 +342,7 @@ SELECT id, min(s) AS start, max(e) AS "end", bool_or(strong) AS strong FROM g GR
 def merge_ranges(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     s = (F.col("event_id") % 997).cast("long")
-    return align.merge_ranges(e.select(F.col("user_id").alias("id"), s.alias("start"), (s + F.col("event_id") % 7).alias("end"), (F.col("event_id") % 5 == 0).alias("strong")))
+    return merge_spans(e.select(F.col("user_id").alias("id"), s.alias("start"), (s + F.col("event_id") % 7).alias("end"), (F.col("event_id") % 5 == 0).alias("strong")))
 
 
 #: Any key will do here; a service reads its own from its surroundings.

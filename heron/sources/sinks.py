@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from heron.operators.ranks import ranked
@@ -53,9 +52,3 @@ def update_vectors(table: DataFrame, fresh: DataFrame, column: str = "v") -> Dat
 def cascade_delete(evidence: DataFrame, messages: DataFrame) -> DataFrame:
     """The evidence whose message is still there."""
     return evidence.join(messages.select(F.col("id").alias("message_id")), "message_id", "left_semi")
-
-
-def running_totals(df: DataFrame, group: str, order: str, columns: list[str]) -> DataFrame:
-    """df with the totals so far of the columns within each group."""
-    w = W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumns({f"total_{c}": F.sum(c).over(w) for c in columns})

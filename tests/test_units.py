@@ -9,7 +9,7 @@ from heron.functions import pii
 from heron.functions import text as X
 from heron.operators import align, cost, curate, evaluate, fusion, ontology, rules, stats
 from heron.operators.vectors import nearest
-from heron.sources.sinks import running_totals
+from heron.operators.running import merge_ranges, running_totals
 
 
 def one(spark, **columns):
@@ -125,7 +125,7 @@ def test_spans_and_ranges(spark):
     assert align._spans("the cat sat", "a cat sat", 0.9, 4) == [(4, 11, 2, 9, False)]
     assert align._spans("", "x", 0.9, 4) == []
     df = spark.createDataFrame([(1, 0, 3, False), (1, 3, 5, True), (1, 7, 9, False), (1, 4, 4, True)], "id long, start long, end long, strong boolean")
-    assert sorted(tuple(r) for r in align.merge_ranges(df).collect()) == [(1, 0, 5, True), (1, 7, 9, False)]
+    assert sorted(tuple(r) for r in merge_ranges(df).collect()) == [(1, 0, 5, True), (1, 7, 9, False)]
 
 
 def test_running_totals(spark):
