@@ -129,3 +129,62 @@ def sentences(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+
+
+def offsets(text: Column, pattern: str) -> Column:
+    """(start, end, text) of each match in order; places count code points from 0, and end is the place after the match."""
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("text")))
+    none = F.array().cast("array<struct<start:int,end:int,text:string>>")
+
+    def step(s, p):
+        start = s["at"] + p["gap"]
+        end = start + F.length(p["text"])
+        return F.struct(end.alias("at"), F.array_append(s["found"], F.struct(start.alias("start"), end.alias("end"), p["text"].alias("text"))).alias("found"))
+
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda s: s["found"])
+
+
+def sentence_offsets(text: Column) -> Column:
+    """offsets() of the sentences; a text without any is one itself."""
+    found = offsets(text, SENTENCE)
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.struct(F.lit(0).alias("start"), F.length(text).alias("end"), text.alias("text"))))
+
+
+def token_offsets(sentence: Column) -> Column:
+    """offsets() of the lower-cased tokens of one of sentence_offsets(), in the whole text."""
+    return F.transform(offsets(sentence["text"], TOKEN), lambda t: F.struct((t["start"] + sentence["start"]).alias("start"), (t["end"] + sentence["start"]).alias("end"), F.lower(t["text"]).alias("text")))
+
+
+def code_units(text: Column) -> Column:
+    """The 16-bit code units of the text, as browsers count them."""
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0))
+    return F.transform(units, lambda u: F.conv(u, 16, 10).cast("long"))
+
+
+#: 32-bit start values and multiplier of the short digest.
+_START, _TIMES, _WORD = (0x811C9DC5, 0x9E3779B9), 0x01000193, 1 << 32
+
+
+def short_digest(text: Column) -> Column:
+    """Twelve hex digits of two 32-bit accumulators that are folded over the text's code units; not for secrets."""
+
+    def rotated(x: Column, n: int) -> Column:
+        return (x * (1 << n)) % _WORD + F.shiftright(x, 32 - n)
+
+    def step(s, c):
+        a, b = s["a"].bitwiseXOR(c), s["b"]
+        return F.struct((a * _TIMES % _WORD).alias("a"), b.bitwiseXOR((c + b + b * 64 % _WORD + F.shiftright(b, 2)) % _WORD).alias("b"))
+
+    def digits(s):
+        x, y = s["a"].bitwiseXOR(rotated(s["b"], 13)), s["b"].bitwiseXOR(rotated(s["a"], 11))
+        bytes_ = [x, F.shiftright(x, 8), F.shiftright(x, 16), y, F.shiftright(y, 8), F.shiftright(x.bitwiseXOR(y), 16)]
+        return F.concat(*(F.lower(F.lpad(F.hex(b % 256), 2, "0")) for b in bytes_))
+
+    return F.aggregate(code_units(text), F.struct(*(F.lit(v).cast("long").alias(n) for n, v in zip("ab", _START, strict=True))), step, digits)
+
+
+def same_set(chosen: Column, right: Column) -> Column:
+    """Whether two arrays hold the same values, in any order; a null array holds none."""
+    a, b = (F.array_sort(F.array_distinct(F.coalesce(x, F.array().cast("array<string>")))) for x in (chosen, right))
+    return a == b

@@ -88,6 +88,58 @@ def paired_bootstrap(spark: SparkSession, counts: dict[tuple[int, ...], int], n:
     return seen.join(F.broadcast(rows), "metric")
 
 
+def _halves(n: int, widths: float = 40.0) -> tuple[np.ndarray, np.ndarray]:
+    """Outcomes of n fair coins and their probabilities, but for those that lie over 40 standard deviations off, which no float tells from 0."""
+    wide = int(widths * math.sqrt(n) / 2) + 2
+    k = np.arange(max(0, n // 2 - wide), min(n, n // 2 + wide) + 1)
+    steps = np.log((n - k[1:] + 1) / k[1:]) if len(k) > 1 else np.zeros(0)
+    log = np.concatenate([[0.0], np.cumsum(steps)])
+    p = np.exp(log - log.max())
+    return k, p / p.sum()
+
+
+def permutation_exact(spark: SparkSession, counts: dict[tuple[int, ...], int]) -> DataFrame:
+    """P(|difference| >= |observed|) over all ways to swap rows' predictions, exactly.
+
+    Only rows whose two predictions differ count. Of those with one label, the number that end with a
+    right prediction for a is binomial, and both labels' numbers are independent. A metric's difference
+    never falls as more rows of label 0 go wrong for a, so for each number of label 1 the two tails of
+    label 0 are found by bisection: the work grows with the root of the rows, not with their square.
+    """
+    c = {k: int(counts.get(k, 0)) for k in ((y, a, b) for y in (0, 1) for a in (0, 1) for b in (0, 1))}
+    x, y = _paired(np.array([c[i >> 2 & 1, i >> 1 & 1, i & 1] for i in range(8)], float))
+    observed = y - x
+    n1, n0 = c[1, 0, 1] + c[1, 1, 0], c[0, 0, 1] + c[0, 1, 0]
+    (right, p1), (wrong, p0) = _halves(n1), _halves(n0)
+    below = np.concatenate([[0.0], np.cumsum(p0)])
+
+    def difference(k1: np.ndarray, k0: np.ndarray) -> np.ndarray:
+        def one(tp, fp):
+            return metrics(*(v.astype(float) for v in (tp, c[0, 0, 0] + n0 + c[0, 1, 1] - fp, fp, c[1, 0, 0] + n1 + c[1, 1, 1] - tp)))
+
+        return one(c[1, 1, 1] + n1 - k1, c[0, 1, 1] + n0 - k0) - one(c[1, 1, 1] + k1, c[0, 1, 1] + k0)
+
+    def first(m: int, least: float) -> np.ndarray:
+        """For each number of label 1, the place of the first number of label 0 whose difference is at least that."""
+        low, high = np.zeros(len(right), np.int64), np.full(len(right), len(wrong), np.int64)
+        while (low < high).any():
+            mid = (low + high) // 2
+            up = difference(right, wrong[np.minimum(mid, len(wrong) - 1)])[:, m] >= least
+            low, high = np.where(~up & (low < high), mid + 1, low), np.where(up & (low < high), mid, high)
+        return low
+
+    found = []
+    for m, name in enumerate(NAMES):
+        seen = abs(float(observed[m]))
+        if seen <= 1e-12:
+            p = 1.0
+        else:
+            # From here up, and what lies below the first difference that is over the lower end.
+            p = float((p1 * (1 - below[first(m, seen - 1e-12)] + below[first(m, -seen + 1e-12 + 1e-15)])).sum())
+        found.append((name, float(observed[m]), min(1.0, p)))
+    return spark.createDataFrame(found, "metric string, observed double, p double")
+
+
 def permutation(spark: SparkSession, counts: dict[tuple[int, ...], int], n: int = 10_000, seed: int = 42) -> DataFrame:
     """P(|difference| >= |observed|) when each row's two predictions are swapped at random."""
     c = np.array([counts.get(((i >> 2) & 1, (i >> 1) & 1, i & 1), 0) for i in range(8)], np.int64)

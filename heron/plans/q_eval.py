@@ -297,9 +297,24 @@ def paired_bootstrap(spark, sf_dir):
     return rounded(stats.paired_bootstrap(spark, stats.cells(_cells(spark, sf_dir), "label", "a", "b")))
 
 
-@query("permutation_test")
+def _metrics_sql(tp, fp):
+    p, r = f"coalesce(({tp}) / nullif(({tp}) + ({fp}), 0), 0.0)", f"coalesce(({tp}) / nullif(n1, 0), 0.0)"
+    return {"accuracy": f"coalesce((({tp}) + n0 - ({fp})) / nullif(n0 + n1, 0), 0.0)", "precision": p, "recall": r, "f1": f"coalesce(2 * {p} * {r} / nullif({p} + {r}, 0), 0.0)"}
+
+
+_AFTER, _BEFORE = (_metrics_sql("t + d1 - k1", "f + d0 - k0"), _metrics_sql("t + k1", "f + k0"))
+_HALF = "exp(lgamma(d{0} + 1) - lgamma(k{0} + 1) - lgamma(d{0} - k{0} + 1) - d{0} * ln(2.0))"
+
+
+@query("permutation_test", f"""WITH {P1D}, s AS (SELECT label AS y, score >= 2 AS a, score >= 5 AS b FROM p1 WHERE label IN (0, 1)),
+c AS (SELECT CAST(count(*) FILTER (y = 1) AS DOUBLE) AS n1, CAST(count(*) FILTER (y = 0) AS DOUBLE) AS n0, CAST(count(*) FILTER (y = 1 AND a AND b) AS DOUBLE) AS t, CAST(count(*) FILTER (y = 0 AND a AND b) AS DOUBLE) AS f,
+ count(*) FILTER (y = 1 AND a <> b) AS d1, count(*) FILTER (y = 0 AND a <> b) AS d0, count(*) FILTER (y = 1 AND a AND NOT b) AS o1, count(*) FILTER (y = 0 AND a AND NOT b) AS o0 FROM s),
+g AS (SELECT c.*, CAST(x.k1 AS DOUBLE) AS k1, CAST(z.k0 AS DOUBLE) AS k0, x.k1 = o1 AND z.k0 = o0 AS seen, {_HALF.format('1')} * {_HALF.format('0')} AS w FROM c, LATERAL (SELECT unnest(range(0, d1 + 1)) AS k1) x, LATERAL (SELECT unnest(range(0, d0 + 1)) AS k0) z),
+e AS ({' UNION ALL '.join(f"SELECT '{m}' AS metric, {_AFTER[m]} - {_BEFORE[m]} AS d, w, seen FROM g" for m in stats.NAMES)}),
+o AS (SELECT metric, d AS observed FROM e WHERE seen) SELECT metric, round(any_value(observed), 6) AS observed, round(sum(CASE WHEN abs(d) >= abs(observed) - 1e-12 THEN w ELSE 0 END), 6) AS p FROM e JOIN o USING (metric) GROUP BY metric""")
 def permutation_test(spark, sf_dir):
-    return rounded(stats.permutation(spark, stats.cells(_cells(spark, sf_dir), "label", "a", "b")))
+    """The exact distribution over all swaps."""
+    return rounded(stats.permutation_exact(spark, stats.cells(_cells(spark, sf_dir), "label", "a", "b")))
 
 
 _DISC = f"WITH {P1D}, s AS (SELECT label = CAST(score >= 2 AS INT) AS ra, label = CAST(score >= 5 AS INT) AS rb FROM p1 WHERE label IN (0, 1)), d AS (SELECT sum(CAST(ra AND NOT rb AS INT)) AS n01, sum(CAST(rb AND NOT ra AS INT)) AS n10 FROM s)"

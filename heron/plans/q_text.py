@@ -7,13 +7,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from heron.functions import text as X
+from heron.functions.pii import PATTERNS
 from heron.operators import align, cleaning as C
 from heron.operators.running import merge_ranges as merge_spans
 from heron.plans import oracle_base as B
 from heron.plans.book import query
 from heron.plans.session import shared_dir, table
 from heron.plans.views import BRANDS, scored, unnest, vectors
-from heron.sources import sinks
+from heron.sources import backfill, sinks
 from heron.sources.messages import MESSAGE_TYPES, browser_rows, messages, read_csv, read_jsonl, without_bad_bytes
 
 M = f"WITH {B.MESSAGES}"
@@ -80,6 +81,24 @@ def backfill_targets(spark, sf_dir):
     return both.select("id", "target", F.length("input").alias("n"))
 
 
+_TARGETS = "SELECT id, 'doc' AS target, CAST(length(left(regexp_replace(subject || chr(10) || chr(10) || body, '^\\s+|\\s+$', '', 'g'), 8000)) AS INT) AS n FROM e"
+
+
+@query("backfill_resumed", f"{M}, e AS (SELECT m.id, m.subject, m.body FROM m LEFT JOIN embeddings v ON v.vec_id = m.id WHERE v.vec_id IS NULL), t AS ({_TARGETS}), k AS (SELECT *, (row_number() OVER (ORDER BY id) - 1) // CAST(ceil(count(*) OVER () / 6.0) AS BIGINT) AS ntile FROM t) SELECT id, target, n, max(id) OVER (PARTITION BY ntile) AS batch FROM k")
+def backfill_resumed(spark, sf_dir):
+    """The inputs of rows without a vector, a sixth of them at a time; the first run stops after two batches, the second does the rest."""
+    v = vectors(spark, sf_dir).select(F.col("vec_id").alias("id"))
+    todo = messages(spark, sf_dir).select("id", "subject", "body").join(v, "id", "left_anti").withColumn("url_extracted", F.lit(None).cast("string"))
+    path, size = _temp(spark, "backfill"), max(1, -(-todo.count() // 6))
+
+    def make(rows):
+        return C.embedding_inputs(rows, "doc").select("id", "target", F.length("input").alias("n"))
+
+    backfill.backfill(todo, make, path, size, batches=2)
+    backfill.backfill(todo, make, path, size)
+    return backfill.backfilled(spark, path, "id long, target string, n int")
+
+
 @query("update_vectors", "SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN 1.0 ELSE round(CAST(embedding[1] AS DOUBLE), 6) END AS first FROM embeddings")
 def update_vectors(spark, sf_dir):
     v = vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), "v")
@@ -87,11 +106,30 @@ def update_vectors(spark, sf_dir):
     return sinks.update_vectors(v, fresh).select("id", F.round(F.col("v")[0], 6).alias("first"))
 
 
+@query("update_partitions", "SELECT vec_id AS id, CASE WHEN vec_id % 300 < 50 AND vec_id % 7 = 0 THEN 1.0 ELSE round(CAST(embedding[1] AS DOUBLE), 6) END AS first FROM embeddings")
+def update_partitions(spark, sf_dir):
+    """A stored table of vectors, of which only the partitions with new vectors are written again."""
+    v, path = vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), "v"), _temp(spark, "vectors")
+    backfill.write_by_ids(v, path, 50)
+    fresh = v.filter("id % 300 < 50 AND id % 7 = 0").select("id", F.transform("v", lambda x: F.lit(1.0)).alias("new"))
+    backfill.update_by_ids(spark, path, fresh, "v", 50)
+    return spark.read.parquet(path).select("id", F.round(F.col("v")[0], 6).alias("first"))
+
+
 @query("split_by_position", "SELECT part, count(*) AS n, min(doc_id) AS lo, max(doc_id) AS hi FROM (SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id) <= CAST(floor(0.7 * (SELECT count(*) FROM documents)) AS BIGINT) THEN 0 ELSE 1 END AS part FROM documents) GROUP BY part")
 def split_by_position(spark, sf_dir):
     return sinks.split_by_position(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 0.7).groupBy("part").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
 
 
+@query("split_with_header", "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k, count(*) OVER () + 1 AS n FROM documents), p AS (SELECT CASE WHEN k < CAST(floor(0.3 * n) AS BIGINT) THEN 0 ELSE 1 END AS part, doc_id FROM r) SELECT part, count(*) + CAST(part = 0 AS INT) AS n, part = 0 AS has_header, min(doc_id) AS lo, max(doc_id) AS hi FROM p GROUP BY part")
+def split_with_header(spark, sf_dir):
+    """Lines of a table split by position with the header counted as row 0, so that only the first part has it."""
+    lines = table(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("at"), F.concat_ws(",", "doc_id", "lang").alias("line"))
+    rows = sinks.split_lines(lines, "doc_id,lang", 0.3)
+    id_ = F.when(F.col("line") != "doc_id,lang", F.split_part("line", F.lit(","), F.lit(1)).cast("long"))
+    return rows.groupBy("part").agg(F.count("*").alias("n"), F.bool_or(F.col("line") == "doc_id,lang").alias("has_header"), F.min(id_).alias("lo"), F.max(id_).alias("hi"))
+
+
 @query("write_outputs", f"{M} SELECT count(*) AS n, count(label) AS labelled, CAST(sum(id) AS BIGINT) AS ids FROM m")
 def write_outputs(spark, sf_dir):
     """Results written as CSV and JSON, and the JSON read back."""
@@ -298,6 +336,52 @@ def tokenize(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.tokens(F.col("text")).alias("tokens"))
 
 
+_SPANS = """(SELECT r, conv_id, turn, i, CAST(sum(length(gap) + length(t)) OVER (PARTITION BY r ORDER BY i) - length(t) AS INT) AS start, CAST(sum(length(gap) + length(t)) OVER (PARTITION BY r ORDER BY i) AS INT) AS "end", t AS text
+ FROM (SELECT r, conv_id, turn, generate_subscripts(f, 1) AS i, unnest(f) AS t, unnest(g[1:len(f)]) AS gap FROM (SELECT r, conv_id, turn, regexp_extract_all({0}, '{1}') AS f, regexp_split_to_array({0}, '{1}') AS g FROM {2})))"""
+_C = "c AS (SELECT row_number() OVER () AS r, conv_id, turn, text FROM conversations)"
+_S_SPANS = f"""{_C}, s0 AS {_SPANS.format('text', _SENT, 'c')}, s AS (SELECT * FROM s0 UNION ALL SELECT r, conv_id, turn, 1, 0, CAST(length(text) AS INT), text FROM c WHERE text IS NOT NULL AND r NOT IN (SELECT r FROM s0))"""
+
+
+@query("sentence_offsets", f"""WITH {_S_SPANS} SELECT conv_id, turn, CAST(i - 1 AS INT) AS i, start, "end", text FROM s""")
+def sentence_offsets(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").filter("text IS NOT NULL")
+    return c.select("conv_id", "turn", F.posexplode(X.sentence_offsets(F.col("text"))).alias("i", "s")).select("conv_id", "turn", "i", "s.*")
+
+
+_T_SPANS = _SPANS.format("text", "[A-Za-z0-9]+(?:''[A-Za-z0-9]+)?", "(SELECT row_number() OVER () AS r, r * 100000 + start AS conv_id, conv_id * 1000 + turn AS turn, text FROM s)")
+
+
+@query("token_offsets", f"""WITH {_S_SPANS}, t AS {_T_SPANS} SELECT turn // 1000 AS conv_id, turn % 1000 AS turn, CAST(start + conv_id % 100000 AS INT) AS start, CAST("end" + conv_id % 100000 AS INT) AS "end", lower(text) AS text FROM t""")
+def token_offsets(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").filter("text IS NOT NULL")
+    s = c.select("conv_id", "turn", F.explode(X.sentence_offsets(F.col("text"))).alias("s"))
+    return s.select("conv_id", "turn", F.explode(X.token_offsets(F.col("s"))).alias("t")).select("conv_id", "turn", "t.*")
+
+
+#: The answers that count as right for a document, and those that were chosen; both from its id.
+_RIGHT = "array_remove(array(if(doc_id % 2 = 0, 'url', ''), if(doc_id % 3 = 0, 'sender', ''), if(doc_id % 5 = 0, 'tone', '')), '')"
+_CHOSEN = "array_remove(array(if(doc_id % 15 = 0, 'tone', ''), if(doc_id % 4 = 0, 'url', ''), if(doc_id % 3 = 0, 'sender', ''), if(doc_id % 9 = 0, 'sender', '')), '')"
+
+
+@query("challenge_points", """WITH d AS (SELECT source, doc_id, doc_id % 2 = 0 AS r1, doc_id % 3 = 0 AS r2, doc_id % 5 = 0 AS r3, doc_id % 4 = 0 AS c1, doc_id % 3 = 0 AS c2, doc_id % 15 = 0 AS c3 FROM documents)
+SELECT source, count(*) AS played, count(*) FILTER (r1 = c1 AND r2 = c2 AND r3 = c3) AS solved, CAST(sum(CASE WHEN r1 = c1 AND r2 = c2 AND r3 = c3 THEN 10 * (1 + doc_id % 3) ELSE 0 END) AS BIGINT) AS points FROM d GROUP BY source""")
+def challenge_points(spark, sf_dir):
+    """Challenges solved by the exact set of answers, and their points."""
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", X.same_set(F.expr(_CHOSEN), F.expr(_RIGHT)).alias("solved"))
+    return d.groupBy("source").agg(F.count("*").alias("played"), F.count_if("solved").alias("solved"), F.sum(F.when(F.col("solved"), 10 * (1 + F.col("doc_id") % 3)).otherwise(0)).alias("points"))
+
+
+@query("short_digests", """WITH d AS (SELECT doc_id, string_split(lang || ':' || doc_id || ':' || regexp_replace(left(text, 20), '[^ -~]', '?', 'g'), '') AS cs FROM documents),
+h AS (SELECT doc_id, list_reduce(list_transform(cs, lambda c: CAST(unicode(c) AS HUGEINT)), lambda s, c: xor(s, c) * 16777619 % 4294967296, CAST(2166136261 AS HUGEINT)) AS a,
+ list_reduce(list_transform(cs, lambda c: CAST(unicode(c) AS HUGEINT)), lambda s, c: xor(s, (c + s + s * 64 % 4294967296 + s // 4) % 4294967296), CAST(2654435769 AS HUGEINT)) AS b FROM d),
+m AS (SELECT doc_id, xor(a, (b * 8192) % 4294967296 + b // 524288) AS x, xor(b, (a * 2048) % 4294967296 + a // 2097152) AS y FROM h)
+SELECT doc_id AS id, lower(concat(printf('%02x', CAST(x % 256 AS BIGINT)), printf('%02x', CAST(x // 256 % 256 AS BIGINT)), printf('%02x', CAST(x // 65536 % 256 AS BIGINT)), printf('%02x', CAST(y % 256 AS BIGINT)), printf('%02x', CAST(y // 256 % 256 AS BIGINT)), printf('%02x', CAST(xor(x, y) // 65536 % 256 AS BIGINT)))) AS digest FROM m""")
+def short_digests(spark, sf_dir):
+    """The short digest of user, item and answer."""
+    message = F.concat("lang", F.lit(":"), F.col("doc_id").cast("string"), F.lit(":"), F.regexp_replace(F.left("text", F.lit(20)), "[^ -~]", "?"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), X.short_digest(message).alias("digest"))
+
+
 @query("previews", f"{M} SELECT id, left(subject, 100) AS s, replace(left(body, 240), chr(10), ' ') AS b FROM m")
 def previews(spark, sf_dir):
     return messages(spark, sf_dir).select("id", F.left("subject", F.lit(100)).alias("s"), F.translate(F.left("body", F.lit(240)), "\n", " ").alias("b"))
@@ -376,6 +460,23 @@ def stream_daily(spark, sf_dir):
     return _stream(spark, table(spark, sf_dir, "events").select("ts", "event_type"), lambda s: daily_series(s, "ts", "event_type"))
 
 
+_KINDS = ", ".join(f"CAST(sum(n_{k}) AS BIGINT) AS {k}" for k in PATTERNS)
+
+
+@query("stream_redaction_totals", f"""WITH {B.MESSAGES}, {B.redaction()}, mark AS (SELECT max(msg_date) - INTERVAL 3 DAY AS t FROM red WHERE id % 3 > 0)
+SELECT created_by, count(*) AS n, {_KINDS}, CAST(sum(CASE WHEN id % 3 = 0 AND msg_date < t THEN 1 ELSE 0 END) AS BIGINT) AS late_rows, count(DISTINCT id % 3 = 0) AS batches FROM red, mark GROUP BY created_by""")
+def stream_redaction_totals(spark, sf_dir):
+    """Running totals of a stream in two runs; the second starts from the first one's state and takes only the files that came since."""
+    from heron.streaming.messages import follow_totals, latest_totals
+
+    rows = messages(spark, sf_dir).select("id", "body", "created_by", "msg_date")
+    source, path = _temp(spark, "stream-in"), _temp(spark, "stream-totals")
+    for some in ("id % 3 > 0", "id % 3 = 0"):
+        rows.filter(some).write.mode("append").parquet(source)
+        follow_totals(spark.readStream.schema(rows.schema).parquet(source), "created_by", path, late="3 days")
+    return latest_totals(spark, path, "created_by")
+
+
 def _stream(spark, rows, change):
     """What a stream over the rows' files writes until it has taken them all, read back from its sink."""
     source, sink = _temp(spark, "stream-in"), _temp(spark, "stream-out")

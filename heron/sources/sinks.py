@@ -44,6 +44,12 @@ def split_by_position(df: DataFrame, order: str, ratio: float | list[float]) ->
     return placed.withColumn("part", part).drop("place")
 
 
+def split_lines(lines: DataFrame, header: str, ratio: float | list[float]) -> DataFrame:
+    """split_by_position() of lines (at, line) with their header before them as a row like any other, so that it counts and only the first part has it."""
+    first = lines.sparkSession.createDataFrame([(None, header)], "at long, line string")
+    return split_by_position(first.unionByName(lines.select(F.col("at").cast("long"), "line")), "at", ratio)
+
+
 def update_vectors(table: DataFrame, fresh: DataFrame, column: str = "v") -> DataFrame:
     """table (id, ...) with the column replaced where fresh (id, new) has a row; written back by the caller."""
     return table.join(fresh.select("id", F.col("new").alias("_new")), "id", "left").withColumn(column, F.coalesce("_new", column)).drop("_new")

@@ -263,3 +263,86 @@ def test_spans_by_plain_recursion():
         assert all(a[s:e] == b[x:y] for s, e, x, y, _ in found) and [s[0] for s in found] == sorted(s[0] for s in found)
         share = most(len(u), len(v)) / max(len(u), len(v), 1)
         assert all(strong == (share >= 0.9 or len(a[s:e].split()) >= 4) for s, e, _, _, strong in found)
+
+
+def test_offsets_of_sentences_and_tokens(spark):
+    import re
+
+    texts = ["One. Two? It's 3!\n\nfour", "", "...", "no end", " a  b .c", "é😀. Ünder's x'y'z", "!x"]
+    got = [r["x"] for r in _column_rows(spark, texts, lambda c: X.sentence_offsets(c))]
+    want = [[(m.start(), m.end(), m[0]) for m in re.finditer(X.SENTENCE, t)] or [(0, len(t), t)] for t in texts]
+    assert [[tuple(s) for s in x] for x in got] == want
+    got = [r["x"] for r in _column_rows(spark, texts, lambda c: F.flatten(F.transform(X.sentence_offsets(c), X.token_offsets)))]
+    want = [[(s + m.start(), s + m.end(), m[0].lower()) for s, _, x in w for m in re.finditer(X.TOKEN, x)] for w in want]
+    assert [[tuple(s) for s in x] for x in got] == want
+
+
+def _column_rows(spark, values, make):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").select("i", make(F.col("v")).alias("x"))
+    return sorted(rows.collect(), key=lambda r: r["i"])
+
+
+def test_short_digest_and_sets(spark):
+    def digest(text):
+        data = text.encode("utf-16-be")
+        a, b, m = 0x811C9DC5, 0x9E3779B9, 2**32
+        for i in range(0, len(data), 2):
+            c = data[i] * 256 + data[i + 1]
+            a, b = (a ^ c) * 0x01000193 % m, b ^ (c + b + b * 64 % m + b // 4) % m
+        x, y = a ^ (b << 13 & m - 1 | b >> 19), b ^ (a << 11 & m - 1 | a >> 21)
+        return bytes([x & 255, x >> 8 & 255, x >> 16 & 255, y & 255, y >> 8 & 255, (x ^ y) >> 16 & 255]).hex()
+
+    texts = ["", "a", "anonymous:1:url", "é😀\x00", "x" * 300]
+    assert [r["x"] for r in _column_rows(spark, texts, X.short_digest)] == [digest(t) for t in texts]
+    df = spark.createDataFrame([(["a", "b"], ["b", "a", "a"]), (["a"], ["a", "b"]), ([], None), (None, ["a"])], "p array<string>, q array<string>")
+    assert [r[0] for r in df.select(X.same_set(F.col("p"), F.col("q"))).collect()] == [True, False, True, False]
+
+
+def test_permutation_is_exact(spark):
+    import itertools
+    import random
+
+    import numpy as np
+
+    r = random.Random(6)
+    for _ in range(12):
+        rows = [tuple(r.randint(0, 1) for _ in range(3)) for _ in range(r.randint(1, 11))]
+        counts = {k: rows.count(k) for k in set(rows)}
+        differ = [i for i, (_, a, b) in enumerate(rows) if a != b]
+
+        def difference(rows):
+            def one(at):
+                return stats.metrics(*(np.array([float(sum((x[0], x[at]) == k for x in rows))]) for k in ((1, 1), (0, 0), (0, 1), (1, 0))))[0]
+
+            return one(2) - one(1)
+
+        seen, hits, n = difference(rows), np.zeros(4), 0
+        for flips in itertools.product([False, True], repeat=len(differ)):
+            swapped = list(rows)
+            for i, f in zip(differ, flips, strict=True):
+                y, a, b = rows[i]
+                swapped[i] = (y, b, a) if f else rows[i]
+            hits, n = hits + (np.abs(difference(swapped)) >= np.abs(seen) - 1e-12), n + 1
+        got = {x["metric"]: (x["observed"], x["p"]) for x in stats.permutation_exact(spark, counts).collect()}
+        assert all(math.isclose(got[m][0], seen[k], abs_tol=1e-12) and math.isclose(got[m][1], hits[k] / n, abs_tol=1e-9) for k, m in enumerate(stats.NAMES))
+
+
+def test_permutation_by_sampling_and_at_any_size(spark):
+    counts = {(1, 1, 1): 40, (1, 0, 1): 25, (1, 1, 0): 12, (0, 0, 0): 60, (0, 1, 0): 9, (0, 0, 1): 14, (0, 1, 1): 5, (1, 0, 0): 8}
+    exact = {r["metric"]: r["p"] for r in stats.permutation_exact(spark, counts).collect()}
+    drawn = {r["metric"]: r["p"] for r in stats.permutation(spark, counts, 4000).collect()}
+    assert all(abs(exact[m] - drawn[m]) < 0.03 for m in stats.NAMES)
+    large = {k: 10**7 * n for k, n in counts.items()}
+    assert all(r["p"] < 1e-9 for r in stats.permutation_exact(spark, large).filter("metric IN ('accuracy', 'recall')").collect())
+    assert all(r["p"] == 1.0 for r in stats.permutation_exact(spark, {(1, 1, 1): 3, (0, 1, 0): 2, (0, 0, 1): 2}).collect())
+
+
+def test_lines_are_split_with_their_header(spark):
+    from heron.sources.sinks import split_lines
+
+    lines = spark.createDataFrame([(k, f"row {k}") for k in range(9)], "at long, line string")
+    parts = {}
+    for r in split_lines(lines, "header", 0.5).collect():
+        parts.setdefault(r["part"], set()).add(r["line"])
+    assert parts == {0: {"header", *(f"row {k}" for k in range(4))}, 1: {f"row {k}" for k in range(4, 9)}}
+    assert [r["part"] for r in split_lines(lines.limit(0), "header", 0.5).collect()] == [1]
