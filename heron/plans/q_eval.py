@@ -15,9 +15,9 @@ from heron.operators.rules import RULES
 from heron.plans import oracle_base as B
 from heron.plans.book import query
 from heron.plans.session import shared_dir
-from heron.plans.q_vectors import V, fused, fused_sql, knn_sql
+from heron.plans.q_vectors import V, fused, fused_sql, knn_sql, phish_neighbors
 from heron.plans.views import scored, unnest, vectors, with_attacks
-from heron.operators.vectors import nearest
+from heron.operators.vectors import nearest, similarity_stats
 from heron.sources.messages import read_json_object
 
 P1, P1D = B.phase1(False), B.phase1(True)
@@ -353,10 +353,18 @@ def _cost_rounded(df, *keep):
     return df.select(*keep, *(F.round(c, 6).alias(c) for c in names), *(F.round(c, 4).alias(c) for c in money))
 
 
-@query("cost_benefit", _cost_sql("(SELECT CAST(0.178 AS DOUBLE) AS recall, CAST(0.0016 AS DOUBLE) AS fpr)", "'default' AS mode"))
+_RATES = """coalesce(count(*) FILTER (label = 1 AND score >= 2) / CAST(nullif(count(*) FILTER (label = 1), 0) AS DOUBLE), 0.0) AS recall,
+ coalesce(count(*) FILTER (label = 0 AND score >= 2) / CAST(nullif(count(*) FILTER (label = 0), 0) AS DOUBLE), 0.0) AS fpr FROM p1 WHERE label IN (0, 1)"""
+
+
+def _rates(spark, sf_dir, *by):
+    return confusion(scored(spark, sf_dir, dns=True).withColumn("pred", (F.col("score") >= 2).cast("int")), *by).select(*by, "recall", "fpr")
+
+
+@query("cost_benefit", f"WITH {P1D}, q AS (SELECT created_by, {_RATES} GROUP BY created_by) " + _cost_sql("q", "created_by"))
 def cost_benefit(spark, sf_dir):
-    one = spark.createDataFrame([("default", 0.178, 0.0016)], "mode string, recall double, fpr double")
-    return _cost_rounded(cost.with_costs(one), "mode")
+    """Costs and benefits by what the rules reach on each creator's messages."""
+    return _cost_rounded(cost.with_costs(_rates(spark, sf_dir, "created_by")), "created_by")
 
 
 @query("cost_benefit_modes", f"WITH {fused_sql()}, {_POINTS}, q AS (SELECT mode, sum(CAST(label = 1 AND pred = 1 AS INT)) / CAST(sum(CAST(label = 1 AS INT)) AS DOUBLE) AS recall, sum(CAST(label = 0 AND pred = 1 AS INT)) / CAST(sum(CAST(label = 0 AS INT)) AS DOUBLE) AS fpr FROM s WHERE label IN (0, 1) GROUP BY mode) " + _cost_sql("q", "mode"))
@@ -364,9 +372,12 @@ def cost_benefit_modes(spark, sf_dir):
     return _cost_rounded(cost.with_costs(E.operating_points(fused(spark, sf_dir)).select("mode", "recall", "fpr")), "mode")
 
 
-@query("scenario_comparison", "SELECT 'no_system' AS scenario, CAST(0.0 AS DOUBLE) AS cost, CAST(2200000.0 AS DOUBLE) AS residual_risk UNION ALL SELECT 'deployed', round(10000 * 0.00002 * 2 + 10000 * 0.131 * 0.001 + 10000 * 0.131 * 2 / 60 * 30 + 9560 * 0.0016 * 15 / 60 * 50, 4), round(2200000.0 - 440 * 0.178 * 0.1 * 50000, 4)")
+@query("scenario_comparison", f"""WITH {P1D}, q AS (SELECT {_RATES}), c AS ({_cost_sql('q', "'deployed' AS scenario")})
+SELECT 'no_system' AS scenario, 0.0::DOUBLE AS cost, 2200000.0::DOUBLE AS residual_risk UNION ALL SELECT scenario, total_cost_daily, round(2200000.0 - risk_mitigated, 4) FROM c""")
 def scenario_comparison(spark, sf_dir):
-    out = cost.scenarios(F.lit(0.178), F.lit(0.0016), spark.range(1))
+    """Cost and risk without and with the rules as they do on all labelled messages."""
+    rates = _rates(spark, sf_dir)
+    out = cost.scenarios(F.col("recall"), F.col("fpr"), rates)
     return out.select("scenario", F.round("cost", 4).alias("cost"), F.round("residual_risk", 4).alias("residual_risk"))
 
 
@@ -390,14 +401,16 @@ def tfidf_logreg(spark, sf_dir):
     return rounded(confusion(scored_rows))
 
 
-@query("threshold_config", """WITH r AS (SELECT 'report' AS source, '{"top_similarity_threshold": 0.5, "avg_top3_threshold": 0.1}' AS j UNION ALL SELECT 'missing', '{}'), t AS (SELECT source, TRY_CAST(json_extract_string(j, '$.top_similarity_threshold') AS DOUBLE) AS p, TRY_CAST(json_extract_string(j, '$.avg_top3_threshold') AS DOUBLE) AS a FROM r)
-SELECT source, coalesce(p, 0.40) AS phish_top, coalesce(a, 0.35) AS phish_avg, CASE WHEN p IS NULL THEN 0.25 ELSE round(greatest(0.0, p - 0.15), 9) END AS review_top, CASE WHEN p IS NULL THEN 0.17 ELSE round(greatest(0.0, a - 0.18), 9) END AS review_avg FROM t""")
+@query("threshold_config", f"""WITH {V}, {knn_sql('q.label <> 1', 'c.label = 1', 8)}, st AS (SELECT max(similarity) AS t, avg(CASE WHEN rank <= 3 THEN similarity END) AS a FROM nn GROUP BY query_id),
+r AS (SELECT 'report' AS source, round(0.5 + abs(avg(t)), 6) AS p, round(0.3 + abs(avg(a)) / 2, 6) AS a FROM st UNION ALL SELECT 'missing', NULL, NULL)
+SELECT source, coalesce(p, 0.40) AS phish_top, coalesce(a, 0.35) AS phish_avg, CASE WHEN p IS NULL THEN 0.25 ELSE round(greatest(0.0, p - 0.15), 6) END AS review_top, CASE WHEN p IS NULL THEN 0.17 ELSE round(greatest(0.0, a - 0.18), 6) END AS review_avg FROM r""")
 def threshold_config(spark, sf_dir):
-    """Thresholds from a report in the store, and the defaults where there is none."""
+    """Thresholds from a report that was written from measured similarities, and the defaults where there is none."""
     path = f"{shared_dir(spark)}/thresholds-{uuid.uuid4().hex}"
-    spark.createDataFrame([('{"top_similarity_threshold": 0.5,\n "avg_top3_threshold": 0.1}',)], "value string").write.text(path)
-    found = [("report", Thresholds.of_report(read_json_object(spark, path))), ("missing", Thresholds.of_report(read_json_object(spark, path + "-none")))]
-    rows = [(name, *(round(x, 9) for x in (t.phish_top, t.phish_avg, t.review_top, t.review_avg))) for name, t in found]
+    found = similarity_stats(phish_neighbors(spark, sf_dir)).agg(F.round(0.5 + F.abs(F.avg("top_sim")), 6).alias("top_similarity_threshold"), F.round(0.3 + F.abs(F.avg("avg_top3")) / 2, 6).alias("avg_top3_threshold"))
+    found.coalesce(1).write.json(path)
+    both = [("report", Thresholds.of_report(read_json_object(spark, path))), ("missing", Thresholds.of_report(read_json_object(spark, path + "-none")))]
+    rows = [(name, *(round(x, 6) for x in (t.phish_top, t.phish_avg, t.review_top, t.review_avg))) for name, t in both]
     return spark.createDataFrame(rows, "source string, phish_top double, phish_avg double, review_top double, review_avg double")
 
 
