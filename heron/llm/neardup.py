@@ -42,6 +42,8 @@ ORDER = 2
 #: Texts and shingles of a star that one task takes; larger stars are split, without losing a pair.
 GROUP = 4000
 VOLUME = 4_000_000
+#: Samples that a text of a split star must share with another, more at each level, before the two meet whatever else they share.
+LEVELS = 3
 _TEXT = re.compile(rb"[^\x00-\x20]+")
 #: One odd multiplier for each table; labelled shingles are mixed before.
 _SEEDS = mix(np.arange(1, TABLES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -291,6 +293,20 @@ def meet(docs: DataFrame, nodes: DataFrame, edges: DataFrame, alone: DataFrame,
     return dealt.mapInArrow(_meet(similarity), "star long, a long, b long, linked boolean")
 
 
+def refined(groups: DataFrame, nodes: DataFrame, alone: DataFrame) -> DataFrame:
+    """The groups (samples, a, node, n) of texts alone (a, b), each dealt into groups that share one more sample; those without a text that was alone are left out.
+
+    A group is named by its samples in order, so one that is reached in several ways is one. Each text
+    goes to at most TABLES groups of each group that it was in.
+    """
+    heads = groups.join(alone.withColumnRenamed("b", "node"), ["a", "node"], "left_semi").select("samples", "node").distinct()
+    members = groups.select("samples", "node", "n").join(heads.select("samples").distinct(), "samples", "left_semi").join(heads.withColumn("head", F.lit(True)), ["samples", "node"], "left")
+    more = members.join(nodes.select("node", "keys"), "node").select("samples", "node", "n", "head", F.explode(F.array_distinct("keys")).alias("key")).filter(~F.array_contains("samples", F.col("key")))
+    finer = cut(more.groupBy(F.array_sort(F.array_append("samples", F.col("key"))).alias("samples"), "node", "n").agg(F.bool_or("head").alias("head")), "groups")
+    centres = cut(finer.groupBy("samples").agg(F.min("node").alias("a"), F.count("*").alias("many"), F.bool_or("head").alias("any")).filter("many > 1 AND any").select("samples", "a"), "centres")
+    return cut(finer.join(centres, "samples").select("samples", "a", "node", "n"), "groups")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): the smallest node that it is connected with."""
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -318,13 +334,20 @@ def _classes(docs: DataFrame, similarity: float) -> DataFrame:
     nodes = texts.filter("doc_id is not null")
     keys = nodes.select("node", "n", F.explode("keys").alias("key"))
     centres = cut(keys.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("many")).filter("many > 1").select("key", "a"), "centres")
-    edges = cut(keys.join(centres, "key").filter("node <> a").select("a", F.col("node").alias("b"), "n").distinct(), "stars")
+    edges = stars = cut(keys.join(centres, "key").filter("node <> a").select("a", F.col("node").alias("b"), "n").distinct(), "stars")
     checked = cut(verify(rows, nodes, edges, similarity), "links")
     links, alone = checked.filter("linked").select("a", "b"), checked.filter("not linked").select(F.col("star").alias("a"), "b")
-    if not alone.isEmpty():
-        links = links.unionByName(cut(meet(rows, nodes, edges, alone, similarity), "links").select("a", "b"))
+    groups, level = keys.join(centres, "key").select(F.array("key").alias("samples"), "a", "node", "n"), 1
+    while not alone.isEmpty():
+        if level == LEVELS:
+            links = links.unionByName(cut(meet(rows, nodes, edges, alone, similarity), "links").select("a", "b"))
+            break
+        groups, level = refined(groups, nodes, alone), level + 1
+        edges = cut(groups.filter("node <> a").select("a", F.col("node").alias("b"), "n").distinct(), "stars")
+        again = cut(verify(rows, nodes, edges, similarity), "links")
+        links, alone = links.unionByName(again.filter("linked").select("a", "b")), again.filter("not linked").select(F.col("star").alias("a"), "b")
     roots = components(links)
-    discard(centres, edges, checked)
+    discard(centres, stars, checked)
     least = cut(roots.join(nodes.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("class_id")), "classes")
     linked = roots.join(least, "root").select("node", "class_id")
     classes = texts.join(linked, "node", "left").select("digest", F.coalesce("class_id", "doc_id").alias("class_id"))

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from heron.llm import html, negatives, packing, resample, sharding, topk
+from heron.llm import html, neardup, negatives, packing, resample, sharding, topk
 from tests.llm.test_operators import CLASHING, ODD, docs, words
 
 MORE = "bucket count n_words n_features weight tie low unnamed id place at key shard_ slot size crc text_crc32 law".split()
@@ -291,3 +291,33 @@ def test_dives_keep_to_their_bounds():
     assert steps == len(found) and sum(t * sum(s * c for s, c in f) for t, f in found) == 60 and sum(t for t, _ in found) == 6
     assert packing.dive(counts, 10, 5, 0, 99)[0] is None or sum(t for t, _ in packing.dive(counts, 10, 5, 0, 99)[0]) == 6
     assert packing.dive(counts, 10, 0, 10, 1) == (None, 1) and packing.dive({7: 2}, 10, 0, 5, 99)[0] is None
+
+
+# 6 stars of unlike texts
+
+
+def test_unlike_texts_that_share_a_sample_do_not_all_meet(spark, monkeypatch):
+    """Pages of their own with one licence in common: the samples inside the licence make large stars of unlike texts. Among them are groups that are like each other."""
+    monkeypatch.setattr(neardup, "GROUP", 40)
+    licence = words(77, 60)
+    texts = []
+    for i in range(1500):
+        own = words(10_000 + i // 3 if i % 50 < 3 else 50_000 + i, 60)
+        if i % 50 < 3:
+            own[(7 * i) % 60] = f"edit{i}"
+        texts.append(" ".join(own + licence))
+    s = [neardup.shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(max(0, i - 3), i):
+            if neardup.aligned(s[i], s[j]) >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    met, checked = [], []
+    first_meet, first_verify = neardup.meet, neardup.verify
+    monkeypatch.setattr(neardup, "meet", lambda *a: met.append(a[2].count()) or first_meet(*a))
+    monkeypatch.setattr(neardup, "verify", lambda *a: checked.append(a[2].count()) or first_verify(*a))
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs(spark, texts)).collect()}
+    assert got == dict(enumerate(root)) and len(set(root)) < 1500
+    # Each text is in at most TABLES stars of a level's samples; no level has all pairs of a star.
+    assert len(checked) > 1 and max(checked) <= 1500 * neardup.TABLES * neardup.TABLES / 2 and sum(met) <= 1500 * neardup.TABLES
