@@ -15,6 +15,7 @@ CREDENTIALS = r"(?i)\bpasswords?\b|\blog\s*in\b|\blogin\b|\bssn\b|\bsocial\s+sec
 #: What a text must hold, lower-cased, for CREDENTIALS to match; most texts are only searched for that.
 CREDENTIAL_PARTS = ["password", "log", "ssn", "social", "credit", "bank"]
 REQUEST_VERBS = r"(?i)\b(enter|provide|send|share|confirm|verify|update|reset|submit)\b"
+#: The default weights, the tuned ones, and below them the reasons.
 WEIGHTS = {
     "missing_mx": 2, "no_spf": 2, "no_dmarc": 1, "freemail_brand_claim": 2, "lookalike_domain": 2,
     "ip_literal_link": 2, "shortened_url": 2, "urgency": 2, "creds_request": 2, "strict_dmarc_missing_align": 3,
@@ -23,7 +24,7 @@ TUNED = {
     "missing_mx": 3, "no_spf": 3, "no_dmarc": 3, "url_present": 1, "freemail_brand_claim": 2, "lookalike_domain": 2,
     "ip_literal_link": 3, "shortened_url": 2, "urgency": 2, "creds_request": 1, "strict_dmarc_missing_align": 3,
 }
-#: Rule -> the reason it gives, in the order of reasons; links come host by host.
+#: Rule -> the reason it gives, in the order of reasons; links come host by host.
 REASONS = {
     "missing_mx": "Sender domain missing MX record", "no_spf": "SPF not present for sender domain", "no_dmarc": "DMARC not present for sender domain",
     "freemail_brand_claim": "Freemail sender claims corporate brand", "lookalike_domain": "Sender domain looks like brand domain (confusable)",
