@@ -321,3 +321,44 @@ def test_unlike_texts_that_share_a_sample_do_not_all_meet(spark, monkeypatch):
     assert got == dict(enumerate(root)) and len(set(root)) < 1500
     # Each text is in at most TABLES stars of a level's samples; no level has all pairs of a star.
     assert len(checked) > 1 and max(checked) <= 1500 * neardup.TABLES * neardup.TABLES / 2 and sum(met) <= 1500 * neardup.TABLES
+
+
+# 1 and 2 by SQL, as far as it goes
+
+
+def tables():
+    db = duckdb.connect()
+    for p in Path("/root/testdata/sf0.001").glob("*.parquet"):
+        db.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}{'/*.parquet' if p.is_dir() else ''}'")
+    return db
+
+
+BASE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^ \t\n\x0B\x0C\r]+') AS ws FROM d),
+lines AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^ \t\n\x0B\x0C\r]') GROUP BY r),
+wins AS (SELECT r, i, array_to_string(ws[i:i + 4], ' ') AS win FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) > 4)),
+hit AS (SELECT r, i FROM wins QUALIFY count(*) OVER (PARTITION BY r, win) > 1),
+rep AS (SELECT r, count(DISTINCT i + k) AS n FROM hit, range(5) AS x(k) GROUP BY r)
+SELECT doc_id, len(ws) AS n_words, coalesce(list_sum([length(x) for x in ws]), 0) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+ len(ws) < 10 OR 100 * coalesce(rep.n, 0) > 20 * len(ws) AS base_failed FROM w LEFT JOIN dup USING (r) LEFT JOIN rep USING (r)"""
+
+
+def test_base_counts_equal_sql(spark):
+    result = tables().execute(BASE)
+    names = [d[0] for d in result.description]
+    want = sorted((tuple(int(x) for x in r) for r in result.fetchall()))
+    found = entry.queries()["op1_quality_rules"](spark, "/root/testdata/sf0.001").select(names).collect()
+    assert sorted(tuple(int(x) for x in r) for r in found) == want and len(want) == 200
+
+
+def test_packed_places_by_sql(spark, tmp_path):
+    entry.queries()["op2_packing"](spark, "/root/testdata/sf0.001").write.parquet(f"file://{tmp_path}/p")
+    db = tables()
+    db.execute(f"CREATE VIEW p AS SELECT * FROM '{tmp_path}/p/*.parquet'")
+    gaps = 'SELECT count(*) FROM (SELECT "offset", coalesce(sum(length) OVER (PARTITION BY sequence_id ORDER BY "offset" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS due FROM p) WHERE "offset" <> due'
+    assert db.execute(gaps).fetchall() == [(0,)]
+    assert db.execute("SELECT max(n) <= 4096 FROM (SELECT sum(length) AS n FROM p GROUP BY sequence_id)").fetchall() == [(True,)]
+    assert db.execute("SELECT count(*) FROM (SELECT doc_id, piece, start, sum(length) OVER (PARTITION BY doc_id ORDER BY piece) - length AS due, length, max(piece) OVER (PARTITION BY doc_id) AS last FROM p) WHERE start <> due OR (length < 4096 AND piece < last)").fetchall() == [(0,)]
+    assert db.execute("SELECT count(DISTINCT doc_id) FROM p").fetchall() == db.execute("SELECT count(DISTINCT doc_id) FROM documents").fetchall()
