@@ -163,7 +163,8 @@ def tiles(panels: DataFrame, asked: DataFrame, same: bool, parts: int, size: tup
     one = (F.col("a_low") == F.col("a_high")) & (F.col("c_low") == F.col("c_high")) & (F.col("a_low") == F.col("c_low"))
     pairs = a.join(c, ["down", "across", "chunk"]).filter(meet if same else ~one).drop("down", "across", "a_low", "a_high", "c_low", "c_high")
     partials = pairs.mapInArrow(_multiply, _TILE)
-    return partials.repartition(parts, "a_block", "c_block").sortWithinPartitions("a_block", "c_block", "chunk")
+    # The tiles of one block of anchors and one column of the grid meet in one task, which keeps the best of all of them.
+    return partials.repartition(parts, "a_block", F.pmod(F.xxhash64("c_block"), F.lit(across))).sortWithinPartitions("a_block", "c_block", "chunk")
 
 
 def first(scores: np.ndarray, ids: np.ndarray, on: np.ndarray, k: int) -> list[int]:
@@ -208,27 +209,43 @@ def best(tile: np.ndarray, r: dict, k: int, low: int, high: int) -> list[tuple]:
     return out
 
 
+def _kept(rows: list[tuple], k: int) -> list[tuple]:
+    return sorted(rows, key=lambda f: (-exact(f[7], f[8]), f[6]))[:k]
+
+
 def _add(k: int, low: int, high: int, batches):
-    """Adds the partial tiles of each block pair, which come one after another, and reduces the sums."""
+    """Adds the partial tiles of each block pair, which come one after another, and keeps the k best of each anchor, or anchor and positive, over all tiles of its block."""
     kinds = (pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 5, pa.binary())
+    best_of: dict[tuple, list[tuple]] = {}
+    total, r = None, None
 
-    def rows(total, r):
-        found = best(total, r, k, low, high)
+    def reduce():
+        for f in best(total, r, k, low, high):
+            rows = best_of.setdefault(f[1:3], [])
+            rows.append(f)
+            if len(rows) > 8 * k:
+                best_of[f[1:3]] = _kept(rows, k)
+
+    def flush():
+        found = [f for rows in best_of.values() for f in _kept(rows, k)]
+        best_of.clear()
         return pa.RecordBatch.from_arrays([pa.array([f[x] for f in found], t) for x, t in enumerate(kinds)], _names(_FOUND))
 
-    total, r = None, None
     for b in batches:
         for at in range(b.num_rows):
-            key, chunk = (b.column("a_block")[at].as_py(), b.column("c_block")[at].as_py()), b.column("chunk")[at].as_py()
+            block, chunk = b.column("a_block")[at].as_py(), b.column("chunk")[at].as_py()
             tile = unpacked(b.column("kind")[at].as_py(), b.column("tile")[at].as_py())
             if chunk:
                 total = total + tile
                 continue
             if r is not None:
-                yield rows(total, r)
-            total, r = tile, {n: b.column(n)[at].as_py() for n in _names(_TILE)[5:]} | {"a_block": key[0]}
+                reduce()
+                if r["a_block"] != block:
+                    yield flush()
+            total, r = tile, {n: b.column(n)[at].as_py() for n in _names(_TILE)[5:]} | {"a_block": block}
     if r is not None:
-        yield rows(total, r)
+        reduce()
+        yield flush()
 
 
 def hard_negatives(vectors: DataFrame, every: int = 50, positives: int = 5, k: int = 3, low: int = 50, high: int = 95) -> DataFrame:
