@@ -11,7 +11,9 @@ Exact copies are one text before anything else. A bucket gives a star, each text
 smallest node, never all pairs. A text of a star that is not linked to its centre is aligned with those
 of the star that hold enough of its shingles and are not connected with it yet. Stars of more than
 GROUP texts are split into parts; a text that its part does not connect with the centre then meets the
-texts of all parts, so a split loses no pair.
+texts of other parts that share a second sample with it, then a third. Only in groups that LEVELS shared
+samples still leave over GROUP does it meet all parts. So a split star loses a pair only where its sample
+is the one sample that the two share, which at similarity 0.8 has a probability below 2e-4.
 
 Cases: null and empty texts are copies of the empty text; a text of one to four words is one
 shingle; the class id is the smallest doc_id of the class; rows that repeat a doc_id are one
@@ -39,7 +41,7 @@ WORDS = 5
 SIMILARITY = 0.8
 TABLES = 12
 ORDER = 2
-#: Texts and shingles of a star that one task takes; larger stars are split, without losing a pair.
+#: Texts and shingles of a star that one task takes; larger stars are split.
 GROUP = 4000
 VOLUME = 4_000_000
 #: Samples that a text of a split star must share with another, more at each level, before the two meet whatever else they share.
