@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heron.operators.vectors import PACKED, pack, ranked_neighbors, usable
+from heron.operators.vectors import cell_rows, ranked_neighbors, usable
 
 #: Rows that centroids are fitted on at most, rounds of the fit, and files that a list is dealt out to.
 SAMPLE, ROUNDS, FILES = 20_000, 12, 8
@@ -81,12 +81,13 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 8, probe
     asked = usable(queries).select(F.col("id").cast("long"), F.col("v").cast("array<double>")).mapInArrow(partial(_lists, c, min(probes, len(c)), metric), _DEALT)
     stored = spark.read.schema("id long, v array<double>, list int").parquet(f"{path}/lists").select(F.col("list").alias("group"), "id", "v")
 
-    def blocks(rows, s):
-        # A list's rows come together, so its blocks are full.
-        return rows.repartition("group", F.pmod(F.xxhash64("id"), F.lit(FILES))).sortWithinPartitions("group").mapInArrow(pack, PACKED).toDF("group", f"{s}_ids", f"{s}_m", f"{s}_dim")
-
-    met = blocks(asked, "q").join(blocks(stored, "c"), "group").filter("q_dim = c_dim")
-    return ranked_neighbors(met.select("q_ids", "q_m", "c_ids", "c_m", F.col("c_dim").alias("dim")), k, metric)
+    most, dims = stored.groupBy("group").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dims")).agg(F.max("n"), F.max("dims")).first()
+    # A long list is dealt into parts, so that no task has to hold it whole; its queries go to all of them.
+    parts = max(1, -(-(most or 0) // cell_rows(dims or 1)))
+    to = asked.select("group", "id", "v", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    of = stored.select("group", "id", "v", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
+    to, of = (x.select((F.col("group") * parts + F.col("part")).alias("cell"), "id", "v") for x in (to, of))
+    return ranked_neighbors(to, of, len(c) * parts, k, metric)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -53,3 +53,40 @@ def test_index_of_nothing(spark, tmp_path):
     none = spark.createDataFrame([], VECTOR)
     ann.build(none, f"file://{tmp_path}/index")
     assert ann.search(spark, f"file://{tmp_path}/index", spark.createDataFrame([(1, [1.0])], VECTOR)).count() == 0
+
+
+def test_rows_of_a_query_s_own_id_take_no_place(spark):
+    rows = [(1, [0.0, 0.0])] * 4 + [(2, [1.0, 0.0]), (3, [0.0, 2.0]), (4, [3.0, 0.0])]
+    df = spark.createDataFrame(rows, VECTOR)
+    found = vectors.nearest(df.filter("id = 1").limit(1), df, 2).collect()
+    assert [(r["id"], r["rank"]) for r in sorted(found, key=lambda r: r["rank"])] == [(2, 1), (3, 2)]
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_best_of_a_tile_with_ties_and_odd_values(metric):
+    r = np.random.default_rng(4)
+    c = np.vstack([r.normal(size=(1500, 8)), np.repeat(r.normal(size=(3, 8)), 40, axis=0), np.zeros((2, 8))])
+    ids = np.arange(len(c)) * 2
+    for k in (1, 8):
+        got = list(zip(*(x.tolist() for x in vectors.best(ids[1400:1700:7], c[1400:1700:7], ids, c, k, metric)), strict=True))
+        near = vectors.similarities(c[1400:1700:7], c, metric).round(9)
+        want = [(q, j) for q, row in zip(ids[1400:1700:7].tolist(), near, strict=True) for j in sorted((j for j in ids.tolist() if j != q), key=lambda j: (-row[j // 2], j))[:k]]
+        assert [x[:2] for x in got] == want
+
+
+def test_a_cell_holds_a_bounded_share(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    monkeypatch.setattr(vectors, "HELD", 1)
+    held = []
+    ranked = vectors.ranked_neighbors
+
+    def seen(queries, corpus, *args):
+        held.extend(r["count"] for r in corpus.groupBy("cell").count().collect())
+        return ranked(queries, corpus, *args)
+
+    monkeypatch.setattr(vectors, "ranked_neighbors", seen)
+    rows = clustered(300, 5)
+    df = spark.createDataFrame(rows, VECTOR)
+    found = vectors.nearest(df.filter("id % 7 = 0"), df, 4).collect()
+    assert sorted((r["query_id"], r["id"], r["rank"]) for r in found) == brute([x for x in rows if x[0] % 7 == 0], rows, 4)
+    assert len(held) > 10 and max(held) < 50
