@@ -4,16 +4,19 @@ The k-mers are five-word shingles, labelled with their occurrence number so that
 its text. For each of TABLES hash functions the ORDER smallest labelled k-mers are sampled and kept
 in text order; texts that agree on a sample are candidates. Similarity is that of the best alignment
 of the two shingle sequences: matched / (all - matched), so order counts as in edit similarity; links
-need 0.8 or more. As labelled shingles are unique, the alignment is a longest increasing subsequence,
-within the band that the threshold leaves. Classes are the connected components of the links.
+need a sample in common and 0.8 or more. As labelled shingles are unique, the alignment is a longest
+increasing subsequence, within the band that the threshold leaves. Classes are the connected components
+of all such links, so they depend on the texts alone, not on sizes, partitions or how texts were dealt.
 
 Exact copies are one text before anything else. A bucket gives a star, each text with the bucket's
 smallest node, never all pairs. A text of a star that is not linked to its centre is aligned with those
 of the star that hold enough of its shingles and are not connected with it yet. Stars of more than
 GROUP texts are split into parts; a text that its part does not connect with the centre then meets the
-texts of other parts that share a second sample with it, then a third. Only in groups that LEVELS shared
-samples still leave over GROUP does it meet all parts. So a split star loses a pair only where its sample
-is the one sample that the two share, which at similarity 0.8 has a probability below 2e-4.
+texts of all parts with which it can have a link: texts of similarity t share a shingle among the first
+n - ceil(t * n) + 1 of each one's n, in whatever order of shingles that both follow. In a star's order
+those of its centre come last, as what unlike texts of a star have in common the centre mostly has too.
+These smaller groups give stars again; where LEVELS of them still leave split stars, a text meets all
+parts. None of this loses a link, so a split star gives what a whole one does.
 
 Cases: null and empty texts are copies of the empty text; a text of one to four words is one
 shingle; the class id is the smallest doc_id of the class; rows that repeat a doc_id are one
@@ -27,6 +30,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +48,7 @@ ORDER = 2
 #: Texts and shingles of a star that one task takes; larger stars are split.
 GROUP = 4000
 VOLUME = 4_000_000
-#: Samples that a text of a split star must share with another, more at each level, before the two meet whatever else they share.
+#: Levels of stars, each of the groups into which the split stars of the one before are dealt, before texts meet all of a split star.
 LEVELS = 3
 _TEXT = re.compile(rb"[^\x00-\x20]+")
 #: One odd multiplier for each table; labelled shingles are mixed before.
@@ -140,9 +144,26 @@ def overlaps(texts: list[np.ndarray], some: np.ndarray, width: int = 1 << 14) ->
     return out
 
 
-def links_of(texts: list[tuple[int, np.ndarray]], similarity: float) -> tuple[list[tuple[int, int]], list[int]]:
-    """Links that connect whatever a star's texts connect, the centre first, and the ids that they do not connect with the centre."""
-    (centre, c), found = texts[0], []
+def agreeing(texts: list[tuple[int, np.ndarray]]):
+    """A test of whether the texts of two places have a sample in common; each text's samples are drawn when first asked for."""
+    drawn: dict[int, set[int]] = {}
+
+    def samples(i: int) -> set[int]:
+        if i not in drawn:
+            drawn[i] = set(sketch(texts[i][1]))
+        return drawn[i]
+
+    return lambda i, j: not samples(i).isdisjoint(samples(j))
+
+
+def first_shingles(s: np.ndarray, late: np.ndarray, similarity: float) -> np.ndarray:
+    """So many of a text's shingles, in an order where the late ones come last, that texts of the similarity share one of them."""
+    return s[np.lexsort((s, np.isin(s, late)))[: len(s) - ceil(similarity * len(s) - 1e-9) + 1]]
+
+
+def links_of(texts: list[tuple[int, np.ndarray]], similarity: float, sampled: bool = True) -> tuple[list[tuple[int, int]], list[int]]:
+    """Links that connect whatever a star's texts connect, the centre first, and the ids that they do not connect with the centre; in a sampled star each text has a sample of the centre."""
+    (centre, c), found, agree = texts[0], [], agreeing(texts)
     root = list(range(len(texts)))
 
     def find(i: int) -> int:
@@ -152,7 +173,7 @@ def links_of(texts: list[tuple[int, np.ndarray]], similarity: float) -> tuple[li
 
     apart = []
     for i, (doc, s) in enumerate(texts[1:], 1):
-        if aligned(c, s, similarity) >= similarity:
+        if aligned(c, s, similarity) >= similarity and (sampled or agree(0, i)):
             found.append((centre, doc))
             root[i] = 0
         else:
@@ -166,7 +187,7 @@ def links_of(texts: list[tuple[int, np.ndarray]], similarity: float) -> tuple[li
         hits = np.flatnonzero(near >= similarity)
         for j in hits[np.argsort(-near[hits], kind="stable")].tolist():
             x, y = find(i), find(j)
-            if x != y and aligned(texts[i][1], texts[j][1], similarity) >= similarity:
+            if x != y and aligned(texts[i][1], texts[j][1], similarity) >= similarity and agree(i, j):
                 root[max(x, y)] = min(x, y)
                 found.append((min(texts[i][0], texts[j][0]), max(texts[i][0], texts[j][0])))
     return found, [texts[i][0] for i in apart if find(i)]
@@ -177,6 +198,7 @@ def links_between(heads: list[tuple[int, np.ndarray]], members: list[tuple[int,
     if not heads or not members:
         return []
     texts, n = members + heads, len(members)
+    agree = agreeing(texts)
     root = [0] * connected + list(range(connected, len(texts)))
     found: list[tuple[int, int]] = []
 
@@ -191,17 +213,17 @@ def links_between(heads: list[tuple[int, np.ndarray]], members: list[tuple[int,
         hits = np.flatnonzero(near >= similarity)
         for j in hits[np.argsort(-near[hits], kind="stable")].tolist():
             x, y = find(i), find(j)
-            if x != y and (j < connected or texts[i][0] < texts[j][0]) and aligned(texts[i][1], texts[j][1], similarity) >= similarity:
+            if x != y and (j < connected or texts[i][0] < texts[j][0]) and aligned(texts[i][1], texts[j][1], similarity) >= similarity and agree(i, j):
                 root[max(x, y)] = min(x, y)
                 found.append((min(texts[i][0], texts[j][0]), max(texts[i][0], texts[j][0])))
     return found
 
 
-def _verify(similarity: float):
+def _verify(similarity: float, sampled: bool):
     def close(star, texts):
         if len(texts) < 2 or texts[0][0] != star[0]:
             return
-        found, alone = links_of(texts, similarity)
+        found, alone = links_of(texts, similarity, sampled)
         yield from ((star[0], a, b, True) for a, b in found)
         if star[2] > 1:
             yield from ((star[0], star[0], x, False) for x in alone)
@@ -222,6 +244,28 @@ def _verify(similarity: float):
     return run
 
 
+def _firsts(similarity: float):
+    """(star, node, n, key): the first shingles of each text of a star but its centre, whose own come last."""
+
+    def run(batches):
+        star, late = None, None
+        for b in batches:
+            centres, parts, docs, texts = (b.column(i).to_pylist() for i in (0, 1, 3, 4))
+            out, rows = [], []
+            for centre, part, doc, text in zip(centres, parts, docs, texts, strict=True):
+                s = shingles(text)
+                if (centre, part) != star:
+                    star, late = (centre, part), s if doc == centre else s[:0]
+                if doc != centre:
+                    out.append(first_shingles(s, late, similarity).astype(np.int64))
+                    rows.append((centre, doc, len(s)))
+            sizes = [len(x) for x in out]
+            columns = [pa.array(np.repeat(np.array([r[i] for r in rows], kind), sizes)) for i, kind in enumerate((np.int64, np.int64, np.int32))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate([np.zeros(0, np.int64), *out]))], ["star", "node", "n", "key"])
+
+    return run
+
+
 def _meet(similarity: float):
     def close(star, sides):
         connected = len(sides[1])
@@ -264,16 +308,20 @@ def _with_text(rows: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return named.join(docs.select("doc_id", _digest().alias("digest"), "text").hint("merge"), ["doc_id", "digest"])
 
 
-def verify(docs: DataFrame, nodes: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
-    """(star, a, b, linked) of the candidate pairs edges (a, b) of nodes, a being the centre of b's star."""
+def _dealt(docs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(centre, part, parts, doc, text) of the stars of edges (a, b, n), each part in one task, the centre first in each."""
     # Written, as both sides of the join are then plain exchanges, whose hot stars Spark can split.
     sizes = cut(edges.groupBy("a").agg(_parts(1).alias("parts")), "sizes")
     members = edges.join(sizes, "a").select(F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "parts", F.col("b").alias("doc"))
     centres = sizes.select(F.col("a").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts", F.col("a").alias("doc"))
     rows = _with_text(members.unionByName(centres), docs, nodes).select("centre", "part", "parts", "doc", "text")
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.repartition(n, "centre", "part").sortWithinPartitions("centre", "part", F.col("doc") != F.col("centre"), "doc")
-    return dealt.mapInArrow(_verify(similarity), "star long, a long, b long, linked boolean")
+    return rows.repartition(n, "centre", "part").sortWithinPartitions("centre", "part", F.col("doc") != F.col("centre"), "doc")
+
+
+def verify(docs: DataFrame, nodes: DataFrame, edges: DataFrame, similarity: float, sampled: bool = True) -> DataFrame:
+    """(star, a, b, linked) of the candidate pairs edges (a, b) of nodes, a being the centre of b's star; in sampled stars b has a sample of a."""
+    return _dealt(docs, nodes, edges).mapInArrow(_verify(similarity, sampled), "star long, a long, b long, linked boolean")
 
 
 def meet(docs: DataFrame, nodes: DataFrame, edges: DataFrame, alone: DataFrame, similarity: float) -> DataFrame:
@@ -295,18 +343,16 @@ def meet(docs: DataFrame, nodes: DataFrame, edges: DataFrame, alone: DataFrame,
     return dealt.mapInArrow(_meet(similarity), "star long, a long, b long, linked boolean")
 
 
-def refined(groups: DataFrame, nodes: DataFrame, alone: DataFrame) -> DataFrame:
-    """The groups (samples, a, node, n) of texts alone (a, b), each dealt into groups that share one more sample; those without a text that was alone are left out.
-
-    A group is named by its samples in order, so one that is reached in several ways is one. Each text
-    goes to at most TABLES groups of each group that it was in.
-    """
-    heads = groups.join(alone.withColumnRenamed("b", "node"), ["a", "node"], "left_semi").select("samples", "node").distinct()
-    members = groups.select("samples", "node", "n").join(heads.select("samples").distinct(), "samples", "left_semi").join(heads.withColumn("head", F.lit(True)), ["samples", "node"], "left")
-    more = members.join(nodes.select("node", "keys"), "node").select("samples", "node", "n", "head", F.explode(F.array_distinct("keys")).alias("key")).filter(~F.array_contains("samples", F.col("key")))
-    finer = cut(more.groupBy(F.array_sort(F.array_append("samples", F.col("key"))).alias("samples"), "node", "n").agg(F.bool_or("head").alias("head")), "groups")
-    centres = cut(finer.groupBy("samples").agg(F.min("node").alias("a"), F.count("*").alias("many"), F.bool_or("head").alias("any")).filter("many > 1 AND any").select("samples", "a"), "centres")
-    return cut(finer.join(centres, "samples").select("samples", "a", "node", "n"), "groups")
+def refined(docs: DataFrame, nodes: DataFrame, edges: DataFrame, alone: DataFrame, similarity: float) -> DataFrame:
+    """The candidate pairs (a, b, n) of smaller stars: a star for each first shingle that a text alone (a, b) of a split star shares with others of it."""
+    split = edges.join(alone.select("a").distinct(), "a", "left_semi")
+    keys = cut(_dealt(docs, nodes, split).mapInArrow(_firsts(similarity), "star long, node long, n int, key long").distinct(), "firsts")
+    wanted = keys.join(alone.toDF("star", "node"), ["star", "node"], "left_semi").select("star", "key").distinct()
+    met = keys.join(wanted, ["star", "key"], "left_semi").groupBy("star", "key").agg(F.min("node").alias("a"), F.count("*").alias("many"))
+    centres = cut(met.filter("many > 1").select("star", "key", "a"), "centres")
+    finer = cut(keys.join(centres, ["star", "key"]).filter("node <> a").select("a", F.col("node").alias("b"), "n").distinct(), "stars")
+    discard(keys, centres)
+    return finer
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -339,14 +385,13 @@ def _classes(docs: DataFrame, similarity: float) -> DataFrame:
     edges = stars = cut(keys.join(centres, "key").filter("node <> a").select("a", F.col("node").alias("b"), "n").distinct(), "stars")
     checked = cut(verify(rows, nodes, edges, similarity), "links")
     links, alone = checked.filter("linked").select("a", "b"), checked.filter("not linked").select(F.col("star").alias("a"), "b")
-    groups, level = keys.join(centres, "key").select(F.array("key").alias("samples"), "a", "node", "n"), 1
+    level = 1
     while not alone.isEmpty():
         if level == LEVELS:
             links = links.unionByName(cut(meet(rows, nodes, edges, alone, similarity), "links").select("a", "b"))
             break
-        groups, level = refined(groups, nodes, alone), level + 1
-        edges = cut(groups.filter("node <> a").select("a", F.col("node").alias("b"), "n").distinct(), "stars")
-        again = cut(verify(rows, nodes, edges, similarity), "links")
+        edges, level = refined(rows, nodes, edges, alone, similarity), level + 1
+        again = cut(verify(rows, nodes, edges, similarity, False), "links")
         links, alone = links.unionByName(again.filter("linked").select("a", "b")), again.filter("not linked").select(F.col("star").alias("a"), "b")
     roots = components(links)
     discard(centres, stars, checked)

@@ -323,6 +323,39 @@ def test_unlike_texts_that_share_a_sample_do_not_all_meet(spark, monkeypatch):
     assert len(checked) > 1 and max(checked) <= 1500 * neardup.TABLES * neardup.TABLES / 2 and sum(met) <= 1500 * neardup.TABLES
 
 
+@pytest.mark.parametrize("group", [3, 10, 4000])
+def test_classes_do_not_depend_on_the_size_of_stars(spark, monkeypatch, group):
+    """Texts round one passage, in chains of a middling similarity: many pairs have one sample in common, which is that of a large star, or none."""
+    monkeypatch.setattr(neardup, "GROUP", group)
+    passage, texts = words(77, 12), []
+    for i in range(30):
+        own = words(3000 + i, 30)
+        for k in range(5):
+            texts.append(" ".join(own + passage))
+            own[6 * k : 6 * k + 6] = words(9000 + 10 * i + k, 6)
+    s = [neardup.shingles(t) for t in texts]
+    samples = [set(neardup.sketch(x)) for x in s]
+    root, apart = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if neardup.aligned(s[i], s[j], 0.5) >= 0.5:
+                apart += len(samples[i] & samples[j]) < 2
+                if samples[i] & samples[j]:
+                    a, b = root[i], root[j]
+                    root = [min(a, b) if x in (a, b) else x for x in root]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs(spark, texts), 0.5).collect()}
+    assert apart > 5 and got == dict(enumerate(root))
+
+
+def test_similar_texts_share_a_first_shingle():
+    for seed in range(300):
+        r = random.Random(seed)
+        a, b = (np.unique(np.array([r.randrange(60) for _ in range(r.randint(1, 40))], np.uint64)) for _ in range(2))
+        late, both = np.array(r.sample(range(60), 20), np.uint64), len(np.intersect1d(a, b))
+        t = both / (len(a) + len(b) - both)
+        assert not both or len(np.intersect1d(neardup.first_shingles(a, late, t), neardup.first_shingles(b, late, t)))
+
+
 # 1 and 2 by SQL, as far as it goes
 
 
