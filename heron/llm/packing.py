@@ -41,8 +41,8 @@ from heron.plans.session import cut, table
 
 CAPACITY = 4096
 END_ID = 1
-#: Bound of a worker's word cache, which lasts over its tasks.
-CACHE = 1_200_000
+#: Bound of a task's word cache and of the characters of the texts that are split into words at a time.
+CACHE, SPLIT = 500_000, 500_000
 #: Bounds of the driver's work: patterns of all dives, and fillings that branch and bound looks at, times the number of lengths, of which it looks at NODES at most.
 STEPS, WORK, NODES = 20_000, 400_000, 5000
 #: Shares of the pieces below the thresholds of dives, in the order in which they are tried.
@@ -75,6 +75,10 @@ class WordTokens:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the cache: a worker lives on after its tasks, also in stages that do not need it."""
         self.cache: dict[str, bytes] = {"": b""}
 
     def _encode(self, words: list[str]) -> list[bytes]:
@@ -119,7 +123,7 @@ class WordTokens:
         odd = [any(c in t for c in whole) for t in texts]
         split = [[] if o else t.split() for t, o in zip(texts, odd, strict=True)]
         if len(self.cache) > CACHE:
-            self.cache = {"": b""}
+            self.forget()
         self._learn(set().union(*split).difference(self.cache))
         got = self.cache.__getitem__
         return [self._encode([t])[0] if o else b"".join(map(got, s)) for t, s, o in zip(texts, split, odd, strict=True)]
@@ -131,16 +135,29 @@ def _tokens(path: str | None) -> WordTokens:
     return WordTokens(path)
 
 
-def _pieces(path: str | None, capacity: int, group: int = 512):
+def groups(ids, texts, most: int) -> Iterator[tuple[list, list[str]]]:
+    """Runs of ids and texts from Arrow columns, of at most so many characters together, or of one text."""
+    some, held, size = [], [], 0
+    for doc_id, text in zip(ids, texts, strict=True):
+        text = text.as_py() or ""
+        if held and size + len(text) > most:
+            yield some, held
+            some, held, size = [], [], 0
+        some.append(doc_id.as_py())
+        held.append(text)
+        size += len(text)
+    if held:
+        yield some, held
+
+
+def _pieces(path: str | None, capacity: int):
     def run(batches):
         tokens, part, ranks = _tokens(path), TaskContext.get().partitionId(), Counter()
         end = np.array([END_ID], "<u4").tobytes()
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1)
-            for at in range(0, len(ids), group):
+            for ids, some in groups(b.column(0), b.column(1), SPLIT):
                 rows = []
-                some = [t or "" for t in texts.slice(at, group).to_pylist()]
-                for doc_id, data in zip(ids[at : at + group], tokens.encode(some), strict=True):
+                for doc_id, data in zip(ids, tokens.encode(some), strict=True):
                     data += end
                     for n, start in enumerate(range(0, len(data), 4 * capacity)):
                         piece = data[start : start + 4 * capacity]
@@ -149,6 +166,7 @@ def _pieces(path: str | None, capacity: int, group: int = 512):
                         ranks[size] += 1
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [x.split()[0] for x in _PIECES.split(", ")])
+        tokens.forget()
 
     return run
 

@@ -11,6 +11,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -293,6 +294,23 @@ def test_dives_keep_to_their_bounds():
     assert packing.dive(counts, 10, 0, 10, 1) == (None, 1) and packing.dive({7: 2}, 10, 0, 5, 99)[0] is None
 
 
+def test_a_worker_splits_a_bounded_share_of_the_texts():
+    """Long texts come in smaller groups, so that their words are not all held at once; only a text that is longer by itself is over the bound."""
+    sizes = [5, 40, 0, 90, 300, 10, 10, None, 80, 30]
+    ids, texts = pa.array([*range(9), None]), pa.array([None if n is None else "x" * n for n in sizes])
+    found = list(packing.groups(ids, texts, 100))
+    assert [x for some, _ in found for x in some] == [*range(9), None] and [len(t) for _, held in found for t in held] == [n or 0 for n in sizes]
+    assert all(sum(map(len, held)) <= 100 or len(held) == 1 for _, held in found) and len(found) == 5
+
+
+def test_a_worker_keeps_no_words_after_its_task(monkeypatch):
+    """Workers are used again, also in stages that do not need the words."""
+    monkeypatch.setattr(packing, "TaskContext", type("Task", (), {"get": classmethod(lambda c: c), "partitionId": staticmethod(lambda: 0)}))
+    rows = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([f"alpha{i} beta" for i in range(300)])], ["doc_id", "text"])
+    assert sum(b.num_rows for b in packing._pieces(None, packing.CAPACITY)(iter([rows]))) == 300
+    assert len(packing._tokens(None).cache) == 1
+
+
 # 6 stars of unlike texts
 
 
