@@ -3,18 +3,17 @@
 Every page is read into text lines (one per block element), each with what the markup says of it:
 boilerplate (navigation, adverts, forms, comments ...), main (inside an article or main element) or
 open. Pages of one host stand in the order of their URL paths, and each is paired with its nearest
-neighbours. The lines of both that are not main are aligned by their longest common subsequence, and
-a line that a page shares with more than half of up to PARTNERS neighbours is deleted. Two bounds
-keep the article whole, as differencing alone would delete what two articles have in common (quotes,
-copies): main lines are never deleted, and a neighbour with NEAR of the page's text in common is a
-copy of it, not another page of its template, and is passed over. Of the lines that no neighbour
-shares, those that the markup calls boilerplate go too, and where a page has main lines, those
-outside of them.
+neighbours. All lines of both, those of articles too, are aligned by their longest common subsequence,
+and a line that a page shares with more than half of up to PARTNERS neighbours is template. A neighbour
+with NEAR of the page's text (of what the markup does not call boilerplate, where there is any) in common
+is a copy of it, not another page of its template, and is passed over. What is left is then checked
+against the markup, as differencing alone would delete what two articles have in common (quotes) and
+keep what is new on each page (adverts): template lines that are main come back, and of the other lines
+those that the markup calls boilerplate go too, and where a page has main lines, those outside of them.
 
 Where a page stands depends on the table alone, not on its partitions: pages with equal outlines on
 a host count once, all others are numbered through, and a host of n is dealt into runs of about RUN
-neighbours, within which pages are paired. Only outlines (a hash and a size for each line that is
-not main) are shuffled for that, so a host of any size is spread over tasks.
+neighbours, within which pages are paired. Only outlines (a hash and a size for each line) are shuffled for that, so a host of any size is spread over tasks.
 
 Cases: a null or empty html gives an empty text; a page without another outline in its run keeps its
 open lines; a null url belongs to the host ""; an unclosed nav, header, form or menu ends where an
@@ -214,9 +213,8 @@ def shared(a: list, b: list) -> set[int]:
 
 
 def outline(page: list[tuple[str, int]]) -> tuple[list[int], list[int]]:
-    """A hash of each line that is not main, and its length, negative where the markup calls it boilerplate."""
-    rest = [(x, role) for x, role in page if role != MAIN]
-    return [int.from_bytes(blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for x, _ in rest], [len(x) if role == OPEN else -len(x) for x, role in rest]
+    """A hash of each line, and its length, negative where the markup calls it boilerplate."""
+    return [int.from_bytes(blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for x, _ in page], [-len(x) if role == BOILERPLATE else len(x) for x, role in page]
 
 
 def deleted(pages: list[tuple[list[int], list[int]]]) -> list[list[int]]:
@@ -238,20 +236,18 @@ def deleted(pages: list[tuple[list[int], list[int]]]) -> list[list[int]]:
 
 
 def main_text(page: list[tuple[str, int]], gone: list[int]) -> tuple[str, int, int]:
-    """The page's text without the lines that differencing deletes and without boilerplate, and how many lines went by either."""
-    main, same, kept, at, by_markup = any(role == MAIN for _, role in page), set(gone), [], 0, 0
-    for x, role in page:
+    """The page's text without the lines that differencing deletes, unless they are main, and without boilerplate, and how many lines went by either."""
+    main, same, kept, by_sharing, by_markup = any(role == MAIN for _, role in page), set(gone), [], 0, 0
+    for at, (x, role) in enumerate(page):
         if role == MAIN:
             kept.append(x)
-            continue
-        at += 1
-        if at - 1 in same:
-            continue
-        if role == BOILERPLATE or main:
+        elif at in same:
+            by_sharing += 1
+        elif role == BOILERPLATE or main:
             by_markup += 1
         else:
             kept.append(x)
-    return "\n".join(kept), len(same), by_markup
+    return "\n".join(kept), by_sharing, by_markup
 
 
 _PAGE = "page_id long, url string, host string, path string, outline binary, keys array<long>, sizes array<int>, lines array<string>, roles array<int>"

@@ -311,6 +311,21 @@ def test_a_worker_keeps_no_words_after_its_task(monkeypatch):
     assert len(packing._tokens(None).cache) == 1
 
 
+def test_articles_take_part_in_differencing(spark):
+    """Pages of one template and unlike articles tell the template; a line that the articles share is template to differencing and comes back as main."""
+    def page(i):
+        story = f"<h1>Story {i}</h1><p>{' '.join(words(900 + i, 30))}</p><p>As always.</p>"
+        return f"<body><div>Top</div><nav>Menu</nav><article>{story}</article><div>New {i}</div><footer>Foot</footer></body>"
+
+    found = html.lines(page(1))
+    keys, sizes = html.outline(found)
+    assert len(keys) == len(found) == 7 and [n > 0 for n in sizes] == [True, False, True, True, True, True, False]
+    assert html.deleted([html.outline(html.lines(page(i))) for i in range(6)]) == [[0, 1, 4, 6]] * 6
+    df = spark.createDataFrame([(i, f"http://h/{i}", page(i)) for i in range(12)], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["text"], r["n_lines"], r["n_shared"], r["n_marked"]) for r in html.extract(df).collect()}
+    assert got == {i: (f"Story {i}\n{' '.join(words(900 + i, 30))}\nAs always.", 7, 3, 1) for i in range(12)}
+
+
 # 6 stars of unlike texts
 
 
