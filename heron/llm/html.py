@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from heron.plans.session import cut, table
+from heron.plans.session import cut, discard, table
 
 BOILERPLATE, MAIN, OPEN = 0, 1, 2
 RUN, PARTNERS, NEAR = 32, 4, 0.9
@@ -316,6 +316,7 @@ def shared_lines(pages: DataFrame) -> DataFrame:
     order = ("host", "path", "page_id", "outline")
     by_url = distinct.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("host", "outline", "keys", "sizes")
     numbered = cut(by_url.mapInArrow(_numbered, "host string, outline binary, keys array<long>, sizes array<int>, part int, k long"), "outlines")
+    discard(distinct)
     # A host's places through all partitions, from how many it has in each; a window holds one row for each partition.
     counts = numbered.groupBy("host", "part").agg(F.count("*").alias("n"))
     before = W.partitionBy("host").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
