@@ -90,3 +90,31 @@ def test_a_cell_holds_a_bounded_share(spark, monkeypatch):
     found = vectors.nearest(df.filter("id % 7 = 0"), df, 4).collect()
     assert sorted((r["query_id"], r["id"], r["rank"]) for r in found) == brute([x for x in rows if x[0] % 7 == 0], rows, 4)
     assert len(held) > 10 and max(held) < 50
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+@pytest.mark.parametrize("case", ["close", "long", "short", "outlier", "huge"])
+def test_single_precision_loses_no_neighbour(metric, case):
+    """Rows that single precision cannot tell apart, and of any length, are still ranked by their similarities."""
+    r = np.random.default_rng(6)
+    c = r.normal(size=(1300, 7))
+    if case == "close":
+        c = c[:1] + r.normal(size=(1300, 7)) * 1e-7
+    c *= {"long": 1e6, "short": 1e-7, "huge": 1e200}.get(case, 1)
+    if case == "outlier":
+        c[5] *= 1e5
+    ids = np.arange(len(c)) * 3
+    for k in (1, 6):
+        got = list(zip(*(x.tolist() for x in vectors.best(ids[:90], c[:90], ids, c, k, metric)), strict=True))
+        with np.errstate(all="ignore"):
+            near = vectors.similarities(c[:90], c, metric).round(9)
+        want = [(q, j) for q, row in zip(ids[:90].tolist(), np.where(np.isnan(near), np.inf, near), strict=True) for j in sorted((j for j in ids.tolist() if j != q), key=lambda j: (-row[j // 3], j))[:k]]
+        assert [x[:2] for x in got] == want
+
+
+def test_products_of_a_corpus_are_in_single_precision():
+    c = np.random.default_rng(7).normal(size=(500, 6))
+    side = vectors.Side(np.arange(500), c, "l2")
+    of, at = vectors._close(np.arange(40), c[:40], side, 4, vectors._slack(c[:40], side))
+    assert len(of) == len(at) < 40 * 60
+    assert vectors.Side(np.arange(2), np.array([[1.0, np.nan], [0.0, 1.0]]), "l2").single is None
