@@ -14,7 +14,7 @@ from heron.operators.fusion import Thresholds
 from heron.operators.rules import RULES
 from heron.plans import oracle_base as B
 from heron.plans.book import query
-from heron.plans.session import shared_dir
+from heron.plans.session import cut, shared_dir
 from heron.plans.q_vectors import V, fused, fused_sql, knn_sql, phish_neighbors
 from heron.plans.views import scored, unnest, vectors, with_attacks
 from heron.operators.vectors import nearest, similarity_stats
@@ -142,7 +142,7 @@ def operating_points(spark, sf_dir):
 def operating_points_by_category(spark, sf_dir):
     """Each category's positives against the same negatives: negatives are counted once and joined to the categories' counts."""
     rows = fused(spark, sf_dir)
-    m = E.operating_points(rows.withColumn("category", F.col("created_by")), ["category"])
+    m = cut(E.operating_points(rows.withColumn("category", F.col("created_by")), ["category"]), "points")
     neg = m.groupBy("mode").agg(F.sum("tn").alias("tn"), F.sum("fp").alias("fp"))
     categories = rows.select(F.col("created_by").alias("category")).distinct()
     grid = neg.join(F.broadcast(categories), F.lit(True))

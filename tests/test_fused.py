@@ -49,3 +49,9 @@ def test_rows_with_a_labelled_neighbour_meet_only_labelled_ones(spark, monkeypat
     q_vectors.fused(spark, DIR)
     v = spark.read.parquet(f"{DIR}/embeddings.parquet")
     assert sum(met) <= v.count() * v.filter("label = 1").count()
+
+
+def test_points_by_category_score_the_messages_once(spark):
+    """What is left to run after the points are counted reads the texts for their categories alone."""
+    plan = entry.queries()["operating_points_by_category"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "verdict" not in plan and "top_sim" not in plan
