@@ -164,8 +164,8 @@ def k_ablation(spark, sf_dir):
     """Prefixes of one list of the 32 nearest serve every k."""
     v = vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), "v", "label")
     n = v.count()
-    near = nearest(v, v, max(_KS)).join(v.select("id", F.col("label").alias("n_label")), "id")
-    tops = near.groupBy("query_id").agg(*(F.max(F.when((F.col("rank") <= k) & (F.col("n_label") == 1), F.col("similarity"))).alias(f"top_{k}") for k in _KS))
+    near = nearest(v, v, max(_KS)).join(v.filter("label = 1").select("id"), "id")
+    tops = near.groupBy("query_id").agg(*(F.max(F.when(F.col("rank") <= k, F.col("similarity"))).alias(f"top_{k}") for k in _KS))
     p1 = scored(spark, sf_dir, dns=True).select("label", "verdict", (F.col("id") % n).alias("vid"))
     rows = p1.join(tops, F.col("vid") == F.col("query_id"), "left")
     each = F.array(*(F.struct(F.lit(k).alias("k"), F.coalesce(f"top_{k}", F.lit(0.0)).alias("top")) for k in _KS))
