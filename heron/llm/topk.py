@@ -6,7 +6,8 @@ every other bucket that bound gives a local cosine threshold, bound / (|q| * lon
 bucket): over 1, the bucket is skipped for that query (length pruning); near 1, only vectors whose
 coordinate along the query's largest one lies in the feasible interval are verified (coordinate
 pruning); else all its products are computed. Buckets that no query can use are left out before
-anything is sent to them.
+anything is sent to them. The others pass by the queries of a task, longest first, and what a query has
+found there raises its bound (heron.llm.cells); only its k best leave the task.
 
 Components are held as floor(1024 * x) / 1024 in 64-bit floats, which is exact for every finite x.
 Products are floats where all of them stay under 2 ** 53; beyond, scaled floats with an error bound
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from heron.llm.cells import ROWS, TILE, Best, kth, lanes_of, meet, reached
 from heron.plans.session import cut, table
 
 BLOCK = 2048
@@ -43,7 +45,7 @@ WHOLE, LESS = float(1 << 43), 64
 TINY = 2.0**-900
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 #: nodes has a number for each row of ids, as ids may be repeated.
-_BLOCK = "block long, longest double, dim int, ids binary, nodes binary, vectors binary"
+_BLOCK = "block long, longest double, dim int, n int, kind int, ids binary, nodes binary, vectors binary"
 _FOUND = "query long, query_id long, vec_id long, score long, beyond binary"
 
 
@@ -76,11 +78,21 @@ def _block(key, held):
         whole[at : at + len(m), : m.shape[1]] = m
         at += len(m)
     ids, nodes, norms = (np.concatenate([h[i] for h in held]) for i in (0, 1, 3))
-    row = (key, norms.max(), whole.shape[1], ids.tobytes(), nodes.tobytes(), whole.tobytes())
-    kinds = (pa.int64(), pa.float64(), pa.int32(), *[pa.binary()] * 3)
+    kind, vectors = _packed(whole)
+    row = (key, norms.max(), whole.shape[1], len(ids), kind, ids.tobytes(), nodes.tobytes(), vectors)
+    kinds = (pa.int64(), pa.float64(), *[pa.int32()] * 3, *[pa.binary()] * 3)
     return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], [x.split()[0] for x in _BLOCK.split(", ")])
 
 
+def _packed(m: np.ndarray) -> tuple[int, bytes]:
+    """The bytes of a number and the numbers: 1024 times the components in 2 or 4 bytes where they fit, else the components."""
+    most = float(np.abs(m).max(initial=0.0)) * 1024
+    for size, kind in ((2, np.int16), (4, np.int32)):
+        if most < 1 << (8 * size - 1):
+            return size, (m * 1024).astype(kind).tobytes()
+    return 8, m.tobytes()
+
+
 def _cut_up(limit: int, found):
     """Blocks of at most limit of the rows found, in the order they come."""
     part, k, n, held = TaskContext.get().partitionId(), 0, 0, []
@@ -115,7 +127,7 @@ def _asked(every: int, batches):
     def found():
         for b in batches:
             for r in b.to_pylist():
-                ids, nodes, m = _open(r["ids"], r["nodes"], r["vectors"], r["dim"])
+                ids, nodes, m = _open(r)
                 on = np.flatnonzero(ids % every == 0)
                 if len(on):
                     yield ids[on], nodes[on], m[on], np.zeros(len(on))
@@ -123,9 +135,11 @@ def _asked(every: int, batches):
     yield from _cut_up(QUERIES, found())
 
 
-def _open(ids: bytes, nodes: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids = np.frombuffer(ids, np.int64)
-    return ids, np.frombuffer(nodes, np.int64), np.frombuffer(vectors, np.float64).reshape(len(ids), dim)
+def _open(r: dict, s: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids, nodes = (np.frombuffer(r[f"{s}{x}"], np.int64) for x in ("ids", "nodes"))
+    kind = {2: np.int16, 4: np.int32, 8: np.float64}[r[f"{s}kind"]]
+    m = np.frombuffer(r[f"{s}vectors"], kind).reshape(len(ids), r[f"{s}dim"])
+    return ids, nodes, m if kind is np.float64 else m / 1024.0
 
 
 def exponents(m: np.ndarray) -> np.ndarray:
@@ -160,18 +174,17 @@ def shown(score: int) -> tuple[int, bytes]:
     return (HIGH, b"\xff" + data) if score > 0 else (LOW, b"\x00" + bytes(255 - x for x in data))
 
 
-def best(q: np.ndarray, c: np.ndarray, ids: np.ndarray, on: np.ndarray, row: tuple, k: int) -> list[tuple[int, int, bytes]]:
-    """(vec_id, score, beyond) of the query's k best among the candidates on, ties to smaller ids; row has its products, their error bounds and integers."""
+def best(q: np.ndarray, c: np.ndarray, ids: np.ndarray, on: np.ndarray, row: tuple, k: int) -> list[tuple[int, int]]:
+    """(-score, vec_id) of the query's k best among the candidates on, ties to smaller ids; row has its products, their error bounds and integers."""
     near, error, exact = row
     if len(on) > k:
         least = np.partition((near - error)[on], -k)[-k]
         on = on[(near + error)[on] >= least]
     if exact is not None:
         on = on[np.lexsort((ids[on], -exact[on]))[:k]]
-        return [(i, s, b"\x80") for i, s in zip(ids[on].tolist(), exact[on].tolist(), strict=True)]
+        return list(zip((-exact[on]).tolist(), ids[on].tolist(), strict=True))
     mine = integers(q)
-    found = sorted((-sum(a * b for a, b in zip(mine, integers(c[x]), strict=False)), int(ids[x])) for x in on)
-    return [(i, *shown(-s)) for s, i in found[:k]]
+    return sorted((-sum(a * b for a, b in zip(mine, integers(c[x]), strict=False)), int(ids[x])) for x in on)[:k]
 
 
 def _seed(k: int):
@@ -181,9 +194,9 @@ def _seed(k: int):
         for b in batches:
             rows = b.to_pylist()
             for r in rows:
-                _, qn, q = _open(r["ids"], r["nodes"], r["vectors"], r["dim"])
+                _, qn, q = _open(r)
                 of_q, bound = exponents(q), np.full(len(qn), -np.inf)
-                _, sn, s = _open(r["s_ids"], r["s_nodes"], r["s_vectors"], r["s_dim"])
+                _, sn, s = _open(r, "s_")
                 r["scale"] = int(np.frexp(r["s_longest"])[1]) + LESS
                 near, error, _ = products(q, s, of_q, r["scale"])
                 for j in range(len(qn)):
@@ -195,59 +208,156 @@ def _seed(k: int):
                 needs = np.where(bound > TINY * 4, bound / np.maximum(long, 1e-300), 0.0)
                 r["reach"] = float(needs.min(initial=np.inf)) * (1 - 1e-9)
                 r["bounds"] = bound.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array([r[n] for r in rows], kind) for n, kind in (("block", pa.int64()), ("dim", pa.int32()), ("scale", pa.int32()), ("reach", pa.float64()))),
-                 *(pa.array([r[n] for r in rows], pa.binary()) for n in ("ids", "nodes", "vectors", "bounds"))],
-                ["q_block", "q_dim", "scale", "reach", "q_ids", "q_nodes", "q_vectors", "bounds"],
-            )
+            names = [x.split() for x in _SEEDED.split(", ")]
+            kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds[kind]) for n, kind in names], [n for n, _ in names])
 
     return run
 
 
-_SEEDED = "q_block long, q_dim int, scale int, reach double, q_ids binary, q_nodes binary, q_vectors binary, bounds binary"
+_SEEDED = "block long, dim int, n int, kind int, scale int, reach double, ids binary, nodes binary, vectors binary, bounds binary"
+
+
+class Queries:
+    """Queries of one dimension: whole numbers in single or double precision as the products need, and the best so far."""
+
+    def __init__(self, parts: list[tuple], k: int):
+        self.ids, self.nodes, self.q, self.bounds, self.scale = *(np.concatenate([p[x] for p in parts]) for x in range(4)), parts[0][4]
+        self.k, self.of, self.best = k, exponents(self.q), Best(len(self.q), k)
+        with np.errstate(all="ignore"):
+            # A score that the bound by the longest vectors asks for; the k best so far ask for more.
+            self.asked = np.floor(np.ldexp(self.bounds, self.of + self.scale + 20))
+            self.whole = self.q * 1024
+            self.long = np.sqrt((self.whole * self.whole).sum(1))
+        self.longest = self.long.max(initial=0.0)
+        self.single = self.whole.astype(np.float32) if self.longest < 1 << 24 else None
+        self.main = np.abs(self.whole).argmax(1) if self.q.shape[1] else np.zeros(len(self.q), int)
+        self.beyond: dict[int, list[tuple[int, int]]] = {}
+
+    def meet(self, c: "Passing") -> None:
+        with np.errstate(all="ignore"):
+            size = self.longest * c.longest
+        if not size < 2**53:
+            return self.large(c)
+        least = np.maximum(self.asked, self.best.least())
+        # Length pruning: the local cosine that a vector of this block needs at least.
+        with np.errstate(all="ignore"):
+            local = np.where(least > 0, least / np.maximum(self.long * c.longest, 1e-300), -1.0)
+        fit = size < 1 << 24 and self.single is not None and c.single is not None
+        full = np.flatnonzero(local < COORDINATE_FROM)
+        step = max(1, TILE // max(1, len(c.ids)))
+        for low in range(0, len(full), step):
+            self.take(full[low : low + step], slice(None), c, fit, least)
+        near = np.flatnonzero((local >= COORDINATE_FROM) & (local <= 1 + 1e-9))
+        # Coordinate pruning: queries of one largest coordinate verify the vectors in any of their feasible intervals.
+        near = near[np.argsort(self.main[near], kind="stable")]
+        for some in np.split(near, np.flatnonzero(np.diff(self.main[near])) + 1) if len(near) else []:
+            f = int(self.main[some[0]])
+            on: slice | np.ndarray = slice(None)
+            if f < c.whole.shape[1]:
+                x, t = self.whole[some, f] / self.long[some], np.minimum(1.0, local[some])
+                wide = np.sqrt(np.maximum(0.0, (1 - t * t) * (1 - x * x))) + 1e-7
+                # Of angles: y is at least x t - wide, and past x t + wide only where that side holds all up to the axis.
+                lows = np.where(-x >= t, -1.0, x * t - wide)
+                highs = np.where(x >= t, 1.0, x * t + wide)
+                on = c.between(f, float(lows.min()) - 1e-7, float(highs.max()) + 1e-7)
+                if not len(on):
+                    continue
+            for low in range(0, len(some), step):
+                self.take(some[low : low + step], on, c, fit, least)
+
+    def take(self, at: np.ndarray, on, c: "Passing", fit: bool, least: np.ndarray) -> None:
+        q, v = (self.single, c.single) if fit else (self.whole, c.whole)
+        dim = min(q.shape[1], v.shape[1])
+        tile = q[at, :dim] @ v[on, :dim].T
+        ids, nodes = c.ids[on], c.nodes[on]
+        # One more than k, as a query may stand in the block itself.
+        rows, columns = reached(tile, kth(tile, least[at], self.k + 1))
+        other = nodes[columns] != self.nodes[at[rows]]
+        rows, columns = rows[other], columns[other]
+        self.best.add(at[rows], tile[rows, columns].astype(np.int64), ids[columns])
+
+    def large(self, c: "Passing") -> None:
+        """The same where floats do not hold the products: scaled ones with error bounds choose candidates, Python integers decide."""
+        with np.errstate(all="ignore"):
+            reach = np.sqrt((np.ldexp(self.q, -self.of[:, None]) ** 2).sum(1)) * np.ldexp(c.norm, LESS - self.scale)
+            local = np.where(reach > 0, self.bounds / np.maximum(reach, 1e-300), np.where(self.bounds > TINY * 4, 2.0, -1.0))
+        on = np.flatnonzero(local <= 1 + 1e-9)
+        step = max(1, TILE // max(1, len(c.ids)))
+        for low in range(0, len(on), step):
+            some = on[low : low + step]
+            found = products(self.q[some], c.v, self.of[some], self.scale)
+            for at, j in enumerate(some.tolist()):
+                row = tuple(None if x is None else x[at] for x in found)
+                fits = np.flatnonzero((c.nodes != self.nodes[j]) & (row[0] + row[1] >= self.bounds[j]))
+                held = self.beyond.setdefault(j, [])
+                held += best(self.q[j], c.v, c.ids, fits, row, self.k)
+                if len(held) > 8 * self.k:
+                    held[:] = sorted(held)[: self.k]
+
+    def found(self) -> pa.RecordBatch:
+        rows, scores, ids = self.best.found()
+        plain = [self.nodes[rows], self.ids[rows], ids, scores]
+        large = [(int(self.nodes[j]), int(self.ids[j]), i, *shown(-s)) for j, held in self.beyond.items() for s, i in sorted(held)[: self.k]]
+        columns = [pa.concat_arrays([pa.array(x, pa.int64()), pa.array([r[n] for r in large], pa.int64())]) for n, x in enumerate(plain)]
+        columns.append(pa.array([b"\x80"] * len(rows) + [r[4] for r in large], pa.binary()))
+        return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _FOUND.split(", ")])
+
+
+class Passing:
+    """One block of vectors."""
+
+    def __init__(self, r: dict):
+        self.ids, self.nodes, self.v = _open(r)
+        self.norm = r["longest"]
+        with np.errstate(all="ignore"):
+            self.whole = self.v * 1024
+            self.lengths = np.sqrt((self.whole * self.whole).sum(1))
+        self.longest = self.lengths.max(initial=0.0)
+        self.single = self.whole.astype(np.float32) if self.longest < 1 << 24 else None
+        self.sorted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def between(self, f: int, low: float, high: float) -> np.ndarray:
+        """The vectors whose coordinate f lies in an interval, as a share of their length."""
+        if f not in self.sorted:
+            y = self.whole[:, f] / np.maximum(self.lengths, 1e-300)
+            order = np.argsort(y, kind="stable")
+            self.sorted[f] = y[order], order
+        y, order = self.sorted[f]
+        return order[np.searchsorted(y, low, "left") : np.searchsorted(y, high, "right")]
 
 
 def _verify(k: int):
-    def block(r):
-        out: list[tuple] = []
-        qi, q_nodes, q = _open(r["q_ids"], r["q_nodes"], r["q_vectors"], r["q_dim"])
-        ci, c_nodes, c = _open(r["ids"], r["nodes"], r["vectors"], r["dim"])
-        bounds, of_q, scale = np.frombuffer(r["bounds"], np.float64), exponents(q), r["scale"]
-        unit = np.ldexp(q, -of_q[:, None])
-        qn = np.sqrt((unit**2).sum(1))
-        reach = qn * np.ldexp(r["longest"], LESS - scale)
-        local = np.where(reach > 0, bounds / np.maximum(reach, 1e-300), np.where(bounds > TINY * 4, 2.0, -1.0))
-
-        def keep(j, at, found, of, ids, nodes):
-            row = tuple(None if x is None else x[at] for x in found)
-            on = np.flatnonzero((nodes != q_nodes[j]) & (row[0] + row[1] >= bounds[j]))
-            out.extend((int(q_nodes[j]), int(qi[j]), *x) for x in best(q[j], of, ids, on, row, k))
-
-        full = np.flatnonzero(local < COORDINATE_FROM)
-        if len(full):
-            found = products(q[full], c, of_q[full], scale)
-            for at, j in enumerate(full):
-                keep(j, at, found, c, ci, c_nodes)
-        near = np.flatnonzero((local >= COORDINATE_FROM) & (local <= 1 + 1e-9))
-        if len(near):
-            scaled = np.ldexp(c, -scale)
-            cn = np.maximum(np.sqrt((scaled**2).sum(1)), 1e-300)
-            for j in near:
-                f = int(np.abs(unit[j]).argmax())
-                x, t = unit[j, f] / qn[j], min(1.0, local[j])
-                on = np.arange(len(ci))
-                if f < c.shape[1]:
-                    y, wide = scaled[:, f] / cn, np.sqrt(max(0.0, (1 - t * t) * (1 - x * x))) + 1e-9
-                    on = np.flatnonzero((y >= x * t - wide) & (y <= max(x * t + wide, 1.0 if x > 0 and x >= t else -2.0)) if x > 0 else (y <= x * t + wide) & (y >= min(x * t - wide, -1.0 if -x >= t else 2.0)))
-                keep(j, 0, products(q[j : j + 1], c[on], of_q[j : j + 1], scale), c[on], ci[on], c_nodes[on])
+    def gathered(rows: list[dict]) -> list[Queries]:
+        of: dict[tuple[int, int], list] = {}
+        for r in rows:
+            ids, nodes, q = _open(r)
+            of.setdefault((r["dim"], r["scale"]), []).append((ids, nodes, q, np.frombuffer(r["bounds"], np.float64), r["scale"]))
+        out = []
+        for parts in of.values():
+            low, n = 0, 0
+            for high, p in enumerate(parts, 1):
+                n += len(p[0])
+                if n >= ROWS or high == len(parts):
+                    out.append(Queries(parts[low:high], k))
+                    low, n = high, 0
         return out
 
     def run(batches):
+        waiting, queries = [], None
         for b in batches:
-            for r in b.to_pylist():
-                out = block(r)
-                kinds = (*[pa.int64()] * 4, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], [x.split()[0] for x in _FOUND.split(", ")])
+            for at in range(b.num_rows):
+                r = b.slice(at, 1).to_pylist()[0]
+                if r["side"] == 0:
+                    waiting.append(r)
+                    continue
+                if queries is None:
+                    queries, waiting = gathered(waiting), []
+                c = Passing(r)
+                for q in queries:
+                    q.meet(c)
+        for q in queries or []:
+            yield q.found()
 
     return run
 
@@ -261,18 +371,19 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     sorted_rows = rows.repartitionByRange(parts, F.desc("norm"), F.col("vec_id")).sortWithinPartitions(F.desc("norm"), "vec_id")
     blocks = cut(sorted_rows.mapInArrow(_pack, _BLOCK), "topk-blocks")
     asked = blocks.mapInArrow(partial(_asked, every), _BLOCK)
-    longest = blocks.orderBy(F.desc("longest"), "block").limit(1).select(*(F.col(n).alias(f"s_{n}") for n in ("longest", "ids", "nodes", "vectors", "dim")))
+    first = blocks.select("longest", "block").orderBy(F.desc("longest"), "block").first()
+    if first is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    longest = blocks.filter(F.col("block") == first["block"]).select(*(F.col(n).alias(f"s_{n}") for n in ("longest", "ids", "nodes", "vectors", "dim", "kind")))
     # One block of at most BLOCK vectors is broadcast.
     bounded = cut(asked.join(F.broadcast(longest), F.lit(True)).mapInArrow(_seed(k), _SEEDED), "topk-queries")
-    scale, least = bounded.agg(F.max("scale"), F.min("reach")).first()
+    scale, least, n_q, size = bounded.agg(F.max("scale"), F.min("reach"), F.sum("n"), F.sum(F.col("n").cast("long") * F.col("dim"))).first()
     if scale is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    # Blocks too short for every query go before queries are dealt out to the shares of the others.
+    # Blocks too short for every query stay where they are.
     used = blocks.filter(F.col("longest") >= F.lit(float(np.ldexp(least, scale - LESS))))
-    shares = min(parts, used.count())
-    pairs = bounded.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).join(used.withColumn("share", F.pmod(F.xxhash64("block"), F.lit(shares)).cast("int")), "share")
-    pairs = pairs.filter(F.col("longest") >= F.col("reach") * F.pow(F.lit(2.0), F.col("scale") - LESS)).drop("share", "q_block", "block", "reach")
-    found = pairs.mapInArrow(_verify(k), _FOUND)
+    n, n_c = used.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    found = meet(bounded.drop("reach"), used, "block", [F.desc("longest"), "block"], (n_q, n_c, n), lanes_of(size), _verify(k), _FOUND, "topk-found")
     order = W.partitionBy("query").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
