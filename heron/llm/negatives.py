@@ -1,17 +1,19 @@
 """Hard negatives by a two-dimensional block matrix product (SUMMA).
 
 Rows are sorted by label and packed into blocks, anchors into smaller ones, and every block is cut into
-panels of CHUNK dimensions. The tasks form a grid: an anchor panel goes to all columns of its row of the
-grid, a candidate panel to all rows of its column, and where two panels of one dimension chunk meet,
-their product is a partial tile of int64 scores. Partial tiles are shuffled by block pair and added, and
-each whole tile gives the best few per anchor, or per anchor and positive within its window.
+panels of CHUNK dimensions. The tasks form a grid of lanes of anchors and shares of candidates
+(heron.llm.cells): an anchor panel goes to all tasks of its lane, a candidate panel to one task of each
+lane. Where two blocks meet, the products of their panels are added up, dimension chunk by dimension
+chunk, in the task that keeps the tile; of a tile only the best few per anchor, or per anchor and
+positive within its window, are kept, and of all tiles of a task only those leave it.
 
-The product is walked in two phases that share no work: block pairs that can hold equal labels give the
-positives; the pairs that can hold unlike labels then give, inside the windows that the positives'
-scores open, the negatives. As blocks are sorted by label, few pairs belong to both.
+The product is walked in two phases that share no work: tiles of equal labels give the positives; those
+of unlike labels then give, inside the windows that the positives' scores open, the negatives. As blocks
+are sorted by label, few pairs of blocks belong to both.
 
-Components are held as floor(256 * x) / 256 in 64-bit floats, which is exact for every finite x. Tiles
-are float products where every sum stays under 2 ** 53; beyond, they are sums of Python integers.
+Components are held as floor(256 * x), in 2, 4 or 8 bytes or, beyond, as Python integers. Tiles are
+products in single precision where every sum stays under 2 ** 24, in double precision under 2 ** 53;
+beyond, they are sums of Python integers.
 
 Cases: rows whose label or vector is null or whose vector holds null or non-finite components take no
 part, nor do rows without vec_id, as a result could not name them; empty vectors have the product 0
@@ -33,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from heron.llm.cells import ROWS, TILE, Best, kth, lanes_of, meet, reached
 from heron.llm.topk import HIGH, LOW, shown
 from heron.plans.session import cut, table
 
@@ -41,8 +44,8 @@ ANCHORS, BLOCK, CHUNK = 256, 2048, 32
 SCALE = 256
 #: From this size on a 64-bit float times SCALE is a whole number.
 WHOLE = float(1 << 44)
-_PANEL = "anchor boolean, block long, chunk int, low long, high long, most double, dim int, n int, ids binary, labels binary, nodes binary, values binary"
-_TILE = "a_block long, c_block long, chunk int, kind int, tile binary, a_ids binary, a_labels binary, a_nodes binary, c_ids binary, c_labels binary, c_nodes binary, windows array<struct<at:int,slot:int,positive_id:long,score:long,beyond:binary>>"
+_PANEL = "anchor boolean, block long, chunk int, dim int, n int, longest double, kind int, ids binary, labels binary, nodes binary, values binary"
+_WINDOWS = "array<struct<at:int,slot:int,positive_id:long,score:long,beyond:binary>>"
 _FOUND = "a_block long, at int, slot int, anchor_id long, positive_id long, positive_score long, vec_id long, score long, beyond binary"
 _RESULT = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
 
@@ -73,11 +76,15 @@ def _panels(every: int, batches):
             m[k, : len(r[3])] = r[3]
         ids, labels, nodes = (np.array([r[k] for r in rows], np.int64) for k in range(3))
         key, made[anchor], held[anchor] = (part << 32) + made[anchor], made[anchor] + 1, []
+        with np.errstate(all="ignore"):
+            longest = float(np.sqrt(((m * SCALE) ** 2).sum(1)).max())
+        # Beyond, numbers of 8 bytes do not hold every component.
+        m = (m * SCALE).astype(np.int64) if longest < 2.0**62 else integers(m)
         for chunk in range(max(1, -(-dim // CHUNK))):
             first = chunk == 0
-            values = np.ascontiguousarray(m[:, chunk * CHUNK : (chunk + 1) * CHUNK])
-            out = [anchor, key, chunk, int(labels.min()), int(labels.max()), float(np.abs(m).max(initial=0.0)), dim, len(rows), *(x.tobytes() if first else b"" for x in (ids, labels, nodes)), values.tobytes()]
-            kinds = [pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
+            kind, values = packed(m[:, chunk * CHUNK : (chunk + 1) * CHUNK])
+            out = [anchor, key, chunk, dim, len(rows), longest, kind, *(x.tobytes() if first else b"" for x in (ids, labels, nodes)), values]
+            kinds = [pa.bool_(), pa.int64(), *[pa.int32()] * 3, pa.float64(), pa.int32(), *[pa.binary()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(out, kinds, strict=True)], _names(_PANEL))
 
     for b in batches:
@@ -101,70 +108,21 @@ def integers(m: np.ndarray) -> np.ndarray:
     return np.array([[int(x * SCALE) if abs(x) < WHOLE else int(x) * SCALE for x in row] for row in m.tolist()], object).reshape(m.shape)
 
 
-def product(a: np.ndarray, c: np.ndarray, fits: bool) -> np.ndarray:
-    """The partial tile of two panels: int64, or Python integers where the floats may not hold the sums."""
-    dim = min(a.shape[1], c.shape[1])
-    a, c = a[:, :dim], c[:, :dim]
-    if fits:
-        return ((a * SCALE) @ (c * SCALE).T).astype(np.int64)
-    return integers(a) @ integers(c).T if dim else np.zeros((len(a), len(c)), np.int64)
-
-
 def packed(tile: np.ndarray) -> tuple[int, bytes]:
-    """Bytes of a tile and how they are held: numbers of 4 or 8 bytes, or decimals."""
+    """Bytes of whole numbers and how they are held: numbers of 2, 4 or 8 bytes, or decimals."""
     if tile.dtype == object:
         return 0, ",".join(map(str, tile.ravel().tolist())).encode()
-    small = tile.size == 0 or max(int(tile.max()), -int(tile.min())) < 1 << 31
-    return (4, tile.astype(np.int32).tobytes()) if small else (8, tile.tobytes())
+    most = max(int(tile.max()), -int(tile.min())) if tile.size else 0
+    for size, kind in ((2, np.int16), (4, np.int32)):
+        if most < 1 << (8 * size - 1):
+            return size, tile.astype(kind).tobytes()
+    return 8, np.ascontiguousarray(tile).tobytes()
 
 
 def unpacked(kind: int, data: bytes) -> np.ndarray:
     if kind:
-        return np.frombuffer(data, np.int32 if kind == 4 else np.int64).astype(np.int64)
-    return np.array([int(x) for x in data.split(b",")], object)
-
-
-def _multiply(batches):
-    """Pairs of panels to partial tiles; what names rows and columns goes with the first chunk."""
-    for b in batches:
-        for at in range(b.num_rows):
-            r = {n: b.column(n)[at].as_py() for n in b.schema.names}
-            sides = []
-            for s in "ac":
-                width = max(0, min(CHUNK, r[f"{s}_dim"] - r["chunk"] * CHUNK))
-                sides.append(np.frombuffer(r[f"{s}_values"], np.float64).reshape(r[f"{s}_n"], width))
-            fits = r["a_most"] * r["c_most"] * max(1, min(r["a_dim"], r["c_dim"])) * SCALE**2 < 2**53
-            kind, data = packed(product(*sides, fits))
-            named = [r[n] for n in _names(_TILE)[5:11]]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 7]
-            columns = [pa.array([x], k) for x, k in zip([r["a_block"], r["c_block"], r["chunk"], kind, data, *named], kinds, strict=True)]
-            windows = b.column("windows").slice(at, 1) if r["chunk"] == 0 else b.column("windows").slice(0, 0)
-            if not len(windows):
-                windows = pa.nulls(1, b.schema.field("windows").type)
-            yield pa.RecordBatch.from_arrays([*columns, windows], _names(_TILE))
-
-
-def tiles(panels: DataFrame, asked: DataFrame, same: bool, parts: int, size: tuple[int, int, int]) -> DataFrame:
-    """Partial tiles of the anchor panels asked for and all candidate panels, by block pairs that can hold equal (or else unlike) labels."""
-    n_a, n_c, chunks = size
-    cells = max(1, parts // chunks)
-    down = min(n_a, max(1, round((cells * n_a / n_c) ** 0.5)))
-    across = min(n_c, -(-cells // down))
-
-    def side(rows, s, mine, other, lanes, copies):
-        deal = F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int")
-        names = {n: f"{s}_{n}" for n in ("block", "low", "high", "most", "dim", "ids", "labels", "nodes", "values", "n")}
-        rows = rows.withColumn(mine, deal).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-        return rows.withColumnsRenamed(names)
-
-    a = side(asked, "a", "down", "across", down, across)
-    c = side(panels.filter("NOT anchor").drop("anchor"), "c", "across", "down", across, down)
-    meet = (F.col("a_low") <= F.col("c_high")) & (F.col("c_low") <= F.col("a_high"))
-    one = (F.col("a_low") == F.col("a_high")) & (F.col("c_low") == F.col("c_high")) & (F.col("a_low") == F.col("c_low"))
-    pairs = a.join(c, ["down", "across", "chunk"]).filter(meet if same else ~one).drop("down", "across", "a_low", "a_high", "c_low", "c_high")
-    partials = pairs.mapInArrow(_multiply, _TILE)
-    # The tiles of one block of anchors and one column of the grid meet in one task, which keeps the best of all of them.
-    return partials.repartition(parts, "a_block", F.pmod(F.xxhash64("c_block"), F.lit(across))).sortWithinPartitions("a_block", "c_block", "chunk")
+        return np.frombuffer(data, {2: np.int16, 4: np.int32, 8: np.int64}[kind]).astype(np.int64)
+    return np.array([int(x) for x in data.split(b",") if x], object)
 
 
 def first(scores: np.ndarray, ids: np.ndarray, on: np.ndarray, k: int) -> list[int]:
@@ -184,68 +142,180 @@ def exact(score: int, beyond: bytes) -> int:
     return int.from_bytes(data, "big") if score > 0 else -int.from_bytes(bytes(255 - x for x in data), "big")
 
 
-def best(tile: np.ndarray, r: dict, k: int, low: int, high: int) -> list[tuple]:
-    """Rows of _FOUND of one whole tile: without windows the k best of the anchor's label, else those of other labels in each window."""
-    a_ids, a_labels, a_nodes, ids, labels, nodes = (np.frombuffer(r[n], np.int64) for n in _names(_TILE)[5:11])
-    tile = tile.reshape(len(a_ids), len(ids))
-    out = []
-    if r["windows"] is None:
-        for at in range(len(a_ids)):
-            on = np.flatnonzero((labels == a_labels[at]) & (nodes != a_nodes[at]))
-            out += [(r["a_block"], at, None, int(a_ids[at]), None, None, int(ids[x]), *shown(int(tile[at][x]))) for x in first(tile[at], ids, on, k)]
+def exactly(panel: np.ndarray) -> np.ndarray:
+    """The panel in Python integers."""
+    return panel if panel.dtype == object else np.array([int(x) for x in panel.ravel().tolist()], object).reshape(panel.shape)
+
+
+class Block:
+    """A block of rows as panels of whole numbers: floats of single or double precision, or Python integers, as its longest row needs."""
+
+    def __init__(self, rows: list[dict]):
+        r = rows[0]
+        self.block, self.dim, self.longest, self.windows = r["block"], r["dim"], r["longest"], r.get("windows")
+        self.ids, self.labels, self.nodes = (np.frombuffer(r[n], np.int64) for n in ("ids", "labels", "nodes"))
+        self.panels = []
+        for x in rows:
+            width = max(0, min(CHUNK, self.dim - x["chunk"] * CHUNK))
+            values = unpacked(x["kind"], x["values"]).reshape(len(self.ids), width)
+            self.panels.append(values if values.dtype == object else values.astype(np.float32 if self.longest < 1 << 24 else np.float64))
+
+
+def tile(a: list[np.ndarray], c: list[np.ndarray], size: float) -> np.ndarray:
+    """Scores of rows held as panels, added up panel by panel; size is what no sum exceeds."""
+    kind = np.float32 if size < 1 << 24 else np.float64 if size < 2.0**53 else object
+    total = None
+    for x, y in zip(a, c, strict=False):
+        width = min(x.shape[1], y.shape[1])
+        x, y = x[:, :width], y[:, :width]
+        if kind is object:
+            part = exactly(x) @ exactly(y).T if width else np.zeros((len(x), len(y)), object)
+        else:
+            part = x.astype(kind, copy=False) @ y.astype(kind, copy=False).T
+        total = part if total is None else np.add(total, part, out=total)
+    return total
+
+
+class Anchors:
+    """Anchors of one dimension, and the best of each, or of each in its windows, so far."""
+
+    def __init__(self, blocks: list[Block], k: int, low: int, high: int):
+        self.ids, self.labels, self.nodes = (np.concatenate([getattr(b, n) for b in blocks]) for n in ("ids", "labels", "nodes"))
+        self.blocks, self.at = np.repeat([b.block for b in blocks], [len(b.ids) for b in blocks]), np.concatenate([np.arange(len(b.ids)) for b in blocks])
+        self.panels, self.longest = [np.concatenate(p) for p in zip(*(b.panels for b in blocks), strict=True)], max(b.longest for b in blocks)
+        self.k, self.windows = k, None
+        self.beyond: dict[tuple, list[tuple[int, int]]] = {}
+        if blocks[0].windows is not None:
+            # Of each anchor and slot: the positive, and the least and the most that a negative may score.
+            self.windows, first = {}, 0
+            for b in blocks:
+                for w in b.windows:
+                    score = exact(w["score"], w["beyond"])
+                    # low * positive <= 100 * negative <= high * positive, in whole numbers.
+                    self.windows[first + w["at"], w["slot"] - 1] = w["positive_id"], w["score"], -((-low * score) // 100), high * score // 100
+                first += len(b.ids)
+            self.slots = 1 + max((s for _, s in self.windows), default=0)
+            self.low, self.high = np.full((len(self.ids), self.slots), np.inf), np.full((len(self.ids), self.slots), LOW)
+            for (row, slot), (_, _, least, most) in self.windows.items():
+                self.low[row, slot], self.high[row, slot] = min(max(least, LOW), HIGH), min(max(most, LOW), HIGH)
+        self.best = Best(len(self.ids) * (1 if self.windows is None else self.slots), k)
+
+    def meet(self, c: Block) -> None:
+        one = c.labels[0] == c.labels[-1]
+        if self.windows is None:
+            rows = np.flatnonzero((self.labels >= c.labels[0]) & (self.labels <= c.labels[-1]))
+        else:
+            rows = np.flatnonzero(self.labels != c.labels[0]) if one else np.arange(len(self.labels))
+        with np.errstate(all="ignore"):
+            size = self.longest * c.longest
+        step = max(1, TILE // len(c.ids))
+        for low in range(0, len(rows), step):
+            some = rows[low : low + step]
+            scores = tile([p[some] for p in self.panels], c.panels, size)
+            alike = None if one else self.labels[some][:, None] == c.labels
+            if scores.dtype == object:
+                self.large(some, scores, alike, c)
+                continue
+            if alike is not None:
+                scores[~alike if self.windows is None else alike] = -np.inf
+            if self.windows is None:
+                self.positives(some, scores, c)
+            else:
+                self.negatives(some, scores, c)
+
+    def positives(self, some: np.ndarray, scores: np.ndarray, c: Block) -> None:
+        # One more than k, as the anchor may stand in the block itself.
+        rows, columns = reached(scores, kth(scores, self.best.least()[some], self.k + 1))
+        other = c.nodes[columns] != self.nodes[some[rows]]
+        rows, columns = rows[other], columns[other]
+        self.best.add(some[rows], scores[rows, columns].astype(np.int64), c.ids[columns])
+
+    def negatives(self, some: np.ndarray, scores: np.ndarray, c: Block) -> None:
+        least = np.maximum(self.low[some], self.best.least().reshape(-1, self.slots)[some])
+        rows, columns = reached(scores, least.min(1))
+        found = scores[rows, columns].astype(np.int64)
+        for slot in range(self.slots):
+            on = np.flatnonzero((found >= least[rows, slot]) & (found <= self.high[some[rows], slot]))
+            self.best.add(some[rows[on]] * self.slots + slot, found[on], c.ids[columns[on]])
+
+    def large(self, some: np.ndarray, scores: np.ndarray, alike: np.ndarray | None, c: Block) -> None:
+        """The same in Python integers."""
+        for at, row in enumerate(some.tolist()):
+            same = np.full(len(c.ids), self.labels[row] == c.labels[0]) if alike is None else alike[at]
+            if self.windows is None:
+                self.hold((row, None), scores[at], np.flatnonzero(same & (c.nodes != self.nodes[row])), c)
+                continue
+            for slot in range(self.slots):
+                if (row, slot) in self.windows:
+                    _, _, least, most = self.windows[row, slot]
+                    self.hold((row, slot), scores[at], np.array([x for x in np.flatnonzero(~same).tolist() if least <= scores[at][x] <= most], np.int64), c)
+
+    def hold(self, key: tuple, scores: np.ndarray, on: np.ndarray, c: Block) -> None:
+        held = self.beyond.setdefault(key, [])
+        held += [(-int(scores[x]), int(c.ids[x])) for x in first(scores, c.ids, on, self.k)]
+        if len(held) > 8 * self.k:
+            held[:] = sorted(held)[: self.k]
+
+    def found(self) -> pa.RecordBatch:
+        """Rows of _FOUND."""
+        out = []
+        rows, scores, ids = (x.tolist() for x in self.best.found())
+        if self.windows is None:
+            plain = [((row, None), score, b"\x80", i) for row, score, i in zip(rows, scores, ids, strict=True)]
+        else:
+            plain = [(divmod(row, self.slots), score, b"\x80", i) for row, score, i in zip(rows, scores, ids, strict=True)]
+        for (row, slot), score, beyond, i in plain + [(key, *shown(-s), i) for key, held in self.beyond.items() for s, i in sorted(held)[: self.k]]:
+            positive = (None, None) if slot is None else self.windows[row, slot][:2]
+            out.append((int(self.blocks[row]), int(self.at[row]), None if slot is None else slot + 1, int(self.ids[row]), *positive, i, score, beyond))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 5, pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([f[x] for f in out], t) for x, t in enumerate(kinds)], _names(_FOUND))
+
+
+def _mine(k: int, low: int, high: int):
+    """The panels of a lane's anchors, then of the candidates that pass, to the best of each anchor in this task."""
+
+    def gathered(blocks: list[Block]) -> list[Anchors]:
+        of: dict[tuple, list[Block]] = {}
+        for b in sorted(blocks, key=lambda b: (b.labels[0], b.block)):
+            # Anchors beyond single precision stay apart, as their tiles may need Python integers.
+            of.setdefault((b.dim, b.longest < 1 << 24, b.panels[0].dtype), []).append(b)
+        out = []
+        for (_, single, _), some in of.items():
+            start, n = 0, 0
+            for end, b in enumerate(some, 1):
+                n += len(b.ids)
+                if n >= (ROWS if single else ANCHORS) or end == len(some):
+                    out.append(Anchors(some[start:end], k, low, high))
+                    start, n = end, 0
         return out
-    unlike: dict[int, np.ndarray] = {}
-    for w in r["windows"]:
-        at, score = w["at"], exact(w["score"], w["beyond"])
-        if at not in unlike:
-            unlike[at] = np.flatnonzero(labels != a_labels[at])
-        scores = tile[at][unlike[at]]
-        # low * positive <= 100 * negative <= high * positive, in whole numbers.
-        least, most = -((-low * score) // 100), high * score // 100
-        if scores.dtype != object:
-            least, most = (min(max(x, LOW), HIGH) for x in (least, most))
-        on = unlike[at][np.flatnonzero((scores >= least) & (scores <= most))]
-        out += [(r["a_block"], at, w["slot"], int(a_ids[at]), w["positive_id"], w["score"], int(ids[x]), *shown(int(tile[at][x]))) for x in first(tile[at], ids, on, k)]
-    return out
-
-
-def _kept(rows: list[tuple], k: int) -> list[tuple]:
-    return sorted(rows, key=lambda f: (-exact(f[7], f[8]), f[6]))[:k]
-
-
-def _add(k: int, low: int, high: int, batches):
-    """Adds the partial tiles of each block pair, which come one after another, and keeps the k best of each anchor, or anchor and positive, over all tiles of its block."""
-    kinds = (pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 5, pa.binary())
-    best_of: dict[tuple, list[tuple]] = {}
-    total, r = None, None
-
-    def reduce():
-        for f in best(total, r, k, low, high):
-            rows = best_of.setdefault(f[1:3], [])
-            rows.append(f)
-            if len(rows) > 8 * k:
-                best_of[f[1:3]] = _kept(rows, k)
-
-    def flush():
-        found = [f for rows in best_of.values() for f in _kept(rows, k)]
-        best_of.clear()
-        return pa.RecordBatch.from_arrays([pa.array([f[x] for f in found], t) for x, t in enumerate(kinds)], _names(_FOUND))
 
-    for b in batches:
-        for at in range(b.num_rows):
-            block, chunk = b.column("a_block")[at].as_py(), b.column("chunk")[at].as_py()
-            tile = unpacked(b.column("kind")[at].as_py(), b.column("tile")[at].as_py())
-            if chunk:
-                total = total + tile
+    def whole(batches):
+        """(side, block) of panels that come one after another."""
+        held: list[dict] = []
+        for b in batches:
+            for at in range(b.num_rows):
+                r = b.slice(at, 1).to_pylist()[0]
+                if held and (r["side"], r["block"]) != (held[0]["side"], held[0]["block"]):
+                    yield held[0]["side"], Block(held)
+                    held = []
+                held.append(r)
+        if held:
+            yield held[0]["side"], Block(held)
+
+    def run(batches):
+        waiting, anchors = [], None
+        for side, block in whole(batches):
+            if side == 0:
+                waiting.append(block)
                 continue
-            if r is not None:
-                reduce()
-                if r["a_block"] != block:
-                    yield flush()
-            total, r = tile, {n: b.column(n)[at].as_py() for n in _names(_TILE)[5:]} | {"a_block": block}
-    if r is not None:
-        reduce()
-        yield flush()
+            if anchors is None:
+                anchors, waiting = gathered(waiting), []
+            for a in anchors:
+                a.meet(block)
+        for a in anchors or []:
+            yield a.found()
+
+    return run
 
 
 def hard_negatives(vectors: DataFrame, every: int = 50, positives: int = 5, k: int = 3, low: int = 50, high: int = 95) -> DataFrame:
@@ -259,19 +329,23 @@ def hard_negatives(vectors: DataFrame, every: int = 50, positives: int = 5, k: i
     # tie parts rows that agree in label and id, so that no range of the sort has to hold all of them.
     rows = labelled(vectors).withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(parts, "label", "vec_id", "tie").sortWithinPartitions("label", "vec_id")
     panels = cut(rows.select("vec_id", "label", "v").mapInArrow(partial(_panels, every), _PANEL), "negatives-panels")
-    sizes = {r["anchor"]: r for r in panels.groupBy("anchor").agg(F.count(F.when(F.col("chunk") == 0, 1)).alias("n"), (F.max("chunk") + 1).alias("chunks")).collect()}
+    one = F.col("chunk") == 0
+    sizes = {r["anchor"]: r for r in panels.filter(one).groupBy("anchor").agg(F.count("*").alias("blocks"), F.sum("n").alias("n"), F.sum(F.col("n").cast("long") * F.col("dim")).alias("size")).collect()}
     if True not in sizes:
         return spark.createDataFrame([], _RESULT)
-    size = sizes[True]["n"], sizes[False]["n"], sizes[False]["chunks"]
-    anchors = panels.filter("anchor").drop("anchor")
-    none = F.lit(None).cast(_TILE.rpartition("windows ")[2]).alias("windows")
-    near = tiles(panels, anchors.withColumn("windows", none), True, parts, size).mapInArrow(partial(_add, positives, low, high), _FOUND)
+    lanes, size = lanes_of(sizes[True]["size"]), (sizes[True]["n"], sizes[False]["n"], sizes[False]["blocks"])
+    anchors, others = (panels.filter(F.col("anchor") == x).drop("anchor") for x in (True, False))
+
+    def mined(asked: DataFrame, best: int) -> DataFrame:
+        return meet(asked, others, "block", ["block", "chunk"], size, lanes, _mine(best, low, high), _FOUND, "negatives-found")
+
+    near = mined(anchors.withColumn("windows", F.lit(None).cast(_WINDOWS)), positives)
     order = F.desc("score"), F.desc("beyond"), F.asc("vec_id")
     ranked = near.withColumn("slot", F.row_number().over(W.partitionBy("a_block", "at").orderBy(*order))).filter(F.col("slot") <= positives)
     found = cut(ranked.select("a_block", "at", "slot", "vec_id", "score", "beyond"), "negatives-positives")
     # At most ANCHORS * positives windows to a block; a positive below zero opens none.
     windows = found.filter("score >= 0").groupBy(F.col("a_block").alias("block")).agg(F.collect_list(F.struct("at", "slot", F.col("vec_id").alias("positive_id"), "score", "beyond")).alias("windows"))
-    far = tiles(panels, anchors.join(windows, "block"), False, parts, size).mapInArrow(partial(_add, k, low, high), _FOUND)
+    far = mined(anchors.join(windows, "block").withColumn("windows", F.when(one, F.col("windows"))), k)
     ranked = far.withColumn("rank", F.row_number().over(W.partitionBy("a_block", "at", "slot").orderBy(*order))).filter(F.col("rank") <= k)
     return ranked.select("anchor_id", "positive_id", "rank", F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
 
